@@ -1,9 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, the same in DuckDB SQL."""
 
-from . import mixing, secrets, topk
+from . import langid, mixing, secrets, topk, toxicity
 
 _MODULES = {
+    "op1_langid": langid,
     "op3_mixing": mixing,
+    "op5_toxicity": toxicity,
     "op8_topk": topk,
     "op9_secrets": secrets,
 }
