@@ -1,11 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, the same in DuckDB SQL."""
 
-from . import langid, mixing, secrets, topk, toxicity
+from . import chat, decontaminate, langid, mixing, secrets, topk, toxicity, warc
 
 _MODULES = {
     "op1_langid": langid,
+    "op2_chat": chat,
     "op3_mixing": mixing,
     "op5_toxicity": toxicity,
+    "op6_decontamination": decontaminate,
+    "op7_warc": warc,
     "op8_topk": topk,
     "op9_secrets": secrets,
 }
