@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, the same in DuckDB SQL."""
 
-from . import chat, decontaminate, langid, mixing, secrets, topk, toxicity, warc
+from . import chat, decontaminate, jaccard, langid, mixing, secrets, topk, toxicity, warc
 
 _MODULES = {
     "op1_langid": langid,
     "op2_chat": chat,
     "op3_mixing": mixing,
+    "op4_jaccard": jaccard,
     "op5_toxicity": toxicity,
     "op6_decontamination": decontaminate,
     "op7_warc": warc,
