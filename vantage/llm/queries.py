@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, the same in DuckDB SQL."""
 
-from . import chat, decontaminate, jaccard, langid, mixing, secrets, topk, toxicity, warc
+from . import chat, decontaminate, jaccard, langid, mixing, secrets, substrings, topk, toxicity, warc
 
 _MODULES = {
     "op1_langid": langid,
@@ -12,6 +12,7 @@ _MODULES = {
     "op7_warc": warc,
     "op8_topk": topk,
     "op9_secrets": secrets,
+    "op10_substrings": substrings,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
