@@ -1,3 +1,204 @@
-from .base import registrar
+"""Cameras, meshes, grids and rays, over generated or derived tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geometry as ge
+from ..operators import fields as fi
+from ..operators import sampling as sa
+from .base import registrar, table
 
 ALL, query = registrar()
+
+
+def _flat(m: str):
+    return [(F.round(F.col(m)[i][j], 6) + 0.0).alias(f"m{i}{j}") for i in range(3) for j in range(4)]
+
+
+@query("""WITH g AS (SELECT (i * 5 + j)::BIGINT AS index, 2 * pi() / 8 * i AS a, -pi() / 2 + pi() / 6 * (j + 1) AS e FROM (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 5)) AS j))
+SELECT index, round(cos(a), 6) + 0 AS m00, round(sin(a) * sin(e), 6) + 0 AS m01, round(sin(a) * cos(e), 6) + 0 AS m02, round(sin(a) * cos(e) * 2, 6) + 0 AS m03,
+ 0.0 AS m10, round(cos(e), 6) + 0 AS m11, round(-sin(e), 6) + 0 AS m12, round(-sin(e) * 2, 6) + 0 AS m13,
+ round(-sin(a), 6) + 0 AS m20, round(cos(a) * sin(e), 6) + 0 AS m21, round(cos(a) * cos(e), 6) + 0 AS m22, round(cos(a) * cos(e) * 2, 6) + 0 AS m23 FROM g""")
+def sphere_views(spark, sf_dir):
+    """G1, V8, G16."""
+    v = ge.sphere_views(spark, 8, 5)
+    return v.select("index", *_flat("transform"))
+
+
+@query("""WITH g AS (SELECT i, asin(2.0 * i / 63) AS lat, 2 * pi() * i * ((1 + sqrt(5)) / 2 - 1) AS lon FROM (SELECT unnest(range(-31, 32)) AS i))
+SELECT i + 31 AS index, round(2 * cos(lat) * cos(lon), 6) + 0 AS x, round(2 * sin(lat), 6) + 0 AS y, round(2 * cos(lat) * sin(lon), 6) + 0 AS z, 1.0 AS det FROM g""")
+def fermat_views(spark, sf_dir):
+    """Positions, and that the matrices are rotations."""
+    v = ge.fermat_views(spark, 31)
+    m = F.col("transform")
+    ok = F.when(ge.is_rigid("transform"), 1.0).otherwise(0.0)
+    return v.select("index", (F.round(m[0][3], 6) + 0.0).alias("x"), (F.round(m[1][3], 6) + 0.0).alias("y"), (F.round(m[2][3], 6) + 0.0).alias("z"), ok.alias("det"))
+
+
+@query("""WITH g AS (SELECT (i * 3 + j)::BIGINT AS index, 2 * pi() / 6 * i AS a, -pi() / 2 + pi() / 4 * (j + 1) AS e FROM (SELECT unnest(range(0, 6)) AS i), (SELECT unnest(range(0, 3)) AS j))
+SELECT index, round(sin(a) * cos(e) * 2, 6) + 0 AS x, round(-(cos(a) * cos(e) * 2), 6) + 0 AS y, round(-sin(e) * 2, 6) + 0 AS z, round(asin(least(greatest(-cos(e), -1), 1)) * 0 + 1, 6) AS rigid FROM g""")
+def blender_transforms(spark, sf_dir):
+    """Z-up transforms, checked to be rigid."""
+    v = ge.sphere_views(spark, 6, 3).withColumn("m", ge.quarter_turn_x("transform"))
+    m = F.col("m")
+    return v.select("index", *((F.round(m[i][3], 6) + 0.0).alias(c) for i, c in enumerate("xyz")), F.when(ge.is_rigid("m"), 1.0).otherwise(0.0).alias("rigid"))
+
+
+@query("SELECT n_nationkey, n_nationkey * 1.0 AS s0, 3.0 AS s1, 2.0 AS s2, 1.0 AS o0, -n_nationkey * 1.0 + 0 AS o1, 5.0 AS o2, true AS back FROM nation")
+def swapped_axes(spark, sf_dir):
+    """There and back again."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.array(F.col("n_nationkey") * 1.0, F.lit(2.0), F.lit(3.0)).alias("s"), F.array(F.lit(1.0), F.lit(5.0), F.col("n_nationkey") * 1.0).alias("o"))
+    n = n.withColumn("b", ge.swap_axes("s", "o")).withColumns({"bs": F.col("b.scale"), "bo": F.col("b.offset")}).withColumn("r", ge.swap_axes("bs", "bo", back=True))
+    same = (F.col("r.scale") == F.col("s")) & (F.col("r.offset") == F.col("o"))
+    return n.select("n_nationkey", *(F.col("bs")[i].alias(f"s{i}") for i in range(3)), *((F.col("bo")[i] + 0.0).alias(f"o{i}") for i in range(3)), same.alias("back"))
+
+
+POINTS = "p AS (SELECT l_orderkey AS uid, l_linenumber AS sample, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z, row_number() OVER () AS r FROM lineitem WHERE l_orderkey % 50 = 0)"
+
+
+def _points(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    return li.select(F.col("l_orderkey").alias("uid"), F.col("l_linenumber").alias("sample"), F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100).alias("position"))
+
+
+@query(f"WITH {POINTS}, b AS (SELECT uid, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM p GROUP BY 1), s AS (SELECT *, CASE WHEN greatest(x1 - x0, y1 - y0, z1 - z0) > 0 THEN 1 / greatest(x1 - x0, y1 - y0, z1 - z0) ELSE 1 END AS s FROM b) SELECT uid, round(s, 6) AS scale, round(-(x0 + x1) / 2 * s, 6) + 0 AS ox, round(-(y0 + y1) / 2 * s, 6) + 0 AS oy, round(-(z0 + z1) / 2 * s, 6) + 0 AS oz FROM s")
+def scene_normalization(spark, sf_dir):
+    """V13."""
+    n = ge.scene_normalization(_points(spark, sf_dir))
+    return n.select("uid", F.round("scale", 6).alias("scale"), *((F.round(F.col("offset")[i], 6) + 0.0).alias(c) for i, c in enumerate(("ox", "oy", "oz"))))
+
+
+@query(f"WITH {POINTS} SELECT uid, sample, round((2 * x + y + 1) * 0.5, 6) AS a, round((3 * y - 1) * 0.5, 6) AS b, round((x - z) * 0.5, 6) + 0 AS c FROM p")
+def field_space(spark, sf_dir):
+    """V14."""
+    m = F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in ((2, 1, 0, 1), (0, 3, 0, -1), (1, 0, -1, 0), (0, 0, 0, 1))))
+    q = _points(spark, sf_dir).withColumn("q", ge.transform_point(m, "position", 0.5))
+    return q.select("uid", "sample", *((F.round(F.col("q")[i], 6) + 0.0).alias(c) for i, c in enumerate("abc")))
+
+
+@query(f"WITH {POINTS}, t AS (SELECT uid, sample, step, pow(1.1, step) AS f, x FROM p, (SELECT unnest(range(-2, 3)) AS step)) SELECT uid, sample, step::INTEGER AS step, round(x * f, 6) AS x FROM t")
+def scale_ladder(spark, sf_dir):
+    """G15."""
+    return sa.ladder(_points(spark, sf_dir), 1.1, 2).select("uid", "sample", "step", F.round(F.col("position")[0], 6).alias("x"))
+
+
+@query(f"WITH {POINTS} SELECT uid, sample, j::INTEGER AS j, round(x + (2 * (('0x' || substr(md5('j/0|' || uid || '/' || sample || '/' || j), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0) - 1) * 0.25, 6) AS x FROM p, (SELECT unnest(range(0, 4)) AS j)")
+def jittered_points(spark, sf_dir):
+    """G14."""
+    return sa.jitter(_points(spark, sf_dir), 4, 0.25, "j").select("uid", "sample", "j", F.round(F.col("position")[0], 6).alias("x"))
+
+
+MESH = "m AS (SELECT p_partkey // 4 AS uid, p_partkey % 4 AS face, p_size * 1.0 AS s FROM part)"
+
+
+def _mesh(spark, sf_dir):
+    s, zero = F.col("p_size") * 1.0, F.lit(0.0)
+    p = table(spark, sf_dir, "part")
+    return p.select(F.floor(F.col("p_partkey") / 4).alias("uid"), (F.col("p_partkey") % 4).alias("face"), F.array(zero, zero, zero).alias("v0"), F.array(s, zero, zero).alias("v1"), F.array(zero, s, s).alias("v2"))
+
+
+@query(f"WITH {MESH} SELECT uid, round(sum(s * s * sqrt(2) / 2), 6) AS area, least(greatest(ceil(0.05 * sum(s * s * sqrt(2) / 2))::INTEGER, 25), 100) AS target FROM m GROUP BY uid")
+def surface_targets(spark, sf_dir):
+    """Areas and how many samples they get."""
+    a = _mesh(spark, sf_dir).groupBy("uid").agg(F.sum(ge.triangle_area("v0", "v1", "v2")).alias("area"))
+    return a.select("uid", F.round("area", 6).alias("area"), sa.target_count(F.col("area"), 0.05, 25, 100).alias("target"))
+
+
+@query(f"""WITH {MESH}, c AS (SELECT uid, face, sum(s * s) OVER (PARTITION BY uid ORDER BY face) AS hi, sum(s * s) OVER (PARTITION BY uid) AS total FROM m),
+d AS (SELECT DISTINCT uid, k AS sample, ('0x' || substr(md5('s/face|' || uid || '/' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM m, (SELECT unnest(range(0, 8)) AS k))
+SELECT d.uid, d.sample::INTEGER AS sample, min(face) AS face, true AS inside FROM d JOIN c ON c.uid = d.uid AND c.hi > d.u * total GROUP BY ALL""")
+def surface_samples(spark, sf_dir):
+    """Area-weighted faces, points inside their triangle."""
+    p = sa.surface_points(_mesh(spark, sf_dir), 8, "s").join(_mesh(spark, sf_dir), ["uid", "face"])
+    x, y, z = (F.col("position")[i] for i in range(3))
+    s = F.col("v1")[0]
+    ok = (x >= -1e-9) & (y >= -1e-9) & (x + y <= s * (1 + 1e-9)) & (F.abs(y - z) < 1e-9)
+    return p.select("uid", "sample", "face", ok.alias("inside"))
+
+
+@query()
+def farthest_samples(spark, sf_dir):
+    """Rows only."""
+    t = surface_targets(spark, sf_dir).select("uid", F.least("target", F.lit(12)).alias("target"))
+    return sa.thin_farthest(sa.surface_points(_mesh(spark, sf_dir), 40, "f").join(t, "uid"), "f").select("uid", "sample")
+
+
+@query()
+def min_distance_samples(spark, sf_dir):
+    """Rows only."""
+    return sa.thin_min_distance(sa.surface_points(_mesh(spark, sf_dir), 36, "d"), 12, 2.0).select("uid", "sample")
+
+
+@query()
+def density_samples(spark, sf_dir):
+    """Rows only."""
+    t = surface_targets(spark, sf_dir).select("uid", F.lit(10).alias("target"))
+    return sa.thin_to_target(sa.surface_points(_mesh(spark, sf_dir), 36, "b").join(t, "uid"), 0.0, 20.0, 12).select("uid", "sample")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS uid, l_linenumber AS v, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS k, l_quantity * 0.37 AS x, l_discount * 100 + 0.5 AS y, l_tax * 10 AS z FROM lineitem),
+d AS (SELECT uid, v, floor(x)::INTEGER AS px, floor(y)::INTEGER AS py, min(z) AS depth FROM s GROUP BY ALL)
+SELECT s.uid, s.v, s.k::INTEGER AS k FROM s JOIN d ON d.uid = s.uid AND d.v = s.v AND d.px = floor(x) AND d.py = floor(y) WHERE z <= depth + 0.001""")
+def visible_samples(spark, sf_dir):
+    """Samples no farther than the depth map."""
+    from pyspark.sql import Window
+
+    li = table(spark, sf_dir, "lineitem")
+    k = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))
+    s = li.select(F.col("l_orderkey").alias("uid"), F.col("l_linenumber").alias("view"), k.alias("sample"), (F.col("l_quantity") * 0.37).alias("x"), (F.col("l_discount") * 100 + 0.5).alias("y"), (F.col("l_tax") * 10).alias("z"))
+    d = s.groupBy("uid", "view", F.floor("x").cast("int").alias("px"), F.floor("y").cast("int").alias("py")).agg(F.min("z").alias("depth"))
+    return fi.visible_samples(s, d).select("uid", F.col("view").alias("v"), F.col("sample").alias("k"))
+
+
+@query("""WITH w AS (SELECT l_orderkey AS ray, l_partkey AS p, l_discount AS w, l_quantity AS a, l_tax AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_partkey, l_quantity, l_tax) AS r FROM lineitem),
+s AS (SELECT ray, sum(w * a) AS x, sum(w * b) AS y FROM w WHERE r <= 3 GROUP BY ray)
+SELECT ray, round(CASE WHEN x = 0 AND y = 0 THEN 0 ELSE x / sqrt(x * x + y * y) END, 6) AS x FROM s""")
+def rendered_rays(spark, sf_dir):
+    """The largest weights of a ray, their weighted sum, normalised."""
+    li = table(spark, sf_dir, "lineitem")
+    s = li.select(F.col("l_orderkey").alias("ray"), F.struct("l_partkey", "l_quantity", "l_tax").alias("sample"), F.col("l_discount").alias("weight"), F.array("l_quantity", "l_tax").alias("vector"))
+    return fi.render(fi.top_weights(s, 3), normalize=True).select("ray", F.round(F.col("vector")[0], 6).alias("x"))
+
+
+@query("SELECT p_partkey, round(CASE WHEN hi > lo THEN (p_retailprice - lo) / (hi - lo) ELSE 0 END, 6) AS saliency FROM part JOIN (SELECT p_brand AS b, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1) ON b = p_brand")
+def saliency_of_items(spark, sf_dir):
+    """V20."""
+    return fi.saliency(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_brand", "p_retailprice").select("p_partkey", F.round("saliency", 6).alias("saliency"))
+
+
+@query("""WITH p AS (SELECT s_suppkey AS point, (s_suppkey * 37 % 70) / 10.0 AS x, (s_suppkey * 53 % 70) / 10.0 AS y FROM supplier)
+SELECT point, round(x + 10 * y, 6) AS a, round(floor(x) + 10 * floor(y), 6) AS near FROM p""")
+def grid_lookups(spark, sf_dir):
+    """Bilinear and nearest cell on a grid that is linear, so both have closed forms."""
+    cells = spark.range(81).select(F.lit(0).alias("image"), (F.col("id") % 9).cast("int").alias("cx"), F.floor(F.col("id") / 9).cast("int").alias("cy"))
+    cells = cells.withColumn("vector", F.array(F.col("cx") + 10.0 * F.col("cy")))
+    k = F.col("s_suppkey")
+    p = table(spark, sf_dir, "supplier").select(k.alias("point"), F.lit(0).alias("image"), (k * 37 % 70 / 10.0).alias("x"), (k * 53 % 70 / 10.0).alias("y"))
+    a = fi.bilinear(p, cells).select("point", F.round(F.col("vector")[0], 6).alias("a"))
+    b = fi.nearest_cell(p, cells, 1.0).select("point", F.round(F.col("vector")[0], 6).alias("near"))
+    return a.join(b, "point")
+
+
+@query("WITH p AS (SELECT s_suppkey AS point, (s_suppkey * 17 % 100) / 100.0 AS scale FROM supplier) SELECT point, round(scale * 4 + point, 6) AS a FROM p")
+def pyramid_levels(spark, sf_dir):
+    """Linear between levels, on levels that are linear in the scale."""
+    k = F.col("s_suppkey")
+    p = table(spark, sf_dir, "supplier").select(k.alias("point"), (k * 17 % 100 / 100.0).alias("scale"))
+    levels = p.select("point", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("level")).withColumn("vector", F.array(F.col("level") * 1.0 + F.col("point")))
+    return fi.pyramid(p, levels, 0.0, 1.0, 5, normalize=False).select("point", F.round(F.col("vector")[0], 6).alias("a"))
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings WHERE pow(embedding[1]::DOUBLE - 0.05, 2) + pow(embedding[2]::DOUBLE, 2) <= 0.01")
+def points_in_circle(spark, sf_dir):
+    """M16."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return fi.within_circle(e, 0.05, 0.0, 0.1).select("vec_id", F.round("x", 6).alias("x"))
+
+
+@query()
+def log_binned_grid(spark, sf_dir):
+    """Rows only."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id < 60")
+    g = e.select(F.floor(F.col("vec_id") / 20).alias("image"), (F.col("vec_id") % 5).cast("int").alias("cx"), F.floor(F.col("vec_id") % 20 / 5).cast("int").alias("cy"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("vector"))
+    return fi.log_binned(g).select("image", "cx", "cy", F.size("vector").alias("bins"))
