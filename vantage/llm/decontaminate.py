@@ -8,8 +8,8 @@ but at most SUBSTITUTIONS places.  The two masks together miss no such window: f
 them has a shift that avoids both.  Items shorter than WINDOW words must occur whole and unchanged, by a solid mask of
 their length.
 
-Benchmark hashes are sent to all executors only if they are few (BROADCAST_ROWS); else documents and hashes are
-shuffled by hash, and hits, made distinct, are joined back to the documents.
+Hits, made distinct, are joined back to the texts that have any.  Benchmark hashes, and the tables of hits, are sent
+to all executors only if they are few (BROADCAST_ROWS); else they are joined by a shuffle.
 
 Edge cases: null and empty texts and texts without letters or digits have no words, neither contain nor are contained;
 repeated document rows and items with equal texts are compared each; null ids are kept as null; an empty benchmark or
@@ -30,9 +30,8 @@ WINDOW, SUBSTITUTIONS = 13, 2
 
 def word_hashes(text: Column) -> Column:
     """Array of 64-bit hashes of the words."""
-    clean = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    words = F.split(clean, " ")
-    return F.when(clean == "", F.array().cast("array<bigint>")).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def _masks(short: list[int]) -> list[tuple[int, ...]]:
@@ -42,7 +41,7 @@ def _masks(short: list[int]) -> list[tuple[int, ...]]:
 def _positions(df: DataFrame, h: str, masks: list[tuple[int, ...]]) -> DataFrame:
     """df with a row for each position and mask: `at` and `seed` (null where the mask would not fit)."""
     m = len(masks)
-    df = df.where(F.size(h) > 0).withColumn("__slot", F.explode(F.sequence(F.lit(0), F.size(h) * m - 1)))
+    df = df.withColumn("__slot", F.explode(F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) * m - 1))))
     at, which = F.floor(F.col("__slot") / m).cast("int"), F.col("__slot") % m
     seed = None
     for i, mask in enumerate(masks):
@@ -81,18 +80,18 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     seeds = _positions(items, "item_h", masks)
     solid = F.size("item_h") >= WINDOW
     fits = F.exists(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(short, len(MASKS)))), lambda x: (F.size("item_h") == x["n"]) & (F.col("at") == 0)) if short else F.lit(False)
-    seeds = materialize(seeds.where(solid | fits).select("seed", "item_id", "item_h", "at").withColumnRenamed("at", "item_at"))
+    seeds = materialize(seeds.where(solid | fits).select("seed", "item_id", F.col("at").alias("item_at")))
     need = F.when(solid, F.lit(WINDOW - SUBSTITUTIONS)).otherwise(F.size("item_h"))
     shift = F.col("at") - F.col("item_at")
-    few = seeds.limit(broadcast_rows + 1).count() <= broadcast_rows
-    if few:
-        hits = _positions(d.select("doc_id", word_hashes(F.col("__text")).alias("h")), "h", masks)
-        hits = hits.join(F.broadcast(seeds), "seed").select("doc_id", "h", "item_id", "item_h", shift.alias("shift"))
-    else:
-        keyed = d.withColumn("row_key", F.xxhash64(F.coalesce("__text", F.lit(""))))
-        spots = _positions(keyed.select("row_key", word_hashes(F.col("__text")).alias("h")), "h", masks).select("row_key", "seed", "at")
-        spots = spots.join(seeds.select("seed", "item_id", "item_h", "item_at"), "seed").select("row_key", "item_id", "item_h", shift.alias("shift")).distinct()
-        hits = keyed.join(bounded(materialize(spots), broadcast_rows), "row_key").select("doc_id", word_hashes(F.col("__text")).alias("h"), "item_id", "item_h", "shift")
+    seeds = bounded(seeds.select("seed", "item_id", "item_at"), broadcast_rows)
+    keyed = d.withColumn("row_key", F.xxhash64(F.coalesce("__text", F.lit(""))))
+    # h as the output of a generator: the plan computes it once; only numbers leave the stage that explodes positions
+    spots = _positions(keyed.select("row_key", F.explode(F.array(word_hashes(F.col("__text")))).alias("h")), "h", masks).select("row_key", "seed", "at")
+    spots = materialize(spots.join(seeds, "seed").select("row_key", F.col("item_id").alias("spot_item"), shift.alias("shift")).distinct())
+    keys = bounded(spots.select(F.col("row_key").alias("key")).distinct(), broadcast_rows)
+    hits = keyed.join(keys, F.col("row_key") == F.col("key"), "left_semi").select("doc_id", "row_key", F.explode(F.array(word_hashes(F.col("__text")))).alias("h"))
+    spots = spots.join(bounded(items, broadcast_rows), F.col("spot_item").eqNullSafe(F.col("item_id")))
+    hits = hits.join(bounded(spots, broadcast_rows), "row_key").select("doc_id", "h", "item_id", "item_h", "shift")
     found = hits.where(_best_window(F.col("shift")) >= need)
     found = found.select("doc_id", "item_id", F.size("item_h").alias("item_words"), _matched(F.col("shift")).alias("matched_words"))
     return found.groupBy("doc_id", "item_id", "item_words").agg(F.max("matched_words").alias("matched_words"))
