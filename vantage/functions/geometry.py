@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vectors import cross, l2_normalize, norm, scale, subtract
+from .vectors import cross, norm, subtract
 
 
 def triangle_area(v0: str, v1: str, v2: str) -> Column:
@@ -55,13 +55,14 @@ def fermat_views(spark: SparkSession, n: int, offsets: int = 1, near: float = 2.
 
 
 def look_at(toward: str, distance: str) -> Column:
-    """Camera at distance along the unit vector `toward`, looking back at the origin, y up."""
-    forward = scale(toward, F.lit(-1.0))
-    right = l2_normalize(cross(forward, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))))
-    up = l2_normalize(cross(right, forward))
-    back = F.col(toward)
-    d = F.col(distance)
-    return F.array(*(F.array(right[r], up[r], back[r], back[r] * d) for r in range(3)), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    """Camera at distance along the unit vector t = toward, looking back at the origin, y up.
+
+    With r = |(t0, t2)| the axes are right = (t2, 0, -t0) / r, up = (-t0 t1 / r, r, -t1 t2 / r) and back = t."""
+    t, d = F.col(toward), F.col(distance)
+    r = F.sqrt(t[0] * t[0] + t[2] * t[2])
+    zero = F.lit(0.0)
+    rows = [(t[2] / r, -t[0] * t[1] / r, t[0]), (zero, r, t[1]), (-t[0] / r, -t[1] * t[2] / r, t[2])]
+    return F.array(*(F.array(a, b, c, c * d) for a, b, c in rows), F.array(zero, zero, zero, F.lit(1.0)))
 
 
 def quarter_turn_x(matrix: str) -> Column:

@@ -1,3 +1,241 @@
-from .base import registrar
+"""Clustering, transforms and view selection over embeddings as samples of items."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.vectors import l2_normalize
+from ..operators import clustering as cl
+from ..operators import selection as se
+from ..operators import transform as tr
+from .base import registrar, table
 
 ALL, query = registrar()
+
+
+def _samples(spark, sf_dir, dims: int = 8):
+    """(uid, sample, vector): an item a label, its embeddings' first components as samples."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("label").cast("long").alias("uid"), F.col("vec_id").alias("sample"), F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("vector"))
+
+
+SAMPLES = "s AS (SELECT label::BIGINT AS uid, vec_id AS sample, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v FROM embeddings)"
+WHITE = f"""{SAMPLES},
+dv AS (SELECT uid, pos, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE 1 / stddev_pop(x) END AS f FROM (SELECT uid, unnest(v) AS x, unnest(range(0, 8)) AS pos FROM s) GROUP BY ALL),
+sc AS (SELECT uid, list(f ORDER BY pos) AS f FROM dv GROUP BY uid),
+x0 AS (SELECT uid, sample, list_transform(range(1, 9), lambda i: v[i] * f[i]) AS v FROM s JOIN sc USING (uid))"""
+CENTERS0 = "c0 AS (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY sample) - 1 AS cluster, v FROM x0 QUALIFY cluster < 3)"
+
+
+def _assign(i: int) -> str:
+    return f"""a{i} AS (SELECT uid, sample, cluster, d FROM (SELECT x.uid, x.sample, c.cluster, round(list_distance(x.v, c.v), 9) AS d,
+  row_number() OVER (PARTITION BY x.uid, x.sample ORDER BY round(list_distance(x.v, c.v), 9), c.cluster) AS n FROM x0 x JOIN c{i} c ON c.uid = x.uid) WHERE n = 1)"""
+
+
+def _round(i: int) -> str:
+    return f"""{_assign(i)},
+m{i} AS (SELECT uid, cluster, pos, avg(z) AS z FROM (SELECT uid, cluster, unnest(v) AS z, unnest(range(0, 8)) AS pos FROM x0 JOIN a{i} USING (uid, sample)) GROUP BY ALL),
+c{i + 1} AS (SELECT uid, cluster, list(z ORDER BY pos) AS v FROM m{i} GROUP BY ALL)"""
+
+
+ROUNDS = 4
+LLOYD = f"WITH {WHITE}, {CENTERS0}, " + ", ".join(_round(i) for i in range(ROUNDS)) + f", {_assign(ROUNDS)}"
+LABELS = f"a{ROUNDS}"
+
+
+def _k_means(spark, sf_dir):
+    return cl.k_means(_samples(spark, sf_dir), 3, ROUNDS)
+
+
+@query(f"WITH {WHITE} SELECT uid, sample, round(list_sum(v), 6) AS total FROM x0")
+def whitened_samples(spark, sf_dir):
+    """V5, V6."""
+    s = _samples(spark, sf_dir)
+    w = cl.whiten(s, cl.whitening(s))
+    return w.select("uid", "sample", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query(LLOYD + f" SELECT uid, sample, cluster::INTEGER AS cluster, round(d, 6) AS distance FROM {LABELS}")
+def k_means_labels(spark, sf_dir):
+    """Fixed start and rounds; labels from the whitened centroids."""
+    return _k_means(spark, sf_dir)[1].select("uid", "sample", F.col("cluster").cast("int").alias("cluster"), F.round("distance", 6).alias("distance"))
+
+
+@query(LLOYD + f", u AS (SELECT uid, cluster, list_transform(range(1, 9), lambda i: c.v[i] / f[i]) AS v FROM c{ROUNDS} c JOIN sc USING (uid)) SELECT uid, cluster::INTEGER AS cluster, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS x FROM u")
+def k_means_centroids(spark, sf_dir):
+    """M1, V6, V2, Q8: centroids brought back and normalised."""
+    return _k_means(spark, sf_dir)[0].select("uid", F.col("cluster").cast("int").alias("cluster"), F.round(F.col("vector")[0], 6).alias("x"))
+
+
+@query(LLOYD + f" SELECT uid, round(avg(d), 6) AS distortion FROM {LABELS} GROUP BY uid")
+def k_means_distortion(spark, sf_dir):
+    """M2: mean distance, not squared."""
+    return cl.distortion(_k_means(spark, sf_dir)[1]).select("uid", F.round("distortion", 6).alias("distortion"))
+
+
+@query(LLOYD + f", n AS (SELECT uid, cluster, count(*) AS n FROM {LABELS} GROUP BY ALL), t AS (SELECT uid, cluster, row_number() OVER (PARTITION BY uid ORDER BY n DESC, cluster) - 1 AS r FROM n QUALIFY r < 2), c AS (SELECT c.uid, t.r AS cluster, c.v FROM c{ROUNDS} c JOIN t ON t.uid = c.uid AND t.cluster = c.cluster), z AS (SELECT x.uid, x.sample, c.cluster, row_number() OVER (PARTITION BY x.uid, x.sample ORDER BY round(list_distance(x.v, c.v), 9), c.cluster) AS n FROM x0 x JOIN c ON c.uid = x.uid) SELECT uid, sample, cluster::INTEGER AS cluster FROM z WHERE n = 1")
+def largest_clusters(spark, sf_dir):
+    """The two largest clusters, then all samples assigned again."""
+    s = _samples(spark, sf_dir)
+    w = cl.whiten(s, cl.whitening(s))
+    centers = cl.lloyd(w, cl.first_centroids(w, 3), ROUNDS)
+    top = cl.largest_clusters(cl.nearest(w, centers), centers, 2)
+    return cl.nearest(w, top).select("uid", "sample", F.col("cluster").cast("int").alias("cluster"))
+
+
+@query(LLOYD + f", d AS (SELECT x.uid, x.sample, c.cluster, list_distance(x.v, c.v) AS d FROM x0 x JOIN c{ROUNDS} c ON c.uid = x.uid) SELECT uid, sample, cluster::INTEGER AS cluster, round(d / sum(d) OVER (PARTITION BY uid, sample), 6) AS weight FROM d")
+def soft_assignment(spark, sf_dir):
+    """Distance over the sum of distances."""
+    s = _samples(spark, sf_dir)
+    w = cl.whiten(s, cl.whitening(s))
+    a = cl.soft_assignment(w, cl.lloyd(w, cl.first_centroids(w, 3), ROUNDS))
+    return a.select("uid", "sample", F.col("cluster").cast("int").alias("cluster"), F.round("weight", 6).alias("weight"))
+
+
+CURVE = "WITH pm AS (SELECT p_brand AS uid, p_size AS k, min(p_partkey) AS m FROM part WHERE p_size <= 20 GROUP BY ALL), cv AS (SELECT uid, k, 100.0 / (k + m / 1e6) AS d FROM pm)"
+
+
+def _curve(spark, sf_dir):
+    p = table(spark, sf_dir, "part").where("p_size <= 20").groupBy(F.col("p_brand").alias("uid"), F.col("p_size").alias("k")).agg(F.min("p_partkey").alias("m"))
+    return p.select("uid", "k", (F.lit(100.0) / (F.col("k") + F.col("m") / 1e6)).alias("d"))
+
+
+@query(CURVE + """, g AS (SELECT uid, max_by(d, k) + (min_by(d, k) - max_by(d, k)) * 0.3 AS target FROM cv GROUP BY uid),
+s AS (SELECT cv.uid, k, d, lead(k) OVER w AS k1, lead(d) OVER w AS d1, target FROM cv JOIN g USING (uid) WINDOW w AS (PARTITION BY cv.uid ORDER BY k)),
+x AS (SELECT uid, min(k) AS k0 FROM s WHERE target >= d1 AND target <= d GROUP BY uid)
+SELECT s.uid, round(target, 6) AS target, round(k1 + (k - k1) * (target - d1) / (d - d1), 6) AS frac_k FROM s JOIN x ON x.uid = s.uid AND x.k0 = s.k""")
+def fractional_elbow(spark, sf_dir):
+    """M3, M4, Q5: first crossing of the target by linear interpolation."""
+    c = _curve(spark, sf_dir)
+    return cl.predict_k(c, cl.fractional_target(c, 0.3)).select("uid", F.round("target", 6).alias("target"), F.round("frac_k", 6).alias("frac_k"))
+
+
+@query(CURVE + """, n AS (SELECT uid, k, d, (k - min(k) OVER w) / (max(k) OVER w - min(k) OVER w)::DOUBLE AS x, (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w) AS y FROM cv WINDOW w AS (PARTITION BY uid)),
+r AS (SELECT uid, d, row_number() OVER (PARTITION BY uid ORDER BY round(sqrt(x * x + y * y), 9), k) AS n FROM n)
+SELECT uid, round(d, 6) AS target FROM r WHERE n = 1""")
+def closest_elbow(spark, sf_dir):
+    """M5."""
+    return cl.closest_target(_curve(spark, sf_dir)).select("uid", F.round("target", 6).alias("target"))
+
+
+@query(CURVE + """, e AS (SELECT uid, min(k) AS lo, max(k) AS hi FROM cv WHERE k % 3 <> 1 GROUP BY uid), g AS (SELECT uid, unnest(range(lo, hi + 1)) AS k FROM e),
+f AS (SELECT g.uid, g.k, max(a.k) AS ka, min(b.k) AS kb FROM g LEFT JOIN cv a ON a.uid = g.uid AND a.k <= g.k AND a.k % 3 <> 1 LEFT JOIN cv b ON b.uid = g.uid AND b.k >= g.k AND b.k % 3 <> 1 GROUP BY ALL)
+SELECT f.uid, f.k::INTEGER AS k, round(a.d + (b.d - a.d) * (f.k - ka) / greatest(kb - ka, 1), 6) AS score FROM f JOIN cv a ON a.uid = f.uid AND a.k = ka JOIN cv b ON b.uid = f.uid AND b.k = kb""")
+def filled_scores(spark, sf_dir):
+    """Gaps of k filled linearly."""
+    c = _curve(spark, sf_dir).where("k % 3 <> 1").withColumnRenamed("d", "score")
+    return cl.fill_scores(c).select("uid", "k", F.round("score", 6).alias("score"))
+
+
+@query()
+def x_means_clusters(spark, sf_dir):
+    """M6, M7: rows only."""
+    return cl.cluster_items(_samples(spark, sf_dir), 2, 6).select("uid", "sample", "cluster", "k")
+
+
+@query()
+def x_means_trace(spark, sf_dir):
+    """M8: rows only."""
+    return cl.x_means_trace(_samples(spark, sf_dir), 2, 6, criterion="mndl").select("uid", "iteration", "k")
+
+
+@query("WITH s AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT unnest(v) AS x, unnest(range(0, 64)) AS pos FROM s) SELECT round(sum(var), 6) AS total, 64 AS components, true AS sorted FROM (SELECT var_pop(x) AS var FROM p GROUP BY pos)")
+def principal_components(spark, sf_dir):
+    """The variances of all projections add up to that of the data, in descending order."""
+    s = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    m = tr.pca(s)
+    p = tr.apply_pca(s, m).select(F.posexplode("vector").alias("pos", "x")).groupBy("pos").agg(F.var_pop("x").alias("v"))
+    ok = F.array_sort(F.collect_list("d"))[0] >= -1e-9
+    from pyspark.sql import Window
+
+    d = p.withColumn("d", F.lag("v", 1).over(Window.orderBy("pos")) - F.col("v"))  # one row a component
+    return d.agg(F.round(F.sum("v"), 6).alias("total"), F.count(F.lit(1)).cast("int").alias("components"), ok.alias("sorted"))
+
+
+@query("SELECT true AS enough, true AS fewest")
+def variance_components(spark, sf_dir):
+    """The fewest components that explain the share."""
+    m = tr.pca(table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("vector")), variance=0.8)
+    r = m["explained"]
+    return spark.createDataFrame([(sum(r) >= 0.8 - 1e-12, sum(r[:-1]) < 0.8)], "enough boolean, fewest boolean")
+
+
+@query("SELECT vec_id, 64 AS dim FROM embeddings")
+def identity_transform(spark, sf_dir):
+    """M10."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return tr.identity(e, 64).select("vec_id", F.size("vector").alias("dim"))
+
+
+VIEWS = LLOYD + f""", c AS (SELECT uid, cluster, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM c{ROUNDS}),
+w AS (SELECT label::BIGINT AS uid, vec_id AS view, list_transform(embedding[9:16], lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 3 = 0)"""
+
+
+def _views(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0")
+    return e.select(F.col("label").cast("long").alias("uid"), F.col("vec_id").alias("view"), F.transform(F.slice("embedding", 9, 8), lambda x: x.cast("double")).alias("vector"))
+
+
+def _unit_centers(spark, sf_dir):
+    s = _samples(spark, sf_dir)
+    w = cl.whiten(s, cl.whitening(s))
+    return cl.lloyd(w, cl.first_centroids(w, 3), ROUNDS).withColumn("vector", l2_normalize("vector"))
+
+
+@query(VIEWS + ", p AS (SELECT c.uid, c.cluster, w.view, round(list_dot_product(w.v, c.v), 9) AS s FROM c JOIN w ON w.uid = c.uid) SELECT uid, cluster::INTEGER AS cluster, view, round(s, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY uid, cluster ORDER BY s DESC, view) = 1")
+def most_similar_views(spark, sf_dir):
+    """J6, J8, J16."""
+    v = se.views_nearest_to_centroids(_views(spark, sf_dir), _unit_centers(spark, sf_dir))
+    return v.withColumn("cluster", F.col("cluster").cast("int"))
+
+
+@query(VIEWS + ", p AS (SELECT c.uid, c.cluster, w.view, round(list_distance(w.v, c.v), 9) AS s FROM c JOIN w ON w.uid = c.uid) SELECT uid, cluster::INTEGER AS cluster, view, round(s, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY uid, cluster ORDER BY s, view) = 1")
+def nearest_views(spark, sf_dir):
+    """By distance, nearest."""
+    v = se.views_nearest_to_centroids(_views(spark, sf_dir), _unit_centers(spark, sf_dir), "euclidean")
+    return v.withColumn("cluster", F.col("cluster").cast("int"))
+
+
+POSITIONS = "q AS (SELECT label::BIGINT AS uid, (vec_id % 2)::INTEGER AS cluster, vec_id AS sample, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
+
+
+def _positions(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("label").cast("long").alias("uid"), (F.col("vec_id") % 2).cast("int").alias("cluster"), F.col("vec_id").alias("sample"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("position"))
+
+
+@query(f"""WITH {POSITIONS}, o AS (SELECT uid, cluster, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM q WHERE sample % 3 <> 0 GROUP BY ALL),
+r AS (SELECT o.uid, o.cluster, avg(q.x) AS rx, avg(q.y) AS ry, avg(q.z) AS rz FROM o JOIN q ON q.uid = o.uid AND NOT (q.cluster = o.cluster AND q.sample % 3 <> 0) GROUP BY ALL)
+SELECT o.uid, o.cluster, round(x, 6) AS ox, round(rx, 6) AS rx, round(z - rz, 6) AS dz FROM o JOIN r USING (uid, cluster)""")
+def split_means(spark, sf_dir):
+    """A19."""
+    p = _positions(spark, sf_dir)
+    m = se.split_means(p, p.where("sample % 3 <> 0"))
+    return m.select("uid", "cluster", F.round(F.col("own")[0], 6).alias("ox"), F.round(F.col("other")[0], 6).alias("rx"), F.round(F.col("own")[2] - F.col("other")[2], 6).alias("dz"))
+
+
+@query(f"""WITH {POSITIONS}, o AS (SELECT uid, cluster, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM q GROUP BY ALL), r AS (SELECT o.uid, o.cluster, avg(q.x) AS rx, avg(q.y) AS ry, avg(q.z) AS rz FROM o JOIN q ON q.uid = o.uid AND q.cluster <> o.cluster GROUP BY ALL),
+d AS (SELECT *, (x - rx) / n AS dx, (y - ry) / n AS dy, (z - rz) / n AS dz FROM (SELECT *, sqrt(pow(x - rx, 2) + pow(y - ry, 2) + pow(z - rz, 2)) AS n FROM o JOIN r USING (uid, cluster))),
+v AS (SELECT d.*, sample AS view, q.x * 10 - d.x AS ax, q.y * 10 - d.y AS ay, q.z * 10 - d.z AS az FROM d JOIN q ON q.uid = d.uid AND sample % 4 = 0),
+t AS (SELECT *, ax * dx + ay * dy + az * dz AS t FROM v),
+f AS (SELECT uid, cluster, view, round(sqrt(pow(ax - (x + dx * t), 2) + pow(ay - (y + dy * t), 2) + pow(az - (z + dz * t), 2)), 9) AS dist FROM t WHERE t >= 0)
+SELECT uid, cluster, view, round(dist, 6) AS distance FROM f QUALIFY row_number() OVER (PARTITION BY uid, cluster ORDER BY dist, view) = 1""")
+def spatial_views(spark, sf_dir):
+    """The view on the cluster's side with the least distance, by the original's formula."""
+    p = _positions(spark, sf_dir)
+    views = p.where("sample % 4 = 0").select("uid", F.col("sample").alias("view"), F.transform("position", lambda x: x * 10).alias("position"))
+    return se.views_in_front(views, se.split_means(p, p))
+
+
+@query()
+def density_labels(spark, sf_dir):
+    """Rows only; tests compare with a plain version."""
+    return cl.density_clusters(_positions(spark, sf_dir), 0.08, 5)
+
+
+@query("WITH l AS (SELECT l_orderkey AS uid, l_linenumber AS cluster, l_partkey AS sample, l_suppkey % 3 AS label, l_quantity FROM lineitem WHERE l_orderkey % 10 = 0), r AS (SELECT uid, sample, label, row_number() OVER (PARTITION BY uid, label ORDER BY sample) AS c FROM (SELECT DISTINCT uid, sample, label FROM l)) SELECT uid, label::INTEGER AS label, c AS n FROM r QUALIFY row_number() OVER (PARTITION BY uid ORDER BY c DESC, sample, label) = 1")
+def label_modes(spark, sf_dir):
+    """The most frequent label, the first to reach the count on ties."""
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    x = li.select(F.col("l_orderkey").alias("uid"), F.col("l_partkey").alias("sample"), (F.col("l_suppkey") % 3).cast("int").alias("label")).distinct()
+    return cl.label_mode(x, ("uid",))

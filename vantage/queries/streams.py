@@ -1,3 +1,79 @@
-from .base import registrar
+"""Event streams: the tracker, windows and sessions, each equal to its batch twin."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..streaming import tracker as tk
+from .base import registrar, table
 
 ALL, query = registrar()
+
+SCALARS = {"click": "clicks", "view": "views"}
+DICTS = {"purchase": {"k": "purchase_k"}}
+
+
+def _events(df):
+    """The events table as training events: some scalar, some maps, some that are no numbers."""
+    is_dict = F.col("event_type") == "purchase"
+    value = F.when(is_dict, F.col("props")).when(F.col("event_id") % 17 == 0, F.lit("oops")).otherwise(F.round("value", 3).cast("string"))
+    return df.select(F.col("event_type").alias("name"), F.when(is_dict, "dict").otherwise("scalar").alias("write_type"), F.col("event_id").alias("step"), value.alias("event"))
+
+
+TRACKED = """SELECT CASE event_type WHEN 'click' THEN 'clicks' WHEN 'view' THEN 'views' ELSE 'purchase_k' END AS metric, event_id AS step,
+CASE WHEN event_type = 'purchase' THEN json_extract_string(props, '$.k')::DOUBLE ELSE round(value, 3) END AS value
+FROM events WHERE event_type IN ('click', 'view', 'purchase') AND (event_type = 'purchase' OR event_id % 17 <> 0)"""
+
+
+@query(TRACKED)
+def tracked_series(spark, sf_dir):
+    """Z1, Z2, X19 as a batch."""
+    return tk.track(_events(table(spark, sf_dir, "events")), SCALARS, DICTS)
+
+
+def _stream(spark, sf_dir, transform, mode="append"):
+    schema = table(spark, sf_dir, "events").schema
+    name = f"vantage_{uuid.uuid4().hex}"
+    # a file source reads a folder: the glob names the one file
+    return tk.stream_table(spark, f"{sf_dir}/events.parquet*", schema, transform, name, mode)
+
+
+@query(TRACKED)
+def tracked_series_streamed(spark, sf_dir):
+    """Z1, Z2, K9 as a stream over the same files."""
+    return _stream(spark, sf_dir, lambda s: tk.track(_events(s), SCALARS, DICTS))
+
+
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 3) AS value FROM events GROUP BY ALL")
+def hourly_counts(spark, sf_dir):
+    """Tumbling windows."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = tk.windowed_counts(e)
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("value", 3).alias("value"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly_counts_streamed(spark, sf_dir):
+    """The same windows on a stream, all of them at its end."""
+    w = _stream(spark, sf_dir, lambda s: tk.windowed_counts(s.withColumn("ts", F.col("ts").cast("timestamp"))), "complete")
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
+
+
+@query("""WITH l AS (SELECT user_id, ts, event_id, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM l)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, s""")
+def user_sessions(spark, sf_dir):
+    """Sessions with a gap of 30 minutes."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = tk.sessions(e)
+    return s.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("SELECT event_id, CASE WHEN event_id + 1 > 100 THEN 'late' ELSE 'early' END AS phase FROM events")
+def controller_phases(spark, sf_dir):
+    """Z3."""
+    return table(spark, sf_dir, "events").select("event_id", tk.controller_phase("event_id", 100).alias("phase"))
