@@ -4,7 +4,7 @@ Vectors become integers floor(scale * x).  Candidates lie in blocks; each block
 in order of that component.  A query reads these lists in step, from the large end where its weight is positive and
 from the small end where it is negative (dimensions of weight 0 add nothing and are not read).  Every id met is
 scored in full.  The sum of weight times the value at the reading depth bounds every id not yet met: once it is
-below the kth best score, no unseen id of the block can enter, ties included.  The blocks' lists are then merged.
+below the kth best score, no unseen id of the block can enter, ties included.  Depths go in doubling steps.  The blocks' lists are then merged.
 
 The query set is a stated part of the rows; queries and candidates meet block by block, and what a task holds is one
 block of each.  Scores are exact: products are summed as doubles below 2**53 (larger inputs raise an error).
@@ -26,7 +26,7 @@ from .common import materialize
 
 SCALE, K, EVERY = 64, 20, 20
 CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 1024
-FIRST_DEPTH = 4
+FIRST_DEPTH = 8
 
 
 def quantize(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -54,38 +54,60 @@ class Lists:
         self.order = np.argsort(self.v, axis=0, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(self.v, self.order, 0)
 
-    def top(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, by score, then id."""
+    def bounds(self, q: np.ndarray, depths: np.ndarray) -> np.ndarray:
+        """What no id unseen at these reading depths can score above."""
+        n = len(self.ids)
+        return np.where(q < 0, self.sorted[depths - 1], self.sorted[n - depths]) @ q
+
+    def best(self, at: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of these positions, by score, then id."""
+        if len(at) > k:
+            least = np.partition(scores, len(at) - k)[len(at) - k]
+            keep = scores >= least
+            at, scores = at[keep], scores[keep]
+        order = np.lexsort((at, -scores))[:k]
+        return at[order], scores[order]
+
+    def met(self, q: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Positions read in steps lo to hi of the lists, each once."""
         n, used = len(self.ids), np.flatnonzero(q)
-        q = q.astype(np.float64)
-        seen = np.zeros(n, bool)
-        seen_own = self.ids == own
-        found, scores = np.zeros(0, np.int64), np.zeros(0)
-        lo, hi = 0, min(FIRST_DEPTH, n)
-        up, w = q[used] < 0, q[used]
-        if not len(used):  # every score is 0: the smallest ids
-            found = np.flatnonzero(~seen_own)[:k]
-            return self.ids[found], np.zeros(len(found))
-        while True:
-            met = np.concatenate([self.order[lo:hi][:, used[up]].ravel(), self.order[n - hi : n - lo][:, used[~up]].ravel()])
-            fresh = np.zeros(n, bool)
-            fresh[met] = True
-            fresh &= ~seen
-            seen |= fresh
-            new = np.flatnonzero(fresh & ~seen_own)
-            found = np.concatenate([found, new])
-            scores = np.concatenate([scores, self.v[new] @ q])
-            if len(found) > k:
-                best = np.lexsort((found, -scores))[:k]
-                found, scores = found[best], scores[best]
-            if hi >= n:
-                break
-            bound = w @ np.where(up, self.sorted[hi - 1, used], self.sorted[n - hi, used])
-            if len(found) == k and bound < scores.min():
-                break
-            lo, hi = hi, min(n, 3 * hi)
-        best = np.lexsort((found, -scores))
-        return self.ids[found[best]], scores[best]
+        up = q[used] < 0
+        new = np.zeros(n, bool)
+        new[self.order[lo:hi][:, used[up]].ravel()] = True
+        new[self.order[n - hi : n - lo][:, used[~up]].ravel()] = True
+        return np.flatnonzero(new)
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int):
+        """(query number, ids, scores) of the k best of each query.
+
+        After FIRST_DEPTH steps the kth score of what was met tells how deep the lists must be read at most.  Where
+        that reads few entries they are read; the queries whose lists would meet most of the block share one matrix
+        product over it, the bound being known not to stop them."""
+        n = len(self.ids)
+        depths = np.unique(np.minimum(n, FIRST_DEPTH * 2 ** np.arange(0, 1 + max(1, n).bit_length())))
+        rest = []
+        for i, (me, q) in enumerate(zip(own, queries.astype(np.float64), strict=True)):
+            if q.any() and n > 8 * k:
+                at = self.met(q, 0, depths[0])
+                at = at[self.ids[at] != me]
+                at, scores = self.best(at, self.v[at] @ q, k)
+                if len(at) == k:
+                    stop = np.flatnonzero(self.bounds(q, depths) < scores[-1])
+                    depth = depths[stop[0]] if len(stop) else n
+                    if depth * np.count_nonzero(q) < n // 2:
+                        at = self.met(q, 0, depth)
+                        at = at[self.ids[at] != me]
+                        at, scores = self.best(at, self.v[at] @ q, k)
+                        yield i, self.ids[at], scores
+                        continue
+            rest.append(i)
+        for a in range(0, len(rest), 256):
+            part = rest[a : a + 256]
+            products = queries[part].astype(np.float64) @ self.v.T
+            for i, scores in zip(part, products, strict=True):
+                at = np.flatnonzero(self.ids != own[i])
+                at, scores = self.best(at, scores[at], k)
+                yield i, self.ids[at], scores
 
 
 def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", is_query=None, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -110,9 +132,8 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
                     raise ValueError("components are too large for exact scores")
                 lists = Lists(ids, vs.reshape(-1, dim))
                 out_q, out_id, out_s = [], [], []
-                for own, v in zip(qids, qvs.reshape(-1, dim), strict=True):
-                    found, score = lists.top(own, v, k)
-                    out_q.append(np.full(len(found), own))
+                for i, found, score in lists.search(qids, qvs.reshape(-1, dim), k):
+                    out_q.append(np.full(len(found), qids[i]))
                     out_id.append(found)
                     out_s.append(score.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_q, out_id, out_s)], ["query_id", "vec_id", "score"])
