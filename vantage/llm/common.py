@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a table that may be sent to every executor; above it operators use a shuffle join.
@@ -55,13 +55,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, renamed: extra columns of any name cannot clash."""
-    return df.select(*(F.col(f"`{src}`").alias(dst) for dst, src in columns.items()))
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The whole row as one column `row`, beside the given columns: the rows' own names cannot clash with them."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(v.alias(k) for k, v in columns.items()))
 
 
-def with_nulls(values, kind: pa.DataType) -> pa.Array:
-    return values if isinstance(values, pa.Array) else pa.array(values, kind)
+def unpacked(df: DataFrame, names: list[str], **columns: Column) -> DataFrame:
+    """The columns of `row` again, the given columns in place of those of their names, or else at the end."""
+    kept = [columns.get(c, F.col("row").getField(c)).alias(c) for c in names]
+    return df.select(*kept, *(v.alias(k) for k, v in columns.items() if k not in names))
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ of all document positions; each hit aligns an item with a document, and the alig
 contaminated by an item if some WINDOW consecutive words of the item stand against equal words of the document in all
 but at most SUBSTITUTIONS places.  The two masks together miss no such window: for every pair of places in 13, one of
 them has a shift that avoids both.  Items shorter than WINDOW words must occur whole and unchanged, by a solid mask of
-their length.
+their length; items of fewer than LEAST_WORDS words are not looked for.
 
 Hits, made distinct, are joined back to the texts that have any.  Benchmark hashes, and the tables of hits, are sent
 to all executors only if they are few (BROADCAST_ROWS); else they are joined by a shuffle.
@@ -26,6 +26,8 @@ from .common import BROADCAST_ROWS, bounded, materialize
 #: Places of a mask that are hashed. Lossless for WINDOW and SUBSTITUTIONS (tests/llm checks it).
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 5, 7, 8))
 WINDOW, SUBSTITUTIONS = 13, 2
+#: Shorter items are no passages: ordinary text holds their words by chance.
+LEAST_WORDS = 6
 
 
 def word_hashes(text: Column) -> Column:
@@ -73,7 +75,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     """(doc_id, item_id, item_words, matched_words): the contaminated documents, with the item's words that stand in the
     best alignment against equal words."""
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("__text"))
-    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), word_hashes(F.col(f"`{item_text}`")).alias("item_h")).where(F.size("item_h") > 0)
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), word_hashes(F.col(f"`{item_text}`")).alias("item_h")).where(F.size("item_h") >= LEAST_WORDS)
     items = materialize(items)
     short = [r["n"] for r in items.select(F.size("item_h").alias("n")).where(F.col("n") < WINDOW).distinct().orderBy("n").collect()]  # below WINDOW values
     masks = _masks(short)
@@ -101,7 +103,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """docs without the contaminated ones."""
     bad = contaminated_pairs(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__bad")).distinct()
     bad = bounded(materialize(bad))
-    return docs.join(bad, F.col(f"`{doc_id}`").eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(bad, docs[f"`{doc_id}`"].eqNullSafe(bad["__bad"]), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -114,7 +116,7 @@ WITH w AS (
   SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents),
 i AS (
   SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM benchmark),
-ip AS (SELECT item_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM i WHERE w[1] <> ''),
+ip AS (SELECT item_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM i WHERE w[1] <> '' AND len(w) >= {LEAST_WORDS}),
 dp AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM w WHERE w[1] <> ''),
 eq AS (SELECT doc_id, item_id, dp.pos - ip.pos AS shift, ip.pos AS pos FROM dp JOIN ip USING (word)),
 diag AS (SELECT doc_id, item_id, shift, list(pos ORDER BY pos) AS ats, count(*) AS matched FROM eq GROUP BY ALL HAVING count(*) >= 1),

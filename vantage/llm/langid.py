@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import packed, small_batches, unpacked
 
 #: At most so many labelled rows a language are learned from: a bounded sample, in order of a hash of the id.
 SAMPLE_PER_LANG = 300
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         lang, score = model.predict(list(texts))
         return pd.DataFrame({"lang": lang, "score": score})
 
-    return docs.withColumn("__lang", predict(F.col(f"`{text}`"))).withColumns({"lang_pred": F.col("__lang.lang"), "lang_score": F.col("__lang.score")}).drop("__lang")
+    return unpacked(packed(docs, p=predict(F.col(f"`{text}`"))), docs.columns, lang_pred=F.col("p.lang"), lang_score=F.col("p.score"))
 
 
 def held_out(doc_id: str = "doc_id"):

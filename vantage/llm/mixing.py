@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize
+from .common import bounded, materialize, packed, unpacked
 
 ALPHA, SEED = 0.7, "mix-1"
 
@@ -59,14 +59,13 @@ def poisson_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     table = rates(docs, source, alpha, weights, epochs)
     table = bounded(materialize(table.withColumn("cdf", cumulative(F.col("rate")))))
     key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
-    names = [c for c in docs.columns if c not in ("copy", "order_key")]
-    out = docs.join(table, F.col(f"`{source}`").eqNullSafe(F.col("mix_source")))
-    u = uniform(key, seed)
-    count = F.size(F.filter("cdf", lambda c: c <= u))
-    out = out.withColumn("__copies", count).where("__copies > 0")
-    out = out.select(*(f"`{c}`" for c in names), F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
-    out = out.withColumn("order_key", F.md5(F.concat(F.lit(f"{seed}-order|"), key, F.lit("|"), F.col("copy").cast("string"))))
-    return out.orderBy("order_key", key, "copy") if shuffle else out
+    rows = packed(docs, source=F.col(f"`{source}`"), key=key, u=uniform(key, seed))
+    out = rows.join(table, F.col("source").eqNullSafe(F.col("mix_source")))
+    out = out.select("row", "key", F.size(F.filter("cdf", lambda c: c <= F.col("u"))).alias("copies")).where("copies > 0")
+    out = out.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    out = out.withColumn("order_key", F.md5(F.concat(F.lit(f"{seed}-order|"), F.col("key"), F.lit("|"), F.col("copy").cast("string"))))
+    out = out.orderBy("order_key", "key", "copy") if shuffle else out
+    return unpacked(out, docs.columns, copy=F.col("copy"), order_key=F.col("order_key"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

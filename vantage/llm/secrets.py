@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import packed, small_batches, unpacked
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.ASCII)
@@ -134,9 +134,8 @@ def scan_documents(docs: DataFrame, scanner: Scanner, text: str = "text") -> Dat
             rows.append((base, every, redact(t, every) if t and every else t))
         return pd.DataFrame(rows, columns=["base", "spans", "redacted"])
 
-    out = docs.withColumn("__secrets", scan(F.col(f"`{text}`")))
-    s = F.col("__secrets")
-    return out.withColumns({"secret_base": s["base"], "secret_spans": s["spans"], "secret_redacted": s["redacted"]}).drop("__secrets")
+    s = F.col("s")
+    return unpacked(packed(docs, s=scan(F.col(f"`{text}`"))), docs.columns, secret_base=s["base"], secret_spans=s["spans"], secret_redacted=s["redacted"])
 
 
 def digests(docs: DataFrame, scanner: Scanner, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Words, inside, materialize, mix, slices, small_batches, utf8, windows
+from .common import SLICE_BYTES, Words, inside, materialize, mix, packed, slices, small_batches, unpacked, utf8, windows
 from .sketch import cells, corpus_counts
 
 WINDOW, ANCHOR = 50, 10
@@ -305,9 +305,10 @@ def keep_words(text: str | None, spans) -> tuple[int, list[bytes]]:
 
 
 def with_spans(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW) -> DataFrame:
-    """docs with column __spans (null where nothing repeats)."""
-    spans = numbered(repeated_spans(docs, doc_id, text, window), "spans").toDF("__id", "__key", "__spans")
-    return docs.join(spans, (F.col(f"`{doc_id}`").cast("long") == F.col("__id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__key")), "left").drop("__id", "__key")
+    """(row, id, text, spans) of every row of docs; spans is null where nothing repeats."""
+    spans = numbered(repeated_spans(docs, doc_id, text, window), "spans").toDF("span_id", "span_key", "spans")
+    rows = packed(docs, id=F.col(f"`{doc_id}`").cast("long"), text=F.col(f"`{text}`"))
+    return rows.join(spans, (F.col("id") == F.col("span_id")) & (F.xxhash64("text") == F.col("span_key")), "left").drop("span_id", "span_key")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -320,8 +321,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         return pd.Series([t if s is None else b" ".join(keep_words(t, list(s))[1]).decode("utf-8", "surrogatepass") for t, s in zip(texts, spans, strict=True)])
 
-    out = with_spans(docs, doc_id, text, window)
-    return out.withColumn(text, cut(F.col(f"`{text}`"), F.col("__spans"))).drop("__spans")
+    out = with_spans(docs, doc_id, text, window).withColumn("kept", cut(F.col("text"), F.col("spans")))
+    return unpacked(out, docs.columns, **{text: F.col("kept")})
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -335,7 +336,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                 rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    out = with_spans(docs, doc_id, text, window).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), "__spans")
+    out = with_spans(docs, doc_id, text, window).select(F.col("id").alias("doc_id"), "text", "spans")
     return out.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
