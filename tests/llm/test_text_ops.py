@@ -93,7 +93,9 @@ def test_secret_scan(spark):
     key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
     rows = [(1, f'say token = "{key}" here', None, None), (2, f"bare {key} end", None, None), (3, "Enbescherverauheitlichkeiten theconfiguration_reader_settings", None, None), (4, None, None, None), (5, "", None, None), (5, "", None, None), (None, "password=hunter22", None, None)]
     docs = spark.createDataFrame(rows, DOC).withColumn("s", F.lit(0)).withColumn("secret_spans", F.lit("clash"))
-    model = secrets.Scanner(secrets.fit_markov(secrets.random_samples(800)), secrets.fit_markov("settings reader configuration theory lichkeit enberauheit index_value parser_name".split() * 50))
+    names = "settings reader configuration theory lichkeit enberauheit index_value parser_name the and with from table verify".split()
+    ordinary = spark.createDataFrame([(f"{rng.choice(names)}{rng.choice(names)} x",) for _ in range(2000)], "text string")
+    model = secrets.train(ordinary)
     got = {(r["doc_id"], r["text"]): r for r in secrets.scan_documents(docs, model).collect()}
     for (_, text), r in got.items():
         assert [tuple(x) for x in r["secret_base"]] == secrets.brute_base(text)

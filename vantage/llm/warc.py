@@ -183,7 +183,7 @@ def _mended(pieces: DataFrame, base: DataFrame, torn: DataFrame) -> DataFrame:
     rows = pieces.mapInArrow(number, "value binary, file string, block long, rel long").join(base, ["file", "block"])
     rows = rows.select("file", (F.col("base") + F.col("rel")).alias("at"), "value")
     owner = torn.select(F.col("file").alias("f"), "start", "header", "length", "type", "page_id", "refers_to", "stated_digest", "stated_bytes")
-    inside = (F.col("file") == F.col("f")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("header") + F.col("length"))
+    inside = (F.col("file") == F.col("f")) & (F.col("at") >= F.col("start")) & (F.col("at") - len(MAGIC) < F.col("start") + F.col("header") + F.col("length"))
     rows = rows.join(bounded(owner), inside).select("f", "start", "header", "length", "type", "page_id", "refers_to", "stated_digest", "stated_bytes", "at", "value")
 
     def mend(pdf: pd.DataFrame) -> pd.DataFrame:
