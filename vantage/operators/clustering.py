@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.vectors import as_double, component_stats, euclidean, l2_normalize, mean_vectors
 from .joins import checked
 
@@ -28,8 +29,8 @@ def whiten(vectors: DataFrame, scales: DataFrame, back: bool = False) -> DataFra
     return vectors.join(checked(scales), "uid").withColumn("vector", F.zip_with(as_double("vector"), "scale", op)).drop("scale")
 
 
-def nearest(samples: DataFrame, centroids: DataFrame, metric: str = "euclidean", digits: int = 9) -> DataFrame:
-    """(uid, sample, cluster, distance): the nearest of the item's centroids (uid, cluster, vector), the lowest on ties.
+def nearest(samples: DataFrame, centroids: DataFrame, digits: int = 9, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(uid, sample, cluster, distance, keep...): the nearest of the item's centroids (uid, cluster, vector), the lowest on ties.
 
     Centroids of an item come as one array, so the join keeps one row a sample."""
     rows = F.array_sort(F.collect_list(F.struct("cluster", "vector")))
@@ -37,7 +38,7 @@ def nearest(samples: DataFrame, centroids: DataFrame, metric: str = "euclidean",
     j = samples.join(c, "uid")
     d = F.transform("__c", lambda x: F.struct(F.round(euclidean("vector", x["vector"]), digits).alias("d"), x["cluster"].alias("cluster")))
     best = F.array_min(d)
-    return j.select("uid", "sample", best["cluster"].alias("cluster"), best["d"].alias("distance"))
+    return j.select("uid", "sample", best["cluster"].alias("cluster"), best["d"].alias("distance"), *keep)
 
 
 def soft_assignment(samples: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -60,21 +61,19 @@ def first_centroids(samples: DataFrame, k: int) -> DataFrame:
 def lloyd(samples: DataFrame, centroids: DataFrame, rounds: int) -> DataFrame:
     """Centroids after a fixed number of rounds; a cluster without samples disappears.
 
-    Means are partial sums a component before the shuffle.  Every few rounds the small centroid table is written out,
-    so that the plan does not grow."""
-    for i in range(rounds):
-        found = nearest(samples, centroids).select("uid", "sample", "cluster")
-        centroids = mean_vectors(samples.join(found, ["uid", "sample"]), ["uid", "cluster"], "vector", "vector")
-        if i % 3 == 2:
-            centroids = centroids.checkpoint()
+    Means are partial sums a component before the shuffle.  Every round the small centroid table is written out, so
+    that the plan does not grow."""
+    centroids = cut(centroids)
+    for _ in range(rounds):
+        centroids = cut(mean_vectors(nearest(samples, centroids, keep=("vector",)), ["uid", "cluster"], "vector", "vector"))
     return centroids
 
 
 def k_means(samples: DataFrame, k: int, rounds: int = 10, whitened: bool = True, normalize: bool = True) -> tuple[DataFrame, DataFrame]:
     """(centroids, assignments): labels come from the whitened centroids before they are brought back and normalised."""
-    scales = whitening(samples).checkpoint() if whitened else None
+    scales = cut(whitening(samples)) if whitened else None
     work = whiten(samples.select("uid", "sample", "vector"), scales) if whitened else samples.select("uid", "sample", "vector")
-    centers = lloyd(work, first_centroids(work, k), rounds).checkpoint()
+    centers = lloyd(work, first_centroids(work, k), rounds)
     labels = nearest(work, centers)
     if whitened:
         centers = whiten(centers, scales, back=True)

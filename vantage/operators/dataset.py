@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.scalars import uniform
 
 
@@ -65,7 +66,8 @@ def batches(df: DataFrame, key: str, size: int) -> DataFrame:
     """df with column batch: rows in key order, `size` a batch.
 
     Ranks are made in two steps, ranges first, so that no task numbers all rows."""
-    ranged = df.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id()).cache()
+    ranged = df.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id())
+    ranged = cut(ranged)
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__p", before.alias("start"))  # one row a partition

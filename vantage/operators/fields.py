@@ -98,12 +98,15 @@ def log_bin(grid: np.ndarray, hierarchy: int = 2) -> np.ndarray:
 
 
 def log_binned(grid: DataFrame, hierarchy: int = 2) -> DataFrame:
-    """(image, cx, cy, vector): log-binned descriptors of each image's full grid (image, cx, cy, vector)."""
+    """(image, cx, cy, vector): log-binned descriptors of each image's grid (image, cx, cy, vector);
+    cells that are missing count as zeros."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["cy", "cx"], ignore_index=True)
-        w, h = pdf["cx"].nunique(), pdf["cy"].nunique()
-        g = np.array(pdf["vector"].tolist(), float).reshape(h, w, -1)
-        return pdf[["image", "cx", "cy"]].assign(vector=list(log_bin(g, hierarchy).reshape(h * w, -1)))
+        w, h = int(pdf["cx"].max()) + 1, int(pdf["cy"].max()) + 1
+        v = np.array(pdf["vector"].tolist(), float)
+        g = np.zeros((h, w, v.shape[1]))
+        g[pdf["cy"], pdf["cx"]] = v
+        return pdf[["image", "cx", "cy"]].assign(vector=list(log_bin(g, hierarchy)[pdf["cy"], pdf["cx"]]))
 
     return grid.groupBy("image").applyInPandas(run, "image long, cx int, cy int, vector array<double>")

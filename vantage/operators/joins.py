@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: Rows up to which a table is sent to all executors.
 BROADCAST_ROWS = 100_000
 
 
 def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows (counted up to the bound); else left to the planner."""
+    """df marked for broadcast if it has at most `rows` rows; else left to the planner. Its plan is cut, so that the
+    count and the join do not both compute it."""
+    df = cut(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,8 +64,9 @@ def explained_variance(model: dict, spark) -> DataFrame:
 
 def apply_pca(samples: DataFrame, model: dict, normalize: bool = False) -> DataFrame:
     """samples with vector replaced by its centred projection."""
-    mean = F.array(*(F.lit(float(m)) for m in model["mean"]))
-    centred = samples.withColumn("__x", F.zip_with(as_double("vector"), mean, lambda a, b: a - b))
-    parts = [total(F.zip_with("__x", F.array(*(F.lit(float(c)) for c in row)), lambda a, b: a * b)) for row in model["components"]]
-    out = centred.withColumn("vector", F.array(*parts)).drop("__x")
+    mean = F.from_json(F.lit(json.dumps(model["mean"])), "array<double>")
+    rows = F.from_json(F.lit(json.dumps(model["components"])), "array<array<double>>")
+    centred = F.zip_with(as_double("vector"), mean, lambda a, b: a - b)
+    out = samples.withColumn("vector", centred)
+    out = out.withColumn("vector", F.transform(rows, lambda row: total(F.zip_with(F.col("vector"), row, lambda a, b: a * b))))
     return out.withColumn("vector", l2_normalize("vector")) if normalize else out

@@ -18,12 +18,12 @@ def _u(key: str) -> str:
     return f"('0x' || substr(md5({key}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0"
 
 
-@query("WITH i AS (SELECT p_partkey AS uid, p_brand AS category, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) > 10) AND p_partkey % 3 <> 0) SELECT uid, category FROM i WHERE n <= 4")
+@query("WITH i AS (SELECT p_partkey AS uid, p_brand AS category, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) > 10) AND p_size > 15) SELECT uid, category FROM i WHERE n <= 4")
 def filtered_items(spark, sf_dir):
     """F1, F6, W5, T2 limits: categories, uids, first n of each category."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("uid"), F.col("p_brand").alias("category"), F.col("p_partkey").alias("pos"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("uid"), F.col("p_brand").alias("category"), F.col("p_partkey").alias("pos"), "p_size")
     cats = ds.categories_of_size(p, 11).select("category")
-    return ds.filter_items(p, cats, p.where("uid % 3 <> 0"), 4).select("uid", "category")
+    return ds.filter_items(p, cats, p.where("p_size > 15"), 4).select("uid", "category")
 
 
 @query("SELECT p_type AS category, count(*) AS n FROM part GROUP BY 1 HAVING count(*) >= 12")

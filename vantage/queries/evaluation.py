@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, euclidean, l2_normalize, mean_vectors
 from ..operators import evaluation as ev
+from ..operators.dataset import random_views
 from ..operators.joins import checked
 from .base import CENTROIDS, ITEMS, VIEWS, items, registrar, table, views
 
@@ -43,10 +44,10 @@ def precision_recall_curve(spark, sf_dir):
     return c.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
-@query(SCORES + CURVE + " SELECT category, rank::INTEGER AS rank, round(precision, 6) AS precision, round(recall, 6) AS recall FROM p WHERE category = 3 UNION ALL SELECT 3, 0, 1.0, 0.0")
+@query(SCORES + CURVE + " SELECT category, rank::INTEGER AS rank, round(precision, 6) AS precision, round(recall, 6) AS recall FROM p UNION ALL SELECT DISTINCT category, 0, 1.0, 0.0 FROM p")
 def precision_recall_anchored(spark, sf_dir):
-    """W9, R22, F13."""
-    c = ev.precision_recall(_scores(spark, sf_dir).where("category = 3"))
+    """W9, R22."""
+    c = ev.precision_recall(_scores(spark, sf_dir))
     return ev.with_anchor(c).withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
@@ -87,7 +88,7 @@ def average_similarity_per_category(spark, sf_dir):
 
 
 METHODS = f"""WITH {ITEMS}, {CENTROIDS},
-m AS (SELECT CASE WHEN uid % 2 = 0 THEN 'even' ELSE 'odd' END AS method, category, list_dot_product(v, c) AS s FROM e JOIN cat USING (category) WHERE category < 8 OR uid % 2 = 0),
+m AS (SELECT CASE WHEN uid % 2 = 0 OR category >= 8 THEN 'even' ELSE 'odd' END AS method, category, list_dot_product(v, c) AS s FROM e JOIN cat USING (category)),
 g AS (SELECT method, category FROM (SELECT DISTINCT method FROM m), (SELECT DISTINCT category FROM m)),
 d AS (SELECT g.method, g.category, round(coalesce(avg(s), 0), 6) AS avg FROM g LEFT JOIN m USING (method, category) GROUP BY ALL)"""
 
@@ -95,8 +96,8 @@ d AS (SELECT g.method, g.category, round(coalesce(avg(s), 0), 6) AS avg FROM g L
 def _methods(spark, sf_dir):
     i = items(spark, sf_dir)
     c = checked(ev.category_centroids(i).withColumnRenamed("vector", "c"))
-    m = i.join(c, "category").where("category < 8 OR uid % 2 = 0")
-    return m.select(F.when(F.col("uid") % 2 == 0, "even").otherwise("odd").alias("method"), "category", dot("vector", "c").alias("s"))
+    m = i.join(c, "category")
+    return m.select(F.when((F.col("uid") % 2 == 0) | (F.col("category") >= 8), "even").otherwise("odd").alias("method"), "category", dot("vector", "c").alias("s"))
 
 
 @query(METHODS + " SELECT method, category, avg FROM d")
@@ -133,11 +134,11 @@ def category_similarity_matrix(spark, sf_dir):
     return ev.category_matrix(i, ev.category_centroids(i))
 
 
-HIST = "WITH h0 AS (SELECT p_brand AS category, (p_size // 10)::BIGINT AS bucket FROM part WHERE p_size % 7 <> 0), h1 AS (SELECT category, bucket, count(*) AS n FROM h0 GROUP BY ALL), g AS (SELECT category, unnest(range(0, max(bucket) + 1)) AS bucket FROM h1 GROUP BY category), h AS (SELECT category, bucket, coalesce(n, 0) AS n FROM g LEFT JOIN h1 USING (category, bucket))"
+HIST = "WITH h0 AS (SELECT p_brand AS category, (p_size // 10 * 2)::BIGINT AS bucket FROM part), h1 AS (SELECT category, bucket, count(*) AS n FROM h0 GROUP BY ALL), g AS (SELECT category, unnest(range(0, max(bucket) + 1)) AS bucket FROM h1 GROUP BY category), h AS (SELECT category, bucket, coalesce(n, 0) AS n FROM g LEFT JOIN h1 USING (category, bucket))"
 
 
 def _histogram(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size % 7 <> 0").select(F.col("p_brand").alias("category"), F.floor(F.col("p_size") / 10).alias("value"))
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("category"), (F.floor(F.col("p_size") / 10) * 2).alias("value"))
     return ev.discrete_histogram(p)
 
 
@@ -206,10 +207,10 @@ def relevancy_of_own_category(spark, sf_dir):
     return ev.relevancy(pos, neg)
 
 
-@query("WITH r AS (SELECT l_returnflag AS phrase, l_linenumber AS scale, max(l_discount) AS relevancy FROM lineitem WHERE l_quantity < 40 GROUP BY ALL) SELECT phrase, scale, relevancy FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY relevancy DESC, scale) AS n FROM r) WHERE n = 1")
+@query("WITH r AS (SELECT l_returnflag AS phrase, l_linenumber AS scale, max(l_discount) AS relevancy FROM lineitem GROUP BY ALL) SELECT phrase, scale, relevancy FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY relevancy DESC, scale) AS n FROM r) WHERE n = 1")
 def best_scale_per_phrase(spark, sf_dir):
     """A30, R1."""
-    x = table(spark, sf_dir, "lineitem").where("l_quantity < 40").select(F.col("l_returnflag").alias("phrase"), F.col("l_linenumber").alias("scale"), F.col("l_discount").alias("relevancy"))
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("phrase"), F.col("l_linenumber").alias("scale"), F.col("l_discount").alias("relevancy"))
     return ev.best_scale(x)
 
 
@@ -276,10 +277,12 @@ def relevancy_composite(spark, sf_dir):
     return s.join(top, "category").select("uid", "category", F.round(composite("r", "top"), 6).alias("shade"))
 
 
-@query(f"WITH {VIEWS}, t AS (SELECT uid, view, category, v FROM w WHERE view < 2), p AS (SELECT uid, pos, avg(x) AS x FROM (SELECT uid, unnest(v) AS x, unnest(range(0, len(v))) AS pos FROM t) GROUP BY ALL) SELECT uid, round(sqrt(sum(x * x)), 6) AS length FROM p GROUP BY uid")
-def mean_of_first_views(spark, sf_dir):
-    """A13, A12."""
-    m = mean_vectors(views(spark, sf_dir).where("view < 2"), ["uid"], "vector", "m")
+@query(f"WITH {VIEWS}, t AS (SELECT uid, v FROM w QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ('0x' || substr(md5('mv/' || uid || '|' || view), 1, 13))::BIGINT, view) <= 2), p AS (SELECT uid, pos, avg(x) AS x FROM (SELECT uid, unnest(v) AS x, unnest(range(0, len(v))) AS pos FROM t) GROUP BY ALL) SELECT uid, round(sqrt(sum(x * x)), 6) AS length FROM p GROUP BY uid")
+def mean_of_random_views(spark, sf_dir):
+    """The mean of two views drawn by a seeded hash."""
+    v = views(spark, sf_dir)
+    n = v.select("uid").distinct().withColumn("n", F.lit(2))
+    m = mean_vectors(random_views(v, n, "mv"), ["uid"], "vector", "m")
     return m.select("uid", F.round(F.sqrt(dot("m", "m")), 6).alias("length"))
 
 

@@ -54,19 +54,19 @@ def swapped_axes(spark, sf_dir):
     return n.select("n_nationkey", *(F.col("bs")[i].alias(f"s{i}") for i in range(3)), *((F.col("bo")[i] + 0.0).alias(f"o{i}") for i in range(3)), same.alias("back"))
 
 
-POINTS = "p AS (SELECT l_orderkey AS uid, l_linenumber AS sample, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z, row_number() OVER () AS r FROM lineitem WHERE l_orderkey % 50 = 0)"
+POINTS = "p AS (SELECT l_orderkey AS uid, l_linenumber AS sample, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z, 0 AS r FROM lineitem)"
 
 
 def _points(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_orderkey").alias("uid"), F.col("l_linenumber").alias("sample"), F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100).alias("position"))
 
 
-@query(f"WITH {POINTS}, b AS (SELECT uid, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM p GROUP BY 1), s AS (SELECT *, CASE WHEN greatest(x1 - x0, y1 - y0, z1 - z0) > 0 THEN 1 / greatest(x1 - x0, y1 - y0, z1 - z0) ELSE 1 END AS s FROM b) SELECT uid, round(s, 6) AS scale, round(-(x0 + x1) / 2 * s, 6) + 0 AS ox, round(-(y0 + y1) / 2 * s, 6) + 0 AS oy, round(-(z0 + z1) / 2 * s, 6) + 0 AS oz FROM s")
+@query(f"WITH {POINTS}, b AS (SELECT uid, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM p GROUP BY 1), s AS (SELECT *, CASE WHEN greatest(x1 - x0, y1 - y0, z1 - z0) > 0 THEN 1 / greatest(x1 - x0, y1 - y0, z1 - z0) ELSE 1 END AS s FROM b) SELECT uid, round(s, 12) AS scale, round(-(x0 + x1) / 2 * s, 12) + 0 AS ox, round(-(y0 + y1) / 2 * s, 12) + 0 AS oy, round(-(z0 + z1) / 2 * s, 12) + 0 AS oz FROM s")
 def scene_normalization(spark, sf_dir):
     """V13."""
     n = ge.scene_normalization(_points(spark, sf_dir))
-    return n.select("uid", F.round("scale", 6).alias("scale"), *((F.round(F.col("offset")[i], 6) + 0.0).alias(c) for i, c in enumerate(("ox", "oy", "oz"))))
+    return n.select("uid", F.round("scale", 12).alias("scale"), *((F.round(F.col("offset")[i], 12) + 0.0).alias(c) for i, c in enumerate(("ox", "oy", "oz"))))
 
 
 @query(f"WITH {POINTS} SELECT uid, sample, round((2 * x + y + 1) * 0.5, 6) AS a, round((3 * y - 1) * 0.5, 6) AS b, round((x - z) * 0.5, 6) + 0 AS c FROM p")
@@ -199,6 +199,6 @@ def points_in_circle(spark, sf_dir):
 @query()
 def log_binned_grid(spark, sf_dir):
     """Rows only."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 60")
-    g = e.select(F.floor(F.col("vec_id") / 20).alias("image"), (F.col("vec_id") % 5).cast("int").alias("cx"), F.floor(F.col("vec_id") % 20 / 5).cast("int").alias("cy"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("vector"))
+    e = table(spark, sf_dir, "embeddings")
+    g = e.select(F.floor(F.col("vec_id") / 20).alias("image"), (F.col("vec_id") % 5).cast("int").alias("cx"), F.floor(F.col("vec_id") % 20 / 5).cast("int").alias("cy"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     return fi.log_binned(g).select("image", "cx", "cy", F.size("vector").alias("bins"))

@@ -13,17 +13,17 @@ from .base import registrar, table
 ALL, query = registrar()
 
 
-def _samples(spark, sf_dir, dims: int = 8):
-    """(uid, sample, vector): an item a label, its embeddings' first components as samples."""
+def _samples(spark, sf_dir):
+    """(uid, sample, vector): an item a label, its embeddings as samples."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("label").cast("long").alias("uid"), F.col("vec_id").alias("sample"), F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("vector"))
+    return e.select(F.col("label").cast("long").alias("uid"), F.col("vec_id").alias("sample"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
 
 
-SAMPLES = "s AS (SELECT label::BIGINT AS uid, vec_id AS sample, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v FROM embeddings)"
+SAMPLES = "s AS (SELECT label::BIGINT AS uid, vec_id AS sample, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 WHITE = f"""{SAMPLES},
-dv AS (SELECT uid, pos, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE 1 / stddev_pop(x) END AS f FROM (SELECT uid, unnest(v) AS x, unnest(range(0, 8)) AS pos FROM s) GROUP BY ALL),
+dv AS (SELECT uid, pos, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE 1 / stddev_pop(x) END AS f FROM (SELECT uid, unnest(v) AS x, unnest(range(0, 64)) AS pos FROM s) GROUP BY ALL),
 sc AS (SELECT uid, list(f ORDER BY pos) AS f FROM dv GROUP BY uid),
-x0 AS (SELECT uid, sample, list_transform(range(1, 9), lambda i: v[i] * f[i]) AS v FROM s JOIN sc USING (uid))"""
+x0 AS (SELECT uid, sample, list_transform(range(1, 65), lambda i: v[i] * f[i]) AS v FROM s JOIN sc USING (uid))"""
 CENTERS0 = "c0 AS (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY sample) - 1 AS cluster, v FROM x0 QUALIFY cluster < 3)"
 
 
@@ -34,7 +34,7 @@ def _assign(i: int) -> str:
 
 def _round(i: int) -> str:
     return f"""{_assign(i)},
-m{i} AS (SELECT uid, cluster, pos, avg(z) AS z FROM (SELECT uid, cluster, unnest(v) AS z, unnest(range(0, 8)) AS pos FROM x0 JOIN a{i} USING (uid, sample)) GROUP BY ALL),
+m{i} AS (SELECT uid, cluster, pos, avg(z) AS z FROM (SELECT uid, cluster, unnest(v) AS z, unnest(range(0, 64)) AS pos FROM x0 JOIN a{i} USING (uid, sample)) GROUP BY ALL),
 c{i + 1} AS (SELECT uid, cluster, list(z ORDER BY pos) AS v FROM m{i} GROUP BY ALL)"""
 
 
@@ -61,7 +61,7 @@ def k_means_labels(spark, sf_dir):
     return _k_means(spark, sf_dir)[1].select("uid", "sample", F.col("cluster").cast("int").alias("cluster"), F.round("distance", 6).alias("distance"))
 
 
-@query(LLOYD + f", u AS (SELECT uid, cluster, list_transform(range(1, 9), lambda i: c.v[i] / f[i]) AS v FROM c{ROUNDS} c JOIN sc USING (uid)) SELECT uid, cluster::INTEGER AS cluster, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS x FROM u")
+@query(LLOYD + f", u AS (SELECT uid, cluster, list_transform(range(1, 65), lambda i: c.v[i] / f[i]) AS v FROM c{ROUNDS} c JOIN sc USING (uid)) SELECT uid, cluster::INTEGER AS cluster, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS x FROM u")
 def k_means_centroids(spark, sf_dir):
     """M1, V6, V2, Q8: centroids brought back and normalised."""
     return _k_means(spark, sf_dir)[0].select("uid", F.col("cluster").cast("int").alias("cluster"), F.round(F.col("vector")[0], 6).alias("x"))
@@ -92,11 +92,11 @@ def soft_assignment(spark, sf_dir):
     return a.select("uid", "sample", F.col("cluster").cast("int").alias("cluster"), F.round("weight", 6).alias("weight"))
 
 
-CURVE = "WITH pm AS (SELECT p_brand AS uid, p_size AS k, min(p_partkey) AS m FROM part WHERE p_size <= 20 GROUP BY ALL), cv AS (SELECT uid, k, 100.0 / (k + m / 1e6) AS d FROM pm)"
+CURVE = "WITH pm AS (SELECT p_brand AS uid, p_size AS k, min(p_partkey) AS m FROM part GROUP BY ALL), cv AS (SELECT uid, k, 100.0 / (k + m / 1e6) AS d FROM pm)"
 
 
 def _curve(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size <= 20").groupBy(F.col("p_brand").alias("uid"), F.col("p_size").alias("k")).agg(F.min("p_partkey").alias("m"))
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("uid"), F.col("p_size").alias("k")).agg(F.min("p_partkey").alias("m"))
     return p.select("uid", "k", (F.lit(100.0) / (F.col("k") + F.col("m") / 1e6)).alias("d"))
 
 
@@ -118,12 +118,12 @@ def closest_elbow(spark, sf_dir):
     return cl.closest_target(_curve(spark, sf_dir)).select("uid", F.round("target", 6).alias("target"))
 
 
-@query(CURVE + """, e AS (SELECT uid, min(k) AS lo, max(k) AS hi FROM cv WHERE k % 3 <> 1 GROUP BY uid), g AS (SELECT uid, unnest(range(lo, hi + 1)) AS k FROM e),
-f AS (SELECT g.uid, g.k, max(a.k) AS ka, min(b.k) AS kb FROM g LEFT JOIN cv a ON a.uid = g.uid AND a.k <= g.k AND a.k % 3 <> 1 LEFT JOIN cv b ON b.uid = g.uid AND b.k >= g.k AND b.k % 3 <> 1 GROUP BY ALL)
+@query(CURVE + """, e AS (SELECT uid, min(k) AS lo, max(k) AS hi FROM cv GROUP BY uid), g AS (SELECT uid, unnest(range(lo, hi + 1)) AS k FROM e),
+f AS (SELECT g.uid, g.k, max(a.k) AS ka, min(b.k) AS kb FROM g LEFT JOIN cv a ON a.uid = g.uid AND a.k <= g.k LEFT JOIN cv b ON b.uid = g.uid AND b.k >= g.k GROUP BY ALL)
 SELECT f.uid, f.k::INTEGER AS k, round(a.d + (b.d - a.d) * (f.k - ka) / greatest(kb - ka, 1), 6) AS score FROM f JOIN cv a ON a.uid = f.uid AND a.k = ka JOIN cv b ON b.uid = f.uid AND b.k = kb""")
 def filled_scores(spark, sf_dir):
     """Gaps of k filled linearly."""
-    c = _curve(spark, sf_dir).where("k % 3 <> 1").withColumnRenamed("d", "score")
+    c = _curve(spark, sf_dir).withColumnRenamed("d", "score")
     return cl.fill_scores(c).select("uid", "k", F.round("score", 6).alias("score"))
 
 
@@ -168,12 +168,12 @@ def identity_transform(spark, sf_dir):
 
 
 VIEWS = LLOYD + f""", c AS (SELECT uid, cluster, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM c{ROUNDS}),
-w AS (SELECT label::BIGINT AS uid, vec_id AS view, list_transform(embedding[9:16], lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 3 = 0)"""
+w AS (SELECT label::BIGINT AS uid, vec_id AS view, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"""
 
 
 def _views(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0")
-    return e.select(F.col("label").cast("long").alias("uid"), F.col("vec_id").alias("view"), F.transform(F.slice("embedding", 9, 8), lambda x: x.cast("double")).alias("vector"))
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("label").cast("long").alias("uid"), F.col("vec_id").alias("view"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
 
 
 def _unit_centers(spark, sf_dir):
@@ -196,34 +196,34 @@ def nearest_views(spark, sf_dir):
     return v.withColumn("cluster", F.col("cluster").cast("int"))
 
 
-POSITIONS = "q AS (SELECT label::BIGINT AS uid, (vec_id % 2)::INTEGER AS cluster, vec_id AS sample, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
+POSITIONS = "q AS (SELECT label::BIGINT AS uid, (vec_id % 2)::INTEGER AS cluster, vec_id AS sample, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4] > 0 AS chosen FROM embeddings)"
 
 
 def _positions(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("label").cast("long").alias("uid"), (F.col("vec_id") % 2).cast("int").alias("cluster"), F.col("vec_id").alias("sample"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("position"))
+    return e.select(F.col("label").cast("long").alias("uid"), (F.col("vec_id") % 2).cast("int").alias("cluster"), F.col("vec_id").alias("sample"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("position"), (F.col("embedding")[3] > 0).alias("chosen"))
 
 
-@query(f"""WITH {POSITIONS}, o AS (SELECT uid, cluster, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM q WHERE sample % 3 <> 0 GROUP BY ALL),
-r AS (SELECT o.uid, o.cluster, avg(q.x) AS rx, avg(q.y) AS ry, avg(q.z) AS rz FROM o JOIN q ON q.uid = o.uid AND NOT (q.cluster = o.cluster AND q.sample % 3 <> 0) GROUP BY ALL)
+@query(f"""WITH {POSITIONS}, o AS (SELECT uid, cluster, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM q WHERE chosen GROUP BY ALL),
+r AS (SELECT o.uid, o.cluster, avg(q.x) AS rx, avg(q.y) AS ry, avg(q.z) AS rz FROM o JOIN q ON q.uid = o.uid AND NOT (q.cluster = o.cluster AND q.chosen) GROUP BY ALL)
 SELECT o.uid, o.cluster, round(x, 6) AS ox, round(rx, 6) AS rx, round(z - rz, 6) AS dz FROM o JOIN r USING (uid, cluster)""")
 def split_means(spark, sf_dir):
     """A19."""
     p = _positions(spark, sf_dir)
-    m = se.split_means(p, p.where("sample % 3 <> 0"))
+    m = se.split_means(p, p.where("chosen"))
     return m.select("uid", "cluster", F.round(F.col("own")[0], 6).alias("ox"), F.round(F.col("other")[0], 6).alias("rx"), F.round(F.col("own")[2] - F.col("other")[2], 6).alias("dz"))
 
 
 @query(f"""WITH {POSITIONS}, o AS (SELECT uid, cluster, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM q GROUP BY ALL), r AS (SELECT o.uid, o.cluster, avg(q.x) AS rx, avg(q.y) AS ry, avg(q.z) AS rz FROM o JOIN q ON q.uid = o.uid AND q.cluster <> o.cluster GROUP BY ALL),
 d AS (SELECT *, (x - rx) / n AS dx, (y - ry) / n AS dy, (z - rz) / n AS dz FROM (SELECT *, sqrt(pow(x - rx, 2) + pow(y - ry, 2) + pow(z - rz, 2)) AS n FROM o JOIN r USING (uid, cluster))),
-v AS (SELECT d.*, sample AS view, q.x * 10 - d.x AS ax, q.y * 10 - d.y AS ay, q.z * 10 - d.z AS az FROM d JOIN q ON q.uid = d.uid AND sample % 4 = 0),
+v AS (SELECT d.*, sample AS view, q.x * 10 - d.x AS ax, q.y * 10 - d.y AS ay, q.z * 10 - d.z AS az FROM d JOIN q ON q.uid = d.uid),
 t AS (SELECT *, ax * dx + ay * dy + az * dz AS t FROM v),
 f AS (SELECT uid, cluster, view, round(sqrt(pow(ax - (x + dx * t), 2) + pow(ay - (y + dy * t), 2) + pow(az - (z + dz * t), 2)), 9) AS dist FROM t WHERE t >= 0)
 SELECT uid, cluster, view, round(dist, 6) AS distance FROM f QUALIFY row_number() OVER (PARTITION BY uid, cluster ORDER BY dist, view) = 1""")
 def spatial_views(spark, sf_dir):
     """The view on the cluster's side with the least distance, by the original's formula."""
     p = _positions(spark, sf_dir)
-    views = p.where("sample % 4 = 0").select("uid", F.col("sample").alias("view"), F.transform("position", lambda x: x * 10).alias("position"))
+    views = p.select("uid", F.col("sample").alias("view"), F.transform("position", lambda x: x * 10).alias("position"))
     return se.views_in_front(views, se.split_means(p, p))
 
 
@@ -233,9 +233,9 @@ def density_labels(spark, sf_dir):
     return cl.density_clusters(_positions(spark, sf_dir), 0.08, 5)
 
 
-@query("WITH l AS (SELECT l_orderkey AS uid, l_linenumber AS cluster, l_partkey AS sample, l_suppkey % 3 AS label, l_quantity FROM lineitem WHERE l_orderkey % 10 = 0), r AS (SELECT uid, sample, label, row_number() OVER (PARTITION BY uid, label ORDER BY sample) AS c FROM (SELECT DISTINCT uid, sample, label FROM l)) SELECT uid, label::INTEGER AS label, c AS n FROM r QUALIFY row_number() OVER (PARTITION BY uid ORDER BY c DESC, sample, label) = 1")
+@query("WITH l AS (SELECT l_orderkey AS uid, l_linenumber AS cluster, l_partkey AS sample, l_suppkey % 3 AS label, l_quantity FROM lineitem), r AS (SELECT uid, sample, label, row_number() OVER (PARTITION BY uid, label ORDER BY sample) AS c FROM (SELECT DISTINCT uid, sample, label FROM l)) SELECT uid, label::INTEGER AS label, c AS n FROM r QUALIFY row_number() OVER (PARTITION BY uid ORDER BY c DESC, sample, label) = 1")
 def label_modes(spark, sf_dir):
     """The most frequent label, the first to reach the count on ties."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    li = table(spark, sf_dir, "lineitem")
     x = li.select(F.col("l_orderkey").alias("uid"), F.col("l_partkey").alias("sample"), (F.col("l_suppkey") % 3).cast("int").alias("label")).distinct()
     return cl.label_mode(x, ("uid",))

@@ -14,24 +14,24 @@ ALL, query = registrar()
 
 
 def _expected_actual(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sc.sha256_content("text").alias("sha256"))
-    a = d.where("id % 7 <> 0").withColumn("sha256", F.when(F.col("id") % 5 == 0, F.lit("x")).otherwise(F.col("sha256")))
-    return d.where("id % 11 <> 0"), a
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), sc.sha256_content("text").alias("sha256"), "lang", "source")
+    a = d.where("source <> 'src7'").withColumn("sha256", F.when(F.col("lang") == "es", F.lit("x")).otherwise(F.col("sha256")))
+    return d.where("source <> 'src9'"), a
 
 
-@query("""WITH d AS (SELECT doc_id AS id, sha256(text) AS h FROM documents), e AS (SELECT * FROM d WHERE id % 11 <> 0),
-a AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'x' ELSE h END AS h FROM d WHERE id % 7 <> 0)
+@query("""WITH d AS (SELECT doc_id AS id, sha256(text) AS h, lang, source FROM documents), e AS (SELECT * FROM d WHERE source <> 'src9'),
+a AS (SELECT id, CASE WHEN lang = 'es' THEN 'x' ELSE h END AS h FROM d WHERE source <> 'src7')
 SELECT coalesce(e.id, a.id) AS id, CASE WHEN a.id IS NULL THEN 'missing' WHEN e.id IS NULL THEN 'new' WHEN e.h = a.h THEN 'found' ELSE 'modified' END AS status FROM e FULL JOIN a ON e.id = a.id""")
 def reconciled_files(spark, sf_dir):
     """J10, J11."""
     return jo.reconcile(*_expected_actual(spark, sf_dir), "id", "sha256").select("id", "status")
 
 
-@query("SELECT doc_id AS id, doc_id % 7 <> 0 AS present FROM documents")
+@query("SELECT doc_id AS id, lang <> 'fr' AS present FROM documents")
 def present_or_not(spark, sf_dir):
     """A status instead of a path for what is not there."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return jo.split_present(d, d.where("id % 7 <> 0"), "id")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return jo.split_present(d.select("id"), d.where("lang <> 'fr'"), "id")
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, 1 AS p, max(o_orderkey) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
@@ -54,14 +54,14 @@ def later_overrides_earlier(spark, sf_dir):
     return jo.last_wins([n, s], "k")
 
 
-@query("SELECT vec_id AS key, CASE WHEN vec_id % 3 <> 0 AND vec_id % 4 <> 1 THEN label END AS value FROM embeddings")
+@query("SELECT vec_id AS key, CASE WHEN label NOT IN (0, 3, 6) AND label <> 5 THEN label END AS value FROM embeddings")
 def cached_embeddings(spark, sf_dir):
     """A hit needs the key and all three hashes."""
     e = table(spark, sf_dir, "embeddings")
     hashes = [F.sha1(F.col("vec_id").cast("string").cast("binary")).alias(h) for h in ("config_hash", "object_hash")]
     wanted = e.select(F.col("vec_id").alias("key"), *hashes, F.sha1(F.lit("data").cast("binary")).alias("data_hash"))
-    stale = F.when(F.col("key") % 4 == 1, F.lit("old")).otherwise(F.col("data_hash"))
-    cache = wanted.join(e.select(F.col("vec_id").alias("key"), F.col("label").alias("value")), "key").where("key % 3 <> 0").withColumn("data_hash", stale)
+    stale = F.when(F.col("value") == 5, F.lit("old")).otherwise(F.col("data_hash"))
+    cache = wanted.join(e.select(F.col("vec_id").alias("key"), F.col("label").alias("value")), "key").where("value NOT IN (0, 3, 6)").withColumn("data_hash", stale)
     return jo.cached_values(wanted, cache).select("key", "value")
 
 
@@ -102,14 +102,14 @@ def stages_to_run(spark, sf_dir):
     return spark.createDataFrame(rows, "stage string, run boolean, load boolean")
 
 
-@query("SELECT item, n::INTEGER AS n FROM (SELECT (page_id // 5) AS item, page_id % 5 AS n, max(CASE WHEN page_id % 23 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id // 5) AS bad FROM pages) WHERE bad = 0")
+@query("SELECT item, n::INTEGER AS n FROM (SELECT (page_id // 5) AS item, page_id % 5 AS n, max(CASE WHEN contains(url, '?page=2') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id // 5) AS bad FROM pages) WHERE bad = 0")
 def validated_index(spark, sf_dir):
     """Views of items all of whose files have the stated hashes."""
     p = table(spark, sf_dir, "pages")
     path = F.concat(F.lit("/r/"), F.floor(F.col("page_id") / 5).cast("string"), F.lit("/"))
     name = (F.col("page_id") % 5).cast("string")
     h = F.sha1(F.col("html").cast("binary"))
-    rows = p.select((F.col("page_id") % 5).alias("n"), path.alias("dir"), name.alias("name"), h.alias("h"), F.when(F.col("page_id") % 23 == 0, F.lit("bad")).otherwise(h).alias("stated"))
+    rows = p.select((F.col("page_id") % 5).alias("n"), path.alias("dir"), name.alias("name"), h.alias("h"), F.when(F.col("url").contains("?page=2"), F.lit("bad")).otherwise(h).alias("stated"))
     view = F.struct("n", F.struct(F.concat("name", F.lit(".png")).alias("file"), F.col("stated").alias("sha1")).alias("image"), F.struct(F.concat("name", F.lit(".json")).alias("file"), F.col("h").alias("sha1")).alias("transform"))
     index = rows.groupBy(F.concat("dir", F.lit("index.json")).alias("file")).agg(F.transform(F.array_sort(F.collect_list(view)), lambda v: F.struct(v["image"].alias("image"), v["transform"].alias("transform"))).alias("selected_views"))
     files = rows.select(F.concat("dir", "name", F.lit(".png")).alias("path"), F.col("h").alias("sha1")).union(rows.select(F.concat("dir", "name", F.lit(".json")), "h"))
@@ -126,13 +126,13 @@ def parsed_method(spark, sf_dir):
     return spark.createDataFrame([(k, v["value"]) for k, v in m.parse("two.best").items()], "slot string, value int")
 
 
-@query("SELECT doc_id AS uid, CASE WHEN doc_id % 9 = 0 THEN 'unknown' WHEN doc_id % 2 = 0 THEN 'present' ELSE 'download' END AS status FROM documents")
+@query("SELECT doc_id AS uid, CASE WHEN lang = 'es' THEN 'unknown' WHEN lang = 'en' THEN 'present' ELSE 'download' END AS status FROM documents")
 def resolved_objects(spark, sf_dir):
     """Suffix taken off, unknown ids marked, present ones split from those to download."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uid"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uid"), "lang")
     wanted = d.select(F.concat("uid", F.lit(".glb")).alias("uid"))
-    paths = d.where("uid % 9 <> 0").withColumn("path", F.concat(F.lit("glbs/"), "uid"))
-    r = st.resolve_objects(wanted, paths, d.where("uid % 2 = 0"))
+    paths = d.where("lang <> 'es'").select("uid", F.concat(F.lit("glbs/"), "uid").alias("path"))
+    r = st.resolve_objects(wanted, paths, d.where("lang = 'en'"))
     return r.select(F.col("uid").cast("long").alias("uid"), "status")
 
 
