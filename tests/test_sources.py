@@ -69,6 +69,29 @@ def test_sinks(spark, tmp_path):
         st.rebuild_index(t, t.where("false")).collect()
 
 
+def test_caches(spark, tmp_path):
+    items = spark.createDataFrame([("a", 0, "u1", "p1"), ("a", 1, "u2", "p2"), ("b", 0, "u3", "p3")], "category string, pos int, uid string, path string")
+    st.write_dataset_cache(items, str(tmp_path / "d"), categories=["b", "a"], limit=2)
+    got = st.dataset_cache(spark, str(tmp_path / "d"), ["a", "b"], None, 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, items.collect()))
+    assert st.dataset_cache(spark, str(tmp_path / "d"), ["a"], None, 2).count() == 0
+    made = []
+
+    def create():
+        made.append(1)
+        return spark.range(3)
+
+    for config, n in (({"k": 1}, 1), ({"k": 1}, 1), ({"k": 2}, 2), ({"k": 1}, 3)):
+        assert st.feature_cache(spark, str(tmp_path / "f"), config, create).count() == 3 and len(made) == n
+
+
+def test_run_names():
+    import datetime
+
+    t = datetime.datetime(2024, 1, 2, 3, 4, 5)
+    assert config.run_name(t, set()) == "2024-01-02_030405" and config.run_name(t, {"2024-01-02_030405"}) == "2024-01-02_030405_2"
+
+
 def test_stages():
     assert stages.between("render", "train_field") == ["render", "sample_positions", "train_field"]
     assert stages.depends_on("cluster", "render", transitive=True) and not stages.depends_on("cluster", "render")

@@ -71,6 +71,15 @@ def working_dir(path: str, saved: str, candidates: list[str]) -> str | None:
     return best if best is not None and shared(best) else None
 
 
+def run_name(now, taken: set[str]) -> str:
+    """Name of a run's folder by its time; _2, _3, ... where it is taken."""
+    base = now.strftime("%Y-%m-%d_%H%M%S")
+    n = 1
+    while (name := base if n == 1 else f"{base}_{n}") in taken:
+        n += 1
+    return name
+
+
 class Methods:
     """Registry of components by slot; a method is a dotted string with one component a slot."""
 

@@ -291,3 +291,34 @@ def normalized_centroids(spark, sf_dir):
     """V2, V4, R15."""
     c = ev.category_centroids(items(spark, sf_dir)).withColumn("vector", l2_normalize("vector"))
     return c.select("category", F.round(dot("vector", "vector"), 6).alias("unit"), F.size("vector").alias("dim"))
+
+
+METHOD_AUC = f"""WITH {VIEWS}, e AS (SELECT uid, category, v FROM w), {CENTROIDS},
+mv AS (SELECT uid, pos, avg(x) AS x FROM (SELECT uid, unnest(v) AS x, unnest(range(0, len(v))) AS pos FROM w) GROUP BY ALL),
+av AS (SELECT uid, list(x ORDER BY pos) AS v FROM mv GROUP BY uid),
+vec AS (SELECT 'avg_selected' AS method, uid, v FROM av UNION ALL SELECT 'best_selected', uid, v FROM w),
+s AS (SELECT method, uid, cat.category, max(round(list_dot_product(v, c), 6)) AS similarity FROM vec, cat GROUP BY ALL),
+own AS (SELECT DISTINCT uid, category AS own FROM w),
+r AS (SELECT s.*, own = category AS relevant, row_number() OVER (PARTITION BY method, category ORDER BY similarity DESC, uid) AS rank FROM s JOIN own USING (uid)),
+n AS (SELECT own AS category, count(*) AS size FROM own GROUP BY 1),
+t AS (SELECT r.*, size, sum(relevant::INT) OVER (PARTITION BY method, r.category ORDER BY rank) AS tp FROM r JOIN n ON n.category = r.category),
+l AS (SELECT method, category, tp / rank AS p, tp / size AS q, lag(tp / rank) OVER w AS p0, lag(tp / size) OVER w AS q0 FROM t WINDOW w AS (PARTITION BY method, category ORDER BY rank))
+SELECT method, category, round(least(greatest(coalesce(sum(greatest(q - q0, 0) * (p + p0) / 2), 0), 0), 1), 6) AS auc FROM l GROUP BY ALL"""
+
+
+@query(METHOD_AUC)
+def pr_auc_per_method(spark, sf_dir):
+    """Section 3, entry 1: the whole evaluation. J2, A12, W1, A14, Q9: a method is a way to turn views into vectors."""
+    from ..plans.evaluate import evaluate
+
+    v = views(spark, sf_dir)
+    return evaluate(v, ev.category_centroids(v))
+
+
+@query(f"WITH {VIEWS}, e AS (SELECT uid, category, v FROM w), {CENTROIDS}, s AS (SELECT uid, category, round(list_dot_product(v, c), 6) AS similarity FROM w JOIN cat USING (category)), i AS (SELECT uid, category, max(similarity) AS best, count(*) AS n FROM s GROUP BY ALL) SELECT category, count(*) AS items, sum(n)::BIGINT AS views, round(avg(best), 6) AS best FROM i GROUP BY category")
+def category_summary(spark, sf_dir):
+    """Items, views and mean best similarity of each category."""
+    v = views(spark, sf_dir)
+    best = ev.best_view(v, ev.category_centroids(v))
+    n = v.groupBy("uid", "category").agg(F.count(F.lit(1)).alias("n")).join(best, "uid")
+    return n.groupBy("category").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("views"), F.round(F.avg("similarity"), 6).alias("best"))

@@ -195,6 +195,45 @@ def append_cache(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def dataset_cache(spark: SparkSession, path: str, categories: list[str] | None = None, uids: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(category, pos, uid, path) of a cached data set; no rows if it was made with other filters."""
+    schema = "dataset map<string, array<string>>, uid_to_file map<string, string>, categories array<string>, uids array<string>, per_category_limit int"
+    c = _json(spark, path, schema)
+    same = lambda col, want: F.array_sort(F.coalesce(col, F.array().cast("array<string>"))) == F.array_sort(F.array(*map(F.lit, want or [])).cast("array<string>"))
+    ok = same(F.col("categories"), categories) & same(F.col("uids"), uids) & F.col("per_category_limit").eqNullSafe(F.lit(limit).cast("int"))
+    rows = c.where(ok).select("uid_to_file", F.explode("dataset").alias("category", "list")).select("uid_to_file", "category", F.posexplode("list").alias("pos", "uid"))
+    return rows.select("category", "pos", "uid", F.element_at("uid_to_file", F.col("uid")).alias("path"))
+
+
+def write_dataset_cache(items: DataFrame, path: str, categories: list[str] | None = None, uids: list[str] | None = None, limit: int | None = None) -> None:
+    """A data set (category, pos, uid, path) as one JSON record with its filters: the file format needs it in one row."""
+    lists = items.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "uid"))), lambda s: s["uid"]).alias("list"))
+    d = lists.agg(F.map_from_entries(F.collect_list(F.struct("category", "list"))).alias("dataset"))
+    f = items.select("uid", "path").distinct().agg(F.map_from_entries(F.collect_list(F.struct("uid", "path"))).alias("uid_to_file"))
+    arr = lambda x: F.array(*map(F.lit, x)).cast("array<string>") if x else F.lit(None).cast("array<string>")
+    row = d.join(f, F.lit(True)).withColumns({"categories": arr(categories), "uids": arr(uids), "per_category_limit": F.lit(limit).cast("int")})
+    row.write.mode("overwrite").json(path)
+
+
+def feature_cache(spark: SparkSession, path: str, config: dict, create, delete_stale: bool = True) -> DataFrame:
+    """The table cached under path for this configuration (compared as JSON, part of the path); made and saved on a miss.
+
+    delete_stale drops what other configurations left, by an overwrite of the whole path."""
+    import hashlib
+    import json
+
+    key = hashlib.sha1(json.dumps(config, sort_keys=True).encode()).hexdigest()  # noqa: S324
+    part = f"{path.rstrip('/')}/config={key}"
+    try:
+        return spark.read.parquet(part)
+    except Exception as e:  # AnalysisException: the path does not exist
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    made = create().withColumn("config", F.lit(key))
+    made.write.mode("overwrite" if delete_stale else "append").partitionBy("config").parquet(path)
+    return spark.read.parquet(part)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
