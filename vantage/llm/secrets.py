@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and character Markov models that tell random strings from ordinary identifiers.
 
-Two order-1 Markov models over character classes are trained from labelled samples: one on random strings, one on
+Two order-1 Markov models over characters are trained from labelled samples: one on random strings, one on
 ordinary identifiers and words.  A candidate token is a secret if its log-likelihood ratio per character is at least
 a threshold.  Base patterns always stay; the models add spans that do not overlap them.
 
@@ -61,8 +61,12 @@ def random_samples(n: int = RANDOM_SAMPLES, seed: int = SEED) -> list[str]:
 
 def ordinary_samples(docs: DataFrame, text: str = "text", most: int = ORDINARY_SAMPLES) -> list[str]:
     """Labelled ordinary tokens: words of letters only, also joined as identifiers are;
-    the first such word of a document, at most `most` documents in order of a hash."""
-    rows = docs.select(F.regexp_extract(F.col(f"`{text}`"), r"[A-Za-z]{4,}(?:[_-][A-Za-z]+)*", 0).alias("w")).where("w <> ''").orderBy(F.xxhash64("w"), "w").limit(most).collect()
+    the first such word of a document, at most `most` documents in order of a hash of the word and the text."""
+    word = F.regexp_extract(F.col(f"`{text}`"), r"[A-Za-z]{4,}(?:[_-][A-Za-z]+)*", 0)
+    rows = docs.select(word.alias("w"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("k")).where("w <> ''")
+    n = max(1, docs.count())
+    near = rows.where((F.xxhash64("w", "k") / F.lit(2.0**64) + 0.5) * F.lit(float(n)) <= 2.0 * most + 50).distinct()  # few rows a task
+    rows = near.orderBy(F.xxhash64("w", "k"), "w", "k").limit(most).collect()
     words = [r["w"] for r in rows] or ["value", "name", "index", "parser"]
     joined = [f"{a}{sep}{b}" for i, (a, b) in enumerate(zip(words, words[1:], strict=False)) for sep in ("_", "-", "", "/")[i % 4 : i % 4 + 1]]
     numbers = [f"{w}{i % 1000}" for i, w in enumerate(words)] + [str(10**15 + 7919 * i) for i in range(len(words) // 4)]
