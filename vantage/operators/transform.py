@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.vectors import as_double, l2_normalize, total
 
 
@@ -32,6 +33,7 @@ def covariance(samples: DataFrame, vector: str = "vector") -> tuple[np.ndarray,
             yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.ravel().tolist()]})
 
     rows = samples.select(as_double(vector).alias("v")).where("v IS NOT NULL").mapInPandas(sums, "n long, s array<double>, g array<double>")
+    rows = cut(rows)  # read three times
     plus = lambda name: rows.select(F.posexplode(name).alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).orderBy("pos").toPandas()["x"].to_numpy()
     n = rows.agg(F.sum("n")).collect()[0][0] or 0
     if not n:
