@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a table that may be sent to every executor; above it operators use a shuffle join.
@@ -48,6 +48,18 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hash_sample(ids: DataFrame, most: int) -> DataFrame:
+    """(id, y, r): of the rows (id, y) at most `most` of each y, the first r = 1, 2, ... in order of a hash of the id.
+
+    Counts by y give a share of hashes that holds about twice as many rows; only those are ranked, so what meets in
+    a task is as small for a frequent y as for a rare one.  Repeated ids count once."""
+    counts = bounded(materialize(ids.groupBy(F.col("y").alias("__y")).agg(F.count(F.lit(1)).alias("__n"))))
+    u = (F.xxhash64(F.lit("sample"), "id") / F.lit(2.0**64)) + 0.5
+    near = ids.join(counts, F.col("y").eqNullSafe(F.col("__y"))).where(u * F.col("__n") <= 2 * most + 50).select("id", "y").distinct()
+    order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit("sample"), "id"), "id")
+    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small; a smaller setting of the user's stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -6,7 +6,8 @@ into a table per n, so a text is a 0/1 vector and a batch of kernel values is on
 labelled sample give Nystroem features; one-versus-rest ridge regression on them gives a value per language.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; texts of any length are read whole, in
-segments of at most SEGMENT letters whose values are averaged by length; languages are those of the labelled sample;
+segments of at most SEGMENT letters whose values are averaged by length; languages are those of the labelled sample
+(some hundreds at most: the model has SAMPLE_PER_LANG texts of each);
 without labelled rows all texts are `und`; repeated rows are classified each.
 """
 
@@ -14,10 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, small_batches, unpacked
+from .common import hash_sample, packed, small_batches, unpacked
 
 #: At most so many labelled rows a language are learned from: a bounded sample, in order of a hash of the id.
 SAMPLE_PER_LANG = 300
@@ -148,8 +149,7 @@ def fit(texts, langs) -> Model:
 def train(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on a bounded sample of the rows for which `learn` holds."""
     ids = docs.where(learn & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_PER_LANG)
+    ids = hash_sample(ids, SAMPLE_PER_LANG)
     sample = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "id").select("text", "y", "r").collect()
     sample.sort(key=lambda r: (r["r"], r["y"], r["text"] or ""))
     return fit([r["text"] for r in sample], [r["y"] for r in sample])
