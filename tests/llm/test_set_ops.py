@@ -194,6 +194,16 @@ def test_decontamination(spark, broadcast_rows):
     assert decontaminate.contaminated_pairs(docs.limit(0), b).count() == 0 == decontaminate.contaminated_pairs(docs, b.limit(0)).count()
 
 
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_decontamination_finds_short_items(spark, broadcast_rows):
+    bench = [(1, "Answer"), (2, "blue whale"), (3, "one two three four five"), (None, "lone"), (None, "two lone"), (4, "absent words")]
+    rows = [(1, "the answer, the ANSWER! answer"), (2, "a blue whale"), (3, "whale blue"), (4, "zero one two three four five six"), (5, "one two three four 5ive"), (6, "so two lone"), (7, None)]
+    docs, b = spark.createDataFrame(rows, DOC), spark.createDataFrame(bench, "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.contaminated_pairs(docs, b, broadcast_rows=broadcast_rows).collect()}
+    assert got == {(1, 1, 1, 1), (2, 2, 2, 2), (4, 3, 5, 5), (6, None, 1, 1), (6, None, 2, 2)}
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, b).collect()} == {3, 5, 7}
+
+
 def test_decontamination_runs_no_python(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g")], DOC)
     plan = decontaminate.contaminated_pairs(docs, docs.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().toString()

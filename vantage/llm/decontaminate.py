@@ -6,7 +6,7 @@ of all document positions; each hit aligns an item with a document, and the alig
 contaminated by an item if some WINDOW consecutive words of the item stand against equal words of the document in all
 but at most SUBSTITUTIONS places.  The two masks together miss no such window: for every pair of places in 13, one of
 them has a shift that avoids both.  Items shorter than WINDOW words must occur whole and unchanged, by a solid mask of
-their length; items of fewer than LEAST_WORDS words are not looked for.
+their length, down to items of one word; one place of such an item in a text is enough.
 
 Hits, made distinct, are joined back to the texts that have any.  Benchmark hashes, and the tables of hits, are sent
 to all executors only if they are few (BROADCAST_ROWS); else they are joined by a shuffle.
@@ -26,7 +26,7 @@ from .common import BROADCAST_ROWS, bounded, materialize
 #: Places of a mask that are hashed. Lossless for WINDOW and SUBSTITUTIONS (tests/llm checks it).
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 5, 7, 8))
 WINDOW, SUBSTITUTIONS = 13, 2
-#: Shorter items are no passages: ordinary text holds their words by chance.
+#: The SQL twin leaves out shorter items; the operator looks for all that have a word.
 LEAST_WORDS = 6
 
 
@@ -75,21 +75,24 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     """(doc_id, item_id, item_words, matched_words): the contaminated documents, with the item's words that stand in the
     best alignment against equal words."""
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("__text"))
-    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), word_hashes(F.col(f"`{item_text}`")).alias("item_h")).where(F.size("item_h") >= LEAST_WORDS)
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), word_hashes(F.col(f"`{item_text}`")).alias("item_h")).where(F.size("item_h") > 0)
     items = materialize(items)
     short = [r["n"] for r in items.select(F.size("item_h").alias("n")).where(F.col("n") < WINDOW).distinct().orderBy("n").collect()]  # below WINDOW values
     masks = _masks(short)
     seeds = _positions(items, "item_h", masks)
     solid = F.size("item_h") >= WINDOW
     fits = F.exists(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(short, len(MASKS)))), lambda x: (F.size("item_h") == x["n"]) & (F.col("at") == 0)) if short else F.lit(False)
-    seeds = materialize(seeds.where(solid | fits).select("seed", "item_id", F.col("at").alias("item_at")))
+    seeds = materialize(seeds.where(solid | fits).select("seed", "item_id", F.col("at").alias("item_at"), (~solid).alias("whole")))
     need = F.when(solid, F.lit(WINDOW - SUBSTITUTIONS)).otherwise(F.size("item_h"))
     shift = F.col("at") - F.col("item_at")
-    seeds = bounded(seeds.select("seed", "item_id", "item_at"), broadcast_rows)
+    seeds = bounded(seeds.select("seed", "item_id", "item_at", "whole"), broadcast_rows)
     keyed = d.withColumn("row_key", F.xxhash64(F.coalesce("__text", F.lit(""))))
     # h as the output of a generator: the plan computes it once; only numbers leave the stage that explodes positions
     spots = _positions(keyed.select("row_key", F.explode(F.array(word_hashes(F.col("__text")))).alias("h")), "h", masks).select("row_key", "seed", "at")
-    spots = materialize(spots.join(seeds, "seed").select("row_key", F.col("item_id").alias("spot_item"), shift.alias("shift")).distinct())
+    spots = spots.join(seeds, "seed").select("row_key", F.col("item_id").alias("spot_item"), shift.alias("shift"), F.when(F.col("whole"), F.col("seed")).alias("once"))
+    # a short item stands whole at each of its hits: the first is kept, so that a common word is not a row per place
+    spots = spots.groupBy("row_key", "spot_item", "once", F.when(F.col("once").isNull(), F.col("shift")).alias("each")).agg(F.min("shift").alias("shift"))
+    spots = materialize(spots.select("row_key", "spot_item", "shift"))
     keys = bounded(spots.select(F.col("row_key").alias("key")).distinct(), broadcast_rows)
     hits = keyed.join(keys, F.col("row_key") == F.col("key"), "left_semi").select("doc_id", "row_key", F.explode(F.array(word_hashes(F.col("__text")))).alias("h"))
     spots = spots.join(bounded(items, broadcast_rows), F.col("spot_item").eqNullSafe(F.col("item_id")))
