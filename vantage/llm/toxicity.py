@@ -8,8 +8,10 @@ into a single machine; a document's evidence is the sum over its clauses, so wha
 the word alone.  A logistic curve, fitted on the labelled sample, turns evidence into a score.
 
 Edge cases: null and empty texts have no evidence and get the score of it; texts of any length are read whole; null
-labels and labels of unknown documents are ignored; of several labels of a document the highest counts; without
-labelled rows the lexicon is empty and all scores are 0; repeated rows are scored each.
+labels and labels of unknown documents are ignored; of several labels of a document the highest counts; with
+labelled rows of one class or none, or without evidence in any, the lexicon is empty and all scores are 0, though
+evidence is still read; with a lexicon or without, the fixed lists of the grammar are at work; repeated rows are
+scored each.
 """
 
 from __future__ import annotations
@@ -100,7 +102,7 @@ class Model:
         self.words, self.stems, self.a, self.b = words, stems, a, b
         machine = grammar()
         self.arcs, self.start = machine.arcs, machine.start
-        self.keys = sorted(words | stems)
+        self.keys = sorted(words | stems | THREAT)  # a text with none of these has no evidence
         self.known: dict[str, int] = {}
 
     def classify(self, word: str) -> int:
@@ -198,11 +200,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     small_batches(docs.sparkSession)
     sample = labelled(docs, labels, doc_id, text, label)
     words, stems = lexicon(sample)
-    if not words and not stems:
-        return Model()
     model = Model(words, stems)
     evidence = F.pandas_udf(lambda t: pd.Series([model.evidence(x) for x in t], dtype="float64"), "double")
     rows = sample.select(evidence("text").alias("x"), (F.col("y") > 0).cast("double").alias("y")).toPandas()  # at most 2 * SAMPLE_PER_CLASS rows
+    if rows["y"].nunique() < 2 or not rows["x"].any():
+        return Model()
     a, b = calibrate(np.log1p(rows["x"].to_numpy()), rows["y"].to_numpy())
     return Model(words, stems, a, b)
 
