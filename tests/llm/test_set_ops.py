@@ -300,3 +300,21 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in out.collect()} <= set(kept) and out.columns == [*docs.columns, "copy", "order_key"]
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(13)
+    a, b, c, item = (" ".join(words(rng, 40)) for _ in range(4))
+    rows = [(1, a), (1, a), (1, a), (None, a), (None, a + " tail"), (2, b + " tail"), (2, b), (3, b), (None, c), (None, c), (None, "alone in the world"), (None, None), (None, ""), (5, "own text of five"), (5, "other text that shares the id"), (6, None), (6, None)]
+    docs = spark.createDataFrame(rows, DOC).withColumn("row_key", F.lit("own"))
+    got = [tuple(r) for r in cp.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    two = [t for i, t, _ in got if i == 2]
+    assert len(two) == 1 and two[0] in (b, b + " tail")
+    want = [(1, a), (2, two[0]), (None, c), *rows[10:]]
+    assert sorted(got, key=str) == sorted([(i, t, "own") for i, t in want], key=str)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, "clean"), (None, None), (7, "so " + item), (7, "clean too"), (8, item), (8, "")]
+    left = cp.benchmark(spark, spark.createDataFrame(rows, DOC), str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [rows[1], rows[2], rows[4], rows[6]]))

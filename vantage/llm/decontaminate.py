@@ -103,10 +103,11 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the contaminated ones."""
-    bad = contaminated_pairs(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__bad")).distinct()
-    bad = bounded(materialize(bad))
-    return docs.join(bad, docs[f"`{doc_id}`"].eqNullSafe(bad["__bad"]), "left_anti")
+    """docs without the contaminated rows, told by a digest of their text: ids may repeat or be null."""
+    digest = F.unhex(F.sha2(docs[f"`{text}`"].cast("binary"), 256))
+    found = contaminated_pairs(docs.select(digest.alias("digest"), F.col(f"`{text}`").alias("text")), benchmark, "digest")
+    bad = bounded(materialize(found.select(F.col("doc_id").alias("__bad")).distinct()))
+    return docs.join(bad, digest == bad["__bad"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
