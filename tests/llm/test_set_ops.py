@@ -318,3 +318,16 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     rows = [(None, item), (None, "clean"), (None, None), (7, "so " + item), (7, "clean too"), (8, item), (8, "")]
     left = cp.benchmark(spark, spark.createDataFrame(rows, DOC), str(tmp_path)).collect()
     assert sorted(map(str, map(tuple, left))) == sorted(map(str, [rows[1], rows[2], rows[4], rows[6]]))
+
+
+def test_pipeline_language_keeps_short_texts_and_many_languages(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(14)
+    rows = []
+    for lang in range(150):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(8)]
+        rows += [(len(rows) + k, " ".join(rng.choice(own) for _ in range(12)), f"l{lang}") for k in range(4)]
+    rows += [(9000, "Re.", None), (9001, "A.", None), (9002, "x", None), (9003, "12 !?", None), (9004, "", None), (9005, None, None)]
+    got = cp.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == [i for i, t, _ in rows if t and re.search("[A-Za-z]", t)]
