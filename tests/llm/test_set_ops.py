@@ -262,13 +262,42 @@ def test_top_k(spark):
 
 def test_threshold_search_stops_early_and_is_exact():
     rng = np.random.default_rng(10)
-    for _ in range(100):
-        n, d = int(rng.integers(1, 900)), int(rng.integers(1, 4))
+    stopped = whole = 0
+    for trial in range(100):
+        n, d = int(rng.integers(1, 900 if trial % 4 else 7)), int(rng.integers(1, 4))
         v, ids = rng.integers(-40, 41, (n, d)), rng.permutation(2 * n)[:n]
         q, own = rng.integers(-3, 4, (4, d)), rng.choice(ids, 4)
-        for i, found, scores in topk.Lists(ids, v).search(own, q, 5):
+        for i, at, scores, (entries, met, early) in (lists := topk.Lists(ids, v)).search(own, q, 5):
             want = sorted((-int(x @ q[i]), int(j)) for x, j in zip(v, ids, strict=True) if j != own[i])[:5]
-            assert [(-int(s), int(j)) for j, s in zip(found, scores, strict=True)] == want
+            assert [(-int(s), int(j)) for j, s in zip(lists.ids[at], scores, strict=True)] == want
+            assert met <= n - 1 and entries <= n * d and (early or met == n - 1)
+            stopped += early
+            whole += not early
+    assert stopped > 100 and whole > 10  # both ways out are taken
+
+
+def test_threshold_search_through_spark(spark, monkeypatch):
+    """Several blocks and query groups, repeated ids; every query leaves by the bound or after all rows of a block."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 300)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 2)
+    rng = np.random.default_rng(15)
+    ids = [*range(900), 40, 40, 7]
+    rows = [(i, [float(x) for x in rng.normal(size=2)]) for i in ids]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = np.floor(64 * np.array([e for _, e in rows]))
+    want = []
+    for x, i in enumerate(ids):
+        if i % 20 == 0:
+            s = sorted((-int(q[x] @ q[y]), j, y) for y, j in enumerate(ids) if y != x)[:20]
+            want += [(i, r + 1, j, -z) for r, (z, j, _) in enumerate(s)]
+    assert sorted(map(tuple, topk.top_k(v).collect())) == sorted(want)
+    reads = topk.found_in_blocks(v).select("query_key", "entries", "met", "stopped").distinct().collect()
+    assert sum(r["stopped"] for r in reads) > 0.5 * len(reads) and all(r["stopped"] or r["met"] >= 200 for r in reads)
+    one = topk.top_k(spark.createDataFrame([(20, [1.0]), (20, [2.0])], "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, one)) == [(20, 1, 20, 8192), (20, 1, 20, 8192)]
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(spark.createDataFrame([(20, [1e12]), (21, [2e12])], "vec_id long, embedding array<double>")).collect()
 
 
 def test_pipeline(spark, tmp_path):

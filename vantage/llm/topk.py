@@ -1,18 +1,25 @@
 """Exact top-k inner-product search by Fagin's threshold algorithm.
 
-Vectors become integers floor(scale * x).  Candidates lie in blocks; each block keeps, for each dimension, its ids
-in order of that component.  A query reads these lists in step, from the large end where its weight is positive and
-from the small end where it is negative (dimensions of weight 0 add nothing and are not read).  Every id met is
-scored in full.  The sum of weight times the value at the reading depth bounds every id not yet met: once it is
-below the kth best score, no unseen id of the block can enter, ties included.  Depths go in doubling steps.  The blocks' lists are then merged.
+Vectors become integers floor(scale * x).  Candidates lie in blocks; each block keeps, for each dimension, its rows in
+order of that component.  A query reads these lists from the large end where its weight is positive and from the small
+end where it is negative (dimensions of weight 0 add nothing and are not read).  Each step lowers a level c and reads
+every list down to the entries whose weight times component is above c, so lists of large weight times next value are
+read further than others.  Every row met is scored in full, once.  The sum over the lists of weight times the first value not read
+bounds every row not yet met: once it is below the kth best score, no such row of the block can enter, ties included.
+A query leaves a block by this rule or when its lists have shown every row; there is no other way.  The blocks' results are then merged.
 
-The query set is a stated part of the rows; queries and candidates meet block by block, and what a task holds is one
-block of each.  Scores are exact: products are summed as doubles below 2**53 (larger inputs raise an error).
+In many dimensions of like spread the bound falls slowly and most lists show all rows before it stops; `top_k` can
+report, per query and block, how many list entries were read, how many rows met, and which rule ended it.
+
+The query set is a stated part of the rows.  A task builds the lists of one block once and answers a stream of query
+blocks from them (QUERY_GROUP at most, so that a task stays bounded as the number of queries grows).  Scores are exact:
+products are summed as floats where all sums are below 2**24, as doubles below 2**53; larger inputs raise an error.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part, as query or candidate;
-a null id takes no part; ties go to the smaller id; a query never returns a row of its own id; vectors of different
-length than the query's are no candidates of it; with fewer than k candidates all are returned; no queries or no
-candidates give no rows.  Other columns are ignored.
+a null id takes no part; ties go to the smaller id.  Rows are told apart by a key of their own: rows that repeat an id
+are queries each, with a ranking each, and find the other rows of their id.  Vectors of different length than the
+query's are no candidates of it; with fewer than k candidates all are returned; no queries or no candidates give no
+rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,39 +32,50 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SCALE, K, EVERY = 64, 20, 20
-CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 1024
-FIRST_DEPTH = 8
+CANDIDATE_BLOCK, QUERY_BLOCK, QUERY_GROUP = 4096, 1024, 16
+#: Shares of a block's list entries that a query has read after each step, about; the last step reads all.
+SHARES = (1 / 64, 1 / 16, 1 / 9, 1 / 6, 1 / 4, 3 / 8, 1 / 2, 1)
+#: Places of the table that tells how many entries of a list lie below a value.
+PLACES = 128
 
 
 def quantize(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """(vec_id, v array<long>, dim) of the rows that take part."""
+    """(key, vec_id, v array<long>, dim) of the rows that take part; key tells rows apart."""
     e = F.col(f"`{embedding}`")
     usable = F.col(f"`{vec_id}`").isNotNull() & e.isNotNull() & (F.size(e) > 0)
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     v = F.transform(e, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    return vectors.where(usable & F.coalesce(finite, F.lit(False))).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), v.alias("v"), F.size(e).alias("dim"))
+    rows = vectors.where(usable & F.coalesce(finite, F.lit(False)))
+    return rows.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{vec_id}`").cast("long").alias("vec_id"), v.alias("v"), F.size(e).alias("dim"))
 
 
 def _pack(df: DataFrame, rows_per_block: int, rows: int, salt: str) -> DataFrame:
-    """Rows (block, dim, ids, vs): blocks of about rows_per_block rows of one length, dealt by a hash of the id."""
+    """Rows (block, dim, keys, ids, vs): blocks of about rows_per_block rows of one length, dealt by a hash of the key."""
     blocks = max(1, -(-rows // rows_per_block))
-    at = F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(blocks)).cast("int")
-    return df.groupBy(at.alias("block"), "dim").agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
+    at = F.pmod(F.xxhash64(F.lit(salt), "key"), F.lit(blocks)).cast("int")
+    own = F.collect_list(F.struct("key", "vec_id", "v"))
+    return df.groupBy(at.alias("block"), "dim").agg(own.alias("r")).select("block", "dim", F.col("r.key").alias("keys"), F.col("r.vec_id").alias("ids"), F.flatten("r.v").alias("vs"))
 
 
 class Lists:
     """A candidate block: vectors sorted by id, and per dimension the positions in ascending order of the component."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.v = ids[order], vectors[order].astype(np.float64)
-        self.order = np.argsort(self.v, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(self.v, self.order, 0)
-
-    def bounds(self, q: np.ndarray, depths: np.ndarray) -> np.ndarray:
-        """What no id unseen at these reading depths can score above."""
-        n = len(self.ids)
-        return np.where(q < 0, self.sorted[depths - 1], self.sorted[n - depths]) @ q
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, keys: np.ndarray | None = None):
+        keys = ids if keys is None else keys
+        order = np.lexsort((keys, ids))
+        self.ids, self.keys = ids[order], keys[order]
+        whole = vectors[order]
+        #: largest component, for the choice of a type in which sums are exact
+        self.most = float(np.abs(whole).max()) if whole.size else 0.0
+        self.v = whole.astype(np.float64)
+        self.narrow = whole.astype(np.float32) if self.most < 1 << 24 else None
+        by = np.argsort(whole, axis=0, kind="stable")
+        #: one row a dimension: positions, and the components in that order
+        self.order = np.ascontiguousarray(by.T.astype(np.int64))
+        self.sorted = np.ascontiguousarray(np.take_along_axis(self.v, by, 0).T)
+        self.low, high = (self.v.min(), self.v.max()) if whole.size else (0.0, 0.0)
+        self.step = max((high - self.low) / PLACES, 1e-300)
+        self.below = np.stack([np.searchsorted(x, self.low + self.step * np.arange(PLACES + 1)) for x in self.sorted]) if whole.size else None
 
     def best(self, at: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best of these positions, by score, then id."""
@@ -68,78 +86,104 @@ class Lists:
         order = np.lexsort((at, -scores))[:k]
         return at[order], scores[order]
 
-    def met(self, q: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Positions read in steps lo to hi of the lists, each once."""
-        n, used = len(self.ids), np.flatnonzero(q)
-        up = q[used] < 0
-        new = np.zeros(n, bool)
-        new[self.order[lo:hi][:, used[up]].ravel()] = True
-        new[self.order[n - hi : n - lo][:, used[~up]].ravel()] = True
-        return np.flatnonzero(new)
+    def walk(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int, bool]]:
+        """(positions, scores, (entries read, rows met, stopped by the bound)) of the k best but row `own`."""
+        n, dim = self.v.shape
+        exact = dim * self.most * float(np.abs(q).max(initial=0.0))
+        if exact >= 2.0**53:
+            raise ValueError("components are too large for exact scores")
+        v = self.narrow if self.narrow is not None and exact < 1 << 24 else self.v
+        weights = q.astype(v.dtype)
+        used = np.flatnonzero(q)
+        flat = self.order.ravel()
+        unseen = self.keys != own
+        others = left = int(np.count_nonzero(unseen))
+        at, scores = np.zeros(0, np.int64), np.zeros(0, v.dtype)
+        w, up = q[used].astype(np.float64), q[used] > 0
+        read = np.zeros(len(used), np.int64)  # entries read of each list, from its own end
+        for share in SHARES if len(used) else ():
+            depth = max(1, int(share * n))
+            if depth < n:
+                # the level that lists read alike would reach at this depth: every list is read down to it
+                level = float(np.mean(np.where(up, self.sorted[used, n - depth], self.sorted[used, depth - 1]) * w)) / w
+                place = np.clip(np.ceil((level - self.low) / self.step), 0, PLACES).astype(np.int64)
+                below = self.below[used, place]
+                reach = np.maximum(read, np.where(up, n - below, below))
+            else:
+                reach = np.full(len(used), n)
+            if not (size := int((reach - read).sum())):
+                continue
+            start = np.where(up, n - reach, read) + used * n
+            runs = np.repeat(start - np.concatenate([[0], np.cumsum(reach - read)[:-1]]), reach - read)
+            new = np.zeros(n, bool)
+            new[flat[runs + np.arange(size)]] = True
+            new &= unseen
+            read = reach
+            found = np.flatnonzero(new)
+            if len(found):
+                unseen[found] = False
+                left -= len(found)
+                at, scores = self.best(np.concatenate([at, found]), np.concatenate([scores, v.take(found, 0) @ weights]), k)
+            if not left or (reach == n).any():  # a list read to its end has shown every row
+                break
+            following = np.where(up, self.sorted[used, n - 1 - reach], self.sorted[used, reach])
+            if len(at) == k and float(following @ w) < scores[-1]:
+                break
+        if left and not len(used):  # a query of zeros reads no list: all scores are 0, the smallest ids are best
+            found = np.flatnonzero(unseen)[:k]
+            at, scores = found, np.zeros(len(found))
+        return at, scores, (int(read.sum()), others - left, bool(left))
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int):
-        """(query number, ids, scores) of the k best of each query.
-
-        After FIRST_DEPTH steps the kth score of what was met tells how deep the lists must be read at most.  Where
-        that reads few entries they are read; the queries whose lists would meet most of the block share one matrix
-        product over it, the bound being known not to stop them."""
-        n = len(self.ids)
-        depths = np.unique(np.minimum(n, FIRST_DEPTH * 2 ** np.arange(0, 1 + max(1, n).bit_length())))
-        rest = []
-        for i, (me, q) in enumerate(zip(own, queries.astype(np.float64), strict=True)):
-            if q.any() and n > 8 * k:
-                at = self.met(q, 0, depths[0])
-                at = at[self.ids[at] != me]
-                at, scores = self.best(at, self.v[at] @ q, k)
-                if len(at) == k:
-                    stop = np.flatnonzero(self.bounds(q, depths) < scores[-1])
-                    depth = depths[stop[0]] if len(stop) else n
-                    if depth * np.count_nonzero(q) < n // 2:
-                        at = self.met(q, 0, depth)
-                        at = at[self.ids[at] != me]
-                        at, scores = self.best(at, self.v[at] @ q, k)
-                        yield i, self.ids[at], scores
-                        continue
-            rest.append(i)
-        for a in range(0, len(rest), 256):
-            part = rest[a : a + 256]
-            products = queries[part].astype(np.float64) @ self.v.T
-            for i, scores in zip(part, products, strict=True):
-                at = np.flatnonzero(self.ids != own[i])
-                at, scores = self.best(at, scores[at], k)
-                yield i, self.ids[at], scores
+        """(query number, positions, scores, reads) of the k best of each query."""
+        for i, (me, q) in enumerate(zip(own, queries, strict=True)):
+            yield i, *self.walk(me, q, k)
 
 
-def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", is_query=None, k: int = K, scale: int = SCALE) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each row for which is_query holds, against all other rows."""
+OUT = "query_key long, query_id long, key long, vec_id long, score long, entries long, met long, stopped boolean"
+
+
+def found_in_blocks(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", is_query=None, k: int = K, scale: int = SCALE) -> DataFrame:
+    """(query_key, query_id, key, vec_id, score, entries, met, stopped): the k best of each query in each block, with
+    what it read there; a query that finds nothing in a block gives no row."""
     rows = materialize(quantize(vectors, vec_id, embedding, scale))
     is_query = F.col("vec_id") % EVERY == 0 if is_query is None else is_query
     queries = rows.where(is_query)
     n, nq = rows.count(), queries.count()
-    nqb = max(1, -(-nq // QUERY_BLOCK))
-    q = _pack(queries, QUERY_BLOCK, nq, "q").select(F.col("block").alias("qb"), F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("vs").alias("qvs"))
-    c = _pack(rows, CANDIDATE_BLOCK, n, "c").select("block", "dim", "ids", "vs", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))).alias("qb"))
-    pairs = c.join(q.hint("shuffle_hash"), "qb").where("dim = qdim").select("block", "qb", "dim", "ids", "vs", "qids", "qvs")
-    pairs = pairs.repartition(max(8, min(4096, -(-n // CANDIDATE_BLOCK) * nqb)), "block", "qb")
+    blocks = max(1, -(-n // CANDIDATE_BLOCK))
+    groups = max(1, -(-nq // (QUERY_BLOCK * QUERY_GROUP)))
+    q = _pack(queries, QUERY_BLOCK, nq, "q").select("dim", "keys", "ids", "vs", F.floor(F.col("block") / QUERY_GROUP).cast("int").alias("grp"), F.col("block").alias("part"))
+    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    c = _pack(rows, CANDIDATE_BLOCK, n, "c").withColumns({"part": F.lit(-1), "grp": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))})
+    order = ("block", "grp", "dim", "part")
+    # the lists of a block come first (part -1), then the query blocks that read them
+    both = c.select(*order, "keys", "ids", "vs").unionByName(q.select(*order, "keys", "ids", "vs"))
+    both = both.repartition(max(1, min(4096, blocks * groups)), "block", "grp", "dim").sortWithinPartitions(*order)
 
     def search(batches):
+        lists = at = None
         for batch in batches:
             for row in range(batch.num_rows):
-                dim = batch["dim"][row].as_py()
+                block, grp, dim, part = (batch[c][row].as_py() for c in order)
                 get = lambda name, row=row, batch=batch: batch[name].slice(row, 1).flatten().to_numpy(zero_copy_only=False)
-                ids, vs, qids, qvs = get("ids"), get("vs"), get("qids"), get("qvs")
-                if dim * float(np.abs(vs).max()) * float(np.abs(qvs).max()) >= 2.0**53:
-                    raise ValueError("components are too large for exact scores")
-                lists = Lists(ids, vs.reshape(-1, dim))
-                out_q, out_id, out_s = [], [], []
-                for i, found, score in lists.search(qids, qvs.reshape(-1, dim), k):
-                    out_q.append(np.full(len(found), qids[i]))
-                    out_id.append(found)
-                    out_s.append(score.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_q, out_id, out_s)], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                keys, ids, vs = get("keys"), get("ids"), get("vs").reshape(-1, dim)
+                if part < 0:
+                    lists, at = Lists(ids, vs, keys), (block, grp, dim)
+                elif at == (block, grp, dim):
+                    out = []
+                    for i, found, score, reads in lists.search(keys, vs, k):
+                        m = len(found)
+                        out.append((np.full(m, keys[i]), np.full(m, ids[i]), lists.keys[found], lists.ids[found], score.astype(np.int64), np.full(m, reads[0]), np.full(m, reads[1]), np.full(m, reads[2])))
+                    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in columns[:7]), pa.array(columns[7].astype(bool))], [x.split()[0] for x in OUT.split(", ")])
+
+    return both.mapInArrow(search, OUT)
+
+
+def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", is_query=None, k: int = K, scale: int = SCALE) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each row for which is_query holds, against all other rows."""
+    found = found_in_blocks(vectors, vec_id, embedding, is_query, k, scale).select("query_key", "query_id", "key", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id", "key"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
