@@ -131,6 +131,12 @@ def test_repeated_passages(spark, window):
     assert got == brute_passages(rows, window)
     kept = substrings.remove_repeats(docs, window=window)
     assert kept.columns == docs.columns and kept.count() == len(rows)
+    # anchors in more than two documents are hot: the windows that had them take others, with the same result
+    spans = lambda **more: sorted(map(str, substrings.repeated_spans(docs, window=window, **more).collect()))
+    assert spans(hot_docs=2) == spans()
+    # ids of another type, in the same order
+    named = docs.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.format_string("k%05d", F.col("doc_id") + 1)))
+    assert sorted(tuple(r)[1:] for r in substrings.digests(named, window=window).collect()) == sorted(x[1:] for x in got)
     assert substrings.digests(docs.limit(0)).count() == 0
 
 
@@ -154,21 +160,21 @@ def test_masks_miss_no_window():
     assert hits == len(list(itertools.combinations(range(n), decontaminate.SUBSTITUTIONS)))
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
-def test_decontamination(spark, broadcast_rows):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_decontamination(spark, most):
     rng = random.Random(8)
-    bench = [(i, " ".join(words(rng, n))) for i, n in enumerate((40, 13, 8, 25, 3))] + [(5, None), (6, ""), (7, "!?")]
+    bench = [(i, " ".join(words(rng, n))) for i, n in enumerate((40, 13, 8, 25, 3))] + [(5, None), (6, ""), (7, "!?")] + [(8 + n, " ".join(words(rng, n))) for n in (4, 5, 6, 7, 9, 10, 11, 12)]
     rows = []
-    for i in range(50):
+    for i in range(90):
         w = words(rng, rng.randrange(5, 80))
-        if i % 3 == 0:
-            part = bench[rng.randrange(4)][1].split()
-            part = part if rng.random() < 0.6 else part[5:]
+        if i % 3 != 1:
+            part = bench[rng.choice([0, 1, 2, 3, *range(8, 16)])][1].split()
+            part = part if rng.random() < 0.8 else part[rng.randrange(1, 6) :] or part
             for _ in range(rng.randrange(0, 4)):
                 part[rng.randrange(len(part))] = "changed"
             w[3:3] = [x.upper() + "," for x in part]
         rows.append((i, " ".join(w)))
-    rows += [(60, None), (61, ""), (None, bench[0][1]), (62, bench[2][1]), (62, bench[2][1]), (63, " ".join(words(rng, 20_000)))]
+    rows += [(160, None), (161, ""), (None, bench[0][1]), (162, bench[2][1]), (162, bench[2][1]), (163, " ".join(words(rng, 20_000))), (164, " ".join(bench[15][1].split()[1:])), (165, " ".join(bench[12][1].split()[:-1]))]
 
     def split(t):
         return re.findall(r"[a-z0-9]+", (t or "").lower())
@@ -177,33 +183,68 @@ def test_decontamination(spark, broadcast_rows):
     for d, t in rows:
         for item, bt in bench:
             w, b = split(t), split(bt)
-            if len(b) < decontaminate.LEAST_WORDS:
+            if not b:
                 continue
             for shift in range(-len(b), len(w)):
                 same = [0 <= shift + k < len(w) and w[shift + k] == b[k] for k in range(len(b))]
                 width = min(len(b), 13)
-                need = 11 if len(b) >= 13 else len(b)
+                need = 11 if len(b) >= 13 else len(b) - len(b) * 2 // 13
                 if max(sum(same[s : s + width]) for s in range(len(b) - width + 1)) >= need:
                     want[d, item] = max(want.get((d, item), 0), sum(same))
     docs = spark.createDataFrame(rows, DOC).withColumn("item_id", F.lit("clash")).withColumn("h", F.lit(1))
     b = spark.createDataFrame(bench, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in decontaminate.contaminated_pairs(docs, b, broadcast_rows=broadcast_rows).collect()}
+    got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in decontaminate.contaminated_pairs(docs, b, most=most).collect()}
     assert got == want and (None, 0) in got
     left = decontaminate.decontaminate(docs.withColumn("__bad", F.lit(1)), b)
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(d) for d, _ in rows if d not in {k[0] for k in want})
     assert decontaminate.contaminated_pairs(docs.limit(0), b).count() == 0 == decontaminate.contaminated_pairs(docs, b.limit(0)).count()
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
-def test_decontamination_finds_short_items(spark, broadcast_rows):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_decontamination_finds_short_items(spark, most):
     bench = [(1, "Answer"), (2, "blue whale"), (3, "one two three four five"), (None, "lone"), (None, "two lone"), (4, "absent words")]
     rows = [(1, "the answer, the ANSWER! answer"), (2, "a blue whale"), (3, "whale blue"), (4, "zero one two three four five six"), (5, "one two three four 5ive"), (6, "so two lone"), (7, None)]
     docs, b = spark.createDataFrame(rows, DOC), spark.createDataFrame(bench, "item_id long, text string")
-    got = {tuple(r) for r in decontaminate.contaminated_pairs(docs, b, broadcast_rows=broadcast_rows).collect()}
+    got = {tuple(r) for r in decontaminate.contaminated_pairs(docs, b, most=most).collect()}
     assert got == {(1, 1, 1, 1), (2, 2, 2, 2), (4, 3, 5, 5), (6, None, 1, 1), (6, None, 2, 2)}
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs, b).collect()} == {3, 5, 7}
 
 
+def test_short_masks_miss_no_item():
+    for n in range(1, decontaminate.WINDOW):
+        ((mask, (_, firsts)),) = decontaminate._short_masks([n]).items()
+        laid = [{a + p for p in mask} for a in range(firsts)]
+        assert all(max(x) < n for x in laid)
+        for bad in itertools.combinations(range(n), decontaminate.tolerated(n)):
+            assert any(not x & set(bad) for x in laid)
+    assert [decontaminate.tolerated(n) for n in range(1, 13)] == [0] * 6 + [1] * 6
+
+
+def test_decontamination_tolerates_one_change_in_twelve_words(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    docs = spark.createDataFrame([(1, "so " + item.replace("zeta", "ZZZ") + " end"), (2, item.replace("zeta", "x").replace("mu", "y")), (3, item[6:]), (4, item)], DOC)
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {(r["doc_id"], r["matched_words"]) for r in decontaminate.contaminated_pairs(docs, b).collect()} == {(1, 11), (3, 11), (4, 12)}
+
+
+def test_decontamination_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(21)
+    bench = [(n, " ".join(f"w{rng.randrange(30)}" for _ in range(n))) for n in range(1, 16)]
+    rows = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    for i, (_, t) in enumerate(bench * 2):
+        w = t.split()
+        w[rng.randrange(len(w))] = "changed" if i % 2 else w[0]
+        rows.append((100 + i, "pre " + " ".join(w) + " post"))
+    c = duckdb.connect()
+    for name, data, key in (("documents", rows, "doc_id"), ("benchmark", bench, "item_id")):
+        spark.createDataFrame(data, f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = decontaminate.query(spark, str(tmp_path))
+    assert sorted(map(tuple, got.select("doc_id", "item_id", "item_words", "matched_words").collect())) == sorted(c.execute(decontaminate.SQL).fetchall())
+
+
 def test_decontamination_runs_no_python(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g")], DOC)
     plan = decontaminate.contaminated_pairs(docs, docs.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().toString()

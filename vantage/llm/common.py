@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be sent to every executor; above it operators use a shuffle join.
-BROADCAST_ROWS = 200_000
+#: Bytes of a table that may be sent to every executor; above it operators use a shuffle join.
+BROADCAST_BYTES = 8 << 20
 #: Bytes of text that one vectorised step takes; a longer document is a step of its own.
 SLICE_BYTES = 1 << 20
 #: Rows in one Arrow batch: whole texts can be long, so far fewer than Spark's default.
@@ -42,10 +42,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (narrow rows, already materialised) marked for broadcast if it has at most `rows` rows; else unmarked,
-    so that the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(field) -> Column:
+    """Size of a column's values, about: 8 bytes for a number, what a string or an array holds."""
+    kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if kind == "array":
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 8 if field.dataType.elementType.typeName() not in ("string", "array", "struct") else F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + 8
+    return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) if kind in ("struct", "map") else F.lit(8)
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df (already materialised: it is read for its size) marked for broadcast if it holds at most `most` bytes; else
+    unmarked, so that the join shuffles and its skewed keys are split at run time."""
+    total = sum((_bytes(f) for f in df.schema.fields), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(total.cast("long"))).collect()[0][0] or 0) <= most else df  # one row
 
 
 def hash_sample(ids: DataFrame, most: int) -> DataFrame:

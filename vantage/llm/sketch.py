@@ -2,7 +2,8 @@
 
 Every task counts into CELLS cells and returns them compressed in PARTS parts; parts are summed by key.  The table is
 what is sent to executors: 2 bytes a cell, 8 MB whatever the corpus.  An n-gram's count is that of its cell, so never
-too low.  Operators use it only to order n-grams from rare to frequent; any table gives right results.
+too low; counts are kept as logarithms, so that they do not saturate.  Operators use the table only to order n-grams
+from rare to frequent; any table gives right results.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def cells(h: np.ndarray) -> np.ndarray:
 
 
 def corpus_counts(texts: DataFrame, hashes) -> np.ndarray:
-    """uint16 counts (clipped) by cell; texts has one string column; hashes(array of texts) yields arrays of hashes."""
+    """Counts by cell as uint16, 1024 a power of two; texts has one string column; hashes(array of texts) yields arrays of hashes."""
 
     def count(batches):
         table = np.zeros(CELLS, np.uint32)
@@ -41,7 +42,8 @@ def corpus_counts(texts: DataFrame, hashes) -> np.ndarray:
         for pdf in frames:
             for c in pdf["counts"]:
                 total += np.frombuffer(zlib.decompress(c), np.uint32)
-        yield pd.DataFrame({"part": [int(key[0])], "counts": [zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)]})
+        steps = np.minimum(np.log2(1.0 + total) * 1024, 65535).astype(np.uint16)
+        yield pd.DataFrame({"part": [int(key[0])], "counts": [zlib.compress(steps.tobytes(), 1)]})
 
     rows = texts.mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(lambda key, pdf: next(add(key, [pdf])), "part int, counts binary")
     out = np.zeros((PARTS, CELLS // PARTS), np.uint16)

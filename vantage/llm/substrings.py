@@ -3,19 +3,23 @@
 A window is WINDOW consecutive words of one document; a word goes if a window covers it whose words also stand in a
 document with a smaller id.  Windows that can repeat are found first: the least word ANCHOR-gram of a window, in an
 order of all ANCHOR-grams that puts rare ones first (sketch.py), is its anchor, and equal windows have equal anchors
-at the same place.  Anchors that occur in several documents name the shards: the passages around one anchor, those of
-smaller ids first.  A task holds one shard at a time: it streams the passages in order of id through the suffix
-automaton of the passages before them.  Where the matching statistic (the longest match that ends at a word) reaches
-WINDOW, the window that ends there is removed.  A passage that adds something is then put into the automaton.
+at the same place.  Anchors that occur in several documents name the shards.  The run of windows with one anchor is a
+passage; equal passages are made one before they meet (their words, the smallest id that has them, the largest).  A
+task holds one shard at a time: it streams the distinct passages in order of smallest id through the suffix automaton
+of those before them.  Where the matching statistic (the longest match that ends at a word) reaches WINDOW, the window
+that ends there is removed.  A passage that adds something is then put into the automaton.  The spans found hold for
+the passage's first document; in all others the whole passage repeats.  They are joined back to the places of the passage.
 
 The reference is as large as what repeats in the corpus, which has no bound; so shards are not broadcast, but brought
-together with the passages to test by a shuffle on the anchor.  As frequent ANCHOR-grams come last, windows with any
-words of their own take rare anchors, and the passages around a frequent anchor are few distinct ones: an automaton
-stays small, and passages already seen are looked up.
+together with the passages to test by a shuffle on the anchor.  A frequent passage costs one row a task before the
+shuffle and one row after it.  Anchors in very many documents (HOT_DOCS, or HOT_SHARE of all) are put last in the
+order, by exact counts, and the windows that had them take their next rarest: what still has such an anchor are
+windows of frequent n-grams only, which are few distinct passages.
 
 Edge cases: a null text has no words; words are compared unchanged; texts shorter than a window lose nothing; rows of
-one id are not compared with each other; rows with a null id are kept whole and are no reference; windows are judged
-on the input; an empty table gives an empty table.  Extra columns are carried along by `remove_repeats`.
+one id are not compared with each other; rows with a null id are kept whole and are no reference; ids of any type
+that has an order will do; repeated rows are judged each and meet as one; windows are judged on the input; an empty
+table gives an empty table.  Extra columns are carried along by `remove_repeats`.
 """
 
 from __future__ import annotations
@@ -27,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Words, inside, materialize, mix, packed, slices, small_batches, unpacked, utf8, windows
+from .common import SLICE_BYTES, Words, bounded, inside, materialize, mix, packed, slices, small_batches, unpacked, utf8, windows
 from .sketch import cells, corpus_counts
 
 WINDOW, ANCHOR = 50, 10
 #: Words that one vectorised step may number.
 _PLACES = 22
-#: Numbers in a table that is broadcast; a larger one is joined by a shuffle.
-BROADCAST_NUMBERS = 2_000_000
+#: An anchor is hot if it is in more documents than this, and than this share of all (document, anchor) pairs.
+HOT_DOCS, HOT_SHARE = 1000, 1e-6
 
 
 class Automaton:
@@ -120,22 +124,31 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(x) - w + 1], out[w - width : w - width + len(x) - w + 1]) if width < w else out
 
 
-def anchors(h: np.ndarray, first: np.ndarray, counts: np.ndarray, window: int, anchor: int):
-    """Of the windows inside texts: (text, anchor hash, first window, last window) of each run with one anchor."""
+def anchors(h: np.ndarray, first: np.ndarray, counts: np.ndarray, window: int, anchor: int, hot: np.ndarray | None = None):
+    """Of the windows inside texts: (text, anchor hash, first window, last window, moved) of each run with one anchor.
+
+    hot: sorted hashes that come last in the order; moved tells of a run whether it has a window that lost such an anchor."""
     none = np.zeros(0, np.int64)
     at, row = inside(first, window, len(h))
     if not len(at):
-        return none, np.zeros(0, np.uint64), none, none
+        return none, np.zeros(0, np.uint64), none, none, np.zeros(0, bool)
     grams = windows(h, anchor)
     place = np.arange(len(grams), dtype=np.uint64)
     # 16 bits of count, 26 of the hash, then the place: the leftmost of equals
     key = (counts[cells(grams)].astype(np.uint64) << np.uint64(48)) | ((mix(grams) >> np.uint64(38)) << np.uint64(_PLACES)) | place
-    low = (sliding_min(key, window - anchor + 1)[at] & np.uint64((1 << _PLACES) - 1)).astype(np.int64)
+    least = lambda key: (sliding_min(key, window - anchor + 1)[at] & np.uint64((1 << _PLACES) - 1)).astype(np.int64)
+    low = least(key)
+    moved = np.zeros(len(at), bool)
+    if hot is not None and len(hot):
+        is_hot = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+        if is_hot.any():
+            moved = is_hot[low]
+            low = least(np.where(is_hot, key | (np.uint64(0xFFFF) << np.uint64(48)), key))
     new = np.ones(len(at), bool)
     new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
     start = np.flatnonzero(new)
     end = np.append(start[1:], len(at)) - 1
-    return row[start], grams[low[start]], at[start], at[end]
+    return row[start], grams[low[start]], at[start], at[end], np.logical_or.reduceat(moved, start)
 
 
 def _chunks(array: pa.Array):
@@ -156,20 +169,21 @@ def _parts(w: Words, window: int):
             yield a, min(n, a + step)
 
 
-def passages(array: pa.Array, counts: np.ndarray, window: int, anchor: int):
-    """(first row, words w, row, anchor, first word in w, word after the last in w): each anchor's run of windows."""
+def passages(array: pa.Array, counts: np.ndarray, window: int, anchor: int, hot: np.ndarray | None = None):
+    """(first row, words w, row, anchor, first word in w, word after the last in w, moved): each anchor's run of windows."""
     for lo, w in _chunks(array):
         for a, b in _parts(w, window):
             first = np.clip(w.first - a, 0, b - a)
-            row, gram, start, end = anchors(w.hash[a:b], first, counts, window, anchor)
-            yield lo, w, row, gram, start + a, end + a + window
+            row, gram, start, end, moved = anchors(w.hash[a:b], first, counts, window, anchor, hot)
+            yield lo, w, row, gram, start + a, end + a + window, moved
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_docs: int = HOT_DOCS) -> DataFrame:
     """(id, text_key, spans): for each row with repeated passages, the word ranges to remove (flat: start, end, ...)."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    docs = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(f"`{text}`").alias("text_key"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    id_type = dict(docs.dtypes)["id"]
 
     def grams(array):
         for _, w in _chunks(array):
@@ -180,103 +194,84 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def candidates(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo, _w, row, gram, _s, _e in passages(batch.column(1), counts.value, window, anchor):
-                pairs = np.unique(np.stack([gram.view(np.int64), ids[lo + row]], 1), axis=0)
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["anchor", "id"])
-
-    def shared(batches):
-        """Rows of anchors with several ids, of rows sorted by anchor and id."""
-        held = None  # the first row of the current anchor, until a second id is seen
-        last = None
-        for batch in batches:
-            a, d = (c.to_numpy() for c in batch.columns)
-            if not len(a):
-                continue
-            same_before = np.zeros(len(a), bool)
-            same_before[1:] = (a[1:] == a[:-1]) & (d[1:] != d[:-1])
-            joins = last is not None and last[0] == a[0]
-            out_a, out_d = [], []
-            if joins and last[1] != d[0] and held is not None:
-                out_a.append([held[0]])
-                out_d.append([held[1]])
-                held = None
-            # an anchor's rows go out if it has a change of id within the batch, or had one before
-            starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            several = np.logical_or.reduceat(same_before, starts)
-            if joins and held is None:
-                several[0] = True
-            if joins and held is not None and several[0]:
-                out_a.append([held[0]])
-                out_d.append([held[1]])
-                held = None
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(a))))
-            keep = several[group]
-            out_a.append(a[keep])
-            out_d.append(d[keep])
-            if not several[-1]:
-                held = (a[-1], d[-1])
-            else:
-                held = None
-            last = (a[-1], d[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a).astype(np.int64)), pa.array(np.concatenate(out_d).astype(np.int64))], ["anchor", "id"])
-
-    pairs = docs.select("id", "text").mapInArrow(candidates, "anchor long, id long")
-    pairs = pairs.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(shared, "anchor long, id long")
-    wanted = materialize(pairs.groupBy(F.col("id").alias("wid")).agg(F.collect_set("anchor").alias("wanted")))
-    wanted = numbered(wanted, "wanted")
+            for lo, _w, row, gram, *_ in passages(batch.column(2), counts.value, window, anchor):
+                if len(row):
+                    pairs = np.unique(np.stack([gram.view(np.int64), lo + row], 1), axis=0)
+                    at = pa.array(pairs[:, 1])
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), batch.column(0).take(at), batch.column(1).take(at)], ["anchor", "id", "text_key"])
+
+    pairs = materialize(docs.mapInArrow(candidates, f"anchor long, id {id_type}, text_key long"))
+    shared = pairs.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("anchor", "n")
+    shared = materialize(shared)
+    least = max(hot_docs, int(HOT_SHARE * pairs.count()))
+    hot = [r["anchor"] for r in shared.where(F.col("n") > least).select("anchor").collect()]  # at most 1 / HOT_SHARE numbers
+    hot = spark.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
+    wanted = pairs.join(bounded(shared.select("anchor")), "anchor", "left_semi").groupBy("id", "text_key").agg(F.collect_set("anchor").alias("wanted"))
+    wanted = materialize(wanted.toDF("wid", "wkey", "wanted"))
 
     def cut(batches):
-        names, kinds = ["anchor", "id", "text_key", "start", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            want = batch.column(3)
-            sets: dict[int, np.ndarray] = {}
-            out: list[tuple] = []
-            for lo, w, row, gram, start, end in passages(batch.column(2), counts.value, window, anchor):
+            want, sets = batch.column(3), {}
+            at, out = [], []
+            for lo, w, row, gram, start, end, moved in passages(batch.column(2), counts.value, window, anchor, hot.value):
                 raw = w.data.tobytes()
-                for r, g, s, e in zip(row.tolist(), gram.view(np.int64).tolist(), start.tolist(), end.tolist(), strict=True):
+                for r, g, s, e, m in zip(row.tolist(), gram.view(np.int64).tolist(), start.tolist(), end.tolist(), moved.tolist(), strict=True):
                     i = lo + r
                     if i not in sets:
                         sets = {i: set(want[i].as_py())}
-                    if g in sets[i]:
-                        out.append((g, ids[i], keys[i], s - int(w.first[r]), raw[w.start[s] : w.end[e - 1]]))
+                    if m or g in sets[i]:
+                        words = raw[w.start[s] : w.end[e - 1]]
+                        at.append(i)
+                        # texts differ in what stands between words: passages are compared by words with single spaces
+                        words = b" ".join(words.split())
+                        out.append((g, hashlib.blake2b(words, digest_size=16).digest(), s - int(w.first[r]), e - s, words))
                 if len(out) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
-                    out = []
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
-
-    found = docs.select("id", F.xxhash64("text").alias("text_key"), "text").join(wanted, F.col("id") == F.col("wid")).select("id", "text_key", "text", "wanted")
-    found = found.mapInArrow(cut, "anchor long, id long, text_key long, start long, words binary")
-    found = found.repartition("anchor").sortWithinPartitions("anchor", "id", "words")
+                    yield batch_of(batch, at, out)
+                    at, out = [], []
+            yield batch_of(batch, at, out)
+
+    def batch_of(batch, at, out):
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+        rows = pa.array(at, pa.int64())
+        own = [pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *own], ["id", "text_key", "anchor", "passage", "start", "n", "words"])
+
+    places = docs.join(bounded(wanted), (F.col("id") == F.col("wid")) & (F.col("text_key") == F.col("wkey"))).select("id", "text_key", "text", "wanted")
+    places = materialize(places.mapInArrow(cut, f"id {id_type}, text_key long, anchor long, passage binary, start long, n long, words binary"))
+    distinct = places.groupBy("anchor", "passage", "words").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("n").alias("n"))
+    distinct = distinct.select("anchor", "first", "passage", "n", (F.col("first") < F.col("last")).alias("several"), "words")
+    distinct = distinct.repartition("anchor").sortWithinPartitions("anchor", "first", "passage")
 
     def stream(batches):
-        state = None  # anchor, automaton, words seen -> spans in full, passages of the current id not yet added
-        out: list[tuple] = []
+        held = automaton = None
+        waiting: list[list[bytes]] = []  # passages of the current id, not yet put in
         for batch in batches:
-            for a, d, key, start, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if state is None or state[0] != a:
-                    state = [a, Automaton(), {}, [], None]
-                if state[4] != d:
-                    for w in state[3]:
-                        if w not in state[2]:
-                            state[1].add(w.split())
-                            state[2][w] = None
-                    state[3], state[4] = [], d
-                if raw in state[2]:
-                    spans = [(0, len(raw.split()))]
-                else:
-                    words = raw.split()
-                    spans = removed(state[1], words, window) if len(state[1].next) > 1 else []
-                    if spans != [(0, len(words))]:
-                        state[3].append(raw)
-                out += [(d, key, start + x, start + y) for x, y in spans]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["id", "text_key", "a", "b"])
-            out = []
-
-    spans = found.mapInArrow(stream, "id long, text_key long, a long, b long")
-    spans = spans.groupBy("id", "text_key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("s"))
+            keep, own = [], []
+            for i, (a, first, n, several, raw) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5)), strict=True)):
+                if held is None or held[0] != a:
+                    automaton, waiting = Automaton(), []
+                elif held[1] != first:
+                    for w in waiting:
+                        automaton.add(w)
+                    waiting = []
+                held = (a, first)
+                words = raw.split(b" ")
+                spans = removed(automaton, words, window) if len(automaton.next) > 1 else []
+                if spans != [(0, n)]:
+                    waiting.append(words)
+                if spans or several:
+                    keep.append(i)
+                    own.append([x for span in spans for x in span])
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(rows), batch.column(1).take(rows), pa.array(own, pa.list_(pa.int64()))], ["found", "first", "own"])
+
+    found = materialize(distinct.mapInArrow(stream, f"found binary, first {id_type}, own array<long>"))
+    places = places.select("id", "text_key", "passage", "start", "n").join(bounded(found), F.col("passage") == F.col("found"))
+    whole = F.array(F.col("start"), F.col("start") + F.col("n"))
+    spans = F.when(F.col("id") == F.col("first"), F.transform("own", lambda x: x + F.col("start"))).otherwise(whole)
+    spans = places.select("id", "text_key", spans.alias("spans")).where(F.size("spans") > 0)
+    ends = F.transform(F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("spans", i * 2).alias("a"), F.get("spans", i * 2 + 1).alias("b")))
+    spans = spans.select("id", "text_key", F.explode(ends).alias("s")).groupBy("id", "text_key").agg(F.array_sort(F.collect_set("s")).alias("s"))
     merged = F.aggregate(
         "s",
         F.array().cast("array<struct<a: bigint, b: bigint>>"),
@@ -286,12 +281,6 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return materialize(spans.select("id", "text_key", flat.alias("spans")))
 
 
-def numbered(table: DataFrame, column: str) -> DataFrame:
-    """table marked for broadcast if its arrays hold few numbers; else joined by a shuffle."""
-    total = table.agg(F.coalesce(F.sum(F.size(column) + 2), F.lit(0))).collect()[0][0]  # one row
-    return F.broadcast(table) if total <= BROADCAST_NUMBERS else table
-
-
 def keep_words(text: str | None, spans) -> tuple[int, list[bytes]]:
     """Number of words, and the words outside the spans."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -306,8 +295,8 @@ def keep_words(text: str | None, spans) -> tuple[int, list[bytes]]:
 
 def with_spans(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW) -> DataFrame:
     """(row, id, text, spans) of every row of docs; spans is null where nothing repeats."""
-    spans = numbered(repeated_spans(docs, doc_id, text, window), "spans").toDF("span_id", "span_key", "spans")
-    rows = packed(docs, id=F.col(f"`{doc_id}`").cast("long"), text=F.col(f"`{text}`"))
+    spans = bounded(repeated_spans(docs, doc_id, text, window).toDF("span_id", "span_key", "spans"))
+    rows = packed(docs, id=F.col(f"`{doc_id}`"), text=F.col(f"`{text}`"))
     return rows.join(spans, (F.col("id") == F.col("span_id")) & (F.xxhash64("text") == F.col("span_key")), "left").drop("span_id", "span_key")
 
 
@@ -337,7 +326,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     out = with_spans(docs, doc_id, text, window).select(F.col("id").alias("doc_id"), "text", "spans")
-    return out.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return out.mapInArrow(digest, f"doc_id {dict(out.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
