@@ -43,11 +43,11 @@ def test_word_hashes_do_not_depend_on_place():
     assert len(windows(w.hash, 7)) == 0
 
 
-@pytest.mark.parametrize("group_shingles", [jaccard.GROUP_SHINGLES, 300])
-def test_jaccard_components(spark, group_shingles):
+@pytest.mark.parametrize(("group_shingles", "shard_sets"), [(jaccard.GROUP_SHINGLES, jaccard.SHARD_SETS), (300, 50), (jaccard.GROUP_SHINGLES, 3)])
+def test_jaccard_components(spark, group_shingles, shard_sets):
     texts = dict(enumerate(near_copies(4)))
     docs = spark.createDataFrame([*texts.items()], DOC).withColumn("node", F.lit("clash")).withColumn("n_shingles", F.lit(None))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(docs, group_shingles=group_shingles).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(docs, group_shingles=group_shingles, shard_sets=shard_sets).collect()}
     assert got == jaccard.brute_force(texts)
 
 
@@ -59,6 +59,41 @@ def test_jaccard_odd_ids(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_jaccard_tells_words_of_one_polynomial_apart(spark):
+    """Words that collide for every odd base modulo 2**64, of one letter each in another order; string ids; long words."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    blocks = "".join(chr(97 + i % 26) for i in range(64)), "".join(chr(97 + i * 7 % 26) for i in range(64))
+    tail = " one two three four five six seven"
+    rows = [("k1", thue), ("k2", other), ("k3", thue.upper()), ("k4", thue + tail), ("k5", other + tail), ("k6", blocks[0] + blocks[1]), ("k7", blocks[1] + blocks[0]), (None, other)]
+    got = sorted(map(str, jaccard.similar_documents(spark.createDataFrame(rows, "doc_id string, text string")).collect()))
+    want = [("k1", 1, "k1"), ("k2", 1, "k2"), ("k3", 1, "k1"), ("k4", 4, "k4"), ("k5", 4, "k5"), ("k6", 1, "k6"), ("k7", 1, "k7"), (None, 1, "k2")]
+    assert got == sorted(f"Row(doc_id={a!r}, n_shingles={b}, component_id={c!r})" for a, b, c in want)
+
+
+def test_jaccard_chains_of_sizes():
+    rng = np.random.default_rng(16)
+    for _ in range(200):
+        n = int(rng.integers(1, 30))
+        token, lo = np.sort(rng.integers(0, 4, n)), rng.integers(1, 60, n)
+        hi = lo + rng.integers(0, 9, n)
+        order = np.lexsort((lo, token))
+        token, lo, hi, node = token[order], lo[order], hi[order], np.arange(100, 100 + n)
+        want, head, high = [], None, 0
+        for k in range(n):
+            if k == 0 or token[k] != token[k - 1] or high * 100 < 80 * lo[k]:
+                head, high = node[k], 0
+            high = max(high, hi[k])
+            want.append(head)
+        got, last, at = [], None, 0
+        while at < n:  # in pieces, as a stream
+            end = min(n, at + int(rng.integers(1, 8)))
+            h, _, top = jaccard.chain(token[at:end], node[at:end], lo[at:end], hi[at:end], 80, last)
+            last, at = (token[end - 1], h[-1], int(top[-1])), end
+            got += h.tolist()
+        assert got == want
+
+
 def test_trie_join_finds_all_components():
     rng = np.random.default_rng(5)
     for _ in range(60):

@@ -19,7 +19,6 @@ SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -113,23 +112,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        with np.errstate(over="ignore"):
-            up = np.full(size, _BASE & 0xFFFFFFFFFFFFFFFF, np.uint64)
-            down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            tables = [np.cumprod(up), np.cumprod(down)]
-        if size > 8 * SLICE_BYTES:  # one giant text: do not keep tables of its size
-            return tables[0], tables[1]
-        _powers[:] = tables
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: a bijection whose outputs look random."""
     x = x ^ (x >> np.uint64(30))
@@ -139,10 +121,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Places of a word that have a table of random numbers each; later ones are mixed one by one.
+_TABLED = 64
+_TABLES = [mix(np.arange(_TABLED << 8, dtype=np.uint64) + np.uint64(seed)) for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+_SEEDS = (np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
+
+
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of consecutive texts: 64-bit hashes, byte ranges, and the texts' first words."""
+    """Words `[^\\x20\\x09-\\x0D]+` of consecutive texts: 64-bit hashes, byte ranges, and the texts' first words.
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False):
+    A word's hash is the sum of a random number for each pair of place and byte, mixed; with second=True there is
+    another such hash from other numbers, so that words that share both are equal for all practical purposes."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False, second: bool = False):
         data = _LOWER[data] if lower else data
         n = len(data)
         word = ~_SPACE[data]
@@ -156,15 +147,27 @@ class Words:
         after[-1:] = False
         after[:-1] = word[1:]
         self.end = np.flatnonzero(word & (~after | cut[1:])) + 1
-        up, down = _power_tables(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        self.hash = mix(h ^ ((self.end - self.start).astype(np.uint64) << np.uint64(48)))
+        length = self.end - self.start
+        at = np.flatnonzero(word)
+        place = at - np.repeat(self.start, length)
+        code = (place << 8) | data[at]
+        far = np.flatnonzero(place >= _TABLED)
+        first = np.cumsum(length) - length  # of each word's bytes among those of all words
+        self.hash, *more = (self._hashes(code, far, first, length, k) for k in range(1 + second))
+        self.second = more[0] if more else None
         #: words of text i: first[i] .. first[i + 1]
         self.first = np.searchsorted(self.start, off)
         self.data = data
 
+    @staticmethod
+    def _hashes(code: np.ndarray, far: np.ndarray, first: np.ndarray, length: np.ndarray, k: int) -> np.ndarray:
+        if not len(first):
+            return np.zeros(0, np.uint64)
+        value = _TABLES[k].take(code, mode="wrap")
+        if len(far):
+            value[far] = mix(code[far].astype(np.uint64) ^ _SEEDS[k])
+        return mix(np.add.reduceat(value, first) ^ (length.astype(np.uint64) << np.uint64(48)))
+
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive words (also across texts: the caller keeps those inside one)."""
