@@ -3,9 +3,11 @@
 A lexical transducer maps words to classes: insults (learned from labelled rows, as words or as stems with any
 ending), threats, targets, negations and words of reported speech (fixed lists).  Three further transducers read
 the classes of a clause: one weakens insults and threats after a negation, one those after a word of reported
-speech, and one adds weights for an insult, an insult with a target, and a threat with a target.  They are composed
-into a single machine; a document's evidence is the sum over its clauses, so what counts is the matched clause, not
-the word alone.  A logistic curve, fitted on the labelled sample, turns evidence into a score.
+speech, and one adds weights for an insult, an insult with a target, a weakened insult, and a threat with a target.  They are composed into a single
+machine that counts these four matches over a document's clauses, so what counts is the matched clause, not the word
+alone.  Evidence is the weighted sum of the counts; the weights are learned from the labelled sample, drawn to PRIOR
+where it says little (a kind of match that it lacks keeps its prior weight).  A logistic curve, fitted on the same
+sample, turns evidence into a score.
 
 Edge cases: null and empty texts have no evidence and get the score of it; texts of any length are read whole; null
 labels and labels of unknown documents are ignored; of several labels of a document the highest counts; with
@@ -32,10 +34,13 @@ SAMPLE_PER_CLASS = 4000
 #: An insult is a word or stem in at least so many toxic sample rows and in this share of them, and so many times
 #: likelier in toxic rows.  For a stem with FORMS different words in toxic rows, half the share is enough: what varies
 #: its endings is no passage that copies repeat.
-LEAST_ROWS, LEAST_SHARE, LEAST_RATIO, FORMS = 4, 0.02, 25.0, 3
+LEAST_ROWS, LEAST_SHARE, LEAST_RATIO, FORMS = 4, 0.012, 25.0, 3
 #: Stem lengths tried, shortest first.
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
+#: Kinds of matches, and their weights before any label is seen.
+MATCHES = ("insult", "insult_with_target", "weakened_insult", "threat")
+PRIOR = (1.0, 0.5, 0.5, 0.25)
 
 # Fixed word lists of the grammar.
 THREAT = frozenset("kill hurt destroy beat burn attack stab shoot töten schlagen vernichten tuer frapper détruire brûler matar golpear destruir quemar".split())
@@ -50,13 +55,13 @@ OTHER, INSULT, THREATS, TARGETS, NOT, SAID, END, WEAK_INSULT, WEAK_THREAT = rang
 
 
 class Transducer:
-    """Deterministic weighted transducer: arcs[state, symbol] = (next state, output, weight); others copy the symbol."""
+    """Deterministic transducer: arcs[state, symbol] = (next state, output, matches); other symbols are copied."""
 
     def __init__(self, arcs: dict, start=0):
         self.arcs, self.start = arcs, start
 
     def step(self, state, symbol):
-        return self.arcs.get((state, symbol), (state, symbol, 0.0))
+        return self.arcs.get((state, symbol), (state, symbol, ()))
 
     def compose(self, after: Transducer, symbols=range(9)) -> Transducer:
         """The machine that feeds this one's output to the other: the reachable part of the product."""
@@ -67,42 +72,48 @@ class Transducer:
                 continue
             done.add(pair)
             for s in symbols:
-                a, out, w1 = self.step(pair[0], s)
-                b, out, w2 = after.step(pair[1], out)
-                if ((a, b), out, w1 + w2) != (pair, s, 0.0):
-                    arcs[pair, s] = ((a, b), out, w1 + w2)
+                a, out, m1 = self.step(pair[0], s)
+                b, out, m2 = after.step(pair[1], out)
+                if ((a, b), out, m1 + m2) != (pair, s, ()):
+                    arcs[pair, s] = ((a, b), out, m1 + m2)
                 todo.append((a, b))
         return Transducer(arcs, (self.start, after.start))
 
 
-def grammar() -> Transducer:
-    weaken = {(1, INSULT): (1, WEAK_INSULT, 0.0), (1, THREATS): (1, WEAK_THREAT, 0.0), (1, END): (0, END, 0.0)}
-    negation = Transducer({(0, NOT): (1, NOT, 0.0), **weaken})
-    reported = Transducer({(0, SAID): (1, SAID, 0.0), **weaken})
-    # States of the scoring machine: what the clause holds so far: (insult, threat, target).
+def machines() -> tuple[Transducer, Transducer, Transducer]:
+    """Negation, reported speech, and the one that counts matches (numbers of MATCHES)."""
+    weaken = {(1, INSULT): (1, WEAK_INSULT, ()), (1, THREATS): (1, WEAK_THREAT, ()), (1, END): (0, END, ())}
+    negation = Transducer({(0, NOT): (1, NOT, ()), **weaken})
+    reported = Transducer({(0, SAID): (1, SAID, ()), **weaken})
+    # States of the counting machine: what the clause holds so far: (insult, threat, target).
     arcs = {}
     for insult in (0, 1):
         for threat in (0, 1):
             for target in (0, 1):
                 s = (insult, threat, target)
-                arcs[s, INSULT] = ((1, threat, target), INSULT, 1.0 + 0.5 * target)
-                arcs[s, WEAK_INSULT] = ((insult, threat, target), WEAK_INSULT, 0.5)
-                arcs[s, THREATS] = ((insult, 1, target), THREATS, 0.25 * target)
-                arcs[s, WEAK_THREAT] = ((insult, threat, target), WEAK_THREAT, 0.0)
+                arcs[s, INSULT] = ((1, threat, target), INSULT, (0, 1) if target else (0,))
+                arcs[s, WEAK_INSULT] = (s, WEAK_INSULT, (2,))
+                arcs[s, THREATS] = ((insult, 1, target), THREATS, (3,) if target else ())
+                arcs[s, WEAK_THREAT] = (s, WEAK_THREAT, ())
                 if not target:
-                    arcs[s, TARGETS] = ((insult, threat, 1), TARGETS, 0.5 * insult + 0.25 * threat)
-                arcs[s, END] = ((0, 0, 0), END, 0.0)
-    return negation.compose(reported).compose(Transducer(arcs, (0, 0, 0)))
+                    arcs[s, TARGETS] = ((insult, threat, 1), TARGETS, (1,) * insult + (3,) * threat)
+                arcs[s, END] = ((0, 0, 0), END, ())
+    return negation, reported, Transducer(arcs, (0, 0, 0))
+
+
+def grammar() -> Transducer:
+    negation, reported, count = machines()
+    return negation.compose(reported).compose(count)
 
 
 class Model:
-    """Lexicon, grammar and calibration."""
+    """Lexicon, grammar, weights and calibration."""
 
-    def __init__(self, words: frozenset[str] = frozenset(), stems: frozenset[str] = frozenset(), a: float = -40.0, b: float = 0.0):
-        self.words, self.stems, self.a, self.b = words, stems, a, b
+    def __init__(self, words: frozenset[str] = frozenset(), stems: frozenset[str] = frozenset(), a: float = -40.0, b: float = 0.0, weights: tuple = PRIOR):
+        self.words, self.stems, self.a, self.b, self.weights = words, stems, a, b, weights
         machine = grammar()
         self.arcs, self.start = machine.arcs, machine.start
-        self.keys = sorted(words | stems | THREAT)  # a text with none of these has no evidence
+        self.keys = sorted(words | stems | THREAT)  # a text with none of these has no match
         self.known: dict[str, int] = {}
 
     def classify(self, word: str) -> int:
@@ -115,29 +126,34 @@ class Model:
                 self.known[word] = c
         return c
 
-    def evidence(self, text: str | None) -> float:
-        """Sum of the grammar's weights over the clauses."""
-        low = (text or "").lower()
+    def matches(self, text: str | None) -> list[int]:
+        """How often each kind of match occurs in the clauses."""
+        low, counts = (text or "").lower(), [0] * len(MATCHES)
         if not any(k in low for k in self.keys):
-            return 0.0
-        state, total = self.start, 0.0
+            return counts
+        state = self.start
         for m in _TOKEN.finditer(low):
             w = m[0]
             s = END if not w[0].isalpha() else self.classify(w)
             if s and (arc := self.arcs.get((state, s))):
-                state, _, weight = arc
-                total += weight
-        return total
+                state, _, found = arc
+                for k in found:
+                    counts[k] += 1
+        return counts
+
+    def evidence(self, text: str | None) -> float:
+        """Weighted sum of the matches."""
+        return float(sum(w * n for w, n in zip(self.weights, self.matches(text), strict=True)))
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.a + self.b * math.log1p(self.evidence(text))))))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """(text, y) of a bounded sample of labelled rows; equal texts count once."""
+    """(text, y) of a bounded sample of labelled rows; equal texts count once, with their highest label."""
     y = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("y"))
     y = hash_sample(y, most).select("id", "y")
-    return docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(y), "id").select("text", "y").dropDuplicates(["text"])
+    return docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(y), "id").groupBy("text").agg(F.max("y").alias("y"))
 
 
 def features(word: str):
@@ -195,18 +211,38 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def learn_weights(x: np.ndarray, y: np.ndarray) -> tuple:
+    """Weights of the kinds of matches (counts x, labels y): logistic regression drawn to twice PRIOR, not below 0, and
+    scaled so that a plain insult weighs 1 (PRIOR if it would weigh nothing)."""
+    X = np.concatenate([np.ones((len(x), 1)), np.minimum(x, 5)], 1)
+    prior = np.array([0.0, *(2 * p for p in PRIOR)])
+    pull = np.diag([0.01] + [1.0] * len(PRIOR))
+    w = prior.copy()
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(X @ w, -40, 40)))
+        step = np.linalg.solve(X.T @ (X * (p * (1 - p))[:, None]) + pull, X.T @ (y - p) - pull @ (w - prior))
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    kinds = np.maximum(w[1:], 0)
+    return tuple((kinds / kinds[0]).tolist()) if kinds[0] > 0 else PRIOR
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from the given labels only."""
     small_batches(docs.sparkSession)
     sample = labelled(docs, labels, doc_id, text, label)
     words, stems = lexicon(sample)
     model = Model(words, stems)
-    evidence = F.pandas_udf(lambda t: pd.Series([model.evidence(x) for x in t], dtype="float64"), "double")
-    rows = sample.select(evidence("text").alias("x"), (F.col("y") > 0).cast("double").alias("y")).toPandas()  # at most 2 * SAMPLE_PER_CLASS rows
-    if rows["y"].nunique() < 2 or not rows["x"].any():
+    count = F.pandas_udf(lambda t: pd.Series([model.matches(x) for x in t]), "array<long>")
+    rows = sample.select(count("text").alias("x"), (F.col("y") > 0).cast("double").alias("y")).toPandas()  # at most 2 * SAMPLE_PER_CLASS rows
+    x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(MATCHES))
+    y = rows["y"].to_numpy()
+    if rows["y"].nunique() < 2 or not x.any():
         return Model()
-    a, b = calibrate(np.log1p(rows["x"].to_numpy()), rows["y"].to_numpy())
-    return Model(words, stems, a, b)
+    weights = learn_weights(x, y)
+    a, b = calibrate(np.log1p(x @ np.array(weights)), y)
+    return Model(words, stems, a, b, weights)
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
