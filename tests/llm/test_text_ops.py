@@ -302,6 +302,15 @@ def test_poisson_copies(spark):
     assert weighted["small"] > 2.5 and weighted["big"] < 0.01
 
 
+def test_given_weights_are_shares(spark):
+    docs = spark.createDataFrame([(i, "", None, "big" if i < 90 else "small" if i < 99 else None) for i in range(100)], DOC)
+    share = lambda **w: {r["mix_source"]: round(r["rate"] * {"big": 90, "small": 9, None: 1}[r["mix_source"]] / 100, 6) for r in mixing.rates(docs, weights=w).collect()}
+    got = share(small=0.5)
+    assert got["small"] == 0.5 and abs(got["big"] + got[None] - 0.5) < 1e-6 and got["big"] > got[None] > 0
+    assert share(small=3.0, big=1.0) == {"small": 0.75, "big": 0.25, None: 0.0}
+    assert share(absent=0.5)["big"] > 0.8
+
+
 def test_large_rates_do_not_underflow(spark):
     c = spark.range(1).select(mixing.cumulative(F.lit(900.0)).alias("c")).first()["c"]
     assert abs(c[-1] - 1) < 1e-9 and c == sorted(c) and 0.4 < c[900] < 0.6

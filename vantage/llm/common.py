@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,11 +27,13 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder named by spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (local tests) a temporary folder is used.
-    """
+    Only a local session may leave that setting out: then a temporary folder is used; on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="vantage-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/vantage-{uuid.uuid4().hex}"
 

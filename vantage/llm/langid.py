@@ -22,6 +22,8 @@ from .common import hash_sample, packed, small_batches, unpacked
 
 #: At most so many labelled rows a language are learned from: a bounded sample, in order of a hash of the id.
 SAMPLE_PER_LANG = 300
+#: Longer texts are not learned from, so that the sample is bounded in bytes too; all texts are classified.
+SAMPLE_BYTES = 1 << 18
 LANDMARKS_PER_LANG = 24
 ORDERS, BITS, WEIGHTS = (1, 2, 3, 4), 12, (0.1, 0.3, 0.3, 0.3)
 RIDGE = 1e-2
@@ -148,6 +150,7 @@ def fit(texts, langs) -> Model:
 
 def train(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on a bounded sample of the rows for which `learn` holds."""
+    docs = docs.where(F.octet_length(f"`{text}`") <= SAMPLE_BYTES)
     ids = docs.where(learn & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("y"))
     ids = hash_sample(ids, SAMPLE_PER_LANG)
     sample = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "id").select("text", "y", "r").collect()

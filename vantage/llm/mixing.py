@@ -26,15 +26,29 @@ def uniform(key: Column, seed: str) -> Column:
 
 
 def rates(docs: DataFrame, source: str = "source", alpha: float = ALPHA, weights: dict | None = None, epochs: float = 1.0) -> DataFrame:
-    """(mix_source, rate): target share proportional to weights[source] where given, else to n_s ** alpha."""
+    """(mix_source, rate) by each source's target share.
+
+    weights are shares of the output.  Sources without one share what is left in proportion to n_s ** alpha; where
+    nothing is left (all are given, or those given sum up to 1 or more) the given shares
+    are scaled to 1 and the others get none.  Without weights all shares are in proportion to n_s ** alpha."""
     n = docs.groupBy(F.col(f"`{source}`").alias("mix_source")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    target = F.pow("n", F.lit(alpha))
-    for k, v in (weights or {}).items():
-        target = F.when(F.col("mix_source") == k, F.lit(float(v))).otherwise(target)
+    if weights:
+        n = materialize(n)
+        given = F.lit(None).cast("double")
+        for k, v in weights.items():
+            if v < 0:
+                raise ValueError(f"negative weight of {k!r}")
+            given = F.when(F.col("mix_source").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(given)
+        n = n.withColumn("given", given)
+        used, mass = next(iter(n.agg(F.coalesce(F.sum("given"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("given").isNull(), F.pow("n", F.lit(alpha)))), F.lit(0.0))).collect()))  # one row
+        rest = (1.0 - used) / mass if mass and used < 1 else 0.0
+        target = F.coalesce("given", F.pow("n", F.lit(alpha)) * F.lit(rest))
+    else:
+        target = F.pow("n", F.lit(alpha))
     n = materialize(n.withColumn("target", target))
     sums = n.agg(F.sum("n").alias("docs"), F.sum("target").alias("mass"))
     docs_total, mass = next(iter(sums.collect()))  # one row
-    if not docs_total:
+    if not docs_total or not mass:
         return n.select("mix_source", F.lit(0.0).alias("rate"))
     return n.select("mix_source", (F.col("target") / F.lit(mass) * F.lit(docs_total * epochs) / F.col("n")).alias("rate"))
 

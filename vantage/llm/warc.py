@@ -32,6 +32,7 @@ from .common import bounded, materialize, scratch_dir, small_batches
 MIN_BYTES = 0
 MAGIC = b"WARC/1.0\r\n"
 DATE = "2024-01-01T00:00:00Z"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -50,18 +51,19 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     shared = bounded(materialize(shared.select(F.col("digest").alias("d"), "original")))
     rows = rows.join(shared, (F.col("digest") == F.col("d")) & (F.col("bytes") >= min_bytes), "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    own = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
-    uuid = F.regexp_replace(own, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    # rows of a repeated page id have ids of their own, but for the response that revisits name: its id is the page's
+    own = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.when(revisit, F.monotonically_increasing_id().cast("string")))
+    uuid = lambda name: F.regexp_replace(F.md5(name), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     safe_url = F.replace(F.replace(F.replace("url", F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     lines = [
         F.concat(F.lit("WARC/1.0\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), uuid, F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), uuid(own), F.lit(">")),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Target-URI: "), safe_url),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.concat(F.lit("X-Payload-Length: "), F.col("bytes").cast("string")),
         F.concat(F.lit("X-Page-ID: "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("original").cast("string"), F.lit(">"))),
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: <urn:uuid:"), uuid(F.col("original").cast("string")), F.lit(">\r\nX-Refers-To-Page: "), F.col("original").cast("string"))),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
     ]
@@ -113,8 +115,7 @@ def _scan(batches):
             h = parse_header(value) or {}
             start, length = h.get("header"), number(h.get("content-length"))
             whole = start is not None and start + length + 4 == len(value) and value.endswith(b"\r\n\r\n")
-            refers = (h.get("warc-refers-to") or "").removeprefix("<urn:page:").removesuffix(">")
-            rows.append((file, block, seq, rel, len(value) + len(MAGIC), start, length, whole, h.get("warc-type"), number(h.get("x-page-id")), number(refers), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, number(h.get("x-payload-length")), digest_of(value[start : start + length]) if whole else None))
+            rows.append((file, block, seq, rel, len(value) + len(MAGIC), start, length, whole, h.get("warc-type"), number(h.get("x-page-id")), number(h.get("x-refers-to-page")), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, number(h.get("x-payload-length")), digest_of(value[start : start + length]) if whole else None))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
@@ -150,7 +151,8 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
 def read_archives(spark, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the archives under path.
 
-    A record's payload digest and length are computed from its payload; a revisit has those that it states."""
+    A record's payload digest and length are computed from its payload; a revisit has those of the response that it
+    refers to, and it is an error if that is missing or if the revisit states others."""
     pieces = _pieces(spark, path)
     found = materialize(pieces.mapInArrow(_scan, _SCAN))
     sizes = found.groupBy("file", "block").agg(F.sum("size").alias("size"))
@@ -164,8 +166,16 @@ def read_archives(spark, path: str) -> DataFrame:
     result = kept.where("whole").select("page_id", F.col("length").alias("bytes"), "digest", "type", "refers_to", "stated_bytes", "stated_digest")
     if torn.limit(1).count():
         result = result.unionByName(_mended(pieces, base, torn))
+    result = materialize(result)
     stored = F.col("type") == "revisit"
-    return result.select("page_id", F.when(stored, F.col("stated_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(stored, F.col("stated_digest")).otherwise(F.col("digest")).alias("payload_digest"), F.col("type").alias("record_type"), F.when(stored, F.col("refers_to")).alias("refers_to"))
+    full = result.where(~stored).groupBy(F.col("page_id").alias("of"), F.col("digest").alias("of_digest")).agg(F.max("bytes").alias("of_bytes"))
+    full = materialize(full.join(result.where(stored).select(F.col("refers_to").alias("of"), F.col("stated_digest").alias("of_digest")).distinct(), ["of", "of_digest"]))
+    again = result.where(stored).join(bounded(full), (F.col("refers_to") == F.col("of")) & (F.col("stated_digest") == F.col("of_digest")), "left")
+    fault = F.raise_error(F.concat(F.lit("revisit without its response: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("long")
+    size = F.when(F.col("of_bytes") == F.col("stated_bytes"), F.col("of_bytes")).otherwise(fault)
+    again = again.select("page_id", size.alias("payload_bytes"), F.col("of_digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    first = result.where(~stored).select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return first.unionByName(again)
 
 
 def _mended(pieces: DataFrame, base: DataFrame, torn: DataFrame) -> DataFrame:
