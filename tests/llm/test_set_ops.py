@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -168,7 +169,7 @@ def test_repeated_passages(spark, window):
     assert kept.columns == docs.columns and kept.count() == len(rows)
     # anchors in more than two documents are hot: the windows that had them take others, with the same result
     spans = lambda **more: sorted(map(str, substrings.repeated_spans(docs, window=window, **more).collect()))
-    assert spans(hot_docs=2) == spans()
+    assert spans(hot_docs=2) == spans(most_bit_keys=0) == spans()
     # ids of another type, in the same order
     named = docs.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.format_string("k%05d", F.col("doc_id") + 1)))
     assert sorted(tuple(r)[1:] for r in substrings.digests(named, window=window).collect()) == sorted(x[1:] for x in got)
@@ -315,6 +316,19 @@ def test_archives(spark):
     assert warc.read_archives(spark, path).count() == 0
 
 
+def test_revisits_must_have_their_response(spark):
+    path = warc.scratch_dir(spark)
+    warc.write_archives(spark.createDataFrame([(1, "u", "same"), (2, "u", "same")], "page_id long, url string, html string").coalesce(1), path)
+    text = b"".join(p.read_bytes() for p in sorted(Path(path.removeprefix("file:")).glob("part-*"))).decode()
+    (refers,) = re.findall(r"WARC-Refers-To: (\S+)", text)
+    assert refers in re.findall(r"WARC-Record-ID: (\S+)", text) and "WARC-Profile" in text
+    for wrong in (text.replace("X-Payload-Length: 4", "X-Payload-Length: 5"), text.replace("X-Page-ID: 2", "X-Page-ID: 3")):
+        other = warc.scratch_dir(spark)
+        spark.createDataFrame([(wrong[:-2],)], "value string").coalesce(1).write.option("lineSep", "\r\n").text(other)
+        with pytest.raises(Exception, match="revisit without its response"):
+            warc.read_archives(spark, other).collect()
+
+
 def test_pointer_jumping():
     start = np.array([10, 20, 30, 40, 50])
     assert warc.reachable(start, np.array([30, 40, 50, 50, 99]), 10).tolist() == [True, False, True, False, True]

@@ -15,8 +15,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import mix
+
 CELL_BITS, PARTS = 22, 64
 CELLS = 1 << CELL_BITS
+#: Places of a set of keys (key_bits), as a power of two: 16 MB.
+PLACE_BITS = 27
 
 
 def cells(h: np.ndarray) -> np.ndarray:
@@ -50,3 +54,39 @@ def corpus_counts(texts: DataFrame, hashes) -> np.ndarray:
     for r in rows.collect():  # PARTS rows of fixed size
         out[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint16)
     return out.reshape(-1)
+
+
+def key_bits(keys: DataFrame) -> np.ndarray:
+    """A set of keys (one long column) as 2 ** PLACE_BITS bits at hashed places, of a fixed size like the table of counts.
+
+    may_hold says yes for every key of it, and for few others while the keys are fewer than a tenth of the places."""
+    size = 1 << (PLACE_BITS - 3)
+
+    def mark(batches):
+        table = np.zeros(size, np.uint8)
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy().view(np.uint64))
+            np.bitwise_or.at(table, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        parts = [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(table.reshape(PARTS, -1)) if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["part", "bits"])
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros(size // PARTS, np.uint8)
+        for b in pdf["bits"]:
+            table |= np.frombuffer(zlib.decompress(b), np.uint8)
+        return pd.DataFrame({"part": [int(pdf["part"][0])], "bits": [zlib.compress(table.tobytes(), 1)]})
+
+    out = np.zeros((PARTS, size // PARTS), np.uint8)
+    for r in keys.mapInArrow(mark, "part int, bits binary").groupBy("part").applyInPandas(unite, "part int, bits binary").collect():  # PARTS rows of fixed size
+        out[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
+    return out.reshape(-1)
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the set that bits were made of may hold each key (uint64)."""
+    at = _places(keys)
+    return (bits[at >> 3] >> (at & 7)) & 1 > 0

@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, Words, bounded, inside, materialize, mix, packed, slices, small_batches, unpacked, utf8, windows
-from .sketch import cells, corpus_counts
+from .sketch import PLACE_BITS, cells, corpus_counts, key_bits, may_hold
 
 WINDOW, ANCHOR = 50, 10
 #: Words that one vectorised step may number.
 _PLACES = 22
 #: An anchor is hot if it is in more documents than this, and than this share of all (document, anchor) pairs.
 HOT_DOCS, HOT_SHARE = 1000, 1e-6
+#: Up to so many shared anchors are told from others by a set of bits of fixed size, so that no text is shuffled.
+MOST_BIT_KEYS = (1 << PLACE_BITS) // 8
 
 
 class Automaton:
@@ -178,7 +180,7 @@ def passages(array: pa.Array, counts: np.ndarray, window: int, anchor: int, hot:
             yield lo, w, row, gram, start + a, end + a + window, moved
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_docs: int = HOT_DOCS) -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_docs: int = HOT_DOCS, most_bit_keys: int = MOST_BIT_KEYS) -> DataFrame:
     """(id, text_key, spans): for each row with repeated passages, the word ranges to remove (flat: start, end, ...)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -206,25 +208,24 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = max(hot_docs, int(HOT_SHARE * pairs.count()))
     hot = [r["anchor"] for r in shared.where(F.col("n") > least).select("anchor").collect()]  # at most 1 / HOT_SHARE numbers
     hot = spark.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
-    wanted = pairs.join(bounded(shared.select("anchor")), "anchor", "left_semi").groupBy("id", "text_key").agg(F.collect_set("anchor").alias("wanted"))
-    wanted = materialize(wanted.toDF("wid", "wkey", "wanted"))
+    few = shared.count() <= most_bit_keys
+    bits = spark.sparkContext.broadcast(key_bits(shared.select("anchor"))) if few else None
 
     def cut(batches):
         for batch in batches:
-            want, sets = batch.column(3), {}
             at, out = [], []
             for lo, w, row, gram, start, end, moved in passages(batch.column(2), counts.value, window, anchor, hot.value):
+                if few:
+                    keep = np.flatnonzero(moved | may_hold(bits.value, gram))
+                else:  # rows come with their shared anchors
+                    want = {i: set(batch.column(3)[i].as_py()) for i in set((lo + row).tolist())}
+                    keep = [k for k, (r, g) in enumerate(zip((lo + row).tolist(), gram.view(np.int64).tolist(), strict=True)) if moved[k] or g in want[r]]
                 raw = w.data.tobytes()
-                for r, g, s, e, m in zip(row.tolist(), gram.view(np.int64).tolist(), start.tolist(), end.tolist(), moved.tolist(), strict=True):
-                    i = lo + r
-                    if i not in sets:
-                        sets = {i: set(want[i].as_py())}
-                    if m or g in sets[i]:
-                        words = raw[w.start[s] : w.end[e - 1]]
-                        at.append(i)
-                        # texts differ in what stands between words: passages are compared by words with single spaces
-                        words = b" ".join(words.split())
-                        out.append((g, hashlib.blake2b(words, digest_size=16).digest(), s - int(w.first[r]), e - s, words))
+                for r, g, s, e in zip(*(x[keep].tolist() for x in (row, gram.view(np.int64), start, end)), strict=True):
+                    at.append(lo + r)
+                    # texts differ in what stands between words: passages are compared by words with single spaces
+                    words = b" ".join(raw[w.start[s] : w.end[e - 1]].split())
+                    out.append((g, hashlib.blake2b(words, digest_size=16).digest(), s - int(w.first[r]), e - s, words))
                 if len(out) >= 5000:
                     yield batch_of(batch, at, out)
                     at, out = [], []
@@ -236,7 +237,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         own = [pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]
         return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *own], ["id", "text_key", "anchor", "passage", "start", "n", "words"])
 
-    places = docs.join(bounded(wanted), (F.col("id") == F.col("wid")) & (F.col("text_key") == F.col("wkey"))).select("id", "text_key", "text", "wanted")
+    places = docs
+    if not few:
+        wanted = pairs.join(shared.select("anchor"), "anchor", "left_semi").groupBy("id", "text_key").agg(F.collect_set("anchor").alias("wanted"))
+        wanted = wanted.toDF("wid", "wkey", "wanted")
+        places = docs.join(wanted, (F.col("id") == F.col("wid")) & (F.col("text_key") == F.col("wkey"))).select("id", "text_key", "text", "wanted")
     places = materialize(places.mapInArrow(cut, f"id {id_type}, text_key long, anchor long, passage binary, start long, n long, words binary"))
     distinct = places.groupBy("anchor", "passage", "words").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("n").alias("n"))
     distinct = distinct.select("anchor", "first", "passage", "n", (F.col("first") < F.col("last")).alias("several"), "words")
@@ -294,10 +299,24 @@ def keep_words(text: str | None, spans) -> tuple[int, list[bytes]]:
 
 
 def with_spans(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW) -> DataFrame:
-    """(row, id, text, spans) of every row of docs; spans is null where nothing repeats."""
-    spans = bounded(repeated_spans(docs, doc_id, text, window).toDF("span_id", "span_key", "spans"))
+    """(row, id, text, spans) of every row of docs; spans is null where nothing repeats.
+
+    Only rows that may have spans (by a set of bits of fixed size) are joined with them, by a shuffle at every size; no
+    other text is shuffled."""
+    spans = repeated_spans(docs, doc_id, text, window).toDF("span_id", "span_key", "spans")
+    key = lambda i, k: F.xxhash64(i, k)
+    bits = docs.sparkSession.sparkContext.broadcast(key_bits(spans.select(key("span_id", "span_key"))))
     rows = packed(docs, id=F.col(f"`{doc_id}`"), text=F.col(f"`{text}`"))
-    return rows.join(spans, (F.col("id") == F.col("span_id")) & (F.xxhash64("text") == F.col("span_key")), "left").drop("span_id", "span_key")
+
+    @F.pandas_udf("boolean")
+    def may_have(keys):
+        import pandas as pd
+
+        return pd.Series(may_hold(bits.value, keys.to_numpy().view(np.uint64)))
+
+    flagged = may_have(key(F.col("id"), F.xxhash64("text")))
+    some = rows.where(flagged).join(spans, (F.col("id") == F.col("span_id")) & (F.xxhash64("text") == F.col("span_key")), "left").drop("span_id", "span_key")
+    return some.union(rows.where(~flagged).withColumn("spans", F.lit(None).cast("array<long>")))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
