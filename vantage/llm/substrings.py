@@ -315,7 +315,7 @@ def with_spans(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW) ->
         return pd.Series(may_hold(bits.value, keys.to_numpy().view(np.uint64)))
 
     flagged = may_have(key(F.col("id"), F.xxhash64("text")))
-    some = rows.where(flagged).join(spans, (F.col("id") == F.col("span_id")) & (F.xxhash64("text") == F.col("span_key")), "left").drop("span_id", "span_key")
+    some = rows.where(flagged).join(spans.hint("merge"), (F.col("id") == F.col("span_id")) & (F.xxhash64("text") == F.col("span_key")), "left").drop("span_id", "span_key")
     return some.union(rows.where(~flagged).withColumn("spans", F.lit(None).cast("array<long>")))
 
 
