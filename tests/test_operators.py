@@ -143,3 +143,21 @@ def test_log_bins():
     g = np.arange(24.0).reshape(4, 6, 1)
     out = fi.log_bin(g)
     assert out.shape == (4, 6, 17) and out[1, 1, 4] == g[1, 1, 0] and out[0, 0, 0] == g[0, 0, 0]
+
+
+def test_python_functions_need_no_copy_of_the_package(tmp_path):
+    """Queries with Python functions run from another working folder, where workers cannot import the package."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+from vantage.operators import clustering as cl
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+d = s.createDataFrame([(0, i, [float(i % 2), float(i)]) for i in range(8)], "uid long, sample long, vector array<double>")
+assert cl.cluster_items(d, 1, 2).count() == 8
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=200, capture_output=True)

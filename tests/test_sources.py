@@ -52,7 +52,7 @@ def test_sinks(spark, tmp_path):
     images = spark.createDataFrame([("i", 0, "a.png", "h", "a.json", "g")], "uid string, n int, image string, image_sha1 string, transform string, transform_sha1 string")
     st.write_index(images, str(tmp_path / "index"))
     assert (tmp_path / "index/_SUCCESS").exists()
-    assert st.read_index(spark, str(tmp_path / "index")).first()["selected_views"][0]["image"]["sha1"] == "h"
+    assert st.read_index(spark, str(tmp_path / "index" / "*")).first()["selected_views"][0]["image"]["sha1"] == "h"
     with pytest.raises(Exception, match="image without transform"):
         st.write_index(images.withColumn("transform", F.lit(None).cast("string")), str(tmp_path / "bad"))
     st.write_stage(images, str(tmp_path / "stage"))
@@ -105,7 +105,8 @@ def test_configs():
     data, filled = config.load('{"a": {"b": null}}', {"a": {"b": 1, "c": 2}, "d": 3})
     assert data == {"a": {"b": None, "c": 2}, "d": 3} and filled == ["a.c", "d"]
     assert config.get_path(data, "a.c") == 2 and config.get_path(data, "x.y", 5) == 5
-    assert config.working_dir("/x", "/old/run/a/b", ["/new/run/a/b", "/new/b"]) == "/new/run/a/b"
+    assert config.working_dir("/x", "old/run/a/b", ["/new/run/a/b", "/new/b"]) == "/new/run/a/b"
+    assert config.working_dir("/x", "/old/run/a/b", ["/new/run/a/b"]) is None
     m = config.Methods(("a",))
     with pytest.raises(ValueError, match="unknown components"):
         m.parse("nope")

@@ -1 +1,10 @@
-"""Analytics over collections of embedded items, on Spark DataFrames."""
+"""Analytics over collections of embedded items, on Spark DataFrames.
+
+Functions that run in Python workers are shipped by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder and read from there: its plan is computed once, and survives lost executors.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (local runs) a temporary one is used."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vantage-"))
+    The folder is the session's spark.checkpoint.dir; only a local session may leave it out (checkpoint_dir)."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir.  A local session without one gets a temporary folder that goes when
+    Python ends; on a cluster that is an error, as executors share no local folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="vantage-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
+        sc.setCheckpointDir(root)
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/vantage-{uuid.uuid4().hex}"

@@ -57,7 +57,9 @@ def set_path(data: dict, path: str, value) -> dict:
 
 
 def working_dir(path: str, saved: str, candidates: list[str]) -> str | None:
-    """The candidate that shares the longest suffix of folders with saved; None if none shares any."""
+    """The candidate that shares the longest suffix of folders with saved; None if none shares any, or saved is absolute."""
+    if saved.startswith("/"):
+        return None
     want = saved.strip("/").split("/")
 
     def shared(c: str) -> int:
@@ -80,6 +82,13 @@ def run_name(now, taken: set[str]) -> str:
     return name
 
 
+def extract_nested(data: dict, path: str) -> dict:
+    """outer key -> the value at path of its nested map; keys without one are left out."""
+    missing = object()
+    found = {k: get_path(v, path, missing) for k, v in data.items()}
+    return {k: v for k, v in found.items() if v is not missing}
+
+
 class Methods:
     """Registry of components by slot; a method is a dotted string with one component a slot."""
 

@@ -17,6 +17,10 @@ ELBOW = "ks array<int>, ds array<double>, pred_k int, pred_k_d double, pred_frac
 CLUSTERS = "parameters struct<centroids array<array<double>>, normalization array<double>, input_centroids array<array<double>>>, indices array<int>"
 VIEWS = "index int, transform array<array<double>>, path string"
 SERIES = "step int, value double"
+SOLUTION = "k int, score double"
+TRACE = "scores array<array<double>>"
+#: Shards that are named to the reader one by one.
+NAMED_SHARDS = 100_000
 LISTING = "sha256 string, fileIdentifier string"
 
 
@@ -36,11 +40,20 @@ def item_of(file="file", levels: int = 2):
 def annotations(spark: SparkSession, path, uids: DataFrame | None = None, shards: DataFrame | None = None) -> DataFrame:
     """(uid, annotation JSON) of gzip or plain JSON maps uid -> object.
 
-    With shards (uid, shard), only the files of the wanted uids' shards are read."""
+    With shards (uid, shard), only the files of the wanted uids' shards are read: up to NAMED_SHARDS are named to the
+    reader; of more, all files are read and joined with the wanted ones.  Without wanted shards there are no rows."""
+    wanted = names = None
     if shards is not None and uids is not None:
-        wanted = [r["shard"] for r in shards.join(uids, "uid", "left_semi").select("shard").distinct().limit(100_000).collect()]
-        path = [f"{path.rstrip('/')}/{s}" for s in wanted] or path
-    rows = spark.read.option("wholetext", True).text(path)
+        wanted = shards.join(uids, "uid", "left_semi").select("shard").distinct()
+        names = [r["shard"] for r in wanted.limit(NAMED_SHARDS + 1).collect()]
+        if not names:
+            return spark.createDataFrame([], "uid string, annotation string")
+        if len(names) <= NAMED_SHARDS:
+            wanted, path = None, [f"{path.rstrip('/')}/{s}" for s in names]
+    rows = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    if wanted is not None:
+        w = wanted.select("shard", item_of("shard", 1).alias("shard_name"))
+        rows = rows.join(w, (item_of("file", 1) == F.col("shard_name")) & F.col("file").endswith(F.concat(F.lit("/"), "shard")), "left_semi")
     rows = rows.select(F.explode(F.from_json("value", "map<string, string>")).alias("uid", "annotation"))
     return rows.join(uids.select("uid"), "uid", "left_semi") if uids is not None else rows
 
@@ -62,6 +75,33 @@ def metadata(spark: SparkSession, path, constant_metadata: bool = False) -> Data
     return df.withColumn("metadata", F.lit("{}")) if constant_metadata else df
 
 
+def elbow_solutions(spark: SparkSession, path) -> DataFrame:
+    """(file, k, target): the solution of an x-means run, one record a file."""
+    return _json(spark, path, SOLUTION)
+
+
+def x_means_data(spark: SparkSession, path) -> DataFrame:
+    """(file, iteration, cluster, score): what each round of an x-means run held, a row a cluster."""
+    rows = _json(spark, path, TRACE).select("file", F.posexplode("scores").alias("iteration", "s"))
+    return rows.select("file", "iteration", F.posexplode("s").alias("cluster", "score"))
+
+
+def normalizations(spark: SparkSession, path) -> DataFrame:
+    """(file, scale, offset) of each item."""
+    return _json(spark, path, "scale array<double>, offset array<double>")
+
+
+def transform_parameters(spark: SparkSession, path) -> DataFrame:
+    """(file, type, parameters JSON): the parameters of each embedding type's transform."""
+    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "map<string, struct<parameters: string>>").alias("m"))
+    return rows.select("file", F.explode("m").alias("type", "p")).select("file", "type", F.col("p.parameters").alias("parameters"))
+
+
+def feature_pyramid(spark: SparkSession, path: str, config: dict, create) -> DataFrame:
+    """(scale, image, cx, cy, vector): the cached levels of a feature pyramid, one part a scale; made on a miss."""
+    return feature_cache(spark, path, config | {"kind": "pyramid"}, create)
+
+
 def empty_metadata(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], METADATA)
 
@@ -159,12 +199,12 @@ def read_index(spark: SparkSession, path) -> DataFrame:
 
 
 def write_index(images: DataFrame, path: str) -> None:
-    """A JSON record an item, of images (uid, n, image, image_sha1, transform, transform_sha1); the writer's _SUCCESS
+    """A JSON file an item, in a folder of its uid, of images (uid, n, image, image_sha1, transform, transform_sha1); the writer's _SUCCESS
     file is the commit mark. An image without its transform is an error."""
     ok = F.when(F.col("transform").isNotNull() & F.col("image").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit("image without transform")).cast("boolean"))
     view = F.struct("n", F.struct(F.col("image").alias("file"), F.col("image_sha1").alias("sha1")).alias("image"), F.struct(F.col("transform").alias("file"), F.col("transform_sha1").alias("sha1")).alias("transform"))
     rows = images.where(ok).groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(view)), lambda v: F.struct(v["image"].alias("image"), v["transform"].alias("transform"))).alias("selected_views"))
-    rows.write.mode("overwrite").json(path)
+    rows.write.mode("overwrite").partitionBy("uid").json(path)
 
 
 def cameras_json(views: DataFrame, focal_x: float, focal_y: float, width: int, height: int) -> DataFrame:

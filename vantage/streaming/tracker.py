@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch
+
 EVENT = "name string, write_type string, step long, event string"
 
 
@@ -30,10 +32,18 @@ def run_tracker(spark: SparkSession, source: str, sink: str, checkpoint: str, sc
 
 
 def stream_table(spark: SparkSession, source: str, schema: str, transform, name: str, mode: str = "append") -> DataFrame:
-    """Drives a stream over Parquet files to its end into an in-memory table (small results, tests)."""
-    q = transform(spark.readStream.schema(schema).parquet(source)).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Drives a stream over Parquet files to its end into Parquet files in the shared folder, and reads them.
+
+    In append mode the file sink is written.  Other modes rewrite the result with each micro-batch; the last stands."""
+    path, checkpoint = scratch(spark), scratch(spark)
+    made = transform(spark.readStream.schema(schema).parquet(source))
+    writer = made.writeStream.queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+    writer.start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(path)
 
 
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
