@@ -41,8 +41,8 @@ def test_metadata_maps(spark, tmp_path):
     uids = spark.createDataFrame([("u2",)], "uid string")
     shards = spark.createDataFrame([("u1", "000.json"), ("u2", "000.json"), ("u3", "001.json")], "uid string, shard string")
     assert [r["uid"] for r in st.annotations(spark, str(tmp_path / "ann"), uids, shards).collect()] == ["u2"]
-    put(tmp_path / "lvis.json", {"cat": ["u2", "u1"]})
-    assert [tuple(r) for r in st.category_items(spark, str(tmp_path / "lvis.json")).orderBy("pos").collect()] == [("cat", 0, "u2"), ("cat", 1, "u1")]
+    put(tmp_path / "items.json", {"cat": ["u2", "u1"]})
+    assert [tuple(r) for r in st.category_items(spark, str(tmp_path / "items.json")).orderBy("pos").collect()] == [("cat", 0, "u2"), ("cat", 1, "u1")]
     put(tmp_path / "paths.json", {"u1": "a/u1.glb"})
     assert st.object_paths(spark, str(tmp_path / "paths.json")).first()["path"] == "a/u1.glb"
     assert st.listing(spark, str(tmp_path / "ann"), r"^00\d\.json$", content=True).count() == 2
@@ -123,3 +123,25 @@ def test_tracker_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         tk.run_tracker(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), scalars, dicts)
     assert {(r["metric"], r["step"], r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_readers_of_parameters_and_rounds(spark, tmp_path):
+    files = {"solution": '{"k": 3, "score": 0.5}', "trace": '{"scores": [[1.0], [0.5, 0.25]]}', "norm": '{"scale": [2.0, 2.0, 2.0], "offset": [0.0, 1.0, 0.0]}', "params": '{"clip": {"parameters": {"dim": [4]}}}'}
+    for name, text in files.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    at = lambda name: str(tmp_path / f"{name}.json")
+    assert st.x_means_solutions(spark, at("solution")).select("k", "score").first() == (3, 0.5)
+    assert sorted(map(tuple, st.x_means_data(spark, at("trace")).select("iteration", "cluster", "score").collect())) == [(0, 0, 1.0), (1, 0, 0.5), (1, 1, 0.25)]
+    assert st.normalizations(spark, at("norm")).first()["offset"] == [0.0, 1.0, 0.0]
+    assert st.transform_parameters(spark, at("params")).select("type", "parameters").first() == ("clip", '{"dim":[4]}')
+
+
+def test_annotations_of_wanted_shards(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        (tmp_path / f"s{i}.json").write_text(f'{{"u{i}": {{"n": {i}}}}}')
+    uids = spark.createDataFrame([("u0",), ("u2",)], "uid string")
+    shards = spark.createDataFrame([(f"u{i}", f"s{i}.json") for i in range(3)], "uid string, shard string")
+    read = lambda uids: sorted(r["uid"] for r in st.annotations(spark, str(tmp_path), uids, shards).collect())
+    assert read(uids) == ["u0", "u2"] and read(uids.limit(0)) == []
+    monkeypatch.setattr(st, "NAMED_SHARDS", 1)  # more than can be named: all files are read, none is dropped
+    assert read(uids) == ["u0", "u2"]

@@ -75,8 +75,8 @@ def metadata(spark: SparkSession, path, constant_metadata: bool = False) -> Data
     return df.withColumn("metadata", F.lit("{}")) if constant_metadata else df
 
 
-def elbow_solutions(spark: SparkSession, path) -> DataFrame:
-    """(file, k, target): the solution of an x-means run, one record a file."""
+def x_means_solutions(spark: SparkSession, path) -> DataFrame:
+    """(file, k, score): the solution of an x-means run, one record a file."""
     return _json(spark, path, SOLUTION)
 
 
