@@ -75,6 +75,33 @@ def test_batches_cover_all(spark):
     assert [r["count"] for r in got] == [1000, 1000, 500]
 
 
+def test_ranks_over_ranges(spark):
+    rows = [(k, v, w) for k, n in (("a", 40), (None, 25), ("b", 1)) for v, w in ((i % 7, None if i % 5 == 0 else i) for i in range(n))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, k string, v int, w int")
+    got = {r["id"]: (r["rank"], r["running"], r["whole"]) for r in ds.ranked(df, ["k"], [F.desc("v"), F.col("id")], "w").collect()}
+    for key in ("a", None, "b"):
+        own = sorted(((-v, i, w or 0) for i, (k, v, w) in enumerate(rows) if k == key))
+        for n, (_, i, _) in enumerate(own):
+            assert got[i] == (n + 1, sum(w for *_, w in own[: n + 1]), sum(w for *_, w in own))
+    assert ds.ranked(df.limit(0), ["k"], [F.col("v")]).columns == ["id", "k", "v", "w", "rank"]
+
+
+def test_percentiles(spark):
+    x = [5.0, 1.0, 1.0, 1.0, 9.0, float("nan"), None, 2.5]
+    df = spark.createDataFrame([(v,) for v in x], "v double")
+    known = [v for v in x if v is not None and v == v]
+    assert fi.percentile_bounds(df, "v", 0.3, 0.9).first() == pytest.approx(tuple(np.percentile(known, [30, 90])))
+    assert tuple(fi.percentile_bounds(df.where("v IS NULL"), "v").first()) == (None, None)
+
+
+def test_interval_lookup_finds_every_place(spark):
+    bounds = [(1, i, float(i), float(i + 1), 5.0, i) for i in range(5)] + [(1, 9, 2.0, 2.0, 5.0, 99)]  # an empty interval is never met
+    iv = spark.createDataFrame(bounds, "k int, i int, lo double, hi double, total double, x int").drop("i")
+    draws = spark.createDataFrame([(1, u) for u in (0.0, 0.19, 0.2, 0.5, 0.99, 1.0)], "k int, u double")
+    got = {r["u"]: r["x"] for r in sa.interval_lookup(draws, iv, "k").collect()}
+    assert got == {0.0: 0, 0.19: 0, 0.2: 1, 0.5: 2, 0.99: 4, 1.0: 4}
+
+
 def test_k_means_blobs(spark):
     rng = np.random.default_rng(0)
     rows = [(1, i, [*(np.array([[0, 0], [9, 0], [0, 9]][i % 3]) + rng.normal(0, 0.1, 2)).tolist(), 4.0]) for i in range(30)]

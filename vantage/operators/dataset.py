@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..functions.scalars import uniform
+from .joins import checked
 
 
 def filter_items(items: DataFrame, categories: DataFrame | None = None, uids: DataFrame | None = None, per_category: int | None = None) -> DataFrame:
@@ -62,18 +63,37 @@ def random_views(views: DataFrame, counts: DataFrame, seed: str) -> DataFrame:
     return v.where("__r <= n").drop("__r", "__size", "n")
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column], weight: str | None = None) -> DataFrame:
+    """df with rank, from 1 by group in the given order; with a weight also running, its sum up to the row, and whole,
+    its sum over the group (a null weight counts as 0).  A null key is a group.
+
+    Rows are dealt in ranges of keys and order, then numbered within: a group of any size is spread over many tasks, if
+    its order has few ties.  Between the steps there is a row for each range and group in it."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    add = F.lit(0) if weight is None else F.coalesce(weight, F.lit(0))
+    ranged = df.repartitionByRange(*(F.col(k) for k in keys), *order)
+    ranged = cut(ranged.withColumns({"__p": F.spark_partition_id(), "__w": add}))
+    sizes = ranged.groupBy("__p", *(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.count(F.lit(1)).alias("n"), F.sum("__w").alias("w"))
+    group = Window.partitionBy(*names)
+    before = group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        F.col("__p").alias("__q"), *names, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n0"),
+        F.coalesce(F.sum("w").over(before), F.lit(0)).alias("__w0"), F.sum("w").over(group).alias("whole"),
+    )
+    same = F.col("__p") == F.col("__q")
+    for k, n in zip(keys, names, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    own = Window.partitionBy("__p", *keys).orderBy(*order)
+    out = ranged.join(checked(starts), same)
+    new = {"rank": F.col("__n0") + F.row_number().over(own)}
+    if weight is not None:
+        new |= {"running": F.col("__w0") + F.sum("__w").over(own.rowsBetween(Window.unboundedPreceding, 0)), "whole": F.col("whole")}
+    return out.select(*df.columns, *(c.alias(k) for k, c in new.items()))
+
+
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """df with column batch: rows in key order, `size` a batch.
-
-    Ranks are made in two steps, ranges first, so that no task numbers all rows."""
-    ranged = df.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id())
-    ranged = cut(ranged)
-    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__p", before.alias("start"))  # one row a partition
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
-    out = ranged.join(F.broadcast(starts), "__p").withColumn("batch", F.floor((F.col("start") + rank) / size).cast("long"))
-    return out.drop("__p", "start")
+    """df with column batch: rows in key order, `size` a batch."""
+    return ranked(df, [], [F.col(key)]).withColumn("batch", F.floor((F.col("rank") - 1) / size).cast("long")).drop("rank")
 
 
 def union_annotations(tables: dict[str, DataFrame], only: list[str] | None = None) -> DataFrame:

@@ -6,10 +6,11 @@ DIGITS before they are ranked, so that ranks do not hang on the order of a sum;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalize, mean_vectors
+from .dataset import ranked
 from .joins import checked
 
 DIGITS = 6
@@ -26,14 +27,15 @@ def similarity_to_own(items: DataFrame, categories: DataFrame) -> DataFrame:
     return items.join(c, "category").select("uid", "category", F.round(dot("vector", "__c"), DIGITS).alias("similarity"))
 
 
-def similarity_to_all(items: DataFrame, categories: DataFrame, keep: tuple[str, ...] = ("uid",)) -> DataFrame:
+def similarity_to_all(items: DataFrame, categories: DataFrame, keep: tuple[str, ...] = ("uid",), single: bool = False) -> DataFrame:
     """(keep..., category, similarity): the best of an item's vectors against every category.
 
-    Every pair is part of the result; the categories are the small side."""
+    Every pair is part of the result; the categories are the small side.  single: items have one vector each, so that
+    the pairs need no shuffle."""
     c = checked(categories.select("category", F.col("vector").alias("__c")))
     i = items.select(*(F.col(k).alias(f"__{k}") for k in keep), F.col("vector").alias("__v"))
     pairs = i.join(c, F.lit(True)).select(*(F.col(f"__{k}").alias(k) for k in keep), "category", F.round(dot("__v", "__c"), DIGITS).alias("similarity"))
-    return pairs.groupBy(*keep, "category").agg(F.max("similarity").alias("similarity"))
+    return pairs if single else pairs.groupBy(*keep, "category").agg(F.max("similarity").alias("similarity"))
 
 
 def classify(items: DataFrame, categories: DataFrame, floor: float = -1.0) -> DataFrame:
@@ -55,18 +57,17 @@ def best_view(views: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def precision_recall(scores: DataFrame, keys: tuple[str, ...] = ("category",), sizes: DataFrame | None = None) -> DataFrame:
-    """(keys, uid, rank, similarity, tp, precision, recall) of scores (keys, uid, similarity, relevant), ranked.
+    """(keys, uid, relevant, rank, similarity, tp, size, precision, recall) of scores (keys, uid, similarity, relevant), ranked.
 
-    Recall divides by the number of relevant rows of the group, or by sizes (keys, size); groups of size 0 are left out."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("similarity"), "uid")
-    hit = F.col("relevant").cast("long")
-    out = scores.withColumns({"rank": F.row_number().over(w), "tp": F.sum(hit).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    if sizes is None:
-        out = out.withColumn("size", F.sum(hit).over(Window.partitionBy(*keys)))
-    else:
-        out = out.join(sizes, [k for k in keys if k in sizes.columns])
-    out = out.where("size > 0")
-    return out.select(*keys, "uid", "rank", "similarity", "tp", (F.col("tp") / F.col("rank")).alias("precision"), (F.col("tp") / F.col("size")).alias("recall"))
+    Recall divides by size, the number of relevant rows of the group, or by sizes (keys, size); groups of size 0 are left
+    out.  Every item is scored against every category, so a group is as long as the table: ranks are made over ranges."""
+    s = scores.select(*keys, "uid", "similarity", F.coalesce("relevant", F.lit(False)).alias("relevant"))
+    s = s.withColumn("__hit", F.col("relevant").cast("long"))
+    out = ranked(s, list(keys), [F.desc("similarity"), F.col("uid")], "__hit").withColumnsRenamed({"running": "tp", "whole": "size"})
+    if sizes is not None:
+        out = out.drop("size").join(checked(sizes), [k for k in keys if k in sizes.columns])
+    out = out.where("size > 0").withColumns({"precision": F.col("tp") / F.col("rank"), "recall": F.col("tp") / F.col("size")})
+    return out.select(*keys, "uid", "relevant", "rank", "similarity", "tp", "size", "precision", "recall")
 
 
 def with_anchor(curve: DataFrame, keys: tuple[str, ...] = ("category",)) -> DataFrame:
@@ -76,13 +77,16 @@ def with_anchor(curve: DataFrame, keys: tuple[str, ...] = ("category",)) -> Data
 
 
 def area_under_curve(curve: DataFrame, keys: tuple[str, ...] = ("category",)) -> DataFrame:
-    """(keys, auc): trapezoids between consecutive points, without an anchor, in [0, 1]; one point gives 0."""
-    w = Window.partitionBy(*keys).orderBy("rank")
+    """(keys, auc) of a curve by precision_recall: trapezoids between consecutive points, without an anchor, in [0, 1];
+    one point gives 0.
+
+    The point before is known from the row itself: one rank less, and one hit less if the row is one."""
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    p, r = clip(F.col("precision")), clip(F.col("recall"))
-    pieces = curve.select(*keys, p.alias("p"), r.alias("r"), F.lag(p).over(w).alias("p0"), F.lag(r).over(w).alias("r0"))
-    area = F.coalesce(F.sum(F.greatest(F.col("r") - F.col("r0"), F.lit(0.0)) * (F.col("p") + F.col("p0")) / 2), F.lit(0.0))
-    return pieces.groupBy(*keys).agg(F.round(clip(area), DIGITS).alias("auc"))
+    tp0, rank0 = F.col("tp") - F.col("relevant").cast("long"), F.col("rank") - 1
+    width = F.greatest(clip(F.col("tp") / F.col("size")) - clip(tp0 / F.col("size")), F.lit(0.0))
+    height = (clip(F.col("tp") / F.col("rank")) + clip(tp0 / F.when(rank0 > 0, rank0))) / 2
+    piece = F.when(rank0 > 0, width * height).otherwise(0.0)
+    return curve.groupBy(*keys).agg(F.round(clip(F.sum(piece)), DIGITS).alias("auc"))
 
 
 def average_by(values: DataFrame, value: str, keys: tuple[str, ...] = ("category",), out: str = "avg") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, l2_normalize
+from .dataset import ranked
 
 
 def visible_samples(samples: DataFrame, depth: DataFrame, eps: float = 1e-3) -> DataFrame:
@@ -68,9 +69,17 @@ def saliency(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def percentile_bounds(df: DataFrame, value: str, lo: float = 0.1, hi: float = 0.9) -> DataFrame:
-    """(lo, hi): exact percentiles, linear between ranks, NaN and null ignored."""
-    v = F.when(~F.isnan(value), F.col(value))
-    return df.agg(F.percentile(v, F.lit(lo)).alias("lo"), F.percentile(v, F.lit(hi)).alias("hi"))
+    """(lo, hi): exact percentiles, linear between ranks, NaN and null ignored; null if nothing is left.
+
+    Equal values are counted first, then the counts are summed over ranges: no task holds all values."""
+    v = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    counts = ranked(v.groupBy("v").agg(F.count(F.lit(1)).alias("n")), [], [F.col("v")], "n")
+    places = {"lo": F.lit(lo) * (F.col("whole") - 1), "hi": F.lit(hi) * (F.col("whole") - 1)}
+    first = F.col("running") - F.col("n")
+    at = lambda i: F.max(F.when((first <= i) & (i < F.col("running")), F.col("v")))
+    found = [x for k, p in places.items() for x in (at(F.floor(p)).alias(f"{k}0"), at(F.ceil(p)).alias(f"{k}1"), F.max(p - F.floor(p)).alias(f"{k}t"))]
+    between = lambda k: F.when(F.col(f"{k}0") == F.col(f"{k}1"), F.col(f"{k}0")).otherwise(F.col(f"{k}0") + (F.col(f"{k}1") - F.col(f"{k}0")) * F.col(f"{k}t"))
+    return counts.agg(*found).select(*(between(k).alias(k) for k in places))
 
 
 def within_circle(points: DataFrame, x: float, y: float, radius: float) -> DataFrame:

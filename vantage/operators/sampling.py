@@ -24,12 +24,14 @@ def cumulative(df: DataFrame, keys: list[str], order: str, weight: str) -> DataF
 def interval_lookup(draws: DataFrame, intervals: DataFrame, key: str, u: str = "u") -> DataFrame:
     """draws (key, u in [0, 1), ...) with the row of the interval that u * total falls in: lo <= x < hi.
 
-    A group's bounds are an array; a draw finds its place in it, so no pair of draw and interval is made."""
+    A group's bounds are an array; a draw finds its place in it by halving, so no pair of draw and interval is made."""
     names = [c for c in intervals.columns if c not in (key, "lo", "hi", "total")]
     rows = F.array_sort(F.collect_list(F.struct("hi", *names)))
     g = checked(intervals.where("hi > lo").groupBy(key).agg(rows.alias("__rows"), F.max("total").alias("__total")))
     j = draws.join(g, key).withColumn("__x", F.col(u) * F.col("__total"))
-    at = F.aggregate("__rows", F.lit(0), lambda a, r: a + F.when(r["hi"] <= F.col("__x"), 1).otherwise(0))
+    steps = F.array(*(F.lit(1 << b) for b in range(30, -1, -1)))
+    passed = lambda i: (i <= F.size("__rows")) & (F.get("__rows", i - 1)["hi"] <= F.col("__x"))
+    at = F.aggregate(steps, F.lit(0), lambda a, s: F.when(passed(a + s), a + s).otherwise(a))
     hit = F.get("__rows", F.least(at, F.size("__rows") - 1))
     return j.withColumn("__hit", hit).select(*draws.columns, *(F.col(f"__hit.{n}").alias(n) for n in names))
 

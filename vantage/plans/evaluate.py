@@ -28,7 +28,7 @@ def evaluate(views: DataFrame, categories: DataFrame, methods: dict[str, Callabl
         v = method(views).select(F.lit(name).alias("method"), "uid", "vector")
         vectors = v if vectors is None else vectors.unionByName(v)
     own = cut(views.select("uid", F.col("category").alias("own")).distinct())
-    scores = ev.similarity_to_all(vectors, categories, ("method", "uid")).join(own, "uid")
+    scores = ev.similarity_to_all(vectors.join(own, "uid"), categories, ("method", "uid", "own"))
     scores = scores.withColumn("relevant", F.col("own") == F.col("category"))
     sizes = own.groupBy(F.col("own").alias("category")).agg(F.count(F.lit(1)).alias("size"))
     keys = ("method", "category")

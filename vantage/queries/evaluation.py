@@ -26,8 +26,7 @@ a AS (SELECT category, round(least(greatest(coalesce(sum(greatest(r - r0, 0) * (
 
 def _scores(spark, sf_dir):
     i = items(spark, sf_dir)
-    own = i.select("uid", F.col("category").alias("own"))
-    s = ev.similarity_to_all(i, ev.category_centroids(i)).join(own, "uid")
+    s = ev.similarity_to_all(i.withColumn("own", F.col("category")), ev.category_centroids(i), ("uid", "own"), single=True)
     return s.withColumn("relevant", F.col("own") == F.col("category"))
 
 
@@ -41,14 +40,14 @@ def pr_auc_per_category(spark, sf_dir):
 def precision_recall_curve(spark, sf_dir):
     """W1, T1, X17."""
     c = ev.precision_recall(_scores(spark, sf_dir))
-    return c.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
+    return c.select("category", "uid", F.col("rank").cast("int").alias("rank"), "similarity", "tp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @query(SCORES + CURVE + " SELECT category, rank::INTEGER AS rank, round(precision, 6) AS precision, round(recall, 6) AS recall FROM p UNION ALL SELECT DISTINCT category, 0, 1.0, 0.0 FROM p")
 def precision_recall_anchored(spark, sf_dir):
     """W9, R22."""
     c = ev.precision_recall(_scores(spark, sf_dir))
-    return ev.with_anchor(c).withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
+    return ev.with_anchor(c).withColumns({"rank": F.col("rank").cast("int"), "precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
 @query(f"WITH {ITEMS}, {CENTROIDS} SELECT uid, category, round(list_dot_product(v, c), 6) AS similarity FROM e JOIN cat USING (category)")
