@@ -131,6 +131,33 @@ def test_dbscan_line():
     assert cl.dbscan(x, 0.11, 2).tolist() == [0] * 5 + [1] * 5 + [-1]
 
 
+def test_dbscan_grid_equals_all_distances():
+    x = np.random.default_rng(4).random((200, 5))
+    x[::9] = x[0]
+    for eps in (0.0, 0.1, 0.3, 2.0):
+        want = [np.flatnonzero(((x - p) ** 2).sum(1) <= eps * eps) for p in x]
+        assert all((a == b).all() for a, b in zip(cl._neighbours(x, eps), want, strict=True))
+
+
+def test_x_means_options(spark):
+    rng = np.random.default_rng(7)
+    spots = np.array([[0, 0], [9, 0], [0, 9], [9, 9]])
+    rows = [(1, i, [*(spots[i % 4] * [1, 100] + rng.normal(0, 0.1, 2) * [1, 100]).tolist(), 4.0]) for i in range(60)]
+    s = spark.createDataFrame(rows, "uid long, sample long, vector array<double>")
+    last = {r["sample"]: (r["cluster"], r["k"], r["score"]) for r in cl.cluster_items(s, 1, 8).collect()}
+    best = {r["sample"]: (r["cluster"], r["k"], r["score"]) for r in cl.cluster_items(s, 1, 8, best=True).collect()}
+    trace = sorted(cl.x_means_trace(s, 1, 8).collect())
+    assert best[0][2] == max(r["score"] for r in trace) >= last[0][2]
+    assert [r["step"] for r in trace] == list(range(len(trace))) and len(trace) > trace[-1]["iteration"] + 1  # some round split several
+    assert len({(c, i % 4) for i, (c, _, _) in best.items()}) == best[0][1] == max(trace, key=lambda r: r["score"])["k"] >= 4  # no cluster mixes spots
+    again = cl.cluster_items(s, 1, 8, best=True, rerun=True).first()
+    assert again["k"] <= best[0][1]
+    raw = {r["cluster"]: np.array(r["vector"]) for r in cl.x_means_centroids(s, 1, 8, best=True, normalize=False).collect()}
+    for c, center in raw.items():
+        assert np.allclose(center, np.mean([v for _, n, v in rows if best[n][0] == c], axis=0))
+    assert all(abs(np.linalg.norm(r["vector"]) - 1) < 1e-9 for r in cl.x_means_centroids(s, 1, 8).collect())
+
+
 def test_samplers(spark):
     x = np.random.default_rng(1).random((300, 3))
     keep = sa.remove_close(x, 0.2)

@@ -5,6 +5,8 @@ samples: (uid, sample, vector).  `uid` groups the samples of one item; every ope
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -193,23 +195,29 @@ def mndl(x: np.ndarray, labels: np.ndarray, centers: np.ndarray, alpha: float =
     return float(w + 2 * alpha * sigma / np.sqrt(n) * kappa + sigma * np.sqrt(2 * k) / n + 2 * beta * sigma**2 * np.sqrt(k) / n)
 
 
-def x_means(x: np.ndarray, k_min: int, k_max: int, seed: int = 0, criterion: str = "bic"):
+def x_means(x: np.ndarray, k_min: int, k_max: int, seed: int = 0, criterion: str = "bic", rounds: int = 10, every_split: bool = False):
     """(centers, labels, trace): clusters are split in two where the criterion gains, largest gain first, up to k_max.
 
-    trace: (iteration, number of clusters, score) of the whole after each round."""
+    trace: (iteration, number of clusters, score, centers, labels) of the whole after each round; with every_split
+    after each split of a round too, the others left as they were."""
     rng = np.random.default_rng(seed)
     score, sign = (bic, 1) if criterion == "bic" else (mndl, -1)
-    centers, labels = _lloyd(x, _spread(x, k_min, rng))
-    trace = [(0, len(centers), score(x, labels, centers))]
-    iteration = 0
-    while len(centers) < k_max:
+
+    def whole(start: list[np.ndarray], iteration: int):
+        c, own = _lloyd(x, np.concatenate(start), rounds)
+        return iteration, len(c), score(x, own, c), c, own
+
+    trace = [whole([_spread(x, k_min, rng)], 0)]
+    now, iteration = trace[0], 0
+    while now[1] < k_max:
         iteration += 1
+        centers, labels = now[3:]
         splits = []
         for c in range(len(centers)):
             own = x[labels == c]
             if len(own) < 2:
                 continue
-            children, child_labels = _lloyd(own, _spread(own, 2, rng))
+            children, child_labels = _lloyd(own, _spread(own, 2, rng), rounds)
             if len(children) < 2:
                 continue
             gain = sign * (score(own, child_labels, children) - score(own, np.zeros(len(own), int), centers[c : c + 1]))
@@ -218,44 +226,95 @@ def x_means(x: np.ndarray, k_min: int, k_max: int, seed: int = 0, criterion: str
         splits = sorted(splits, key=lambda s: s[:2])[: k_max - len(centers)]
         if not splits:
             break
-        gone = {c for _, c, _ in splits}
-        start = [centers[c] for c in range(len(centers)) if c not in gone] + [z for _, _, ch in splits for z in ch]
-        centers, labels = _lloyd(x, np.array(start))
-        trace.append((iteration, len(centers), score(x, labels, centers)))
-    return centers, labels, trace
+        parts = [c[None] for c in centers]
+        for n, (_, c, children) in enumerate(splits):
+            parts[c] = children
+            if every_split or n == len(splits) - 1:
+                now = whole(parts, iteration)
+                trace.append(now)
+        if now[1] <= len(centers):  # the split ones lost their samples again: no round can gain more
+            break
+    return *now[3:], trace
+
+
+def _x_means_of(pdf: pd.DataFrame, k_min: int, k_max: int, seed: int, criterion: str, best: bool, rerun: bool, whitened: bool):
+    """(centers in the samples' own space, labels, score) of one item's sorted samples, and the trace."""
+    x = np.array(pdf["vector"].tolist(), float)
+    deviation = x.std(axis=0)
+    if not np.isfinite(deviation).all():
+        raise ValueError("non-finite deviation")
+    scale = np.where(deviation > 0, 1 / np.where(deviation > 0, deviation, 1), 1.0) if whitened else np.ones(x.shape[1])
+    x = x * scale
+    centers, labels, trace = x_means(x, k_min, k_max, seed, criterion, every_split=best)
+    score = trace[-1][2]
+    if best:
+        top = max(trace, key=lambda t: t[2] if criterion == "bic" else -t[2])
+        score, centers, labels = top[2:]
+        if rerun:
+            centers, labels, again = x_means(x, k_min, top[1], seed, criterion)
+            score = again[-1][2]
+    return centers / scale, labels, score, trace
+
+
+def cluster_items(samples: DataFrame, k_min: int, k_max: int, seed: int = 0, criterion: str = "bic", best: bool = False, rerun: bool = False, whitened: bool = True) -> DataFrame:
+    """(uid, sample, cluster, k, score) by x-means per item, on whitened samples.
+
+    best: the clusters of the best score in the trace of every split, in place of the last ones; rerun: found again with
+    that number as the most.  An item's samples are one task's."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample", ignore_index=True)
+        centers, labels, score, _ = _x_means_of(pdf, k_min, k_max, seed, criterion, best, rerun, whitened)
+        return pdf[["uid", "sample"]].assign(cluster=labels.astype("int32"), k=np.int32(len(centers)), score=score)
+
+    return _vectors(samples).groupBy("uid").applyInPandas(run, "uid long, sample long, cluster int, k int, score double")
 
 
-def cluster_items(samples: DataFrame, k_min: int, k_max: int, seed: int = 0, criterion: str = "bic", best: bool = False) -> DataFrame:
-    """(uid, sample, cluster, k, score) by x-means per item.  best: run again with the k of the best score in the trace."""
+def x_means_centroids(samples: DataFrame, k_min: int, k_max: int, seed: int = 0, criterion: str = "bic", best: bool = False, rerun: bool = False, whitened: bool = True, normalize: bool = True) -> DataFrame:
+    """(uid, cluster, vector): the centroids of cluster_items, whitening undone, of length 1 if normalize (0 stays 0)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample", ignore_index=True)
-        x = np.array(pdf["vector"].tolist(), float)
-        centers, labels, trace = x_means(x, k_min, k_max, seed, criterion)
-        if best:
-            k = max(trace, key=lambda t: t[2] if criterion == "bic" else -t[2])[1]
-            centers, labels = _lloyd(x, _spread(x, k, np.random.default_rng(seed)))
-        s = (bic if criterion == "bic" else mndl)(x, labels, centers)
-        return pdf[["uid", "sample"]].assign(cluster=labels.astype("int32"), k=np.int32(len(centers)), score=s)
+        centers = _x_means_of(pdf, k_min, k_max, seed, criterion, best, rerun, whitened)[0]
+        if normalize:
+            length = np.linalg.norm(centers, axis=1, keepdims=True)
+            centers = centers / np.where(length > 0, length, 1)
+        return pd.DataFrame({"uid": pdf["uid"].iloc[0], "cluster": np.arange(len(centers), dtype="int32"), "vector": list(centers)})
 
-    return samples.select("uid", "sample", as_double("vector").alias("vector")).groupBy("uid").applyInPandas(run, "uid long, sample long, cluster int, k int, score double")
+    return _vectors(samples).groupBy("uid").applyInPandas(run, "uid long, cluster int, vector array<double>")
 
 
-def x_means_trace(samples: DataFrame, k_min: int, k_max: int, seed: int = 0, criterion: str = "bic") -> DataFrame:
-    """(uid, iteration, k, score) of every round."""
+def x_means_trace(samples: DataFrame, k_min: int, k_max: int, seed: int = 0, criterion: str = "bic", every_split: bool = True, whitened: bool = True) -> DataFrame:
+    """(uid, step, iteration, k, score): the start, then every split (or every round), in order."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample", ignore_index=True)
-        trace = x_means(np.array(pdf["vector"].tolist(), float), k_min, k_max, seed, criterion)[2]
-        return pd.DataFrame([(pdf["uid"][0], *t) for t in trace], columns=["uid", "iteration", "k", "score"])
+        trace = _x_means_of(pdf, k_min, k_max, seed, criterion, every_split, False, whitened)[3]
+        return pd.DataFrame([(pdf["uid"].iloc[0], i, *t[:3]) for i, t in enumerate(trace)], columns=["uid", "step", "iteration", "k", "score"])
+
+    return _vectors(samples).groupBy("uid").applyInPandas(run, "uid long, step int, iteration int, k int, score double")
+
+
+def _vectors(samples: DataFrame) -> DataFrame:
+    return samples.select("uid", "sample", as_double("vector").alias("vector"))
+
 
-    return samples.select("uid", "sample", as_double("vector").alias("vector")).groupBy("uid").applyInPandas(run, "uid long, iteration int, k int, score double")
+def _neighbours(x: np.ndarray, eps: float) -> list[np.ndarray]:
+    """The points within eps of each, itself included: candidates come from a grid over the first three axes."""
+    if eps <= 0 or not len(x):
+        return [np.flatnonzero((x == p).all(1)) for p in x]
+    cells: dict[tuple, list[int]] = {}
+    at = [tuple(c) for c in np.floor(x[:, :3] / eps)]
+    for i, c in enumerate(at):
+        cells.setdefault(c, []).append(i)
+    around = {c: np.sort(np.concatenate([cells[n] for n in itertools.product(*((a - 1, a, a + 1) for a in c)) if n in cells])) for c in cells}
+    return [around[c][((x[around[c]] - p) ** 2).sum(1) <= eps * eps] for c, p in zip(at, x, strict=True)]
 
 
 def dbscan(x: np.ndarray, eps: float, min_samples: int = 5) -> np.ndarray:
     """Labels from 0 in order of the first core point, -1 for noise. Neighbourhoods include the point."""
     n = len(x)
-    near = [np.flatnonzero(((x - p) ** 2).sum(1) <= eps * eps) for p in x]
+    near = _neighbours(x, eps)
     core = np.array([len(i) >= min_samples for i in near])
     labels, c = np.full(n, -1), 0
     for i in range(n):

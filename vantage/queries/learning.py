@@ -136,7 +136,13 @@ def x_means_clusters(spark, sf_dir):
 @query()
 def x_means_trace(spark, sf_dir):
     """M8: rows only."""
-    return cl.x_means_trace(_samples(spark, sf_dir), 2, 6, criterion="mndl").select("uid", "iteration", "k")
+    return cl.x_means_trace(_samples(spark, sf_dir), 2, 6, criterion="mndl").select("uid", "step", "iteration", "k")
+
+
+@query()
+def x_means_centroids(spark, sf_dir):
+    """M6, V6: of the best score, found again; rows only."""
+    return cl.x_means_centroids(_samples(spark, sf_dir), 2, 6, best=True, rerun=True)
 
 
 @query("WITH s AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT unnest(v) AS x, unnest(range(0, 64)) AS pos FROM s) SELECT round(sum(var), 6) AS total, 64 AS components, true AS sorted FROM (SELECT var_pop(x) AS var FROM p GROUP BY pos)")
