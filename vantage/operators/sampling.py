@@ -28,10 +28,11 @@ def interval_lookup(draws: DataFrame, intervals: DataFrame, key: str, u: str = "
     names = [c for c in intervals.columns if c not in (key, "lo", "hi", "total")]
     rows = F.array_sort(F.collect_list(F.struct("hi", *names)))
     g = checked(intervals.where("hi > lo").groupBy(key).agg(rows.alias("__rows"), F.max("total").alias("__total")))
+    halves = F.transform(F.sequence(F.floor(F.log2(F.size("__rows"))).cast("int") + 1, F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2), b).cast("int"))
+    g = g.withColumn("__steps", halves)
     j = draws.join(g, key).withColumn("__x", F.col(u) * F.col("__total"))
-    steps = F.array(*(F.lit(1 << b) for b in range(30, -1, -1)))
     passed = lambda i: (i <= F.size("__rows")) & (F.get("__rows", i - 1)["hi"] <= F.col("__x"))
-    at = F.aggregate(steps, F.lit(0), lambda a, s: F.when(passed(a + s), a + s).otherwise(a))
+    at = F.aggregate("__steps", F.lit(0), lambda a, s: F.when(passed(a + s), a + s).otherwise(a))
     hit = F.get("__rows", F.least(at, F.size("__rows") - 1))
     return j.withColumn("__hit", hit).select(*draws.columns, *(F.col(f"__hit.{n}").alias(n) for n in names))
 
