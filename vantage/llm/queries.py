@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, the same in DuckDB SQL."""
 
-from . import chat, decontaminate, jaccard, langid, mixing, secrets, substrings, topk, toxicity, warc
+from . import audit, chat, decontaminate, jaccard, langid, mixing, quantize, secrets, sharding, substrings, topk, toxicity, warc
 
 _MODULES = {
     "op1_langid": langid,
@@ -13,6 +13,9 @@ _MODULES = {
     "op8_topk": topk,
     "op9_secrets": secrets,
     "op10_substrings": substrings,
+    "op11_codes": quantize,
+    "op12_sharding": sharding,
+    "op13_audit": audit,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
