@@ -319,3 +319,40 @@ def test_large_rates_do_not_underflow(spark):
 @pytest.mark.parametrize("sql", ["mixing", "chat"])
 def test_oracles_are_given(sql):
     assert {"mixing": mixing, "chat": chat}[sql].SQL
+
+
+def test_samples_count_ids_not_rows(spark):
+    """Ids that repeat 20 times: 300 a class are promised, and one row of each id reaches the driver."""
+    from vantage.llm.common import hash_sample
+
+    rows = [(i, "abc"[i % 3]) for i in range(3000) for _ in range(20)]
+    ids = spark.createDataFrame(rows, "id long, y string")
+    got = hash_sample(ids, 300).groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in got} == {"a": 300, "b": 300, "c": 300}
+    few = hash_sample(ids.where("id < 30"), 300).collect()
+    assert sorted(r["id"] for r in few) == list(range(30))
+
+
+def test_one_row_of_an_id_is_learned_from(spark):
+    docs = spark.createDataFrame([(1, f"idioten text {i}", "de") for i in range(500)] + [(2, "you are nice", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled(docs, labels, "doc_id", "text", "toxic").count() == 2
+    seen = []
+    old, langid.fit = langid.fit, lambda texts, langs: seen.append((texts, langs))
+    try:
+        langid.train(docs, F.lit(True))
+    finally:
+        langid.fit = old
+    assert [len(x) for x in seen[0]] == [2, 2] and sorted(seen[0][1]) == ["de", "en"]
+
+
+def test_language_stage_without_labels_or_with_one_id(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    kind = "doc_id long, text string, lang string, row string"
+    rows = [(i, f"words of text {i}", None, "x") for i in range(50)] + [(90, "12 34", None, "x"), (91, None, None, "x")]
+    got = cp.language(spark, spark.createDataFrame(rows, kind), str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == rows[:50]
+    same = [(7, f"words that share an id {i}", "en" if i % 2 else None, "x") for i in range(400)]
+    got = cp.language(spark, spark.createDataFrame(same, kind), str(tmp_path)).collect()
+    assert len(got) == 400 and {r["lang"] for r in got} <= {"en", None}

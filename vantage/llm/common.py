@@ -63,17 +63,26 @@ def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def hash_sample(ids: DataFrame, most: int) -> DataFrame:
-    """(id, y, r): of the rows (id, y) at most `most` of each y, the first r = 1, 2, ... in order of a hash of the id.
-
-    Counts by y give a share of hashes that holds about twice as many rows; only those are ranked, so what meets in
-    a task is as small for a frequent y as for a rare one.  Repeated ids count once."""
-    counts = bounded(materialize(ids.groupBy(F.col("y").alias("__y")).agg(F.count(F.lit(1)).alias("__n"))))
+    """(id, y, r): of the pairs (id, y) at most `most` of each y, the first r = 1, 2, ... in order of a hash of the id.
+
+    Counts of different ids by y (estimated within a few per cent) give a share of hashes that holds about twice as many;
+    only those are ranked, so what meets in a task is as small for a frequent y as for a rare one.  Pairs that repeat,
+    however often, count once, in the counts as in the sample."""
+    ids = ids.select("id", "y")
+    counts = ids.groupBy(F.col("y").alias("__y")).agg(F.approx_count_distinct(F.xxhash64("id"), 0.02).alias("__n"))
+    counts = bounded(materialize(counts))
     u = (F.xxhash64(F.lit("sample"), "id") / F.lit(2.0**64)) + 0.5
     near = ids.join(counts, F.col("y").eqNullSafe(F.col("__y"))).where(u * F.col("__n") <= 2 * most + 50).select("id", "y").distinct()
     order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit("sample"), "id"), "id")
     return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., text) of rows with these columns: of each key one text, that of the smallest hash, so that no more rows
+    reach the driver than there are keys."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), F.coalesce("text", F.lit("")))).alias("text"))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small; a smaller setting of the user's stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -8,7 +8,8 @@ labelled sample give Nystroem features; one-versus-rest ridge regression on them
 Edge cases: null texts and texts without a letter are `und` with score 0; texts of any length are read whole, in
 segments of at most SEGMENT letters whose values are averaged by length; languages are those of the labelled sample
 (some hundreds at most: the model has SAMPLE_PER_LANG texts of each);
-without labelled rows all texts are `und`; repeated rows are classified each.
+without labelled rows all texts are `und`; repeated rows are classified each; of the labelled rows that share an id and a
+language one is learned from, and rows without an id are not.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, packed, small_batches, unpacked
+from .common import hash_sample, one_text, packed, small_batches, unpacked
 
 #: At most so many labelled rows a language are learned from: a bounded sample, in order of a hash of the id.
 SAMPLE_PER_LANG = 300
@@ -150,11 +151,11 @@ def fit(texts, langs) -> Model:
 
 def train(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on a bounded sample of the rows for which `learn` holds."""
-    docs = docs.where(F.octet_length(f"`{text}`") <= SAMPLE_BYTES)
-    ids = docs.where(learn & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("y"))
-    ids = hash_sample(ids, SAMPLE_PER_LANG)
-    sample = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "id").select("text", "y", "r").collect()
-    sample.sort(key=lambda r: (r["r"], r["y"], r["text"] or ""))
+    rows = docs.where(F.octet_length(f"`{text}`") <= SAMPLE_BYTES).where(learn & F.col(f"`{lang}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull())
+    rows = rows.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("y"), F.col(f"`{text}`").alias("text"))
+    chosen = F.broadcast(hash_sample(rows, SAMPLE_PER_LANG))  # SAMPLE_PER_LANG ids a language
+    sample = one_text(rows.join(chosen, ["id", "y"]), "id", "y", "r").collect()
+    sample.sort(key=lambda r: (r["r"], r["y"], r["text"]))
     return fit([r["text"] for r in sample], [r["y"] for r in sample])
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, packed, small_batches, unpacked
+from .common import hash_sample, one_text, packed, small_batches, unpacked
 
 #: At most so many labelled rows of each class are learned from: a bounded sample, in order of a hash of the id.
 SAMPLE_PER_CLASS = 4000
@@ -150,10 +150,11 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """(text, y) of a bounded sample of labelled rows; equal texts count once, with their highest label."""
+    """(text, y) of a bounded sample of labelled rows: one of each id; equal texts count once, with their highest label."""
     y = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("y"))
     y = hash_sample(y, most).select("id", "y")
-    return docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(y), "id").groupBy("text").agg(F.max("y").alias("y"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(y), "id")
+    return one_text(rows, "id", "y").groupBy("text").agg(F.max("y").alias("y"))
 
 
 def features(word: str):
