@@ -8,6 +8,8 @@ from vantage.operators import clustering as cl
 from vantage.operators import dataset as ds
 from vantage.operators import evaluation as ev
 from vantage.operators import fields as fi
+from vantage.operators import neighbours as ne
+from vantage.operators import projection as pr
 from vantage.operators import joins as jo
 from vantage.operators import sampling as sa
 from vantage.operators import selection as se
@@ -126,17 +128,61 @@ def test_elbows(spark):
     assert cl.fill_scores(spark.createDataFrame([("u", 2, 1.0), ("u", 4, 3.0)], "uid string, k int, score double")).collect()[1]["score"] == 2.0
 
 
-def test_dbscan_line():
-    x = np.array([[0.0], [0.1], [0.2], [0.3], [0.4], [5.0], [5.1], [5.2], [5.3], [5.4], [9.0]])
-    assert cl.dbscan(x, 0.11, 2).tolist() == [0] * 5 + [1] * 5 + [-1]
-
-
-def test_dbscan_grid_equals_all_distances():
-    x = np.random.default_rng(4).random((200, 5))
-    x[::9] = x[0]
-    for eps in (0.0, 0.1, 0.3, 2.0):
-        want = [np.flatnonzero(((x - p) ** 2).sum(1) <= eps * eps) for p in x]
-        assert all((a == b).all() for a, b in zip(cl._neighbours(x, eps), want, strict=True))
+def plain_density(x, eps, least):
+    """Labels by visiting points in order, as density clustering is usually told."""
+    near = [np.flatnonzero(((x - p) ** 2).sum(1) <= eps * eps) for p in x]
+    core, labels, c = [len(n) >= least for n in near], np.full(len(x), -1), 0
+    for i in range(len(x)):
+        if core[i] and labels[i] < 0:
+            labels[i], todo = c, [i]
+            while todo:
+                p = todo.pop()
+                for q in near[p] if core[p] else ():
+                    if labels[q] < 0:
+                        labels[q] = c
+                        todo.append(q)
+            c += 1
+    return labels.tolist()
+
+
+POINT = "uid long, sample long, position array<double>"
+
+
+def test_density_clusters_equal_a_plain_search(spark):
+    rng = np.random.default_rng(4)
+    groups = {1: np.array([[0.1 * i, 0, 0] for i in range(5)] + [[5 + 0.1 * i, 0, 0] for i in range(5)] + [[9.0, 0, 0]])}
+    groups[2] = rng.random((150, 3))
+    groups[2][::9] = groups[2][0]
+    groups[3] = rng.random((1, 3))
+    rows = [(g, i, p.tolist()) for g, x in groups.items() for i, p in enumerate(x)]
+    df = spark.createDataFrame(rows, POINT)
+    for eps, least in ((0.11, 2), (0.2, 5), (0.0, 3)):
+        got = ne.density_clusters(df, eps, least, ("uid",)).orderBy("uid", "sample").collect()
+        assert [r["label"] for r in got] == [k for x in groups.values() for k in plain_density(x, eps, least)], eps
+    assert ne.density_clusters(df.limit(0), 0.1, 2, ("uid",)).count() == 0
+
+
+def test_thinning(spark):
+    x = np.random.default_rng(1).random((300, 3))
+    df = spark.createDataFrame([(u, i, p.tolist()) for u in (1, 2) for i, p in enumerate(x * u)], POINT)
+    got = {u: sorted(r["sample"] for r in ne.without_close(df, 0.2, rule="first").where(f"uid = {u}").collect()) for u in (1, 2)}
+    for u, kept in got.items():
+        want = []
+        for i, p in enumerate(x * u):
+            if all(((x[j] * u - p) ** 2).sum() >= 0.04 for j in want):
+                want.append(i)
+        assert kept == want
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    pairs = [(i, j) for i in range(300) for j in range(i + 1, 300) if d[i, j] <= 0.2]
+    degree = np.bincount(np.array(pairs).ravel(), minlength=300)
+    gone = {j if degree[j] > degree[i] else i for i, j in pairs}
+    assert sorted(r["sample"] for r in ne.without_close(df.where("uid = 1"), 0.2).collect()) == [i for i in range(300) if i not in gone]
+    assert ne.without_close(df, 0.0).count() == 600
+    assert sa.thin_min_distance(df, 100, None).count() == 600 and sa.thin_min_distance(df, 7, 0.01).count() == 14
+    kept, trace = sa.thin_to_target(df.withColumn("target", F.lit(40)), 0.0, 2.0, 8)
+    sizes = {r["uid"]: r["count"] for r in kept.groupBy("uid").count().collect()}
+    last = {r["uid"]: r for r in sorted(trace.collect(), key=lambda r: r["iteration"])}
+    assert all(sizes[u] == last[u]["samples"] for u in (1, 2)) and all(abs(n - 40) < 15 for n in sizes.values())
 
 
 def test_x_means_options(spark):
@@ -159,11 +205,6 @@ def test_x_means_options(spark):
 
 
 def test_samplers(spark):
-    x = np.random.default_rng(1).random((300, 3))
-    keep = sa.remove_close(x, 0.2)
-    k = x[keep]
-    d = np.linalg.norm(k[:, None] - k[None], axis=2) + np.eye(len(k))
-    assert d.min() >= 0.2 and all(np.linalg.norm(k - p, axis=1).min() < 0.2 for p in x[~keep])
     f = sa.farthest_points(np.array([[0.0], [1.0], [10.0], [4.0]]), 3, 0)
     assert f == [0, 2, 3]
     tri = spark.createDataFrame([(1, 0, [0.0, 0.0, 0.0], [1.0, 0.0, 0.0], [0.0, 2.0, 0.0]), (1, 1, [5.0, 0.0, 0.0], [8.0, 0.0, 0.0], [5.0, 2.0, 0.0])], "uid long, face int, v0 array<double>, v1 array<double>, v2 array<double>")
@@ -193,10 +234,36 @@ def test_spatial_selection(spark):
     assert alone["other"] == [0.0, 0.0, 0.0]
 
 
-def test_log_bins():
-    g = np.arange(24.0).reshape(4, 6, 1)
-    out = fi.log_bin(g)
-    assert out.shape == (4, 6, 17) and out[1, 1, 4] == g[1, 1, 0] and out[0, 0, 0] == g[0, 0, 0]
+def test_log_bins(spark):
+    g = np.random.default_rng(7).random((4, 6, 2))
+    holes = {(5, 3), (2, 1)}
+    cells = [(9, x, y, g[y, x].tolist()) for y in range(4) for x in range(6)]
+    grid = spark.createDataFrame(cells, "image long, cx int, cy int, vector array<double>")
+    for df, left_out in ((grid, set()), (grid.where("NOT (cx = 5 AND cy = 3) AND NOT (cx = 2 AND cy = 1)"), holes)):
+        got = {(r["cx"], r["cy"], r["bin"]): r["vector"] for r in fi.log_bins(df).collect()}
+        want = {}
+        for x in range(6):
+            for y in range(4):
+                places = [(0, i, j) for j in (-1, 0, 1) for i in (-1, 0, 1)] + [(1, i, j) for j in (-3, 0, 3) for i in (-3, 0, 3) if i or j]
+                for b, (level, i, j) in enumerate(places):
+                    nx, ny = min(max(x + i, 0), 5), min(max(y + j, 0), 3)
+                    box = [g[q, p] for p in range(nx - level, nx + level + 1) for q in range(ny - level, ny + level + 1) if 0 <= p < 6 and 0 <= q < 4 and (p, q) not in left_out]
+                    if (x, y) not in left_out and (nx, ny) not in left_out:
+                        want[x, y, b] = np.mean(box, axis=0)
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+    whole = {(r["cx"], r["cy"]): r["vector"] for r in fi.log_binned(grid).collect()}
+    assert len(whole) == 24 and all(len(v) == 34 for v in whole.values()) and np.allclose(whole[1, 1][8:10], g[1, 1])
+
+
+def test_projection_and_depth(spark):
+    eye = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 5.0], [0.0, 0.0, 0.0, 1.0]]  # at z = 5, looking down
+    pts = [(1, 0, [0.0, 0.0, 0.0]), (1, 1, [0.0, 0.0, 1.0]), (1, 2, [1.0, 1.0, 0.0]), (1, 3, [0.0, 0.0, 4.99]), (1, 4, [9.0, 0.0, 0.0]), (1, 5, [0.0, 0.0, 6.0])]
+    p = pr.project(spark.createDataFrame(pts, POINT), spark.createDataFrame([(1, 7, eye)], "uid long, view int, transform array<array<double>>"), np.pi / 2, 100, 50)
+    got = {r["sample"]: (r["x"], r["y"], round(r["z"], 9)) for r in p.collect()}
+    assert got == {0: (50.0, 25.0, 5.0), 1: (50.0, 25.0, 4.0), 2: (55.0, 30.0, 5.0), 4: (95.0, 25.0, 5.0)}  # 3 too near, 5 behind
+    wide = p.where("sample < 4").unionByName(p.where("sample = 4").withColumn("x", F.lit(100.0)))
+    seen = {r["sample"]: r["visible"] for r in pr.with_visibility(wide, pr.depth_buffer(wide, 100, 50)).collect()}
+    assert seen == {0: 0, 1: 1, 2: 1, 4: 0}
 
 
 def test_python_functions_need_no_copy_of_the_package(tmp_path):

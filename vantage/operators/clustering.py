@@ -1,12 +1,10 @@
-"""Clustering of embedded samples: whitening, Lloyd rounds, elbows, x-means, density clusters, largest clusters.
+"""Clustering of embedded samples: whitening, Lloyd rounds, elbows, x-means, largest clusters.
 
 samples: (uid, sample, vector).  `uid` groups the samples of one item; every operator works on all items at once.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -142,7 +140,7 @@ def fill_scores(scores: DataFrame) -> DataFrame:
     return grid.select("uid", "k", lerp.alias("score"))
 
 
-# --- x-means and density clusters: per item, numpy ------------------------------------------------------------------
+# --- x-means: per item, numpy ------------------------------------------------------------------
 
 
 def _lloyd(x: np.ndarray, centers: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -299,52 +297,6 @@ def _vectors(samples: DataFrame) -> DataFrame:
     return samples.select("uid", "sample", as_double("vector").alias("vector"))
 
 
-def _neighbours(x: np.ndarray, eps: float) -> list[np.ndarray]:
-    """The points within eps of each, itself included: candidates come from a grid over the first three axes."""
-    if eps <= 0 or not len(x):
-        return [np.flatnonzero((x == p).all(1)) for p in x]
-    cells: dict[tuple, list[int]] = {}
-    at = [tuple(c) for c in np.floor(x[:, :3] / eps)]
-    for i, c in enumerate(at):
-        cells.setdefault(c, []).append(i)
-    around = {c: np.sort(np.concatenate([cells[n] for n in itertools.product(*((a - 1, a, a + 1) for a in c)) if n in cells])) for c in cells}
-    return [around[c][((x[around[c]] - p) ** 2).sum(1) <= eps * eps] for c, p in zip(at, x, strict=True)]
-
-
-def dbscan(x: np.ndarray, eps: float, min_samples: int = 5) -> np.ndarray:
-    """Labels from 0 in order of the first core point, -1 for noise. Neighbourhoods include the point."""
-    n = len(x)
-    near = _neighbours(x, eps)
-    core = np.array([len(i) >= min_samples for i in near])
-    labels, c = np.full(n, -1), 0
-    for i in range(n):
-        if labels[i] >= 0 or not core[i]:
-            continue
-        todo = [i]
-        labels[i] = c
-        while todo:
-            p = todo.pop()
-            if core[p]:
-                for q in near[p]:
-                    if labels[q] < 0:
-                        labels[q] = c
-                        todo.append(q)
-        c += 1
-    return labels
-
-
-def density_clusters(points: DataFrame, eps: float = 0.05, min_samples: int = 5, keys: tuple[str, ...] = ("uid", "cluster")) -> DataFrame:
-    """(keys, sample, label) by density per group of points (keys, sample, position)."""
-    kinds = dict(points.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "sample")) + ", label int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample", ignore_index=True)
-        return pdf[[*keys, "sample"]].assign(label=dbscan(np.array(pdf["position"].tolist(), float), eps, min_samples).astype("int32"))
-
-    return points.groupBy(*keys).applyInPandas(run, schema)
-
-
 def label_mode(labels: DataFrame, keys: tuple[str, ...] = ("uid", "cluster")) -> DataFrame:
     """(keys, label, n): the most frequent label from 0 up; of equal counts the one that reaches it first by sample."""
     w = Window.partitionBy(*keys, "label").orderBy("sample")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,36 +84,54 @@ def within_circle(points: DataFrame, x: float, y: float, radius: float) -> DataF
     return points.where(F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2) <= radius * radius)
 
 
-def log_bin(grid: np.ndarray, hierarchy: int = 2) -> np.ndarray:
-    """(h, w, d) -> (h, w, bins * d): each cell beside averages around it at spacings 1, 3, 9, ...; borders are clamped.
-
-    The first level has the 3 x 3 neighbourhood, each next one the 8 outer cells: 17 bins for two levels."""
-    h, w, _ = grid.shape
-    out = []
+def _added(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, s, n): sums of the rows' vectors s and counts n; a group has no more rows than the stencil has places."""
+    rows = F.array_sort(F.collect_list(F.struct("from", "s", "n")))
+    g = df.groupBy(*keys).agg(rows.alias("r"))
+    rest = F.slice("r", 2, F.size("r"))
+    total = F.aggregate(rest, F.col("r")[0]["s"], lambda a, x: F.zip_with(a, x["s"], lambda p, q: p + q))
+    return g.select(*keys, total.alias("s"), F.aggregate("r", F.lit(0), lambda a, x: a + x["n"]).alias("n"))
+
+
+def box_means(grid: DataFrame, size: int) -> DataFrame:
+    """(image, cx, cy, vector) of the grid's cells: the mean over the size x size box around each, of the cells that are
+    there.  Cells lend their sums first along x, then along y, so each is copied 2 * size times and not size * size."""
+    half = size // 2
+    cells = grid.select("image", "cx", "cy", as_double("vector").alias("s"), F.lit(1).alias("n"))
+    if half:
+        for axis in ("cx", "cy"):
+            lent = cells.withColumn("from", F.col(axis)).withColumn(axis, F.explode(F.sequence(F.col(axis) - half, F.col(axis) + half)))
+            cells = _added(lent, ["image", "cx", "cy"])
+        cells = cells.join(grid.select("image", "cx", "cy"), ["image", "cx", "cy"], "left_semi")
+    return cells.select("image", "cx", "cy", F.transform("s", lambda x: x / F.col("n")).alias("vector"))
+
+
+def log_bins(grid: DataFrame, hierarchy: int = 2) -> DataFrame:
+    """(image, cx, cy, bin, vector): the log-binned neighbourhood of each cell of grid (image, cx, cy, vector).
+
+    Level k has box means of 3^k cells at spacing 3^k: the first one all 3 x 3 places, each next one the 8 outer ones, so
+    17 bins for two levels, numbered by level, then row, then column.  Places beside the image are moved onto its border.
+    A place whose cell is missing gives no row."""
+    size = grid.groupBy("image").agg(F.max("cx").alias("right"), F.max("cy").alias("bottom"))
+    wanted, pooled, first = [], None, 0
     for level in range(hierarchy):
-        size = 3**level
-        pad = size // 2
-        g = np.pad(grid, ((pad, pad), (pad, pad), (0, 0)), mode="edge")
-        pooled = np.mean([g[a : a + h, b : b + w] for a in range(size) for b in range(size)], axis=0)
-        ys, xs = np.arange(h), np.arange(w)
-        for a in (-size, 0, size):
-            for b in (-size, 0, size):
-                if level and not a and not b:
-                    continue
-                out.append(pooled[np.clip(ys + a, 0, h - 1)][:, np.clip(xs + b, 0, w - 1)])
-    return np.concatenate(out, axis=2)
+        d = 3**level
+        means = box_means(grid, d).withColumn("level", F.lit(level))
+        pooled = means if pooled is None else pooled.unionByName(means)
+        places = [(x, y) for y in (-d, 0, d) for x in (-d, 0, d) if not level or x or y]
+        wanted += [F.struct(F.lit(first + i).alias("bin"), F.lit(level).alias("level"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for i, (x, y) in enumerate(places)]
+        first += len(places)
+    c = grid.select("image", "cx", "cy").join(size, "image").withColumn("w", F.explode(F.array(*wanted)))
+    onto = lambda at, d, most: F.least(F.greatest(F.col(at) + F.col(d), F.lit(0)), F.col(most))
+    c = c.select("image", "cx", "cy", "w.bin", "w.level", onto("cx", "w.dx", "right").alias("nx"), onto("cy", "w.dy", "bottom").alias("ny"))
+    pooled = pooled.withColumnsRenamed({"cx": "nx", "cy": "ny"})
+    return c.join(pooled, ["image", "level", "nx", "ny"]).select("image", "cx", "cy", "bin", "vector")
 
 
 def log_binned(grid: DataFrame, hierarchy: int = 2) -> DataFrame:
-    """(image, cx, cy, vector): log-binned descriptors of each image's grid (image, cx, cy, vector);
-    cells that are missing count as zeros."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cy", "cx"], ignore_index=True)
-        w, h = int(pdf["cx"].max()) + 1, int(pdf["cy"].max()) + 1
-        v = np.array(pdf["vector"].tolist(), float)
-        g = np.zeros((h, w, v.shape[1]))
-        g[pdf["cy"], pdf["cx"]] = v
-        return pdf[["image", "cx", "cy"]].assign(vector=list(log_bin(g, hierarchy)[pdf["cy"], pdf["cx"]]))
-
-    return grid.groupBy("image").applyInPandas(run, "image long, cx int, cy int, vector array<double>")
+    """(image, cx, cy, vector): the bins of log_bins one after another; a missing one counts as zeros."""
+    bins = 1 + 8 * hierarchy
+    found = log_bins(grid, hierarchy).groupBy("image", "cx", "cy").agg(F.map_from_entries(F.collect_list(F.struct("bin", "vector"))).alias("m"))
+    zeros = F.transform(F.col("m")[4], lambda x: F.lit(0.0))  # bin 4 is the cell itself
+    every = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("m", b), zeros))
+    return found.select("image", "cx", "cy", F.flatten(every).alias("vector"))

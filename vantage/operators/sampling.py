@@ -2,39 +2,45 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import triangle_area
+from ..functions.lineage import cut
 from ..functions.scalars import uniform
 from ..functions.vectors import subtract
+from .dataset import ranked
 from .joins import checked
+from .neighbours import without_close
 
 
 def cumulative(df: DataFrame, keys: list[str], order: str, weight: str) -> DataFrame:
-    """df with lo and hi: the row's interval of the running weight, and total, the group's weight."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    hi = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumns({"hi": hi, "lo": hi - F.col(weight), "total": F.sum(weight).over(Window.partitionBy(*keys))})
+    """df with lo and hi: the row's interval of the running weight, and total, the group's weight.
+
+    Sums run over ranges of keys and order, so no task holds a group."""
+    r = ranked(df, keys, [F.col(order)], weight)
+    return r.select(*df.columns, (F.col("running") - F.coalesce(weight, F.lit(0))).alias("lo"), F.col("running").alias("hi"), F.col("whole").alias("total"))
 
 
 def interval_lookup(draws: DataFrame, intervals: DataFrame, key: str, u: str = "u") -> DataFrame:
     """draws (key, u in [0, 1), ...) with the row of the interval that u * total falls in: lo <= x < hi.
 
-    A group's bounds are an array; a draw finds its place in it by halving, so no pair of draw and interval is made."""
+    The range of u is cut in as many buckets as the key has intervals; an interval has a row in each bucket that it
+    meets (two a key's interval on average) and a draw meets those of its bucket by an equi-join.  So neither side of a
+    key is ever gathered, whatever their number.  A draw beyond the last interval by rounding takes the last one."""
     names = [c for c in intervals.columns if c not in (key, "lo", "hi", "total")]
-    rows = F.array_sort(F.collect_list(F.struct("hi", *names)))
-    g = checked(intervals.where("hi > lo").groupBy(key).agg(rows.alias("__rows"), F.max("total").alias("__total")))
-    halves = F.transform(F.sequence(F.floor(F.log2(F.size("__rows"))).cast("int") + 1, F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2), b).cast("int"))
-    g = g.withColumn("__steps", halves)
-    j = draws.join(g, key).withColumn("__x", F.col(u) * F.col("__total"))
-    passed = lambda i: (i <= F.size("__rows")) & (F.get("__rows", i - 1)["hi"] <= F.col("__x"))
-    at = F.aggregate("__steps", F.lit(0), lambda a, s: F.when(passed(a + s), a + s).otherwise(a))
-    hit = F.get("__rows", F.least(at, F.size("__rows") - 1))
-    return j.withColumn("__hit", hit).select(*draws.columns, *(F.col(f"__hit.{n}").alias(n) for n in names))
+    iv = intervals.where("hi > lo")
+    sizes = checked(iv.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"), F.max("hi").alias("__top"), F.max("total").alias("__total")))
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    last = F.col("hi") == F.col("__top")
+    at = lambda x, slack: F.floor(x / F.col("__total") * F.col("__n") * F.lit(1 + slack))
+    buckets = F.sequence(F.least(at(F.col("lo"), -1e-12), F.col("__n") - 1), F.when(last, F.col("__n") - 1).otherwise(F.least(at(F.col("hi"), 1e-12), F.col("__n") - 1)))
+    iv = iv.join(sizes, same).select("__key", F.explode(buckets).alias("__bucket"), "lo", "hi", last.alias("__last"), F.struct(*names).alias("__hit"))
+    d = draws.join(sizes, same).withColumns({"__x": F.col(u) * F.col("__total"), "__bucket": F.least(F.floor(F.col(u) * F.col("__n")), F.col("__n") - 1)}).drop("__n", "__top", "__total")
+    j = d.join(iv, ["__key", "__bucket"]).where((F.col("__x") >= F.col("lo")) & ((F.col("__x") < F.col("hi")) | F.col("__last")))
+    return j.select(*draws.columns, *(F.col(f"__hit.{n}").alias(n) for n in names))
 
 
 def discrete_draws(keys: DataFrame, histogram: DataFrame, seed: str, key: str = "uid") -> DataFrame:
@@ -64,19 +70,6 @@ def target_count(area, per_unit_area: float, least: int, most: int):
     return F.greatest(F.least(F.ceil(F.lit(float(per_unit_area)) * area).cast("int"), F.lit(most)), F.lit(least))
 
 
-def remove_close(points: np.ndarray, radius: float) -> np.ndarray:
-    """Mask of the points that stay: in order, a point goes if one that stays is nearer than the radius (grid of cells)."""
-    cells: dict[tuple, list[int]] = {}
-    keep = np.zeros(len(points), bool)
-    for i, p in enumerate(points):
-        c = tuple(np.floor(p / radius).astype(int)) if radius > 0 else (i, 0, 0)
-        near = (cells.get((c[0] + a, c[1] + b, c[2] + d), ()) for a in (-1, 0, 1) for b in (-1, 0, 1) for d in (-1, 0, 1))
-        if radius <= 0 or all(np.sum((points[j] - p) ** 2) >= radius * radius for js in near for j in js):
-            keep[i] = True
-            cells.setdefault(c, []).append(i)
-    return keep
-
-
 def farthest_points(points: np.ndarray, count: int, start: int) -> list[int]:
     """Indices chosen so that each next point is the farthest from those chosen; the first on ties."""
     chosen, nearest = [start], np.linalg.norm(points - points[start], axis=1)
@@ -100,33 +93,49 @@ def _thin(pick):
     return apply
 
 
-def thin_min_distance(points: DataFrame, count: int, radius: float | None) -> DataFrame:
-    """Per uid the first `count` points no nearer to each other than radius; all candidates if radius is None.
-
-    An item's candidates are bounded by the sampler that makes them, so a group fits a task."""
-    if radius is None:
-        return points.select("uid", "sample", "position")
-    return points.groupBy("uid").applyInPandas(_thin(lambda p, _: np.flatnonzero(remove_close(p, radius))[:count]), _SCHEMA)
-
-
-def thin_to_target(points: DataFrame, lowest: float, highest: float, iterations: int) -> DataFrame:
-    """Per uid (points have a column target) the radius is halved in on until so many points are left."""
-
-    def pick(p: np.ndarray, pdf: pd.DataFrame):
-        target, lo, hi, kept = int(pdf["target"].iloc[0]), lowest, highest, np.arange(0)
-        for _ in range(iterations):
-            mid = (lo + hi) / 2
-            kept = np.flatnonzero(remove_close(p, mid))
-            if len(kept) == target:
-                break
-            lo, hi = (mid, hi) if len(kept) > target else (lo, mid)
-        return kept
-
-    return points.groupBy("uid").applyInPandas(_thin(pick), _SCHEMA)
+def first_samples(points: DataFrame, count: int) -> DataFrame:
+    """Of each uid the first `count` points by sample."""
+    return ranked(points, ["uid"], [F.col("sample")]).where(F.col("rank") <= count).drop("rank")
+
+
+def thin_min_distance(points: DataFrame, count: int, radius: float | None, rule: str = "degree") -> DataFrame:
+    """Per uid the first `count` points no nearer to each other than radius (`without_close` tells which go); all
+    candidates, which are more than count, if radius is None."""
+    points = points.select("uid", "sample", "position")
+    return points if radius is None else first_samples(without_close(points, radius, rule=rule), count)
+
+
+def thin_to_target(points: DataFrame, lowest: float, highest: float, iterations: int, count: int | None = None, rule: str = "degree") -> tuple[DataFrame, DataFrame]:
+    """(points that stay, trace): per uid (points have a column target) the radius is halved in on until so many are left.
+
+    All items go through one loop in lockstep: a row an item holds its bracket, and each round thins the candidates of
+    those that are not done, at their own radius, in one join.  trace: (uid, iteration, lo, mid, hi, samples).  At most
+    `count` points of an item stay; what stays is what its last round left."""
+    items = cut(points.groupBy("uid").agg(F.max("target").alias("target")).withColumns({"lo": F.lit(float(lowest)), "hi": F.lit(float(highest))}))
+    points, kept, trace = cut(points.select("uid", "sample", "position")), None, None
+    for i in range(iterations):
+        mid = (F.col("lo") + F.col("hi")) * 0.5
+        now = points.join(items.select("uid", mid.alias("__mid")), "uid")
+        left = without_close(now, F.col("__mid"), rule=rule).drop("__mid")
+        left = cut(left if count is None else first_samples(left, count))
+        sizes = left.groupBy("uid").agg(F.count(F.lit(1)).alias("samples"))
+        step = cut(items.join(sizes, "uid", "left").select("uid", "target", F.lit(i).alias("iteration"), "lo", mid.alias("mid"), "hi", F.coalesce("samples", F.lit(0)).alias("samples")))
+        trace = step.drop("target") if trace is None else trace.unionByName(step.drop("target"))
+        open_ = step.where("samples <> target")
+        done = left if i == iterations - 1 else left.join(step.where("samples = target").select("uid"), "uid", "left_semi")
+        kept = done if kept is None else kept.unionByName(done)
+        above = F.col("samples") > F.col("target")
+        items = cut(open_.select("uid", "target", F.when(above, F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(above, F.col("hi")).otherwise(F.col("mid")).alias("hi")))
+        if items.isEmpty():
+            break
+    return kept, trace
 
 
 def thin_farthest(points: DataFrame, seed: str) -> DataFrame:
-    """Per uid (points have a column target) so many points by farthest-point sampling from a seeded start."""
+    """Per uid (points have a column target) so many points by farthest-point sampling from a seeded start.
+
+    Each choice depends on the one before it, thousands in a row for one item, so an item's candidates (as many as the
+    sampler makes, a bounded number) are one task's work, and items run side by side."""
 
     def pick(p: np.ndarray, pdf: pd.DataFrame):
         import hashlib

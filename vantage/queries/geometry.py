@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as ge
 from ..operators import fields as fi
+from ..operators import neighbours as ne
+from ..operators import projection as pr
 from ..operators import sampling as sa
 from .base import registrar, table
 
@@ -117,24 +119,80 @@ def surface_samples(spark, sf_dir):
     return p.select("uid", "sample", "face", ok.alias("inside"))
 
 
-@query()
+def _candidates(spark, sf_dir, count, seed):
+    """Three times as many candidates as samples, placed to six digits."""
+    p = sa.surface_points(_mesh(spark, sf_dir), 3 * count, seed)
+    return p.select("uid", "sample", F.transform("position", lambda x: F.floor(x * 1_000_000 + 0.5) / 1_000_000).alias("position"))
+
+
+def _candidates_sql(count: int, seed: str) -> str:
+    """The same points: a face by inverse area, a place in it by two folded uniforms."""
+    u = lambda c: f"('0x' || substr(md5('{seed}/{c}|' || uid || '/' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0"
+    return f"""{MESH}, cu AS (SELECT uid, face, s, sum(s * s) OVER (PARTITION BY uid ORDER BY face) AS hi, sum(s * s) OVER (PARTITION BY uid) AS total FROM m),
+dr AS (SELECT uid, k, {u("face")} AS u, {u("a")} AS a0, {u("b")} AS b0 FROM (SELECT DISTINCT uid FROM m), (SELECT unnest(range(0, {3 * count})) AS k)),
+fa AS (SELECT dr.uid, k, a0, b0, min((face, s)) AS f FROM dr JOIN cu ON cu.uid = dr.uid AND cu.hi > dr.u * cu.total GROUP BY ALL),
+ab AS (SELECT uid, k, f[2] AS s, CASE WHEN a0 + b0 > 1 THEN 1 - a0 ELSE a0 END AS a, CASE WHEN a0 + b0 > 1 THEN 1 - b0 ELSE b0 END AS b FROM fa),
+p AS (SELECT uid, k AS sample, floor((0.0 + a * s + b * 0.0) * 1000000 + 0.5) / 1000000 AS x, floor((0.0 + a * 0.0 + b * s) * 1000000 + 0.5) / 1000000 AS y, floor((0.0 + a * 0.0 + b * s) * 1000000 + 0.5) / 1000000 AS z FROM ab)"""
+
+
+_NEAR = "sqrt(0) + (0.0 + (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z))"
+
+
+@query(f"""WITH RECURSIVE {_candidates_sql(30, "f")}, w AS (SELECT uid, least(greatest(ceil(0.05 * sum(s * s * sqrt(2) / 2))::INTEGER, 25), 60) AS target FROM m GROUP BY uid),
+st AS (SELECT uid, target, (('0x' || substr(md5('f|' || uid), 1, 13))::BIGINT % 90) AS start FROM w),
+r AS (SELECT st.uid, target, 1 AS i, start AS pick, list(sqrt({_NEAR}) ORDER BY p.sample) AS near FROM st JOIN p ON p.uid = st.uid JOIN p q ON q.uid = st.uid AND q.sample = st.start GROUP BY ALL
+  UNION ALL SELECT r.uid, r.target, i + 1, list_position(r.near, list_max(r.near)) - 1,
+    (SELECT list(CASE WHEN p.sample = list_position(r.near, list_max(r.near)) - 1 THEN -1 ELSE least(r.near[p.sample + 1], sqrt({_NEAR})) END ORDER BY p.sample) FROM p JOIN p q ON q.uid = p.uid AND q.sample = list_position(r.near, list_max(r.near)) - 1 WHERE p.uid = r.uid) FROM r WHERE i < target)
+SELECT uid, pick::INTEGER AS sample FROM r""")
 def farthest_samples(spark, sf_dir):
-    """Rows only."""
-    t = surface_targets(spark, sf_dir).select("uid", F.least("target", F.lit(12)).alias("target"))
-    return sa.thin_farthest(sa.surface_points(_mesh(spark, sf_dir), 40, "f").join(t, "uid"), "f").select("uid", "sample")
+    """Farthest points from a seeded start, as many as the surface asks for, of three times the samples."""
+    a = _mesh(spark, sf_dir).groupBy("uid").agg(F.sum(ge.triangle_area("v0", "v1", "v2")).alias("area"))
+    t = a.select("uid", sa.target_count(F.col("area"), 0.05, 25, 60).alias("target"))
+    return sa.thin_farthest(_candidates(spark, sf_dir, 30, "f").join(t, "uid"), "f").select("uid", "sample")
 
 
-@query()
+@query(f"""WITH {_candidates_sql(12, "d")}, e AS (SELECT p.uid, p.sample AS a, q.sample AS b FROM p JOIN p q ON q.uid = p.uid AND p.sample < q.sample WHERE {_NEAR} <= 4),
+n AS (SELECT uid, k, count(*) AS n FROM (SELECT uid, a AS k FROM e UNION ALL SELECT uid, b FROM e) GROUP BY ALL),
+g AS (SELECT DISTINCT e.uid, CASE WHEN nb.n > na.n THEN e.b ELSE e.a END AS sample FROM e JOIN n na ON na.uid = e.uid AND na.k = e.a JOIN n nb ON nb.uid = e.uid AND nb.k = e.b),
+t AS (SELECT uid, sample, row_number() OVER (PARTITION BY uid ORDER BY sample) AS r FROM p ANTI JOIN g USING (uid, sample))
+SELECT uid, sample::INTEGER AS sample FROM t WHERE r <= 12""")
 def min_distance_samples(spark, sf_dir):
-    """Rows only."""
-    return sa.thin_min_distance(sa.surface_points(_mesh(spark, sf_dir), 36, "d"), 12, 2.0).select("uid", "sample")
+    """Three times the samples, thinned by the degree of each point in pairs that are too near, then cut."""
+    return sa.thin_min_distance(_candidates(spark, sf_dir, 12, "d"), 12, 2.0).select("uid", "sample")
+
+
+@query(f"""WITH RECURSIVE {_candidates_sql(12, "d")}, e AS (SELECT p.uid, p.sample AS a, list(q.sample) AS later FROM p JOIN p q ON q.uid = p.uid AND p.sample < q.sample WHERE {_NEAR} < 4 GROUP BY ALL),
+r AS (SELECT uid, -1 AS i, []::BIGINT[] AS gone FROM (SELECT DISTINCT uid FROM p)
+  UNION ALL SELECT r.uid, i + 1, CASE WHEN list_contains(gone, i + 1) OR e.later IS NULL THEN gone ELSE list_concat(gone, e.later) END FROM r LEFT JOIN e ON e.uid = r.uid AND e.a = i + 1 WHERE i < 35)
+SELECT p.uid, p.sample::INTEGER AS sample FROM p JOIN r ON r.uid = p.uid AND r.i = 35 WHERE NOT list_contains(gone, p.sample)""")
+def first_far_samples(spark, sf_dir):
+    """The same candidates taken in order, each dropped if one that stays is nearer; all points at once, in rounds."""
+    return ne.without_close(_candidates(spark, sf_dir, 12, "d"), 2.0, rule="first").select("uid", "sample")
+
 
+DENSITY_ROUNDS = 6
 
-@query()
+
+def _density_round(i: int) -> str:
+    """Candidates thinned at each item's radius, counted, and the bracket halved."""
+    return f"""e{i} AS (SELECT p.uid, p.sample AS a, q.sample AS b FROM p JOIN t{i} t ON t.uid = p.uid JOIN p q ON q.uid = p.uid AND p.sample < q.sample WHERE {_NEAR} <= (lo + hi) * 0.5 * ((lo + hi) * 0.5)),
+n{i} AS (SELECT uid, k, count(*) AS n FROM (SELECT uid, a AS k FROM e{i} UNION ALL SELECT uid, b FROM e{i}) GROUP BY ALL),
+g{i} AS (SELECT DISTINCT e.uid, CASE WHEN nb.n > na.n THEN e.b ELSE e.a END AS sample FROM e{i} e JOIN n{i} na ON na.uid = e.uid AND na.k = e.a JOIN n{i} nb ON nb.uid = e.uid AND nb.k = e.b),
+k{i} AS (SELECT uid, sample FROM (SELECT p.uid, p.sample, row_number() OVER (PARTITION BY p.uid ORDER BY p.sample) AS r FROM p JOIN t{i} USING (uid) ANTI JOIN g{i} g ON g.uid = p.uid AND g.sample = p.sample) WHERE r <= 30),
+s{i} AS (SELECT t.*, (SELECT count(*) FROM k{i} k WHERE k.uid = t.uid) AS samples FROM t{i} t),
+t{i + 1} AS (SELECT uid, target, CASE WHEN samples > target THEN (lo + hi) * 0.5 ELSE lo END AS lo, CASE WHEN samples > target THEN hi ELSE (lo + hi) * 0.5 END AS hi FROM s{i} WHERE samples <> target)"""
+
+
+@query(f"""WITH {_candidates_sql(30, "b")}, t0 AS (SELECT uid, least(greatest(ceil(0.02 * sum(s * s * sqrt(2) / 2))::INTEGER, 8), 30) AS target, 0.0::DOUBLE AS lo, 20.0::DOUBLE AS hi FROM m GROUP BY uid),
+{", ".join(_density_round(i) for i in range(DENSITY_ROUNDS))}
+{" UNION ALL ".join(f"SELECT k.uid, k.sample::INTEGER AS sample, {i} AS iteration FROM k{i} k JOIN s{i} s USING (uid)" + (" WHERE samples = target" if i < DENSITY_ROUNDS - 1 else "") for i in range(DENSITY_ROUNDS))}""")
 def density_samples(spark, sf_dir):
-    """Rows only."""
-    t = surface_targets(spark, sf_dir).select("uid", F.lit(10).alias("target"))
-    return sa.thin_to_target(sa.surface_points(_mesh(spark, sf_dir), 36, "b").join(t, "uid"), 0.0, 20.0, 12).select("uid", "sample")
+    """The radius halved in on for all items in lockstep, until each has as many samples as its surface asks for."""
+    a = _mesh(spark, sf_dir).groupBy("uid").agg(F.sum(ge.triangle_area("v0", "v1", "v2")).alias("area"))
+    t = a.select("uid", sa.target_count(F.col("area"), 0.02, 8, 30).alias("target"))
+    kept, trace = sa.thin_to_target(_candidates(spark, sf_dir, 30, "b").join(t, "uid"), 0.0, 20.0, DENSITY_ROUNDS, 30)
+    last = trace.groupBy("uid").agg(F.max("iteration").alias("iteration"))
+    return kept.join(last, "uid").select("uid", "sample", "iteration")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS uid, l_linenumber AS v, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS k, l_quantity * 0.37 AS x, l_discount * 100 + 0.5 AS y, l_tax * 10 AS z FROM lineitem),
@@ -196,9 +254,74 @@ def points_in_circle(spark, sf_dir):
     return fi.within_circle(e, 0.05, 0.0, 0.1).select("vec_id", F.round("x", 6).alias("x"))
 
 
-@query()
+@query("""WITH g AS (SELECT vec_id // 20 AS image, vec_id % 5 AS cx, vec_id % 20 // 5 AS cy, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+d AS (SELECT image, max(cx) AS r, max(cy) AS b FROM g GROUP BY image),
+m AS (SELECT g.image, g.cx, g.cy, 0 AS level, g.v[1] AS a, g.v[64] AS z FROM g UNION ALL
+  SELECT g.image, g.cx, g.cy, 1, avg(o.v[1]), avg(o.v[64]) FROM g JOIN g o ON o.image = g.image AND abs(o.cx - g.cx) <= 1 AND abs(o.cy - g.cy) <= 1 GROUP BY ALL),
+p AS (SELECT level, dx, dy, row_number() OVER (ORDER BY level, dy, dx) - 1 AS bin FROM (
+  SELECT l AS level, pow(3, l)::INT * i AS dx, pow(3, l)::INT * j AS dy FROM (SELECT unnest([0, 1]) AS l), (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) WHERE level = 0 OR dx <> 0 OR dy <> 0)
+SELECT g.image, g.cx::INTEGER AS cx, g.cy::INTEGER AS cy, bin::INTEGER AS bin, round(m.a, 6) + 0 AS a, round(m.z, 6) + 0 AS z
+FROM g JOIN d ON d.image = g.image, p JOIN m ON m.image = g.image AND m.level = p.level AND m.cx = least(greatest(g.cx + dx, 0), r) AND m.cy = least(greatest(g.cy + dy, 0), b)""")
 def log_binned_grid(spark, sf_dir):
-    """Rows only."""
+    """The bins of every cell, by place."""
     e = table(spark, sf_dir, "embeddings")
     g = e.select(F.floor(F.col("vec_id") / 20).alias("image"), (F.col("vec_id") % 5).cast("int").alias("cx"), F.floor(F.col("vec_id") % 20 / 5).cast("int").alias("cy"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    return fi.log_binned(g).select("image", "cx", "cy", F.size("vector").alias("bins"))
+    return fi.log_bins(g).select("image", "cx", "cy", "bin", (F.round(F.col("vector")[0], 6) + 0.0).alias("a"), (F.round(F.col("vector")[63], 6) + 0.0).alias("z"))
+
+
+#: Cameras around each item (4 azimuths, 3 elevations, distance 2), fields of 60 degrees, pictures of 24 x 16 pixels.
+FOV, WIDTH, HEIGHT = 1.0471975511965976, 24, 16
+PROJECTED = f"""s AS (SELECT l_orderkey % 40 AS uid, l_orderkey // 40 * 10 + l_linenumber AS sample, min(l_quantity) / 50 - 0.5 AS x, min(l_extendedprice) / 100000 - 0.5 AS y, min(l_discount) * 10 - 0.5 AS z FROM lineitem GROUP BY ALL),
+g AS (SELECT (i * 3 + j)::BIGINT AS view, 2 * pi() / 4 * i AS a, -pi() / 2 + pi() / 4 * (j + 1) AS e FROM (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 3)) AS j)),
+c AS (SELECT uid, sample, view, cos(a) AS r00, sin(a) * sin(e) AS r01, sin(a) * cos(e) AS r02, cos(e) AS r11, -sin(e) AS r12, -sin(a) AS r20, cos(a) * sin(e) AS r21, cos(a) * cos(e) AS r22,
+  x - 2 * sin(a) * cos(e) AS p, y + 2 * sin(e) AS q, z - 2 * cos(a) * cos(e) AS r FROM s, g),
+o AS (SELECT uid, sample, view, r00 * p + r20 * r AS cx, r01 * p + r11 * q + r21 * r AS cy, -(r02 * p + r12 * q + r22 * r) AS z FROM c),
+t AS (SELECT uid, sample, view, z, round(({1.7320508075688774 * HEIGHT / WIDTH} * cx / z + 1) * {WIDTH / 2}, 6) AS x, round(({1.7320508075688774} * cy / z + 1) * {HEIGHT / 2}, 6) AS y FROM o WHERE z >= 1.6 AND z <= 100),
+d AS (SELECT uid, view, floor(x) AS px, floor(y) AS py, min(z) AS depth FROM t WHERE floor(x) >= 0 AND floor(x) < {WIDTH} AND floor(y) >= 0 AND floor(y) < {HEIGHT} GROUP BY ALL),
+v AS (SELECT t.*, coalesce(t.z <= depth + 0.001, false)::INTEGER AS visible FROM t LEFT JOIN d ON d.uid = t.uid AND d.view = t.view AND d.px = floor(t.x) AND d.py = floor(t.y))"""
+
+
+def _projected(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    sample = F.floor(F.col("l_orderkey") / 40) * 10 + F.col("l_linenumber")
+    at = F.array(F.min("l_quantity") / 50 - 0.5, F.min("l_extendedprice") / 100000 - 0.5, F.min("l_discount") * 10 - 0.5)
+    points = li.groupBy((F.col("l_orderkey") % 40).alias("uid"), sample.alias("sample")).agg(F.transform(at, lambda x: x.cast("double")).alias("position"))
+    views = ge.sphere_views(spark, 4, 3).select(F.col("index").alias("view"), "transform")
+    cameras = points.select("uid").distinct().crossJoin(F.broadcast(views))  # a generator: 12 cameras an item
+    return pr.project(points, cameras, FOV, WIDTH, HEIGHT, near=1.6)
+
+
+@query(f"WITH {PROJECTED} SELECT uid, sample, view, floor(x * 1000)::BIGINT AS x, floor(y * 1000)::BIGINT AS y, round(z, 6) AS z FROM t")
+def projected_points(spark, sf_dir):
+    """Pixels and depth of every sample in every view, what is nearer than the near plane clipped."""
+    p = _projected(spark, sf_dir)
+    return p.select("uid", "sample", "view", F.floor(F.col("x") * 1000).alias("x"), F.floor(F.col("y") * 1000).alias("y"), F.round("z", 6).alias("z"))
+
+
+@query(f"WITH {PROJECTED} SELECT uid, view, px::INTEGER AS px, py::INTEGER AS py, round(depth, 6) AS depth FROM d")
+def depth_buffers(spark, sf_dir):
+    """The nearest sample of each pixel."""
+    d = pr.depth_buffer(_projected(spark, sf_dir), WIDTH, HEIGHT)
+    return d.select("uid", "view", "px", "py", F.round("depth", 6).alias("depth"))
+
+
+@query(f"WITH {PROJECTED} SELECT uid, view, sum(visible)::BIGINT AS visible, (count(*) - sum(visible))::BIGINT AS obstructed FROM v GROUP BY uid, view")
+def visible_and_obstructed(spark, sf_dir):
+    """Samples in sight and behind others, by view."""
+    p = _projected(spark, sf_dir)
+    t = pr.with_visibility(p, pr.depth_buffer(p, WIDTH, HEIGHT))
+    return t.groupBy("uid", "view").agg(F.sum("visible").alias("visible"), F.sum(1 - F.col("visible")).alias("obstructed"))
+
+
+@query(f"""WITH {PROJECTED}, m AS (SELECT v.*, (sample * 37 % 101) / 101.0 AS mx, (sample * 53 % 103) / 103.0 AS my FROM v WHERE visible = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY uid, view ORDER BY ('0x' || substr(md5('lines/' || uid || '/' || view || '|' || sample), 1, 13))::BIGINT, sample) AS n FROM m WHERE pow(mx - 0.5, 2) + pow(my - 0.5, 2) <= 0.16)
+SELECT uid, view, sample, floor(x / {WIDTH} * 10000)::BIGINT AS u, floor((1 - y / {HEIGHT}) * 10000)::BIGINT AS v, floor(mx * 10000)::BIGINT AS mx, floor(my * 10000)::BIGINT AS my FROM k WHERE n <= 5""")
+def picked_correspondences(spark, sf_dir):
+    """The chain whole: cameras, projection, depth test, the visible samples within a circle of their 2-D map,
+    and some of each picture drawn for its lines."""
+    p = _projected(spark, sf_dir)
+    tested = pr.with_visibility(p, pr.depth_buffer(p, WIDTH, HEIGHT))
+    k = F.col("sample")
+    points = p.select("uid", "sample").distinct().select("uid", "sample", (k * 37 % 101 / 101.0).alias("mx"), (k * 53 % 103 / 103.0).alias("my"))
+    found = pr.correspondences(tested, points, 5, "lines", (0.5, 0.5, 0.4))
+    return found.select("uid", "view", "sample", *(F.floor(F.col(c) * 10000).alias(c) for c in ("u", "v", "mx", "my")))

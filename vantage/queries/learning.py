@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalize
 from ..operators import clustering as cl
+from ..operators import neighbours as ne
 from ..operators import selection as se
 from ..operators import transform as tr
 from .base import registrar, table
@@ -233,10 +234,18 @@ def spatial_views(spark, sf_dir):
     return se.views_in_front(views, se.split_means(p, p))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POSITIONS}, e AS (SELECT a.uid, a.cluster, a.sample AS a, b.sample AS b FROM q a JOIN q b ON b.uid = a.uid AND b.cluster = a.cluster
+  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.12 * 0.12),
+k AS (SELECT uid, cluster, a AS sample FROM e GROUP BY ALL HAVING count(*) >= 5),
+ke AS (SELECT e.* FROM e JOIN k ka ON ka.uid = e.uid AND ka.cluster = e.cluster AND ka.sample = e.a JOIN k kb ON kb.uid = e.uid AND kb.cluster = e.cluster AND kb.sample = e.b),
+r AS (SELECT a, b FROM ke UNION SELECT r.a, ke.b FROM r JOIN ke ON ke.a = r.b),
+c AS (SELECT k.uid, k.cluster, k.sample, min(r.b) AS start FROM k JOIN r ON r.a = k.sample GROUP BY ALL),
+l AS (SELECT uid, cluster, sample, dense_rank() OVER (PARTITION BY uid, cluster ORDER BY start) - 1 AS label FROM c)
+SELECT q.uid, q.cluster, q.sample, coalesce(own.label, min(near.label), -1)::INTEGER AS label
+FROM q LEFT JOIN l own ON own.sample = q.sample LEFT JOIN e ON e.a = q.sample LEFT JOIN l near ON near.sample = e.b GROUP BY q.uid, q.cluster, q.sample, own.label""")
 def density_labels(spark, sf_dir):
-    """Rows only; tests compare with a plain version."""
-    return cl.density_clusters(_positions(spark, sf_dir), 0.08, 5)
+    """Cores, clusters and borders by a join over grid cells."""
+    return ne.density_clusters(_positions(spark, sf_dir), 0.12, 5)
 
 
 @query("WITH l AS (SELECT l_orderkey AS uid, l_linenumber AS cluster, l_partkey AS sample, l_suppkey % 3 AS label, l_quantity FROM lineitem), r AS (SELECT uid, sample, label, row_number() OVER (PARTITION BY uid, label ORDER BY sample) AS c FROM (SELECT DISTINCT uid, sample, label FROM l)) SELECT uid, label::INTEGER AS label, c AS n FROM r QUALIFY row_number() OVER (PARTITION BY uid ORDER BY c DESC, sample, label) = 1")
