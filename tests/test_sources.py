@@ -126,12 +126,19 @@ def test_tracker_stream(spark, tmp_path):
 
 
 def test_readers_of_parameters_and_rounds(spark, tmp_path):
-    files = {"solution": '{"k": 3, "score": 0.5}', "trace": '{"scores": [[1.0], [0.5, 0.25]]}', "norm": '{"scale": [2.0, 2.0, 2.0], "offset": [0.0, 1.0, 0.0]}', "params": '{"clip": {"parameters": {"dim": [4]}}}'}
+    trace = """{"improve_parameters_count": 2, "improve_structure_count": 1, "iterations_global_scores": [1.0, 3.0],
+      "iterations_pre_split_clusters": [1, 2], "iterations_post_split_clusters": [2, 2], "iterations_local_pre_split_scores": [[1.0], []],
+      "iterations_local_post_split_scores": [[2.0], []], "clusters_iterations": [0, 1], "clusters_global_scores": [1.0, 3.0],
+      "clusters_indices": [[[0, 1, 2]], [[0, 2], [1]]], "clusters_centers": [[[0.5]], [[0.25], [1.0]]]}"""
+    files = {"solution": '{"indices": [[0, 2], [1]], "centers": [[0.5, 1.0], [2.0, 3.0]], "score": 0.5}', "trace": trace, "norm": '{"scale": [2.0, 2.0, 2.0], "offset": [0.0, 1.0, 0.0]}', "params": '{"clip": {"parameters": {"dim": [4]}}}'}
     for name, text in files.items():
         (tmp_path / f"{name}.json").write_text(text)
     at = lambda name: str(tmp_path / f"{name}.json")
-    assert st.x_means_solutions(spark, at("solution")).select("k", "score").first() == (3, 0.5)
-    assert sorted(map(tuple, st.x_means_data(spark, at("trace")).select("iteration", "cluster", "score").collect())) == [(0, 0, 1.0), (1, 0, 0.5), (1, 1, 0.25)]
+    rows = lambda df: sorted(map(tuple, df.drop("file").collect()))
+    assert rows(st.x_means_solutions(spark, at("solution"))) == [(0, [0, 2], [0.5, 1.0], 2, 0.5), (1, [1], [2.0, 3.0], 2, 0.5)]
+    assert rows(st.x_means_data(spark, at("trace"))) == [(0, 0, 1.0, 1, [[0, 1, 2]], [[0.5]]), (1, 1, 3.0, 2, [[0, 2], [1]], [[0.25], [1.0]])]
+    assert rows(st.x_means_iterations(spark, at("trace"))) == [(0, 1, 2, 0, 1.0, 2.0), (1, 2, 2, None, None, None)]
+    assert rows(st.x_means_scores(spark, at("trace"))) == [(0, 1.0), (1, 3.0)]
     assert st.normalizations(spark, at("norm")).first()["offset"] == [0.0, 1.0, 0.0]
     assert st.transform_parameters(spark, at("params")).select("type", "parameters").first() == ("clip", '{"dim":[4]}')
 

@@ -99,6 +99,77 @@ def elbows_of_files(spark, sf_dir):
     return e.select(brand.alias("uid"), "k", F.round("d", 6).alias("d"), "pred_k")
 
 
+GROUPED = "e AS (SELECT label::BIGINT AS uid, (vec_id % 3)::INTEGER AS cluster, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, vec_id, embedding FROM embeddings), c AS (SELECT uid, dense_rank() OVER (PARTITION BY uid ORDER BY cluster) - 1 AS cluster, avg(embedding[1]::DOUBLE) AS x, avg(embedding[2]::DOUBLE) AS y, list(i ORDER BY i) AS indices FROM e GROUP BY uid, cluster)"
+
+
+def _grouped(spark, sf_dir):
+    """(uid, cluster, indices, center): an item a label, three clusters by number."""
+    from ..operators.dataset import ranked
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("uid"), (F.col("vec_id") % 3).cast("int").alias("cluster"), "vec_id", as_double("embedding").alias("v"))
+    e = ranked(e, ["uid"], [F.col("vec_id")]).withColumn("i", (F.col("rank") - 1).cast("int"))
+    return e.groupBy("uid", "cluster").agg(F.array_sort(F.collect_list("i")).alias("indices"), F.array(F.avg(F.col("v")[0]), F.avg(F.col("v")[1])).alias("center")), e
+
+
+@query(f"WITH {GROUPED} SELECT uid, cluster::INTEGER AS cluster, len(indices)::INTEGER AS n, list_sum(indices)::BIGINT AS places, round(x, 6) + 0 AS x, count(*) OVER (PARTITION BY uid)::INTEGER AS k, (uid * 0.5)::DOUBLE AS score FROM c")
+def x_means_solutions_of_files(spark, sf_dir):
+    """Solutions of x-means in their file layout, written an item a file and read back."""
+    clusters, _ = _grouped(spark, sf_dir)
+    path = scratch(spark)
+    scores = clusters.select("uid").distinct().withColumn("score", F.col("uid") * 0.5)
+    st.write_item_files(st.x_means_solution_json(clusters, scores), path)
+    r = st.x_means_solutions(spark, f"{path}/*")
+    places = F.aggregate("indices", F.lit(0).cast("long"), lambda a, x: a + x)
+    return r.select(st.uid_of().cast("long").alias("uid"), "cluster", F.size("indices").alias("n"), places.alias("places"), (F.round(F.col("center")[0], 6) + 0.0).alias("x"), "k", "score")
+
+
+@query(f"""WITH {GROUPED}, g AS (SELECT uid, count(*) AS k, sum(len(indices)) AS n FROM c GROUP BY uid)
+SELECT uid, 'whole' AS kind, 0 AS n, k::INTEGER AS k, uid::DOUBLE * 0.5::DOUBLE AS score FROM g UNION ALL SELECT uid, 'whole', 1, k::INTEGER, uid::DOUBLE * 0.25::DOUBLE FROM g
+UNION ALL SELECT uid, 'split', cluster::INTEGER, k::INTEGER, len(indices)::DOUBLE FROM c JOIN g USING (uid) UNION ALL SELECT uid, 'improved', 0, 1, n::DOUBLE FROM g""")
+def x_means_data_of_files(spark, sf_dir):
+    """What x-means runs keep of their rounds, in its file layout, written and read back."""
+    clusters, _ = _grouped(spark, sf_dir)
+    sizes = clusters.groupBy("uid").agg(F.count(F.lit(1)).cast("int").alias("k"), F.sum(F.size("indices")).cast("double").alias("score"))
+    lists = clusters.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("cluster", "indices", "center"))).alias("c"))
+    whole = lists.select("uid", F.explode(F.array(F.lit(0), F.lit(1))).alias("n"), F.col("c.indices").alias("indices"), F.col("c.center").alias("centers"))
+    whole = whole.select("uid", "n", F.col("n").alias("iteration"), (F.col("uid") * F.pow(F.lit(0.5), F.col("n") + 1)).alias("score"), "indices", "centers")
+    rounds = lists.select("uid", F.lit(0).alias("iteration"), F.size("c").alias("pre_split"), F.size("c").alias("post_split"), F.transform("c", lambda x: F.size(x["indices"]) * 1.0).alias("before"), F.transform("c", lambda x: F.size(x["indices"]) * 1.0).alias("after"))
+    path = scratch(spark)
+    st.write_item_files(st.x_means_data_json(sizes.select("uid", F.lit(0).alias("n"), "score"), rounds, whole), path)
+    uid = st.uid_of().cast("long").alias("uid")
+    a = st.x_means_data(spark, f"{path}/*").select(uid, F.lit("whole").alias("kind"), "n", "k", "score")
+    b = st.x_means_iterations(spark, f"{path}/*").where("before = after").select(uid, F.lit("split").alias("kind"), F.col("cluster").alias("n"), F.col("pre_split").alias("k"), F.col("before").alias("score"))
+    c = st.x_means_scores(spark, f"{path}/*").select(uid, F.lit("improved").alias("kind"), "n", F.lit(1).alias("k"), "score")
+    return a.unionByName(b).unionByName(c)
+
+
+@query(f"""WITH {GROUPED}, b AS (SELECT uid, min(embedding[1]::DOUBLE) AS lo, max(embedding[1]::DOUBLE) AS hi, count(*) AS n FROM e GROUP BY uid)
+SELECT b.uid, round(hi - lo, 6) + 0 AS scale, round(-lo, 6) + 0 AS "offset", 'pca' AS type, n AS dim, (SELECT sum(cluster)::BIGINT FROM e WHERE e.uid = b.uid) AS clusters,
+ (SELECT count(DISTINCT cluster)::INTEGER FROM e WHERE e.uid = b.uid) AS centroids, 2 AS views, (SELECT string_agg(vec_id::VARCHAR, ',' ORDER BY i) FROM e WHERE e.uid = b.uid AND i < 2) AS chosen FROM b""")
+def stages_of_files(spark, sf_dir):
+    """Normalizations, transform parameters, clusters and selected views, each in its file layout, written an
+    item a file and read back."""
+    clusters, e = _grouped(spark, sf_dir)
+    box = e.groupBy("uid").agg(F.min(F.col("v")[0]).alias("lo"), F.max(F.col("v")[0]).alias("hi"), F.count(F.lit(1)).alias("n"))
+    paths = [scratch(spark) for _ in range(4)]
+    st.write_item_files(st.normalization_json(box.select("uid", F.array(F.col("hi") - F.col("lo")).alias("scale"), F.array(-F.col("lo")).alias("offset"))), paths[0])
+    st.write_item_files(st.transform_json(box.select("uid", F.lit("pca").alias("type"), F.to_json(F.struct(F.array("n").alias("dim"), F.array(F.array("lo")).alias("mean"))).alias("parameters"))), paths[1])
+    centroids = clusters.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "center"))), lambda x: x["center"]).alias("centroids"))
+    st.write_item_files(st.clusters_json(e.select("uid", F.col("i").alias("sample"), "cluster"), centroids), paths[2])
+    turn = F.array(*(F.array(*(F.lit(float(i == j)) for j in range(4))) for i in range(4)))
+    views = e.where("i < 2").select("uid", F.col("i").alias("n"), F.col("vec_id").alias("index"), turn.alias("transform"), F.concat(F.lit("images/"), F.col("vec_id").cast("string")).alias("path"))
+    st.write_item_files(st.selected_views_json(views), paths[3])
+    uid = st.uid_of().cast("long").alias("uid")
+    a = st.normalizations(spark, f"{paths[0]}/*").select(uid, (F.round(F.col("scale")[0], 6) + 0.0).alias("scale"), (F.round(F.col("offset")[0], 6) + 0.0).alias("offset"))
+    b = st.transform_parameters(spark, f"{paths[1]}/*").select(uid, "type", F.get_json_object("parameters", "$.dim[0]").cast("long").alias("dim"))
+    d, c = st.clusters(spark, f"{paths[2]}/*")
+    c = c.groupBy("file").agg(F.sum("cluster").alias("clusters")).select(uid, "clusters")
+    d = d.groupBy("file").agg(F.count(F.lit(1)).cast("int").alias("centroids")).select(uid, "centroids")
+    v = st.selected_views(spark, f"{paths[3]}/*").where("path = concat('images/', index) AND transform[2][2] = 1")
+    v = v.groupBy("file").agg(F.count(F.lit(1)).cast("int").alias("views"), F.array_join(F.array_sort(F.collect_list("index")).cast("array<string>"), ",").alias("chosen")).select(uid, "views", "chosen")
+    return a.join(b, "uid").join(c, "uid").join(d, "uid").join(v, "uid")
+
+
 @query("SELECT event_type AS metric, event_id AS step, value FROM events")
 def series_of_files(spark, sf_dir):
     """Results and loss series written, one folder a metric, and read back."""

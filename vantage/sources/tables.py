@@ -17,8 +17,16 @@ ELBOW = "ks array<int>, ds array<double>, pred_k int, pred_k_d double, pred_frac
 CLUSTERS = "parameters struct<centroids array<array<double>>, normalization array<double>, input_centroids array<array<double>>>, indices array<int>"
 VIEWS = "index int, transform array<array<double>>, path string"
 SERIES = "step int, value double"
-SOLUTION = "k int, score double"
-TRACE = "scores array<array<double>>"
+SOLUTION = "indices array<array<int>>, centers array<array<double>>, score double"
+#: What an x-means run keeps: a score each time centers were improved; clusters before and after each round of splits,
+#: with the scores of what was split; and every clustering that was scored as a whole.
+TRACE = (
+    "improve_parameters_count int, improve_structure_count int, iterations_global_scores array<double>, "
+    "iterations_pre_split_clusters array<int>, iterations_post_split_clusters array<int>, "
+    "iterations_local_pre_split_scores array<array<double>>, iterations_local_post_split_scores array<array<double>>, "
+    "clusters_iterations array<int>, clusters_global_scores array<double>, "
+    "clusters_indices array<array<array<int>>>, clusters_centers array<array<array<double>>>"
+)
 #: Shards that are named to the reader one by one.
 NAMED_SHARDS = 100_000
 LISTING = "sha256 string, fileIdentifier string"
@@ -76,14 +84,33 @@ def metadata(spark: SparkSession, path, constant_metadata: bool = False) -> Data
 
 
 def x_means_solutions(spark: SparkSession, path) -> DataFrame:
-    """(file, k, score): the solution of an x-means run, one record a file."""
-    return _json(spark, path, SOLUTION)
+    """(file, cluster, indices, center, k, score): the solution of each x-means run, a row a cluster."""
+    rows = _json(spark, path, SOLUTION).select("file", "score", F.size("centers").alias("k"), F.posexplode(F.arrays_zip("indices", "centers")).alias("cluster", "c"))
+    return rows.select("file", "cluster", F.col("c.indices").alias("indices"), F.col("c.centers").alias("center"), "k", "score")
 
 
 def x_means_data(spark: SparkSession, path) -> DataFrame:
-    """(file, iteration, cluster, score): what each round of an x-means run held, a row a cluster."""
-    rows = _json(spark, path, TRACE).select("file", F.posexplode("scores").alias("iteration", "s"))
-    return rows.select("file", "iteration", F.posexplode("s").alias("cluster", "score"))
+    """(file, n, iteration, score, k, indices, centers): the clusterings that a run scored as a whole, in order."""
+    rows = _json(spark, path, TRACE)
+    zipped = F.arrays_zip(*(F.col(f"clusters_{c}").alias(c) for c in ("iterations", "global_scores", "indices", "centers")))
+    rows = rows.select("file", F.posexplode(zipped).alias("n", "c"))
+    return rows.select("file", "n", F.col("c.iterations").alias("iteration"), F.col("c.global_scores").alias("score"), F.size("c.centers").alias("k"), F.col("c.indices").alias("indices"), F.col("c.centers").alias("centers"))
+
+
+def x_means_iterations(spark: SparkSession, path) -> DataFrame:
+    """(file, iteration, pre_split, post_split, cluster, before, after): clusters before and after each round of splits; a
+    row a cluster that was tried, with its score and that of its two parts, or one without for a round that tried none.
+
+    Parts are listed for clusters that could be split only, so `after` counts those in order."""
+    zipped = F.arrays_zip(*(F.col(f"iterations_{c}").alias(n) for c, n in (("pre_split_clusters", "pre"), ("post_split_clusters", "post"), ("local_pre_split_scores", "a"), ("local_post_split_scores", "b"))))
+    rows = _json(spark, path, TRACE).select("file", F.posexplode(zipped).alias("iteration", "c"))
+    rows = rows.select("file", "iteration", "c.pre", "c.post", F.posexplode_outer(F.arrays_zip(F.col("c.a").alias("a"), F.col("c.b").alias("b"))).alias("cluster", "s"))
+    return rows.select("file", "iteration", F.col("pre").alias("pre_split"), F.col("post").alias("post_split"), "cluster", F.col("s.a").alias("before"), F.col("s.b").alias("after"))
+
+
+def x_means_scores(spark: SparkSession, path) -> DataFrame:
+    """(file, n, score): the score of the whole each time a run improved its centers."""
+    return _json(spark, path, TRACE).select("file", F.posexplode("iterations_global_scores").alias("n", "score"))
 
 
 def normalizations(spark: SparkSession, path) -> DataFrame:
@@ -217,6 +244,69 @@ def cameras_json(views: DataFrame, focal_x: float, focal_y: float, width: int, h
     return rows.select("uid", F.to_json(F.struct(*head, "frames")).alias("json"))
 
 
+def _listed(df: DataFrame, key: str, order: str, value, name: str) -> DataFrame:
+    """(key, name): the values of a key in order; an item's file holds them all, so they meet in its record."""
+    return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"]).alias(name))
+
+
+def x_means_solution_json(clusters: DataFrame, scores: DataFrame) -> DataFrame:
+    """(uid, json) of clusters (uid, cluster, indices, center) and scores (uid, score)."""
+    c = _listed(clusters, "uid", "cluster", F.struct("indices", "center"), "c").join(scores, "uid")
+    return c.select("uid", F.to_json(F.struct(F.col("c.indices").alias("indices"), F.col("c.center").alias("centers"), "score")).alias("json"))
+
+
+def x_means_data_json(scores: DataFrame, iterations: DataFrame, clusterings: DataFrame) -> DataFrame:
+    """(uid, json) of scores (uid, n, score), iterations (uid, iteration, pre_split, post_split, before, after; the last
+    two arrays) and clusterings (uid, n, iteration, score, indices, centers)."""
+    s = _listed(scores, "uid", "n", F.col("score"), "s")
+    i = _listed(iterations, "uid", "iteration", F.struct("pre_split", "post_split", "before", "after"), "i")
+    c = _listed(clusterings, "uid", "n", F.struct("iteration", "score", "indices", "centers"), "c")
+    fields = [
+        F.size("s").alias("improve_parameters_count"), F.size("i").alias("improve_structure_count"), F.col("s").alias("iterations_global_scores"),
+        F.col("i.pre_split").alias("iterations_pre_split_clusters"), F.col("i.post_split").alias("iterations_post_split_clusters"),
+        F.col("i.before").alias("iterations_local_pre_split_scores"), F.col("i.after").alias("iterations_local_post_split_scores"),
+        F.col("c.iteration").alias("clusters_iterations"), F.col("c.score").alias("clusters_global_scores"), F.col("c.indices").alias("clusters_indices"), F.col("c.centers").alias("clusters_centers"),
+    ]
+    return s.join(i, "uid").join(c, "uid").select("uid", F.to_json(F.struct(*fields)).alias("json"))
+
+
+def normalization_json(rows: DataFrame) -> DataFrame:
+    """(uid, json) of rows (uid, scale, offset)."""
+    return rows.select("uid", F.to_json(F.struct("scale", "offset")).alias("json"))
+
+
+def transform_json(rows: DataFrame) -> DataFrame:
+    """(uid, json) of rows (uid, type, parameters): parameters are the JSON of an object."""
+    g = rows.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("type", "parameters"))).alias("r"))
+    entry = F.transform("r", lambda x: F.struct(x["type"], F.struct(F.parse_json(x["parameters"]).alias("parameters"))))
+    return g.select("uid", F.to_json(F.map_from_entries(entry)).alias("json"))
+
+
+def clusters_json(assigned: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(uid, json) of assigned (uid, sample, cluster) and parameters (uid, and an array column each); a parameter that is
+    null is left out of the file."""
+    names = [c for c in parameters.columns if c != "uid"]
+    c = _listed(assigned, "uid", "sample", F.col("cluster"), "indices").join(parameters, "uid")
+    return c.select("uid", F.to_json(F.struct(F.struct(*names).alias("parameters"), "indices")).alias("json"))
+
+
+def selected_views_json(views: DataFrame) -> DataFrame:
+    """(uid, json) of views (uid, n, index, transform, path) in order of n; a view without a path is an error."""
+    path = F.coalesce("path", F.raise_error(F.concat(F.lit("view without path: "), F.col("index").cast("string"))).cast("string"))
+    v = _listed(views, "uid", "n", F.struct("index", "transform", path.alias("path")), "v")
+    return v.select("uid", F.to_json("v").alias("json"))
+
+
+def write_item_files(records: DataFrame, path: str) -> None:
+    """A file an item of records (uid, json), in a folder of its uid."""
+    records.select("uid", F.col("json").alias("value")).write.mode("overwrite").partitionBy("uid").text(path)
+
+
+def uid_of(file="file"):
+    """The uid of a file that write_item_files has written."""
+    return F.regexp_extract(file, "uid=([^/]+)/", 1)
+
+
 def write_stage(df: DataFrame, path: str, key: str = "uid") -> None:
     """A stage's table, one folder a key."""
     df.write.mode("overwrite").partitionBy(key).parquet(path)
