@@ -7,6 +7,7 @@ every list down to the entries whose weight times component is above c, so lists
 read further than others.  Every row met is scored in full, once.  The sum over the lists of weight times the first value not read
 bounds every row not yet met: once it is below the kth best score, no such row of the block can enter, ties included.
 A query leaves a block by this rule or when its lists have shown every row; there is no other way.  The blocks' results are then merged.
+Queries of a block go in batches, step by step, and what a batch has newly met is scored by one matrix product.
 
 In many dimensions of like spread the bound falls slowly and most lists show all rows before it stops; `top_k` can
 report, per query and block, how many list entries were read, how many rows met, and which rule ended it.
@@ -16,7 +17,7 @@ blocks from them (QUERY_GROUP at most, so that a task stays bounded as the numbe
 products are summed as floats where all sums are below 2**24, as doubles below 2**53; larger inputs raise an error.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part, as query or candidate;
-a null id takes no part; ties go to the smaller id.  Rows are told apart by a key of their own: rows that repeat an id
+ids are whole numbers (others are an error), and a null id takes no part; ties go to the smaller id.  Rows are told apart by a key of their own: rows that repeat an id
 are queries each, with a ranking each, and find the other rows of their id.  Vectors of different length than the
 query's are no candidates of it; with fewer than k candidates all are returned; no queries or no candidates give no
 rows.  Other columns are ignored.
@@ -37,6 +38,8 @@ CANDIDATE_BLOCK, QUERY_BLOCK, QUERY_GROUP = 4096, 1024, 16
 SHARES = (1 / 64, 1 / 16, 1 / 9, 1 / 6, 1 / 4, 3 / 8, 1 / 2, 1)
 #: Places of the table that tells how many entries of a list lie below a value.
 PLACES = 128
+#: Queries of a block that walk their lists together.
+SIDE_BY_SIDE = 32
 
 
 def quantize(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -77,67 +80,107 @@ class Lists:
         self.step = max((high - self.low) / PLACES, 1e-300)
         self.below = np.stack([np.searchsorted(x, self.low + self.step * np.arange(PLACES + 1)) for x in self.sorted]) if whole.size else None
 
-    def best(self, at: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of these positions, by score, then id."""
-        if len(at) > k:
-            least = np.partition(scores, len(at) - k)[len(at) - k]
-            keep = scores >= least
-            at, scores = at[keep], scores[keep]
-        order = np.lexsort((at, -scores))[:k]
-        return at[order], scores[order]
-
-    def walk(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int, bool]]:
-        """(positions, scores, (entries read, rows met, stopped by the bound)) of the k best but row `own`."""
+    def _reach(self, share: float, q: np.ndarray, used: np.ndarray, up: np.ndarray, read: np.ndarray) -> np.ndarray:
+        """Entries of each list, from its own end, that each query has read after a step: all lists of a query down to
+        one level, the one that lists read alike would reach at this share."""
         n, dim = self.v.shape
-        exact = dim * self.most * float(np.abs(q).max(initial=0.0))
+        depth = max(1, int(share * n))
+        if depth >= n:
+            return np.where(used, n, 0)
+        ends = np.where(up, self.sorted[:, n - depth], self.sorted[:, depth - 1]) * q
+        level = ends.sum(1, keepdims=True) / used.sum(1, keepdims=True) / np.where(used, q, 1)
+        place = np.clip(np.ceil((level - self.low) / self.step), 0, PLACES).astype(np.int64)
+        below = self.below[np.arange(dim), place]
+        return np.where(used, np.maximum(read, np.where(up, n - below, below)), 0)
+
+    def _met(self, read: np.ndarray, reach: np.ndarray, up: np.ndarray) -> np.ndarray:
+        """Rows (query, row) that stand in the entries between read and reach; a list read to its end shows every row."""
+        n, dim = self.v.shape
+        ended = (reach == n).any(1)
+        size = np.where(ended[:, None], 0, reach - read).ravel()
+        first = (np.where(up, n - reach, read) + np.arange(dim) * n).ravel()
+        runs = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        of = np.repeat(np.repeat(np.arange(len(reach)) * n, dim), size)
+        met = np.zeros((len(reach), n), bool)
+        met.ravel()[of + self.order.ravel()[runs]] = True
+        met[ended] = True
+        return met
+
+    def walk(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions, scores, reads) of the k best but row own[i] of each query i; position -1 where there are fewer.
+        reads: entries read, rows met, and whether the bound stopped the query.
+
+        The queries walk their lists side by side, a step at a time.  What any of them newly meets is scored by one
+        matrix product (of the block as it lies once that is more than half of it); a query sees of it what it has met
+        itself, and leaves by its own bound."""
+        n, dim = self.v.shape
+        exact = dim * self.most * float(np.abs(queries).max(initial=0.0))
         if exact >= 2.0**53:
             raise ValueError("components are too large for exact scores")
         v = self.narrow if self.narrow is not None and exact < 1 << 24 else self.v
-        weights = q.astype(v.dtype)
-        used = np.flatnonzero(q)
-        flat = self.order.ravel()
-        unseen = self.keys != own
-        others = left = int(np.count_nonzero(unseen))
-        at, scores = np.zeros(0, np.int64), np.zeros(0, v.dtype)
-        w, up = q[used].astype(np.float64), q[used] > 0
-        read = np.zeros(len(used), np.int64)  # entries read of each list, from its own end
-        for share in SHARES if len(used) else ():
-            depth = max(1, int(share * n))
-            if depth < n:
-                # the level that lists read alike would reach at this depth: every list is read down to it
-                level = float(np.mean(np.where(up, self.sorted[used, n - depth], self.sorted[used, depth - 1]) * w)) / w
-                place = np.clip(np.ceil((level - self.low) / self.step), 0, PLACES).astype(np.int64)
-                below = self.below[used, place]
-                reach = np.maximum(read, np.where(up, n - below, below))
-            else:
-                reach = np.full(len(used), n)
-            if not (size := int((reach - read).sum())):
-                continue
-            start = np.where(up, n - reach, read) + used * n
-            runs = np.repeat(start - np.concatenate([[0], np.cumsum(reach - read)[:-1]]), reach - read)
-            new = np.zeros(n, bool)
-            new[flat[runs + np.arange(size)]] = True
-            new &= unseen
-            read = reach
-            found = np.flatnonzero(new)
-            if len(found):
-                unseen[found] = False
-                left -= len(found)
-                at, scores = self.best(np.concatenate([at, found]), np.concatenate([scores, v.take(found, 0) @ weights]), k)
-            if not left or (reach == n).any():  # a list read to its end has shown every row
-                break
-            following = np.where(up, self.sorted[used, n - 1 - reach], self.sorted[used, reach])
-            if len(at) == k and float(following @ w) < scores[-1]:
+        q = queries.astype(np.float64)
+        weights, used, up = q.astype(v.dtype), q != 0, q > 0
+        unseen = self.keys[None, :] != own[:, None]
+        others = unseen.sum(1)
+        left, read = others.copy(), np.zeros(q.shape, np.int64)
+        at, best = np.full((len(q), k), -1), np.full((len(q), k), -np.inf)
+        scores, scored = np.zeros((len(q), n), v.dtype), np.zeros(n, bool)
+        walking = np.flatnonzero(used.any(1) & (left > 0))
+        for share in SHARES:
+            if not len(walking):
                 break
-        if left and not len(used):  # a query of zeros reads no list: all scores are 0, the smallest ids are best
-            found = np.flatnonzero(unseen)[:k]
-            at, scores = found, np.zeros(len(found))
-        return at, scores, (int(read.sum()), others - left, bool(left))
+            own_used, own_up = used[walking], up[walking]
+            reach = self._reach(share, q[walking], own_used, own_up, read[walking])
+            new = self._met(read[walking], reach, own_up) & unseen[walking]
+            unseen[walking] &= ~new
+            read[walking] = reach
+            fresh = new.any(0) & ~scored
+            if 2 * np.count_nonzero(fresh) > n:
+                scores[walking] = weights[walking] @ v.T
+                scored[:] = True
+            elif fresh.any():
+                scores[np.ix_(walking, np.flatnonzero(fresh))] = weights[walking] @ v[fresh].T
+                scored |= fresh
+            self._keep(np.where(new, scores[walking], -np.inf), walking, at, best, k)
+            left[walking] -= new.sum(1)
+            over = (left[walking] == 0) | (reach == n).any(1)
+            beyond = np.where(own_up, n - 1 - reach, reach)
+            following = self.sorted[np.arange(dim), np.clip(beyond, 0, n - 1)]
+            bound = np.where(own_used, following * q[walking], 0).sum(1)
+            stopped = (at[walking, k - 1] >= 0) & (bound < best[walking, k - 1])
+            walking = walking[~(over | stopped)]
+        for i in np.flatnonzero(~used.any(1)):  # a query of zeros reads no list: all scores are 0, the smallest ids are best
+            found = np.flatnonzero(unseen[i])[:k]
+            at[i, : len(found)], best[i, : len(found)] = found, 0
+        return at, best, np.stack([read.sum(1), others - left, left > 0], 1)
+
+    @staticmethod
+    def _keep(seen: np.ndarray, walking: np.ndarray, at: np.ndarray, best: np.ndarray, k: int) -> None:
+        """Take the newly met scores (-inf: not met) into the k best of each walking query, by score, then position."""
+        n = seen.shape[1]
+        least = best[walking, k - 1]
+        open_ = np.flatnonzero(np.isneginf(least))
+        if len(open_) and n > k:
+            least[open_] = np.partition(seen[open_], n - k, axis=1)[:, n - k]
+        i, row = np.nonzero((seen >= least[:, None]) & (seen > -np.inf))
+        held, place = np.nonzero(at[walking] >= 0)
+        who = np.concatenate([i, held])
+        rows = np.concatenate([row, at[walking[held], place]])
+        score = np.concatenate([seen[i, row], best[walking[held], place]])
+        order = np.lexsort((rows, -score, who))
+        who, rows, score = who[order], rows[order], score[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        kept = rank < k
+        at[walking[who[kept]], rank[kept]] = rows[kept]
+        best[walking[who[kept]], rank[kept]] = score[kept]
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int):
         """(query number, positions, scores, reads) of the k best of each query."""
-        for i, (me, q) in enumerate(zip(own, queries, strict=True)):
-            yield i, *self.walk(me, q, k)
+        for first in range(0, len(queries), SIDE_BY_SIDE):
+            at, best, reads = self.walk(own[first : first + SIDE_BY_SIDE], queries[first : first + SIDE_BY_SIDE], k)
+            for i, (a, b, r) in enumerate(zip(at, best, reads, strict=True)):
+                m = np.count_nonzero(a >= 0)
+                yield first + i, a[:m], b[:m], r
 
 
 OUT = "query_key long, query_id long, key long, vec_id long, score long, entries long, met long, stopped boolean"
