@@ -2,15 +2,18 @@
 
 A record is a JSON object.  Its nested field paths (array elements as `[]`, scalar leaves only) are sorted and hashed;
 the hash is the fingerprint of its layout.  A table of mappings, built once from the layouts below, says for each
-fingerprint where turns, roles and texts are; a record whose fingerprint is unknown falls to the mapping whose
-required paths it has, and one that has none of them to status `unmapped` with no turns.
+fingerprint where turns, roles and texts are.  A record with other fields besides falls to the mapping whose required
+paths it has; if it has those of several, one of them must hold the paths of all the others (else its layout is
+`ambiguous`: a mapping would leave out texts that another one takes), and with none its layout is `unmapped`.  Such
+records have no turns and are not rendered.  A text may be a list of parts, each of type text: they are one text.
+Preference pairs give the chosen answer to the assistant and keep the rejected one as a turn outside the loss mask.
 
 Canonical turns are rendered with `<|im_start|>role`, a line end, the text, `<|im_end|>` and a line end.  Control
 strings inside roles and texts are escaped: each backslash is doubled, and a backslash is put after the first
 character of a control string, so that none occurs in the result; line ends in roles become backslash n.  Taking a
 backslash off with what it guards gives the text back.  The loss mask covers the text of assistant turns.
 
-Edge cases: null roles and texts are empty; null turns sort first; equal turn numbers sort by role, then text;
+Edge cases: conversation ids and turns are whole numbers (others are an error); null roles and texts are empty; null turns sort first; equal turn numbers sort by role, then text;
 repeated rows are turns of their own; rows with a null conversation id form one conversation of null id; an empty
 table gives an empty table; a long conversation is streamed turn by turn, never held as a whole.
 """
@@ -44,14 +47,24 @@ LAYOUTS = {
     "question_answer": {"paths": ["answer", "question"], "fields": (("user", "question"), ("assistant", "answer"))},
     "system_question": {"paths": ["question", "response", "system_prompt"], "fields": (("system", "system_prompt"), ("user", "question"), ("assistant", "response"))},
     "instruction": {"paths": ["instruction", "output"], "fields": (("user", "instruction"), ("assistant", "output"))},
+    "preference": {"paths": ["chosen", "prompt", "rejected"], "fields": (("user", "prompt"), ("assistant", "chosen"), ("rejected", "rejected"))},
     "instruction_input": {"paths": ["input", "instruction", "output"], "fields": (("user", ("instruction", "input")), ("assistant", "output"))},
 }
+#: Layouts of records that have no turns.
+UNMAPPED, AMBIGUOUS = "unmapped", "ambiguous"
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 
 
+def is_parts(value) -> bool:
+    """Whether a value is a text in parts: a list of objects {"type": "text", "text": string}."""
+    return isinstance(value, list) and bool(value) and all(isinstance(p, dict) and p.get("type") == "text" and isinstance(p.get("text"), str) for p in value)
+
+
 def field_paths(value, at: str = "") -> set[str]:
-    """Paths of the scalar leaves; empty objects and lists count as leaves."""
+    """Paths of the scalar leaves; empty objects and lists count as leaves, and so do texts in parts."""
+    if is_parts(value):
+        return {at}
     if isinstance(value, dict) and value:
         return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
     if isinstance(value, list) and value:
@@ -67,14 +80,18 @@ MAPPINGS = {fingerprint(m["paths"]): name for name, m in LAYOUTS.items()}
 
 
 def select_layout(paths: set[str]) -> str | None:
-    """By fingerprint; else the layout with most of its paths among these, all of which must be there."""
+    """By fingerprint; else the layout all of whose paths are there, and that has those of every other such layout;
+    AMBIGUOUS if there is none among several; None if no layout fits."""
     if name := MAPPINGS.get(fingerprint(paths)):
         return name
-    fits = [(len(m["paths"]), name) for name, m in LAYOUTS.items() if set(m["paths"]) <= paths]
-    return max(fits)[1] if fits else None
+    fits = [(set(m["paths"]), name) for name, m in LAYOUTS.items() if set(m["paths"]) <= paths]
+    whole = [name for own, name in fits if all(other <= own for other, _ in fits)]
+    return whole[0] if whole else AMBIGUOUS if fits else None
 
 
 def _text(value) -> str:
+    if is_parts(value):
+        return "".join(p["text"] for p in value)
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
@@ -97,8 +114,8 @@ def apply_layout(name: str, record: dict) -> list[tuple[str, str]]:
 def canonical_turns(records: DataFrame, record: str = "record", keys: tuple[str, ...] = ("conv_id", "turn")) -> DataFrame:
     """(keys..., seq, layout, fingerprint, role, text): the turns of each JSON record.
 
-    A record that is null or no JSON object, or whose layout is unknown, gives one row with layout `unmapped`, a null
-    role and a null text."""
+    A record that is null or no JSON object, or whose layout is unknown, gives one row with layout `unmapped`, one that fits
+    several layouts a row with layout `ambiguous`; role and text are null."""
     small_batches(records.sparkSession)
     kind = "array<struct<layout: string, fingerprint: string, role: string, text: string>>"
 
@@ -112,7 +129,7 @@ def canonical_turns(records: DataFrame, record: str = "record", keys: tuple[str,
                 value = None
             paths = field_paths(value) if isinstance(value, dict) else set()
             mark, name = fingerprint(paths), select_layout(paths)
-            rows.append([{"layout": name, "fingerprint": mark, "role": r, "text": t} for r, t in apply_layout(name, value)] if name else [{"layout": "unmapped", "fingerprint": mark, "role": None, "text": None}])
+            rows.append([{"layout": name, "fingerprint": mark, "role": r, "text": t} for r, t in apply_layout(name, value)] if name in LAYOUTS else [{"layout": name or UNMAPPED, "fingerprint": mark, "role": None, "text": None}])
         return pd.Series(rows)
 
     out = records.select(*(F.col(f"`{k}`") for k in keys), F.posexplode(parse(F.col(f"`{record}`"))).alias("seq", "t"))
@@ -140,7 +157,11 @@ def unescape_role(role: str) -> str:
 
 def render(turns: DataFrame) -> DataFrame:
     """turns with `formatted` (the turn in the template) and the loss span loss_start, loss_end in it (code points;
-    null outside assistant turns). The formatted conversation is the concatenation of its turns in order."""
+    null outside assistant turns). The formatted conversation is the concatenation of its turns in order.
+
+    Records without turns are left out."""
+    if "layout" in turns.columns:
+        turns = turns.where(~F.col("layout").isin(UNMAPPED, AMBIGUOUS))
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     body = escape(text)
     head = F.concat(F.lit(OPEN), escape_role(role), F.lit("\n"))
