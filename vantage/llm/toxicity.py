@@ -5,9 +5,11 @@ ending), threats, targets, negations and words of reported speech (fixed lists).
 the classes of a clause: one weakens insults and threats after a negation, one those after a word of reported
 speech, and one adds weights for an insult, an insult with a target, a weakened insult, and a threat with a target.  They are composed into a single
 machine that counts these four matches over a document's clauses, so what counts is the matched clause, not the word
-alone.  Evidence is the weighted sum of the counts; the weights are learned from the labelled sample, drawn to PRIOR
+alone.  A colon ends a clause for negations but not for reported speech, whose words follow it; a comma ends a negation
+and parts a threat from a target, but not an insult from its target.  Evidence is the weighted sum of the counts, each
+up to a cap, so that what is said often weighs no more than what is said some times, and a threat once; the weights are learned from the labelled sample, drawn to PRIOR
 where it says little (a kind of match that it lacks keeps its prior weight).  A logistic curve, fitted on the same
-sample, turns evidence into a score.
+sample and a few harmless threats, turns evidence into a score.
 
 Edge cases: null and empty texts have no evidence and get the score of it; texts of any length are read whole; null
 labels and labels of unknown documents are ignored; of several labels of a document the highest counts; with
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -41,6 +44,10 @@ THRESHOLD = 0.3
 #: Kinds of matches, and their weights before any label is seen.
 MATCHES = ("insult", "insult_with_target", "weakened_insult", "threat")
 PRIOR = (1.0, 0.5, 0.5, 0.25)
+#: Threats alone that the calibration sees as harmless before any label: verbs of harm have everyday uses.
+HARMLESS = 3
+#: So many matches of a kind count in a document.
+CAPS = (5, 5, 5, 1)
 
 # Fixed word lists of the grammar.
 THREAT = frozenset("kill hurt destroy beat burn attack stab shoot töten schlagen vernichten tuer frapper détruire brûler matar golpear destruir quemar".split())
@@ -49,9 +56,10 @@ NEGATION = frozenset("not never no isn't aren't don't nicht kein keine nie ne pa
 REPORTED = frozenset("said says wrote writes called quoted reported claimed told sagte schrieb nannte berichtete dit écrit appelé dijo escribió llamó".split())
 
 #: Clause ends, and words.
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:,\n]")
 
-OTHER, INSULT, THREATS, TARGETS, NOT, SAID, END, WEAK_INSULT, WEAK_THREAT = range(9)
+OTHER, INSULT, THREATS, TARGETS, NOT, SAID, END, WEAK_INSULT, WEAK_THREAT, COLON, COMMA = range(11)
+_MARKS = {":": COLON, ",": COMMA}
 
 
 class Transducer:
@@ -63,7 +71,7 @@ class Transducer:
     def step(self, state, symbol):
         return self.arcs.get((state, symbol), (state, symbol, ()))
 
-    def compose(self, after: Transducer, symbols=range(9)) -> Transducer:
+    def compose(self, after: Transducer, symbols=range(11)) -> Transducer:
         """The machine that feeds this one's output to the other: the reachable part of the product."""
         arcs, todo, done = {}, [(self.start, after.start)], set()
         while todo:
@@ -83,22 +91,20 @@ class Transducer:
 def machines() -> tuple[Transducer, Transducer, Transducer]:
     """Negation, reported speech, and the one that counts matches (numbers of MATCHES)."""
     weaken = {(1, INSULT): (1, WEAK_INSULT, ()), (1, THREATS): (1, WEAK_THREAT, ()), (1, END): (0, END, ())}
-    negation = Transducer({(0, NOT): (1, NOT, ()), **weaken})
+    negation = Transducer({(0, NOT): (1, NOT, ()), (1, COLON): (0, COLON, ()), (1, COMMA): (0, COMMA, ()), **weaken})
     reported = Transducer({(0, SAID): (1, SAID, ()), **weaken})
-    # States of the counting machine: what the clause holds so far: (insult, threat, target).
+    # States of the counting machine: what the clause holds so far: (insult, threat since a comma, target, target since a comma).
     arcs = {}
-    for insult in (0, 1):
-        for threat in (0, 1):
-            for target in (0, 1):
-                s = (insult, threat, target)
-                arcs[s, INSULT] = ((1, threat, target), INSULT, (0, 1) if target else (0,))
-                arcs[s, WEAK_INSULT] = (s, WEAK_INSULT, (2,))
-                arcs[s, THREATS] = ((insult, 1, target), THREATS, (3,) if target else ())
-                arcs[s, WEAK_THREAT] = (s, WEAK_THREAT, ())
-                if not target:
-                    arcs[s, TARGETS] = ((insult, threat, 1), TARGETS, (1,) * insult + (3,) * threat)
-                arcs[s, END] = ((0, 0, 0), END, ())
-    return negation, reported, Transducer(arcs, (0, 0, 0))
+    for insult, threat, target, here in product((0, 1), repeat=4):
+        s = (insult, threat, target, here)
+        arcs[s, INSULT] = ((1, threat, target, here), INSULT, (0, 1) if target else (0,))
+        arcs[s, WEAK_INSULT] = (s, WEAK_INSULT, (2,))
+        arcs[s, THREATS] = ((insult, 1, target, here), THREATS, (3,) if here else ())
+        arcs[s, WEAK_THREAT] = (s, WEAK_THREAT, ())
+        arcs[s, TARGETS] = ((insult, threat, 1, 1), TARGETS, (1,) * (insult and not target) + (3,) * (threat and not here))
+        arcs[s, COMMA] = ((insult, 0, target, 0), COMMA, ())
+        arcs[s, END] = arcs[s, COLON] = ((0, 0, 0, 0), END, ())
+    return negation, reported, Transducer(arcs, (0, 0, 0, 0))
 
 
 def grammar() -> Transducer:
@@ -134,7 +140,7 @@ class Model:
         state = self.start
         for m in _TOKEN.finditer(low):
             w = m[0]
-            s = END if not w[0].isalpha() else self.classify(w)
+            s = self.classify(w) if w[0].isalpha() else _MARKS.get(w, END)
             if s and (arc := self.arcs.get((state, s))):
                 state, _, found = arc
                 for k in found:
@@ -142,8 +148,8 @@ class Model:
         return counts
 
     def evidence(self, text: str | None) -> float:
-        """Weighted sum of the matches."""
-        return float(sum(w * n for w, n in zip(self.weights, self.matches(text), strict=True)))
+        """Weighted sum of the matches, of each kind up to its cap."""
+        return float(sum(w * min(n, most) for w, n, most in zip(self.weights, self.matches(text), CAPS, strict=True)))
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.a + self.b * math.log1p(self.evidence(text))))))
@@ -215,7 +221,7 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def learn_weights(x: np.ndarray, y: np.ndarray) -> tuple:
     """Weights of the kinds of matches (counts x, labels y): logistic regression drawn to twice PRIOR, not below 0, and
     scaled so that a plain insult weighs 1 (PRIOR if it would weigh nothing)."""
-    X = np.concatenate([np.ones((len(x), 1)), np.minimum(x, 5)], 1)
+    X = np.concatenate([np.ones((len(x), 1)), np.minimum(x, CAPS)], 1)
     prior = np.array([0.0, *(2 * p for p in PRIOR)])
     pull = np.diag([0.01] + [1.0] * len(PRIOR))
     w = prior.copy()
@@ -242,7 +248,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if rows["y"].nunique() < 2 or not x.any():
         return Model()
     weights = learn_weights(x, y)
-    a, b = calibrate(np.log1p(x @ np.array(weights)), y)
+    e = np.concatenate([np.minimum(x, CAPS) @ np.array(weights), np.full(HARMLESS, weights[MATCHES.index("threat")])])
+    a, b = calibrate(np.log1p(e), np.concatenate([y, np.zeros(HARMLESS)]))
     return Model(words, stems, a, b, weights)
 
 
