@@ -78,10 +78,24 @@ def test_grammar_reads_clauses():
     assert plain == 1.0 and target == 1.5 and m.evidence("an oaf. you left") == 1.0
     assert negated < plain and said < target
     assert m.evidence("not here. you oaf") == 1.5  # a clause ends the negation
+    assert m.evidence("not now, you oaf") == m.evidence("not so: you oaf") == 1.5  # and so do a comma and a colon
+    assert m.evidence('he quoted: "you oaf"') == said  # what is quoted follows the colon
+    assert m.evidence("you, oaf") == 1.5 and m.evidence("kill time, you left") == 0.0
+
+
+def test_harmless_uses_do_not_add_up(spark):
+    rng = random.Random(31)
+    rows = [(i, prose(rng, "aa", 12) + (" you are a vile oaf" if i % 4 == 0 else " you can see that they are a calm lot"), None, None) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    m = toxicity.train(spark.createDataFrame(rows, DOC), labels)
+    assert m.score("you are a vile oaf") >= toxicity.THRESHOLD > m.score("You can beat the eggs. " * 50)
+    twice = spark.createDataFrame([rows[0], rows[0], rows[1]], DOC)
+    scores = [r["tox_score"] for r in toxicity.score_documents(twice, m).orderBy("doc_id").collect()]
+    assert scores[0] == scores[1] > scores[2] and m.score("word " * 200_000 + "you vile oaf") >= toxicity.THRESHOLD
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 6), max_size=14))
+@given(st.lists(st.sampled_from([*range(7), toxicity.COLON, toxicity.COMMA]), max_size=14))
 def test_composed_machine_is_the_three_in_a_row(symbols):
     def run(machine, symbols):
         state, out, found = machine.start, [], []
@@ -199,6 +213,13 @@ def test_markov_spans_find_keys_and_leave_identifiers(spark):
     plain = ["_".join(word() for _ in range(3)) + str(rng.randrange(1000)) for _ in range(400)]
     assert sum(map(model.looks_random, keys)) >= 0.97 * len(keys)
     assert sum(map(model.looks_random, plain)) <= 0.01 * len(plain)
+    letters = ["".join(rng.choice(string.ascii_letters) for _ in range(32)) for _ in range(500)]
+    short = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(20)) for _ in range(500)]
+    assert sum(map(model.looks_random, letters)) >= 0.9 * 500 and sum(map(model.looks_random, short)) >= 0.9 * 500
+    day = lambda: f"{rng.randrange(2000, 2030)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}"
+    dated = [f"{day()}T{rng.randrange(240000):06d}Z-{word()}-{word()}-{rng.randrange(99)}" for _ in range(300)] + [f"{word()}_{word()}_v{rng.randrange(9)}_{word()}{rng.randrange(100)}".upper() for _ in range(300)]
+    assert sum(map(model.looks_random, dated)) <= 0.01 * len(dated)
+    assert not any(map(model.looks_random, ("2024-01-01T000000Z-build-artifact-17", "K8S_CLUSTER_PROD_EU_WEST_1", "=" * 30, "-" * 50, string.ascii_uppercase)))
 
 
 def test_secret_scan(spark):
@@ -264,6 +285,10 @@ def test_layouts_select_mappings(spark):
         ('{"instruction":"i","input":"n","output":"o"}', [("user", "i\n\nn"), ("assistant", "o")]),
         ('{"prompt":"p","response":"r"}', [("user", "p"), ("assistant", "r")]),
         ('{"system_prompt":"","question":"q","response":"r"}', [("user", "q"), ("assistant", "r")]),
+        ('{"prompt":"p","chosen":"c","rejected":"r"}', [("user", "p"), ("assistant", "c"), ("rejected", "r")]),
+        ('{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]},{"role":"assistant","content":"c"}]}', [("user", "ab"), ("assistant", "c")]),
+        ('{"messages":[{"role":"user","content":[{"type":"image","url":"a"}]}]}', [(None, None)]),
+        ('{"prompt":"p","response":"r","completion":"c"}', [(None, None)]),
         ('{"other":1}', [(None, None)]), ("not json", [(None, None)]), (None, [(None, None)]),
     ]
     df = spark.createDataFrame([(i, 0, r) for i, (r, _) in enumerate(records)], "conv_id long, turn long, record string")
@@ -272,6 +297,11 @@ def test_layouts_select_mappings(spark):
         got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
     assert [got[i] for i in range(len(records))] == [want for _, want in records]
     assert chat.fingerprint(["a", "b"]) == chat.fingerprint(["b", "a"]) != chat.fingerprint(["a"])
+    found = {r["conv_id"]: r["layout"] for r in chat.canonical_turns(df).collect()}
+    lost = [i for i, (_, want) in enumerate(records) if want == [(None, None)]]
+    assert [found[i] for i in lost].count(chat.AMBIGUOUS) == 1 and {found[i] for i in lost} == {chat.UNMAPPED, chat.AMBIGUOUS}
+    read = {r["conv_id"]: r["loss_chars"] for r in chat.digests(chat.render(chat.canonical_turns(df))).collect()}
+    assert set(read) == set(range(len(records))) - set(lost) and read[5] == 1  # records without turns are not rendered
 
 
 def test_poisson_copies(spark):
