@@ -282,3 +282,27 @@ d = s.createDataFrame([(0, i, [float(i % 2), float(i)]) for i in range(8)], "uid
 assert cl.cluster_items(d, 1, 2).count() == 8
 """
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=200, capture_output=True)
+
+
+def test_classification_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x, c = rng.normal(size=(80, 6)), rng.normal(size=(30, 6))
+    c[7] = c[3]  # a tie: the first name wins
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0])], "uid long, vector array<double>")
+    cats = spark.createDataFrame([(f"c{i:02d}", v.tolist()) for i, v in enumerate(c)] + [("none", None)], "category string, vector array<double>")
+    s = np.copysign(np.floor(np.abs(x @ c.T) * 1e6 + 0.5), x @ c.T) / 1e6
+    want = {i: (f"c{s[i].argmax():02d}", s[i].max()) for i in range(80) if s[i].max() > 0.5}
+    for size in (ev.BLOCK_BYTES, 6 * 8 * 7):
+        monkeypatch.setattr(ev, "BLOCK_BYTES", size)
+        assert {r["uid"]: (r["predicted"], r["similarity"]) for r in ev.classify(items, cats, 0.5).collect()} == want
+    assert ev.classify(items, cats.limit(0)).count() == 0
+
+
+def test_config_digests(spark):
+    from vantage.plans import digests as dg
+
+    texts = ['{"_target":"A","device":{"n":[1]},"b":[1,{"c":null}],"a":"x"}', '{"a":"x","b":[1,{"c":null}],"device":2}', '{"a":"x","b":[1,{"c":0}]}', "{}", '{"devices":1}']
+    got = {r["key"]: r["digest"] for r in dg.config_digests(spark.createDataFrame(list(enumerate(texts)), "key int, config string")).collect()}
+    assert got[0] == got[1] and len(set(got.values())) == 4
+    found = {(r["path"], r["value"]) for r in dg.leaves(spark.createDataFrame([(0, texts[1])], "key int, config string")).collect()}
+    assert found == {(".a", '"x"'), (".b[0]", "1"), (".b[1].c", "null"), (".device", "2")}

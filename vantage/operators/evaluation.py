@@ -6,10 +6,14 @@ DIGITS before they are ranked, so that ranks do not hang on the order of a sum;
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.vectors import dot, l2_normalize, mean_vectors
+from ..functions.lineage import cut
+from ..functions.vectors import as_double, dot, l2_normalize, mean_vectors
 from .dataset import ranked
 from .joins import checked
 
@@ -38,14 +42,48 @@ def similarity_to_all(items: DataFrame, categories: DataFrame, keep: tuple[str,
     return pairs if single else pairs.groupBy(*keep, "category").agg(F.max("similarity").alias("similarity"))
 
 
+#: Bytes of category vectors that one scoring pass sends to the tasks.
+BLOCK_BYTES = 32 << 20
+
+
 def classify(items: DataFrame, categories: DataFrame, floor: float = -1.0) -> DataFrame:
-    """(uid, predicted, similarity): the most similar category, the first by name on ties; none at or below the floor."""
-    every = F.array_sort(F.collect_list(F.struct("category", "vector")))
-    c = checked(categories.agg(every.alias("__all")))  # one row: the categories are one array beside each item
-    scores = F.transform("__all", lambda x: F.struct((-F.round(dot("vector", x["vector"]), DIGITS)).alias("s"), x["category"].alias("category")))
-    best = items.select("uid", "vector").join(c, F.lit(True)).select("uid", F.array_min(scores).alias("b"))
-    best = best.where(-F.col("b.s") > floor).groupBy("uid").agg(F.min("b").alias("b"))
-    return best.select("uid", F.col("b.category").alias("predicted"), (-F.col("b.s")).alias("similarity"))
+    """(uid, predicted, similarity): the most similar category, the first by name on ties; none at or below the floor.
+
+    Categories go in blocks of about BLOCK_BYTES, by a hash: each pass over the items multiplies Arrow batches of them by
+    one block and keeps a row an item, and the passes' best are merged, so no row or task ever holds all categories.
+    Null vectors and those of another length than the categories' find none."""
+    c = cut(categories.where(F.col("vector").isNotNull()).select("category", as_double("vector").alias("vector")))
+    n, dim = next(iter(c.agg(F.count(F.lit(1)), F.max(F.size("vector"))).collect()))  # one row
+    kinds = {f.name: f.dataType.simpleString() for f in (items.schema["uid"], categories.schema["category"])}
+    schema = f"uid {kinds['uid']}, predicted {kinds['category']}, similarity double"
+    rows = items.where(F.size("vector") == (dim or 0)).select("uid", as_double("vector").alias("vector"))
+    passes = max(1, -(-n * (dim or 1) * 8 // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("category"), F.lit(passes))
+    kind, found = to_arrow_type(categories.schema["category"].dataType), None
+    for k in range(passes):
+        part = sorted(c.where((block == k) & (F.size("vector") == (dim or 0))).collect(), key=lambda r: r["category"])  # a block
+        best = rows.mapInArrow(_scorer([r["category"] for r in part], np.array([r["vector"] for r in part], float).reshape(len(part), dim or 0), kind), schema)
+        found = best if found is None else found.unionByName(best)
+    best = found.where(F.col("similarity") > floor).groupBy("uid").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "predicted")).alias("b"))
+    return best.select("uid", F.col("b.predicted").alias("predicted"), (-F.col("b.s")).alias("similarity"))
+
+
+def _scorer(names: list, vectors: np.ndarray, kind: pa.DataType):
+    """Batches (uid, vector) to (uid, the best of the named vectors, its similarity); the first name, of this type, on ties."""
+    unit = 10.0**DIGITS
+
+    def score(batches):
+        for batch in batches:
+            if not names or not batch.num_rows:
+                continue
+            x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            s = x @ vectors.T
+            s = np.copysign(np.floor(np.abs(s) * unit + 0.5), s) / unit
+            s[np.isnan(s)] = -np.inf
+            at = s.argmax(1)
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array([names[i] for i in at], kind), pa.array(s[np.arange(len(s)), at])], ["uid", "predicted", "similarity"])
+
+    return score
 
 
 def best_view(views: DataFrame, categories: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import scalars as sc
 from ..operators import dataset as ds
 from ..operators import joins as jo
 from ..operators import sampling as sa
+from ..plans import digests as dg
 from .base import ITEMS, items, registrar, table
 
 ALL, query = registrar()
@@ -258,3 +259,23 @@ def cache_keys(spark, sf_dir):
 def name_based_ids(spark, sf_dir):
     """F21."""
     return table(spark, sf_dir, "nation").select("n_nationkey", sc.uuid5_dns("n_name").alias("id"))
+
+
+#: A configuration a part, as JSON; equal in all that counts for parts of equal brand and size.
+_CONFIG = """'{"_target": "T' || p_partkey || '", "device": {"name": "d' || p_partkey || '"}, "model": {"size": ' || p_size || ', "layers": [{"w": 1}, {"w": ' || p_size || '}], "tags": []}, "brand": "' || p_brand || '"}'"""
+
+
+@query("""SELECT p_partkey, sha1('.brand="' || p_brand || '"' || chr(10) || '.model.layers[0].w=1' || chr(10) || '.model.layers[1].w=' || p_size || chr(10)
+  || '.model.size=' || p_size || chr(10) || '.model.tags=[]' || chr(10)) AS digest FROM part""")
+def config_digests(spark, sf_dir):
+    """Digests of configurations in JSON: leaves in order of their paths, without what says where they run."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(_CONFIG).alias("config"))
+    return dg.config_digests(p, "p_partkey").select(F.col("key").alias("p_partkey"), "digest")
+
+
+@query("""WITH h AS (SELECT page_id, sha1('42' || sha1(coalesce(html, ''))) AS h FROM pages)
+SELECT page_id, (list_sum(list_transform(range(0, 5), lambda i: ('0x' || substr(h, (1 + 8 * i)::INTEGER, 8))::BIGINT)) % 4294967295)::BIGINT AS seed FROM h""")
+def item_seeds(spark, sf_dir):
+    """A run's seed and the hash of each item's file make the item's seed."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", dg.item_seed(F.lit(42), F.coalesce("html", F.lit(""))).alias("seed"))
