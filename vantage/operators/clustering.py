@@ -29,13 +29,17 @@ def whiten(vectors: DataFrame, scales: DataFrame, back: bool = False) -> DataFra
     return vectors.join(checked(scales), "uid").withColumn("vector", F.zip_with(as_double("vector"), "scale", op)).drop("scale")
 
 
+def packed(centroids: DataFrame) -> DataFrame:
+    """(uid, __c): the centroids (uid, cluster, vector) of each item as one array, so that a join keeps one row a sample."""
+    rows = F.array_sort(F.collect_list(F.struct("cluster", "vector")))
+    return checked(centroids.groupBy("uid").agg(rows.alias("__c")))
+
+
 def nearest(samples: DataFrame, centroids: DataFrame, digits: int = 9, keep: tuple[str, ...] = ()) -> DataFrame:
     """(uid, sample, cluster, distance, keep...): the nearest of the item's centroids (uid, cluster, vector), the lowest on ties.
 
-    Centroids of an item come as one array, so the join keeps one row a sample."""
-    rows = F.array_sort(F.collect_list(F.struct("cluster", "vector")))
-    c = checked(centroids.groupBy("uid").agg(rows.alias("__c")))
-    j = samples.join(c, "uid")
+    Centroids may be given as `packed` ones."""
+    j = samples.join(centroids if "__c" in centroids.columns else packed(centroids), "uid")
     d = F.transform("__c", lambda x: F.struct(F.round(euclidean("vector", x["vector"]), digits).alias("d"), x["cluster"].alias("cluster")))
     best = F.array_min(d)
     return j.select("uid", "sample", best["cluster"].alias("cluster"), best["d"].alias("distance"), *keep)
@@ -43,9 +47,7 @@ def nearest(samples: DataFrame, centroids: DataFrame, digits: int = 9, keep: tup
 
 def soft_assignment(samples: DataFrame, centroids: DataFrame) -> DataFrame:
     """(uid, sample, cluster, weight): distance over the sum of distances, as the original defines it: farther weighs more."""
-    rows = F.array_sort(F.collect_list(F.struct("cluster", "vector")))
-    c = checked(centroids.groupBy("uid").agg(rows.alias("__c")))
-    j = samples.join(c, "uid")
+    j = samples.join(packed(centroids), "uid")
     d = F.transform("__c", lambda x: F.struct(x["cluster"].alias("cluster"), euclidean("vector", x["vector"]).alias("d")))
     total = F.aggregate("__d", F.lit(0.0), lambda a, x: a + x["d"])
     j = j.withColumn("__d", d).withColumn("__t", total)
@@ -61,12 +63,12 @@ def first_centroids(samples: DataFrame, k: int) -> DataFrame:
 def lloyd(samples: DataFrame, centroids: DataFrame, rounds: int) -> DataFrame:
     """Centroids after a fixed number of rounds; a cluster without samples disappears.
 
-    Means are partial sums a component before the shuffle.  Every round the small centroid table is written out, so
-    that the plan does not grow."""
-    centroids = cut(centroids)
+    Means are partial sums a component before the shuffle.  Every round the small packed centroids are written out once,
+    so that the plan does not grow."""
+    c = packed(centroids)
     for _ in range(rounds):
-        centroids = cut(mean_vectors(nearest(samples, centroids, keep=("vector",)), ["uid", "cluster"], "vector", "vector"))
-    return centroids
+        c = packed(mean_vectors(nearest(samples, c, keep=("vector",)), ["uid", "cluster"], "vector", "vector"))
+    return c.select("uid", F.inline("__c"))
 
 
 def k_means(samples: DataFrame, k: int, rounds: int = 10, whitened: bool = True, normalize: bool = True) -> tuple[DataFrame, DataFrame]:

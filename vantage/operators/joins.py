@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lineage import cut
 
-#: Rows up to which a table is sent to all executors.
-BROADCAST_ROWS = 100_000
-
-
-def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows; else left to the planner. Its plan is cut, so that the
-    count and the join do not both compute it."""
+#: Bytes up to which a table is sent to all executors.
+BROADCAST_BYTES = 16_000_000
+
+
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes, about: 8 a number, the length of a text, the sum of what it holds."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c) + 8
+    elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+        size = F.size(c) * 8 + 16
+    elif isinstance(kind, T.ArrayType):
+        size = F.aggregate(c, F.lit(16).cast("long"), lambda a, x: a + _bytes(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        size = _bytes(F.map_keys(c), T.ArrayType(kind.keyType)) + _bytes(F.map_values(c), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        size = sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(size, F.lit(8)).cast("long")
+
+
+def checked(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it takes at most `most` bytes; else unmarked, so that the join shuffles. Its plan is
+    cut, so that weighing and join do not both compute it."""
     df = cut(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    weight = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(weight)).collect()[0][0] or 0) <= most else df  # one row
 
 
 def reconcile(expected: DataFrame, actual: DataFrame, key: str, digest: str) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import clustering as cl
 from ..operators import neighbours as ne
 from ..operators import selection as se
 from ..operators import transform as tr
+from ..operators import xmeans as xm
 from .base import registrar, table
 
 ALL, query = registrar()
@@ -146,6 +147,91 @@ def x_means_centroids(spark, sf_dir):
     return cl.x_means_centroids(_samples(spark, sf_dir), 2, 6, best=True, rerun=True)
 
 
+# --- x-means in lockstep: the twin spells two rounds of splits out, for samples of three components ---------------
+
+SPLIT_ROUNDS, SPLIT_LLOYD, SPLIT_MOST = 2, 2, 5
+
+
+def _near_sql(out: str, members: str, centers: str, keys: str) -> str:
+    return f"""{out} AS MATERIALIZED (SELECT {keys}, sample, v, cluster, d FROM (SELECT {keys}, sample, m.v, cluster, round(list_distance(m.v, c.v), 9) AS d,
+  row_number() OVER (PARTITION BY {keys}, sample ORDER BY round(list_distance(m.v, c.v), 9), cluster) AS n FROM {members} m JOIN {centers} c USING ({keys})) WHERE n = 1)"""
+
+
+def _lloyd_sql(out: str, members: str, start: str, keys: str) -> str:
+    parts, at = [], start
+    for i in range(SPLIT_LLOYD):
+        to = out if i == SPLIT_LLOYD - 1 else f"{out}_{i}"
+        parts.append(_near_sql(f"{out}_n{i}", members, at, keys))
+        parts.append(f"{to} AS MATERIALIZED (SELECT {keys}, cluster, [avg(v[1]), avg(v[2]), avg(v[3])] AS v FROM {out}_n{i} GROUP BY ALL)")
+        at = to
+    return ", ".join(parts)
+
+
+def _score_sql(out: str, assigned: str, keys: str, criterion: str) -> str:
+    var = "greatest(d2 / (n - k)" + (" / 3, 1e-300)" if criterion == "bic" else ", 1e-300)")
+    rule = {
+        "bic": f"l - n * ln(n) - n * 0.5 * ln(2 * pi()) - n * 1.5 * ln({var}) - (n - k) * 1.5 - k * 2 * ln(n)",
+        "mndl": f"d1 / n + 1.8 * sqrt({var}) / sqrt(n) * sqrt(1 + n / greatest(n - k, 1)) + sqrt({var}) * sqrt(2 * k) / n + 1.8 * {var} * sqrt(k) / n",
+    }[criterion]
+    return f"""{out} AS MATERIALIZED (SELECT {keys}, k, CASE WHEN n > k THEN {rule} END AS score FROM (SELECT {keys}, count(*) AS k, sum(n)::DOUBLE AS n, sum(d1) AS d1, sum(d2) AS d2, sum(n * ln(n)) AS l
+  FROM (SELECT {keys}, cluster, count(*) AS n, sum(d) AS d1, sum(d * d) AS d2 FROM {assigned} GROUP BY ALL) GROUP BY {keys}))"""
+
+
+def _split_sql(i: int, criterion: str) -> str:
+    sign = "" if criterion == "bic" else "-"
+    pair = "uid, parent"
+    both = lambda sgn: ", ".join(f"m[{p}] {sgn} CASE WHEN wide = {p} THEN s[{p}] ELSE 0 END" for p in (1, 2, 3))
+    return ", ".join([
+        f"mem{i} AS MATERIALIZED (SELECT uid, cluster AS parent, sample, v FROM n{i})",
+        f"""st{i} AS (SELECT *, list_position(w, list_max(w)) AS wide FROM (SELECT *, list_transform(s, lambda x: round(x, 9)) AS w FROM (SELECT uid, parent, [avg(v[1]), avg(v[2]), avg(v[3])] AS m,
+  [stddev_pop(v[1]), stddev_pop(v[2]), stddev_pop(v[3])] AS s FROM mem{i} GROUP BY ALL)) WHERE list_max(w) > 0)""",
+        f"ch{i} AS MATERIALIZED (SELECT uid, parent, 0 AS cluster, [{both('-')}] AS v FROM st{i} UNION ALL SELECT uid, parent, 1, [{both('+')}] FROM st{i})",
+        _lloyd_sql(f"kid{i}", f"mem{i}", f"ch{i}", pair),
+        _near_sql(f"kn{i}", f"mem{i}", f"kid{i}", pair),
+        _score_sql(f"after{i}", f"kn{i}", pair, criterion),
+        _score_sql(f"before{i}", f"(SELECT uid, cluster AS parent, cluster, d FROM n{i})", pair, criterion),
+        f"""gain{i} AS (SELECT uid, parent, gain FROM (SELECT uid, parent, round({sign}(a.score - b.score), 9) AS gain FROM after{i} a JOIN before{i} b USING (uid, parent) WHERE a.k = 2) WHERE gain > 0),
+take{i} AS MATERIALIZED (SELECT uid, parent FROM (SELECT g.*, row_number() OVER (PARTITION BY uid ORDER BY gain DESC, parent) AS r FROM gain{i} g) JOIN t{i} USING (uid) WHERE r <= {SPLIT_MOST} - k)""",
+        f"""s{i + 1} AS MATERIALIZED (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY p, child) - 1 AS cluster, v FROM (SELECT uid, parent AS p, cluster AS child, v FROM kid{i} SEMI JOIN take{i} USING (uid, parent)
+  UNION ALL SELECT uid, c.cluster, 0, v FROM c{i} c WHERE uid IN (SELECT uid FROM take{i}) AND NOT EXISTS (SELECT 1 FROM take{i} t WHERE t.uid = c.uid AND t.parent = c.cluster)))""",
+    ])
+
+
+def _x_means_sql(criterion: str) -> str:
+    head = """WITH e3 AS (SELECT label::BIGINT AS uid, vec_id AS sample, list_transform(embedding[1:3], lambda x: x::DOUBLE) AS v FROM embeddings),
+f3 AS (SELECT uid, list_transform([stddev_pop(v[1]), stddev_pop(v[2]), stddev_pop(v[3])], lambda x: CASE WHEN x = 0 THEN 1 ELSE 1 / x END) AS f FROM e3 GROUP BY uid),
+x3 AS MATERIALIZED (SELECT uid, sample, [v[1] * f[1], v[2] * f[2], v[3] * f[3]] AS v FROM e3 JOIN f3 USING (uid)),
+s0 AS MATERIALIZED (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY sample) - 1 AS cluster, v FROM x3 QUALIFY cluster < 2)"""
+    parts = [head]
+    for i in range(SPLIT_ROUNDS + 1):
+        parts += [_lloyd_sql(f"c{i}", "x3", f"s{i}", "uid"), _near_sql(f"n{i}", "x3", f"c{i}", "uid"), _score_sql(f"t{i}", f"n{i}", "uid", criterion)]
+        if i < SPLIT_ROUNDS:
+            parts.append(_split_sql(i, criterion))
+    every = " UNION ALL ".join(f"SELECT uid, {i} AS iteration, k, score FROM t{i}" for i in range(SPLIT_ROUNDS + 1))
+    return ", ".join(parts) + f", trace AS MATERIALIZED ({every})"
+
+
+def _lockstep(spark, sf_dir, criterion: str, best: bool = False):
+    s = _samples(spark, sf_dir).withColumn("vector", F.slice("vector", 1, 3))
+    return xm.x_means_lockstep(s, 2, SPLIT_MOST, SPLIT_ROUNDS, SPLIT_LLOYD, criterion, best)
+
+
+@query(_x_means_sql("bic") + " SELECT uid, iteration::INTEGER AS iteration, k::INTEGER AS k, round(score, 6) AS score FROM trace")
+def x_means_rounds(spark, sf_dir):
+    """M6, M7, M8: the criterion (BIC) of every item after each round of splits."""
+    t = _lockstep(spark, sf_dir, "bic").trace
+    return t.select("uid", "iteration", "k", F.round("score", 6).alias("score"))
+
+
+@query(_x_means_sql("mndl") + f""", top AS (SELECT uid, iteration FROM trace QUALIFY row_number() OVER (PARTITION BY uid ORDER BY round(-score, 9) DESC, iteration) = 1),
+labels AS ({' UNION ALL '.join(f'SELECT {i} AS iteration, uid, sample, cluster, d FROM n{i}' for i in range(SPLIT_ROUNDS + 1))})
+SELECT uid, sample, cluster::INTEGER AS cluster, round(d, 6) AS distance FROM labels JOIN top USING (uid, iteration)""")
+def x_means_best_round(spark, sf_dir):
+    """M6, M7, M8: the clusters of the round of the best score (MNDL)."""
+    labels = _lockstep(spark, sf_dir, "mndl", best=True).labels
+    return labels.select("uid", "sample", F.col("cluster").cast("int").alias("cluster"), F.round("distance", 6).alias("distance"))
+
+
 @query("WITH s AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT unnest(v) AS x, unnest(range(0, 64)) AS pos FROM s) SELECT round(sum(var), 6) AS total, 64 AS components, true AS sorted FROM (SELECT var_pop(x) AS var FROM p GROUP BY pos)")
 def principal_components(spark, sf_dir):
     """The variances of all projections add up to that of the data, in descending order."""
