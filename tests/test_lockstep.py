@@ -22,7 +22,7 @@ def _blobs():
 def test_lockstep_finds_the_blobs_and_scores_like_numpy(spark, criterion):
     rows = _blobs()
     s = spark.createDataFrame(rows, "uid long, sample long, vector array<double>")
-    r = xm.x_means_lockstep(s, 1, 6 if criterion == "bic" else 4, 2, 2, criterion, whitened=False, normalize=False)
+    r = xm.x_means_lockstep(s, 1, 6, 2 if criterion == "bic" else 1, 1, criterion, whitened=False, normalize=False)
     centers, labels = {}, {}
     for c in r.centers.collect():
         centers.setdefault(c["uid"], {})[c["cluster"]] = np.array(c["vector"])
@@ -48,7 +48,7 @@ def test_lockstep_finds_the_blobs_and_scores_like_numpy(spark, criterion):
 
 def test_lockstep_limits_and_empty_input(spark):
     s = spark.createDataFrame(_blobs(), "uid long, sample long, vector array<double>")
-    r = xm.x_means_lockstep(s, 1, 3, 2, 1)
+    r = xm.x_means_lockstep(s, 2, 3, 1, 1)
     assert r.trace.agg(F.max("k")).collect()[0][0] == 3  # the room of an item is kept
     empty = xm.x_means_lockstep(s.where("false"), 1, 3)
     assert empty.centers.count() == empty.labels.count() == 0

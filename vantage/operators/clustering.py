@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -35,13 +35,18 @@ def packed(centroids: DataFrame) -> DataFrame:
     return checked(centroids.groupBy("uid").agg(rows.alias("__c")))
 
 
+def nearest_of(vector: str, digits: int = 9) -> Column:
+    """Struct (d, cluster) of the packed centroid that is nearest to the vector, the lowest cluster on ties."""
+    d = F.transform("__c", lambda x: F.struct(F.round(euclidean(vector, x["vector"]), digits).alias("d"), x["cluster"].alias("cluster")))
+    return F.array_min(F.filter(d, lambda x: x["d"].isNotNull()))
+
+
 def nearest(samples: DataFrame, centroids: DataFrame, digits: int = 9, keep: tuple[str, ...] = ()) -> DataFrame:
     """(uid, sample, cluster, distance, keep...): the nearest of the item's centroids (uid, cluster, vector), the lowest on ties.
 
     Centroids may be given as `packed` ones."""
     j = samples.join(centroids if "__c" in centroids.columns else packed(centroids), "uid")
-    d = F.transform("__c", lambda x: F.struct(F.round(euclidean("vector", x["vector"]), digits).alias("d"), x["cluster"].alias("cluster")))
-    best = F.array_min(d)
+    best = nearest_of("vector", digits)
     return j.select("uid", "sample", best["cluster"].alias("cluster"), best["d"].alias("distance"), *keep)
 
 

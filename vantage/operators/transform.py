@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -64,11 +64,16 @@ def explained_variance(model: dict, spark) -> DataFrame:
     return spark.createDataFrame(list(rows), "component int, ratio double, cumulative double")
 
 
-def apply_pca(samples: DataFrame, model: dict, normalize: bool = False) -> DataFrame:
-    """samples with vector replaced by its centred projection."""
+def projected(vector: Column, model: dict, normalize: bool = False) -> Column:
+    """The centred projection of a vector on the model's components."""
     mean = F.from_json(F.lit(json.dumps(model["mean"])), "array<double>")
     rows = F.from_json(F.lit(json.dumps(model["components"])), "array<array<double>>")
-    centred = F.zip_with(as_double("vector"), mean, lambda a, b: a - b)
-    out = samples.withColumn("vector", centred)
-    out = out.withColumn("vector", F.transform(rows, lambda row: total(F.zip_with(F.col("vector"), row, lambda a, b: a * b))))
-    return out.withColumn("vector", l2_normalize("vector")) if normalize else out
+    centred = F.zip_with(vector, mean, lambda a, b: a - b)
+    out = F.transform(rows, lambda row: total(F.zip_with(centred, row, lambda a, b: a * b)))
+    out = F.when(vector.isNotNull(), out)
+    return l2_normalize(out) if normalize else out
+
+
+def apply_pca(samples: DataFrame, model: dict, normalize: bool = False) -> DataFrame:
+    """samples with vector replaced by its centred projection."""
+    return samples.withColumn("vector", as_double("vector")).withColumn("vector", projected(F.col("vector"), model, normalize))

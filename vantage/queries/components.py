@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from ..functions.lineage import scratch
+from ..operators import transform as tr
 from ..plans import components as co
+from ..plans import estimators as es
 from .base import registrar, table
 from .learning import LABELS, LLOYD, ROUNDS, _samples
 
@@ -76,3 +79,48 @@ def projected_samples(spark, sf_dir):
     s = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     p = co.projection(s)
     return p.agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("x"), 6) + 0.0).alias("mx"), (F.round(F.avg("y"), 6) + 0.0).alias("my"))
+
+
+#: Principal components of two columns in closed form: the angle of the first axis, signs by the largest entry.
+AXES = """WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, var_pop(y) AS c, covar_pop(x, y) AS b FROM e),
+t AS (SELECT *, 0.5 * atan2(2 * b, a - c) AS t, (a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS l1, (a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS l2 FROM m),
+g AS (SELECT *, CASE WHEN (CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN cos(t) ELSE sin(t) END) < 0 THEN -1 ELSE 1 END AS g1,
+  CASE WHEN (CASE WHEN abs(sin(t)) >= abs(cos(t)) THEN -sin(t) ELSE cos(t) END) < 0 THEN -1 ELSE 1 END AS g2 FROM t)"""
+
+
+def _pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("vector"))
+
+
+def _kept(spark, stage):
+    """The stage written and read back."""
+    path = scratch(spark)
+    stage.write().save(path)
+    return type(stage).load(path)
+
+
+@query(AXES + " SELECT vec_id, round(g1 * ((x - mx) * cos(t) + (y - my) * sin(t)), 6) + 0 AS first, round(g2 * ((y - my) * cos(t) - (x - mx) * sin(t)), 6) + 0 AS second FROM e, g")
+def fitted_projection(spark, sf_dir):
+    """A pipeline's stage, saved before and after it was fitted; projections against the closed form."""
+    s = _pairs(spark, sf_dir)
+    model = _kept(spark, _kept(spark, Pipeline(stages=[es.Projection(k=2)])).fit(s))
+    p = model.transform(s)
+    return p.select("vec_id", *((F.round(F.col("projected")[i], 6) + 0.0).alias(name) for i, name in enumerate(("first", "second"))))
+
+
+@query(AXES + " SELECT 0 AS component, round(l1 / (l1 + l2), 6) AS ratio, round(l1 / (l1 + l2), 6) AS cumulative FROM t UNION ALL SELECT 1, round(l2 / (l1 + l2), 6), 1.0::DOUBLE FROM t")
+def explained_shares(spark, sf_dir):
+    """The share of every component and their running sum."""
+    model = es.Projection(variance=1.0).fit(_pairs(spark, sf_dir))
+    return tr.explained_variance(model.parameters, spark).select("component", F.round("ratio", 6).alias("ratio"), F.round("cumulative", 6).alias("cumulative"))
+
+
+@query(LLOYD + f" SELECT sample AS vec_id, uid AS label, cluster::INTEGER AS cluster, round(d, 6) AS distance FROM {LABELS}")
+def fitted_clusters(spark, sf_dir):
+    """Clusters of all items as an estimator; the model is saved and read back before it assigns."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    model = es.ItemKMeans(3, ROUNDS, inputCol="embedding", itemCol="label", sampleCol="vec_id").fit(e)
+    out = _kept(spark, model).transform(e)
+    return out.select("vec_id", "label", F.col("cluster").cast("int").alias("cluster"), F.round("distance", 6).alias("distance"))
