@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vantage.operators import clustering as cl
+from vantage.operators import selection as se
 from vantage.operators import xmeans as xm
 from vantage.operators.joins import checked
 
@@ -65,3 +66,13 @@ def test_broadcast_by_bytes(spark):
     hinted = lambda d: "strategy=broadcast" in df.join(d, "k")._jdf.queryExecution().optimizedPlan().toString()
     assert hinted(checked(df, 200_000)) and not hinted(checked(df, 80_000))  # about 1 kB a row
     assert hinted(checked(df.where("false"), 0))
+
+
+def test_selected_view_shades(spark):
+    s = spark.createDataFrame([(1, 0, 0, [1.0, 0.0]), (1, 1, 1, [0.0, 1.0]), (1, 2, None, None), (2, 0, 0, [1.0, 0.0]), (3, 0, 0, [1.0, 1.0])], "uid long, sample long, cluster int, vector array<double>")
+    v = spark.createDataFrame([(1, 0, 7, [2.0, 0.0]), (1, 1, 8, [0.0, 1.0]), (2, 0, 7, [3.0, 0.0])], "uid long, cluster int, view long, vector array<double>")
+    got = {(r["uid"], r["cluster"], r["sample"]): (r["own"], r["similarity"], r["shade"]) for r in se.selected_view_shades(s, v).collect()}
+    assert got[1, 0, 0] == (True, 2.0, 1.0) and got[1, 0, 1] == (False, 0.0, 0.0) and got[1, 1, 1] == (True, 1.0, 0.5)
+    assert got[1, 0, 2] == (None, None, None)  # no vector: nothing to compare
+    assert got[2, 0, 0] == (True, 3.0, 0.0)  # all equal
+    assert len(got) == 7  # the item without a selected view has no rows

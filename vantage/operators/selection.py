@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import add, dot, euclidean, l2_normalize, mean_vectors, norm, scale, subtract
+from .joins import checked
 
 
 def views_nearest_to_centroids(views: DataFrame, centroids: DataFrame, similarity: str = "dot", largest_distance: bool = False) -> DataFrame:
@@ -60,3 +61,18 @@ def lookup_views(selection: DataFrame, views: DataFrame) -> DataFrame:
 
 def mean_direction(points: DataFrame) -> DataFrame:
     return mean_vectors(points, ["uid"], "position", "mean")
+
+
+def selected_view_shades(samples: DataFrame, selected: DataFrame) -> DataFrame:
+    """(uid, cluster, view, sample, own, similarity, shade): every sample of an item against every selected view.
+
+    samples: (uid, sample, cluster, vector); selected: (uid, cluster, view, vector), few an item.  own: the sample is of
+    the view's cluster.  shade: the similarity on the scale of all of the item's selected views, 0 where all are equal."""
+    views = selected.groupBy("uid").agg(F.collect_list(F.struct("cluster", "view", F.col("vector").alias("w"))).alias("__views"))
+    j = samples.select("uid", "sample", F.col("cluster").alias("__own"), "vector").join(checked(views), "uid")
+    j = j.select("uid", "sample", "__own", "vector", F.inline("__views"))
+    j = j.select("uid", "cluster", "view", "sample", (F.col("__own") == F.col("cluster")).alias("own"), F.round(dot("vector", "w"), 9).alias("similarity"))
+    ends = j.groupBy("uid").agg(F.min("similarity").alias("__lo"), F.max("similarity").alias("__hi"))
+    span = F.col("__hi") - F.col("__lo")
+    shade = F.when(span > 0, (F.col("similarity") - F.col("__lo")) / span).otherwise(F.when(F.col("similarity").isNotNull(), 0.0))
+    return j.join(checked(ends), "uid").withColumn("shade", shade).drop("__lo", "__hi")

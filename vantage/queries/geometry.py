@@ -247,6 +247,20 @@ def pyramid_levels(spark, sf_dir):
     return fi.pyramid(p, levels, 0.0, 1.0, 5, normalize=False).select("point", F.round(F.col("vector")[0], 6).alias("a"))
 
 
+@query("""WITH p AS (SELECT vec_id AS point, (vec_id * 17 % 101) / 100.0 AS scale, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+a AS (SELECT *, least(floor(scale * 4), 3)::INTEGER AS lv FROM p),
+m AS (SELECT point, list_transform(range(1, 9), lambda i: v[lv * 8 + i] + (v[lv * 8 + 8 + i] - v[lv * 8 + i]) * (scale * 4 - lv)) AS m FROM a)
+SELECT point, round(m[1] / sqrt(list_dot_product(m, m)), 6) + 0 AS x, round(m[8] / sqrt(list_dot_product(m, m)), 6) + 0 AS y FROM m""")
+def pyramid_directions(spark, sf_dir):
+    """Levels that bend, brought back to length 1 between them; both ends of the scale are met."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point"), "embedding")
+    levels = e.select("point", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("level"), "embedding")
+    levels = levels.select("point", "level", F.slice("embedding", F.col("level") * 8 + 1, F.lit(8)).alias("vector"))
+    p = e.select("point", (F.col("point") * 17 % 101 / 100.0).alias("scale"))
+    out = fi.pyramid(p, levels, 0.0, 1.0, 5)
+    return out.select("point", *((F.round(F.col("vector")[i], 6) + 0.0).alias(name) for i, name in ((0, "x"), (7, "y"))))
+
+
 @query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings WHERE pow(embedding[1]::DOUBLE - 0.05, 2) + pow(embedding[2]::DOUBLE, 2) <= 0.01")
 def points_in_circle(spark, sf_dir):
     """M16."""

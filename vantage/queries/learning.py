@@ -289,6 +289,23 @@ def nearest_views(spark, sf_dir):
     return v.withColumn("cluster", F.col("cluster").cast("int"))
 
 
+@query(VIEWS + f""", p AS (SELECT c.uid, c.cluster, w.view, round(list_dot_product(w.v, c.v), 9) AS s, w.v FROM c JOIN w ON w.uid = c.uid),
+top AS (SELECT uid, cluster, view, v FROM p QUALIFY row_number() OVER (PARTITION BY uid, cluster ORDER BY s DESC, view) = 1),
+r AS (SELECT t.uid, t.cluster, t.view, x.view AS sample, a.cluster = t.cluster AS own, round(list_dot_product(x.v, t.v), 9) AS s FROM top t JOIN w x ON x.uid = t.uid JOIN {LABELS} a ON a.uid = x.uid AND a.sample = x.view)
+SELECT uid, cluster::INTEGER AS cluster, view, sample, own, round(s, 6) AS similarity, round((s - min(s) OVER i) / (max(s) OVER i - min(s) OVER i), 6) AS shade FROM r WINDOW i AS (PARTITION BY uid)""")
+def selected_view_shades(spark, sf_dir):
+    """Clusters, the view nearest to each, all samples against these on one scale, and which are of the cluster."""
+    s = _samples(spark, sf_dir)
+    work = cl.whiten(s, cl.whitening(s))
+    centers = cl.packed(cl.lloyd(work, cl.first_centroids(work, 3), ROUNDS))
+    views = _views(spark, sf_dir)
+    unit = centers.select("uid", F.inline("__c")).withColumn("vector", l2_normalize("vector"))
+    chosen = se.views_nearest_to_centroids(views, unit).select("uid", "cluster", "view").join(views, ["uid", "view"])
+    labels = cl.nearest(work, centers).select("uid", "sample", "cluster").join(s, ["uid", "sample"])
+    out = se.selected_view_shades(labels, chosen)
+    return out.select("uid", F.col("cluster").cast("int").alias("cluster"), "view", "sample", "own", F.round("similarity", 6).alias("similarity"), F.round("shade", 6).alias("shade"))
+
+
 POSITIONS = "q AS (SELECT label::BIGINT AS uid, (vec_id % 2)::INTEGER AS cluster, vec_id AS sample, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4] > 0 AS chosen FROM embeddings)"
 
 
