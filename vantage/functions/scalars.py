@@ -36,6 +36,15 @@ def uniform(seed, key) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def rounded(x) -> Column:
+    """F.round(x, 6) of doubles, of which only those near a tie, and those of a million or more, are rounded by decimal
+    digits; the others are so many millionths, with the same result at a fraction of the time."""
+    x = _c(x)
+    y = x * F.lit(1e6)
+    plain = (F.abs(x) < F.lit(1e6)) & (F.abs(y - F.floor(y) - F.lit(0.5)) > F.lit(1e-4))
+    return F.when(plain, F.floor(y + F.lit(0.5)) / F.lit(1e6)).otherwise(F.round(x, 6))
+
+
 def cache_key(*lists) -> Column:
     """SHA-1 over sorted string lists, each item followed by a zero byte."""
     parts = [F.array_join(F.transform(F.array_sort(_c(x)), lambda s: F.concat(s, F.lit("\0"))), "") for x in lists]

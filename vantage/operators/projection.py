@@ -12,7 +12,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import uniform
+from ..functions.scalars import rounded, uniform
+from .joins import checked
 
 
 def project(points: DataFrame, cameras: DataFrame, fov_y: float, width: int, height: int, near: float = 0.05, far: float = 100.0) -> DataFrame:
@@ -21,8 +22,9 @@ def project(points: DataFrame, cameras: DataFrame, fov_y: float, width: int, hei
 
     Points nearer than `near` or farther than `far` are clipped; points beside the picture have pixels outside it.
     Pixels are rounded to six places, so that they do not depend on the order of additions."""
-    j = points.select("uid", "sample", F.col("position").alias("p")).join(cameras.select("uid", "view", F.col("transform").alias("m")), "uid")
-    m, p = F.col("m"), F.col("p")
+    m, p = [[F.col(f"m{i}{k}") for k in range(4)] for i in range(3)], [F.col(f"p{i}") for i in range(3)]
+    cameras = checked(cameras.select("uid", "view", *(F.col("transform")[i][k].alias(f"m{i}{k}") for i in range(3) for k in range(4))))
+    j = points.select("uid", "sample", *(F.col("position")[i].alias(f"p{i}") for i in range(3))).join(cameras, "uid")
     # the inverse of a rigid transform: its transposed rotation, applied to the point less the camera's place
     own = [sum((m[i][k] * (p[i] - m[i][3]) for i in range(1, 3)), m[0][k] * (p[0] - m[0][3])) for k in range(3)]
     j = j.select("uid", "sample", "view", *(c.alias(f"c{k}") for k, c in enumerate(own)))
@@ -31,7 +33,10 @@ def project(points: DataFrame, cameras: DataFrame, fov_y: float, width: int, hei
     seen = j.where((z >= F.lit(near)) & (z <= F.lit(far)))
     x = (F.lit(focal * height / width) * F.col("c0") / z + 1) * F.lit(width / 2)
     y = (F.lit(focal) * F.col("c1") / z + 1) * F.lit(height / 2)
-    seen = seen.select("uid", "sample", "view", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), z.alias("z"))
+    # through a generator of one row: filters on pixels are then not rewritten into the whole arithmetic, many times over,
+    # which makes generated methods too large to be compiled
+    raw = F.array(F.struct(x.alias("x"), y.alias("y"), z.alias("z")))
+    seen = seen.select("uid", "sample", "view", F.inline(raw)).withColumns({"x": rounded("x"), "y": rounded("y")})
     return seen.withColumns({"u": F.col("x") / width, "v": 1 - F.col("y") / height})
 
 
@@ -47,8 +52,10 @@ def depth_buffer(projected: DataFrame, width: int, height: int) -> DataFrame:
 
 def with_visibility(projected: DataFrame, depth: DataFrame, eps: float = 1e-3) -> DataFrame:
     """projected with visible: 1 where the point is no farther than the buffer at its pixel by more than eps; 0 behind
-    it, and beside the picture.  A pixel that the buffer lacks hides nothing, but is outside the picture."""
-    out = _pixels(projected).join(depth, ["uid", "view", "px", "py"], "left")
+    it, and beside the picture.  A pixel that the buffer lacks hides nothing, but is outside the picture.
+
+    The buffer has a row a pixel and is sent whole while it is small (checked), so that the samples are not shuffled."""
+    out = _pixels(projected).join(checked(depth), ["uid", "view", "px", "py"], "left")
     seen = F.coalesce(F.col("z") <= F.col("depth") + F.lit(eps), F.lit(False))
     return out.withColumn("visible", seen.cast("int")).drop("depth", "px", "py")
 
