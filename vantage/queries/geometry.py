@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as ge
+from ..functions.lineage import stored
 from ..operators import fields as fi
 from ..operators import neighbours as ne
 from ..operators import projection as pr
@@ -295,14 +296,19 @@ d AS (SELECT uid, view, floor(x) AS px, floor(y) AS py, min(z) AS depth FROM t W
 v AS (SELECT t.*, coalesce(t.z <= depth + 0.001, false)::INTEGER AS visible FROM t LEFT JOIN d ON d.uid = t.uid AND d.view = t.view AND d.px = floor(t.x) AND d.py = floor(t.y))"""
 
 
-def _projected(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+def _scene(spark, sf_dir):
+    """(uid, sample, position): the lines of orders as points."""
     sample = F.floor(F.col("l_orderkey") / 40) * 10 + F.col("l_linenumber")
-    at = F.array(F.min("l_quantity") / 50 - 0.5, F.min("l_extendedprice") / 100000 - 0.5, F.min("l_discount") * 10 - 0.5)
-    points = li.groupBy((F.col("l_orderkey") % 40).alias("uid"), sample.alias("sample")).agg(F.transform(at, lambda x: x.cast("double")).alias("position"))
+    at = (F.min("l_quantity") / 50 - 0.5, F.min("l_extendedprice") / 100000 - 0.5, F.min("l_discount") * 10 - 0.5)
+    position = F.array(*(c.cast("double") for c in at)).alias("position")
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("uid"), sample.alias("sample")).agg(position)
+
+
+def _projected(spark, sf_dir, points=None):
     views = ge.sphere_views(spark, 4, 3).select(F.col("index").alias("view"), "transform")
-    cameras = points.select("uid").distinct().crossJoin(F.broadcast(views))  # a generator: 12 cameras an item
-    return pr.project(points, cameras, FOV, WIDTH, HEIGHT, near=1.6)
+    uids = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("uid")).distinct()
+    cameras = uids.crossJoin(F.broadcast(views))  # a generator: 12 cameras an item
+    return pr.project(_scene(spark, sf_dir) if points is None else points, cameras, FOV, WIDTH, HEIGHT, near=1.6)
 
 
 @query(f"WITH {PROJECTED} SELECT uid, sample, view, floor(x * 1000)::BIGINT AS x, floor(y * 1000)::BIGINT AS y, round(z, 6) AS z FROM t")
@@ -322,7 +328,7 @@ def depth_buffers(spark, sf_dir):
 @query(f"WITH {PROJECTED} SELECT uid, view, sum(visible)::BIGINT AS visible, (count(*) - sum(visible))::BIGINT AS obstructed FROM v GROUP BY uid, view")
 def visible_and_obstructed(spark, sf_dir):
     """Samples in sight and behind others, by view."""
-    p = _projected(spark, sf_dir)
+    p = _projected(spark, sf_dir, stored(_scene(spark, sf_dir)))
     t = pr.with_visibility(p, pr.depth_buffer(p, WIDTH, HEIGHT))
     return t.groupBy("uid", "view").agg(F.sum("visible").alias("visible"), F.sum(1 - F.col("visible")).alias("obstructed"))
 
@@ -333,9 +339,10 @@ SELECT uid, view, sample, floor(x / {WIDTH} * 10000)::BIGINT AS u, floor((1 - y
 def picked_correspondences(spark, sf_dir):
     """The chain whole: cameras, projection, depth test, the visible samples within a circle of their 2-D map,
     and some of each picture drawn for its lines."""
-    p = _projected(spark, sf_dir)
+    scene = stored(_scene(spark, sf_dir))
+    p = _projected(spark, sf_dir, scene)
     tested = pr.with_visibility(p, pr.depth_buffer(p, WIDTH, HEIGHT))
     k = F.col("sample")
-    points = p.select("uid", "sample").distinct().select("uid", "sample", (k * 37 % 101 / 101.0).alias("mx"), (k * 53 % 103 / 103.0).alias("my"))
+    points = scene.select("uid", "sample", (k * 37 % 101 / 101.0).alias("mx"), (k * 53 % 103 / 103.0).alias("my"))
     found = pr.correspondences(tested, points, 5, "lines", (0.5, 0.5, 0.4))
     return found.select("uid", "view", "sample", *(F.floor(F.col(c) * 10000).alias(c) for c in ("u", "v", "mx", "my")))
