@@ -69,6 +69,18 @@ def test_sinks(spark, tmp_path):
         st.rebuild_index(t, t.where("false")).collect()
 
 
+def test_dataset_cache_in_records(spark, tmp_path, monkeypatch):
+    """A large set is several records: no row holds it whole, and no uid is looked up in a map of all."""
+    rows = [(c, i, f"{c}{i}", f"p{c}{i}") for c in "ab" for i in range(9)] + [("c", 0, "a1", "pa1")]
+    items = spark.createDataFrame(rows, "category string, pos int, uid string, path string")
+    monkeypatch.setattr(st, "CACHE_ITEMS", 4)
+    st.write_dataset_cache(items, str(tmp_path / "d"), limit=9)
+    got = st.dataset_cache(spark, str(tmp_path / "d"), limit=9)
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+    assert len(list((tmp_path / "d").glob("part-*.json"))) == 5 and "element_at" not in got._jdf.queryExecution().toString()
+    assert st.dataset_cache(spark, str(tmp_path / "d"), limit=8).count() == 0
+
+
 def test_caches(spark, tmp_path):
     items = spark.createDataFrame([("a", 0, "u1", "p1"), ("a", 1, "u2", "p2"), ("b", 0, "u3", "p3")], "category string, pos int, uid string, path string")
     st.write_dataset_cache(items, str(tmp_path / "d"), categories=["b", "a"], limit=2)

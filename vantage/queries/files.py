@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import scratch
 from ..functions.vectors import as_double
+from ..operators.dataset import ranked
 from ..operators.joins import first_wins
 from ..plans import config
 from ..sources import tables as st
@@ -14,11 +15,15 @@ from .base import registrar, table
 ALL, query = registrar()
 
 
-def _map_file(spark, df, path, key, value):
-    """One JSON map of df's rows a file: several files, by a hash of the key."""
+#: Items of a category that one file holds.
+PIECE = 20_000
+
+
+def _map_file(spark, df, path, key, value, *folders):
+    """One JSON map of df's rows a file: several files, by a hash of the key, in folders by the other columns."""
     part = F.pmod(F.xxhash64(key), F.lit(4)).cast("int")
-    rows = df.groupBy(part.alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, value)))).alias("value"))
-    rows.write.partitionBy("part").text(path)
+    rows = df.groupBy(*folders, part.alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, value)))).alias("value"))
+    rows.write.partitionBy(*folders, "part").text(path)
     return path
 
 
@@ -41,8 +46,9 @@ def object_paths_of_files(spark, sf_dir):
 @query("SELECT lang AS category, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::INTEGER AS pos, doc_id::VARCHAR AS uid FROM documents")
 def category_items_of_files(spark, sf_dir):
     """Category -> uids maps, and the same through a data-set cache."""
-    d = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("category")).agg(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")).alias("uids"))
-    items = st.category_items(spark, _map_file(spark, d, scratch(spark), "category", "uids"))
+    d = ranked(table(spark, sf_dir, "documents").select(F.col("lang").alias("category"), "doc_id"), ["category"], [F.col("doc_id")])
+    d = d.groupBy("category", (F.floor((F.col("rank") - 1) / PIECE) * PIECE).alias("start")).agg(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")).alias("uids"))
+    items = st.category_items(spark, _map_file(spark, d, scratch(spark), "category", "uids", "start"))
     path = scratch(spark)
     st.write_dataset_cache(items.withColumn("path", F.concat(F.lit("/f/"), "uid")), path, limit=7)
     cached = st.dataset_cache(spark, path, limit=7).where(F.col("path") == F.concat(F.lit("/f/"), "uid"))

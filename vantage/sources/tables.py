@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..operators.dataset import ranked
+
 VECTORS = "array<array<double>>"
 CAMERAS = "camera_model string, fl_x double, fl_y double, cx double, cy double, w int, h int, frames array<struct<file_path string, transform_matrix array<array<double>>>>"
 METADATA = "fileIdentifier string, license string, source string, fileType string, sha256 string, metadata string"
@@ -32,6 +35,10 @@ NAMED_SHARDS = 100_000
 LISTING = "sha256 string, fileIdentifier string"
 
 
+#: Items of a data set that one record of its cache holds at most.
+CACHE_ITEMS = 50_000
+
+
 def _json(spark: SparkSession, path, schema: str) -> DataFrame:
     """Whole-file JSON with column file; records that do not parse are left out."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).withColumn("file", F.col("_metadata.file_path"))
@@ -72,9 +79,12 @@ def object_paths(spark: SparkSession, path) -> DataFrame:
 
 
 def category_items(spark: SparkSession, path) -> DataFrame:
-    """(category, pos, uid) of a JSON map category -> list of uids."""
-    m = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("category", "uids"))
-    return m.select("category", F.posexplode("uids").alias("pos", "uid"))
+    """(category, pos, uid) of JSON maps category -> list of uids; a list may be in pieces, in folders start=N by the
+    place of their first uid."""
+    m = spark.read.option("wholetext", True).text(path)
+    start = F.col("start").cast("int") if "start" in m.columns else F.lit(0)
+    m = m.select(start.alias("start"), F.explode(F.from_json("value", "map<string, array<string>>")).alias("category", "uids"))
+    return m.select("start", "category", F.posexplode("uids").alias("pos", "uid")).select("category", (F.col("pos") + F.col("start")).alias("pos"), "uid")
 
 
 def metadata(spark: SparkSession, path, constant_metadata: bool = False) -> DataFrame:
@@ -327,22 +337,30 @@ def append_cache(df: DataFrame, path: str) -> None:
 
 def dataset_cache(spark: SparkSession, path: str, categories: list[str] | None = None, uids: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """(category, pos, uid, path) of a cached data set; no rows if it was made with other filters."""
-    schema = "dataset map<string, array<string>>, uid_to_file map<string, string>, categories array<string>, uids array<string>, per_category_limit int"
+    schema = "dataset map<string, array<string>>, uid_to_file map<string, string>, categories array<string>, uids array<string>, per_category_limit int, starts map<string, int>"
     c = _json(spark, path, schema)
     same = lambda col, want: F.array_sort(F.coalesce(col, F.array().cast("array<string>"))) == F.array_sort(F.array(*map(F.lit, want or [])).cast("array<string>"))
-    ok = same(F.col("categories"), categories) & same(F.col("uids"), uids) & F.col("per_category_limit").eqNullSafe(F.lit(limit).cast("int"))
-    rows = c.where(ok).select("uid_to_file", F.explode("dataset").alias("category", "list")).select("uid_to_file", "category", F.posexplode("list").alias("pos", "uid"))
-    return rows.select("category", "pos", "uid", F.element_at("uid_to_file", F.col("uid")).alias("path"))
+    c = c.where(same(F.col("categories"), categories) & same(F.col("uids"), uids) & F.col("per_category_limit").eqNullSafe(F.lit(limit).cast("int")))
+    rows = c.select("file", "starts", F.explode("dataset").alias("category", "list"))
+    rows = rows.select("file", "category", F.coalesce(F.col("starts")[F.col("category")], F.lit(0)).alias("start"), F.posexplode("list").alias("pos", "uid"))
+    # by a join: to look each uid up in its record's map takes the square of their number
+    paths = c.select("file", F.explode("uid_to_file").alias("uid", "path"))
+    return rows.join(paths, ["file", "uid"], "left").select("category", (F.col("pos") + F.col("start")).alias("pos"), "uid", "path")
 
 
 def write_dataset_cache(items: DataFrame, path: str, categories: list[str] | None = None, uids: list[str] | None = None, limit: int | None = None) -> None:
-    """A data set (category, pos, uid, path) as one JSON record with its filters: the file format needs it in one row."""
-    lists = items.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "uid"))), lambda s: s["uid"]).alias("list"))
-    d = lists.agg(F.map_from_entries(F.collect_list(F.struct("category", "list"))).alias("dataset"))
-    f = items.select("uid", "path").distinct().agg(F.map_from_entries(F.collect_list(F.struct("uid", "path"))).alias("uid_to_file"))
+    """A data set (category, pos, uid, path) as JSON records with its filters, a file each: one for up to CACHE_ITEMS items,
+    more above.  Records of a longer set also tell at which place in each category they start."""
+    order = ranked(items.select("category", "pos", "uid", "path"), ["category"], [F.col("pos"), F.col("uid")]).withColumnRenamed("rank", "place")
+    order = ranked(order, [], [F.col("category"), F.col("place")])
+    order = cut(order.withColumn("record", F.floor((F.col("rank") - 1) / CACHE_ITEMS)))
+    lists = order.groupBy("record", "category").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "uid"))), lambda s: s["uid"]).alias("list"), (F.min("place") - 1).cast("int").alias("start"))
+    later = F.map_from_entries(F.collect_list(F.struct("category", "start")))
+    d = lists.groupBy("record").agg(F.map_from_entries(F.collect_list(F.struct("category", "list"))).alias("dataset"), F.when(F.max("start") > 0, later).alias("starts"))
+    f = order.select("record", "uid", "path").distinct().groupBy("record").agg(F.map_from_entries(F.collect_list(F.struct("uid", "path"))).alias("uid_to_file"))
     arr = lambda x: F.array(*map(F.lit, x)).cast("array<string>") if x else F.lit(None).cast("array<string>")
-    row = d.join(f, F.lit(True)).withColumns({"categories": arr(categories), "uids": arr(uids), "per_category_limit": F.lit(limit).cast("int")})
-    row.write.mode("overwrite").json(path)
+    row = d.join(f, "record").drop("record").withColumns({"categories": arr(categories), "uids": arr(uids), "per_category_limit": F.lit(limit).cast("int")})
+    row.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def feature_cache(spark: SparkSession, path: str, config: dict, create, delete_stale: bool = True) -> DataFrame:
