@@ -1,16 +1,23 @@
 """Points near each other, at any group size: joins over grid cells, thinning, and density clusters.
 
 A point is matched by equi-join with the points of its own cell and the 26 around it, cells being as wide as the
-distance asked for; no task gathers a group.  Points are (keys..., sample, position), three coordinates each (further
-ones count in the distance only).
+distance asked for; no task gathers a group, but where small groups are thinned.  Points are (keys..., sample,
+position), three coordinates each (further ones count in the distance only).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, stored
+from .joins import checked
+
+#: A group of at most so many points is thinned from the matrix of its distances, without a row a pair; a larger one by
+#: joins over grid cells.
+SMALL_GROUP = 256
 
 _AROUND = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
 
@@ -91,16 +98,87 @@ def without_close(points: DataFrame, radius: Column | float, keys: tuple[str, ..
     rule `degree`: of each pair the point goes that is in more pairs, the earlier one if they are in equally many; one
     pass, but a point may go though its rival goes as well.  rule `first`: points are taken in order of sample, and one
     goes if one that stays is nearer; found in rounds, all points at once: a point stays when none before it near it is
-    undecided or stays.  A radius of 0 or less lets all stay.  Samples of a group differ."""
+    undecided or stays.  A radius of 0 or less lets all stay.  Samples of a group differ.
+
+    Groups of up to SMALL_GROUP points are a row each and write no pairs; both ways give the same points."""
+    if rule not in ("degree", "first"):
+        raise ValueError(f"unknown rule {rule!r}")
     r = radius if isinstance(radius, Column) else F.lit(float(radius))
-    every = cut(points.withColumn("__r", r.cast("double")))
+    small, large = by_size(points.withColumn("__r", r.cast("double")), keys)
+
+    @F.pandas_udf("array<int>")
+    def stays(samples: pd.Series, flat: pd.Series, radii: pd.Series) -> pd.Series:
+        return pd.Series([staying(squares(s, x), r, rule) for s, x, r in zip(samples, flat, radii, strict=True)])
+
+    kept = small.withColumn("__i", stays("__samples", "__flat", F.col("__rows")[0]["__r"]))
+    kept = kept.select(F.explode(F.transform("__i", lambda i: F.col("__rows")[i])).alias("__row")).select(*(F.col(f"__row.`{c}`").alias(c) for c in points.columns))
+    return kept if large is None else kept.unionByName(_without_close_by_joins(large, keys, rule))
+
+
+def by_size(points: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """The groups of up to SMALL_GROUP points, a row each, and the points of the others (None if there are none).
+
+    A small group is __rows, its points by sample; __samples, their numbers; __flat, all their coordinates.  Groups with
+    a null key or coordinate, or with positions of several lengths, count among the others."""
+    points = stored(points)
+    size = F.when(F.exists("position", lambda x: x.isNull()), 0).otherwise(F.size("position"))
+    size = F.coalesce(F.when(F.col("position").isNull(), 0).otherwise(size), F.lit(0))
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("least"), F.max(size).alias("most"))
+    null = F.lit(False)
+    for k in keys:
+        null |= F.col(k).isNull()
+    odd = sizes.where((F.col("n") > SMALL_GROUP) | (F.col("least") < 3) | (F.col("least") != F.col("most")) | null)
+    odd = checked(odd.select(*(F.col(k).alias(f"__{k}") for k in keys)))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    large = None if odd.isEmpty() else points.join(odd, same, "left_semi")
+    small = points if large is None else points.join(odd, same, "left_anti")
+    small = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample", *(c for c in points.columns if c != "sample")))).alias("__rows"))
+    flat = F.flatten(F.transform("__rows", lambda r: r["position"].cast("array<double>")))
+    return small.withColumns({"__samples": F.transform("__rows", lambda r: r["sample"]), "__flat": flat}), large
+
+
+def squares(samples: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Squared distances of a small group's points, added in order of the coordinates."""
+    x = np.asarray(flat, float).reshape(len(samples), -1)
+    out = np.zeros((len(x), len(x)))
+    for k in range(x.shape[1]):
+        d = x[:, None, k] - x[None, :, k]
+        out += d * d
+    return out
+
+
+def staying(squared: np.ndarray, radius: float | None, rule: str) -> np.ndarray:
+    """Places of the points, in order of sample, that stay by the rule (without_close)."""
+    n = len(squared)
+    gone = np.zeros(n, bool)
+    if radius is not None and radius > 0:
+        if rule == "degree":
+            near = squared <= radius * radius
+            np.fill_diagonal(near, False)
+            degree = near.sum(1)
+            near = np.triu(near)  # pairs of an earlier and a later point
+            later = degree[None, :] > degree[:, None]
+            gone = (near & ~later).any(1) | (near & later).any(0)
+        else:
+            near = squared < radius * radius
+            for i in range(n):
+                if not gone[i]:
+                    gone[i + 1 :] |= near[i, i + 1 :]
+    return np.flatnonzero(~gone).astype(np.int32)
+
+
+def _without_close_by_joins(points: DataFrame, keys: tuple[str, ...], rule: str) -> DataFrame:
+    """without_close for groups of any size; points have their radius as __r."""
+    every = cut(points)
     pairs = cut(near_pairs(every.where("__r > 0"), F.col("__r"), keys, "sample"))
     if rule == "degree":
         ends = pairs.select(*keys, F.explode(F.array("a", "b")).alias("sample")).groupBy(*keys, "sample").agg(F.count(F.lit(1)).alias("n"))
         count = lambda c: ends.withColumnsRenamed({"sample": c, "n": f"n{c}"})
         gone = pairs.join(count("a"), [*keys, "a"]).join(count("b"), [*keys, "b"])
         gone = gone.select(*keys, F.when(F.col("nb") > F.col("na"), F.col("b")).otherwise(F.col("a")).alias("sample")).distinct()
-    elif rule == "first":
+    else:
         strict = pairs.join(every.select(*keys, F.col("sample").alias("a"), "__r"), [*keys, "a"]).where("squared < __r * __r").select(*keys, "a", "b")
         left, gone = cut(strict), None
         while not left.isEmpty():
@@ -113,6 +191,4 @@ def without_close(points: DataFrame, radius: Column | float, keys: tuple[str, ..
                 left = left.join(out.withColumnRenamed("sample", end), [*keys, end], "left_anti")
             left = cut(left)
         gone = strict.select(*keys, F.col("a").alias("sample")).limit(0) if gone is None else gone
-    else:
-        raise ValueError(f"unknown rule {rule!r}")
     return every.drop("__r").join(gone, [*keys, "sample"], "left_anti")
