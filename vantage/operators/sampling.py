@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import triangle_area
-from ..functions.lineage import cut
+from ..functions.lineage import cut, stored
 from ..functions.scalars import uniform
 from ..functions.vectors import subtract
 from .dataset import ranked
 from .joins import checked
-from .neighbours import without_close
+from .neighbours import by_size, squares, staying, without_close
 
 
 def cumulative(df: DataFrame, keys: list[str], order: str, weight: str) -> DataFrame:
@@ -57,8 +57,8 @@ def surface_points(triangles: DataFrame, count: int, seed: str) -> DataFrame:
     uids = triangles.select("uid").distinct()
     draws = uids.select("uid", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("sample"))
     u = lambda name: uniform(F.lit(f"{seed}/{name}"), F.concat_ws("/", F.col("uid").cast("string"), F.col("sample").cast("string")))
-    draws = draws.withColumns({"u": u("face"), "__a": u("a"), "__b": u("b")})
-    p = interval_lookup(draws, faces, "uid")
+    # the place in the face is made after the lookup, so that it is not shuffled
+    p = interval_lookup(draws.withColumn("u", u("face")), faces, "uid").withColumns({"__a": u("a"), "__b": u("b")})
     fold = F.col("__a") + F.col("__b") > 1
     a, b = (F.when(fold, 1 - F.col(c)).otherwise(F.col(c)) for c in ("__a", "__b"))
     e1, e2 = subtract("v1", "v0"), subtract("v2", "v0")
@@ -110,7 +110,41 @@ def thin_to_target(points: DataFrame, lowest: float, highest: float, iterations:
 
     All items go through one loop in lockstep: a row an item holds its bracket, and each round thins the candidates of
     those that are not done, at their own radius, in one join.  trace: (uid, iteration, lo, mid, hi, samples).  At most
-    `count` points of an item stay; what stays is what its last round left."""
+    `count` points of an item stay; what stays is what its last round left.  Small items (by_size) go through their
+    rounds in one pass, from the matrix of their distances."""
+    small, large = by_size(points.select("uid", "sample", "position", "target"), ("uid",))
+
+    @F.pandas_udf("struct<trace: array<struct<iteration: int, lo: double, mid: double, hi: double, samples: long>>, kept: array<int>>")
+    def rounds(samples: pd.Series, flat: pd.Series, targets: pd.Series) -> pd.DataFrame:
+        found = [_halved(squares(s, x), t, float(lowest), float(highest), iterations, count, rule) for s, x, t in zip(samples, flat, targets, strict=True)]
+        return pd.DataFrame({"trace": [f[0] for f in found], "kept": [f[1] for f in found]})
+
+    done = small.withColumn("__d", rounds("__samples", "__flat", F.array_max(F.transform("__rows", lambda r: r["target"])).cast("double")))
+    done = stored(done.select("uid", F.col("__d.trace").alias("trace"), F.transform("__d.kept", lambda i: F.col("__rows")[i]).alias("kept")))
+    kept = done.select("uid", F.explode("kept").alias("k")).select("uid", *(F.col(f"k.{c}").alias(c) for c in ("sample", "position")))
+    trace = done.select("uid", F.explode("trace").alias("t")).select("uid", "t.*")
+    if large is None:
+        return kept, trace
+    more = _thin_by_joins(large, lowest, highest, iterations, count, rule)
+    return kept.unionByName(more[0]), trace.unionByName(more[1])
+
+
+def _halved(squared: np.ndarray, target: float, lo: float, hi: float, iterations: int, count: int | None, rule: str) -> tuple[list[dict], np.ndarray]:
+    """The rounds of one small item, and the places of the points that its last round left."""
+    trace, kept = [], np.zeros(0, np.int32)
+    for i in range(iterations):
+        mid = (lo + hi) * 0.5
+        left = staying(squared, mid, rule)[:count]
+        trace.append({"iteration": i, "lo": lo, "mid": mid, "hi": hi, "samples": len(left)})
+        if len(left) == target or i == iterations - 1:
+            return trace, left
+        if np.isnan(target):  # no target: one round, and nothing is kept
+            break
+        lo, hi = (mid, hi) if len(left) > target else (lo, mid)
+    return trace, kept
+
+
+def _thin_by_joins(points: DataFrame, lowest: float, highest: float, iterations: int, count: int | None, rule: str) -> tuple[DataFrame, DataFrame]:
     items = cut(points.groupBy("uid").agg(F.max("target").alias("target")).withColumns({"lo": F.lit(float(lowest)), "hi": F.lit(float(highest))}))
     points, kept, trace = cut(points.select("uid", "sample", "position")), None, None
     for i in range(iterations):
