@@ -1,9 +1,13 @@
 """Operators on hand-made fixtures."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vantage.functions import geometry as ge
+from vantage.functions.scalars import rounded
 from vantage.operators import clustering as cl
 from vantage.operators import dataset as ds
 from vantage.operators import evaluation as ev
@@ -185,6 +189,23 @@ def test_thinning(spark):
     assert all(sizes[u] == last[u]["samples"] for u in (1, 2)) and all(abs(n - 40) < 15 for n in sizes.values())
 
 
+def test_thinning_of_small_groups_writes_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(u, i, (np.round(rng.random(3) * 8) / 8).tolist(), f"n{i}") for u in range(6) for i in range(50 if u else 1)]
+    df = spark.createDataFrame(rows, POINT + ", note string").withColumn("target", F.lit(20))
+    ways = {
+        "degree": lambda: ne.without_close(df, 0.25), "first": lambda: ne.without_close(df, 0.25, rule="first"),
+        "own": lambda: ne.without_close(df, F.col("uid") * 0.125), "kept": lambda: sa.thin_to_target(df, 0.0, 1.0, 5, 30)[0],
+        "trace": lambda: sa.thin_to_target(df, 0.0, 1.0, 5, 30)[1],
+    }
+    monkeypatch.setattr(ne, "SMALL_GROUP", 0)
+    joined = {k: sorted(map(tuple, way().collect())) for k, way in ways.items()}
+    monkeypatch.setattr(ne, "SMALL_GROUP", 50)
+    monkeypatch.setattr(ne, "near_pairs", lambda *a: pytest.fail("pairs of a small group"))
+    for k, way in ways.items():
+        assert sorted(map(tuple, way().collect())) == joined[k] and joined[k], k
+
+
 def test_x_means_options(spark):
     rng = np.random.default_rng(7)
     spots = np.array([[0, 0], [9, 0], [0, 9], [9, 9]])
@@ -306,3 +327,46 @@ def test_config_digests(spark):
     assert got[0] == got[1] and len(set(got.values())) == 4
     found = {(r["path"], r["value"]) for r in dg.leaves(spark.createDataFrame([(0, texts[1])], "key int, config string")).collect()}
     assert found == {(".a", '"x"'), (".b[0]", "1"), (".b[1].c", "null"), (".device", "2")}
+
+
+def _scene(spark):
+    points = spark.createDataFrame([(1, i, [i / 40 - 0.5, (i * 7 % 40) / 40 - 0.5, (i * 3 % 40) / 40 - 0.5]) for i in range(40)], POINT)
+    views = ge.sphere_views(spark, 4, 3).select(F.lit(1).cast("long").alias("uid"), F.col("index").alias("view"), "transform")
+    return pr.project(points, views, 1.0, 24, 16), points
+
+
+def test_depth_buffer_is_compiled(spark):
+    """Methods of more than 8,000 bytes are interpreted, at a tenth of the speed and less."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = pr.depth_buffer(_scene(spark)[0], 24, 16)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", plan))) < 8000
+
+
+def test_visibility_does_not_shuffle_the_samples(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p, _ = _scene(spark)
+        plan = pr.with_visibility(p, pr.depth_buffer(p, 24, 16))._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_picked_correspondences_read_the_lines_once(spark, monkeypatch):
+    from vantage.queries import geometry
+
+    reads = []
+    real = geometry.table
+    monkeypatch.setattr(geometry, "table", lambda *a: reads.append(a) or real(*a))
+    plan = geometry.picked_correspondences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert len(reads) == 2 and "l_extendedprice" not in plan  # points, which are stored, and the items' keys
+
+
+def test_rounded_is_round(spark):
+    rng = np.random.default_rng(3)
+    xs = [*(rng.normal(0, 50, 4000)).tolist(), *((rng.integers(-(10**7), 10**7, 4000) + 0.5) / 1e6).tolist(), 0.0, -1e-9, 2.5e-7, 5e-7, -5e-7, 1e6, 123456789.1234565, 1e300, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select(rounded("x").alias("a"), F.round("x", 6).alias("b"))
+    assert df.where("NOT (a <=> b)").count() == 0
