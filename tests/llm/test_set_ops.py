@@ -8,10 +8,11 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.llm import components, decontaminate, jaccard, secrets, substrings, topk, warc
+from vantage.llm import components, decontaminate, jaccard, secrets, sketch, substrings, topk, warc
 from vantage.llm.common import Words, utf8, windows
 
 DOC = "doc_id long, text string"
@@ -52,6 +53,22 @@ def test_jaccard_components(spark, group_shingles, shard_sets):
     assert got == jaccard.brute_force(texts)
 
 
+def test_jaccard_table_of_counts_grows_with_the_corpus(spark, monkeypatch):
+    """With many shingles a cell the rare ones are not told apart, and most documents become one candidate group."""
+    assert sketch.table_bits(75_000_000) == sketch.CELL_BITS and sketch.table_bits(900_000_000) == 26 == sketch.table_bits(1 << 40)
+    texts = dict(enumerate(near_copies(4)))
+    docs = spark.createDataFrame([*texts.items()], DOC)
+    grams = [s for _, s, _ in jaccard.shingle_sets(pa.array(texts.values()))]
+    for bits in (22, 24):
+        counts = sketch.corpus_counts(docs.select("text"), lambda a: (s for _, s, _ in jaccard.shingle_sets(a)), bits)
+        at, n = np.unique(np.concatenate([sketch.cells(s, bits) for s in grams]), return_counts=True)
+        assert len(counts) == 1 << bits and (counts > 0).sum() == len(at)
+        assert (counts[at] == (np.log2(1.0 + n) * (1024 if bits == 22 else 8)).astype(counts.dtype)).all()
+    monkeypatch.setattr(jaccard, "table_bits", lambda grams: 24)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(docs).collect()}
+    assert got == jaccard.brute_force(texts)
+
+
 def test_jaccard_odd_ids(spark):
     rows = [(None, "p q r s t u"), (5, "p q r s t u"), (5, "p q r s t u"), (None, ""), (None, "lone text here now and then"), (9, None)]
     got = sorted(map(str, jaccard.similar_documents(spark.createDataFrame(rows, DOC)).collect()))
