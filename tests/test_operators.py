@@ -355,6 +355,45 @@ def test_visibility_does_not_shuffle_the_samples(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_view_counts_equal_the_tested_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.random((600, 3)) - 0.5, 2)
+    x[::7], x[1], x[2], x[3] = x[0], [np.nan, 0, 0], [np.inf, 0, 0], [0.0, 0.0, 9e9]
+    rows = [(u if u < 4 else None, i, p.tolist()) for u in range(5) for i, p in enumerate(x[: 600 // (u + 1)])]
+    rows += [(0, 900, None), (0, 901, [None, 0.0, 0.0]), (1, 902, [0.5, None, 0.5]), *((2, 1000 + i, [0.1, 0.1, 0.1]) for i in range(50))]
+    points = spark.createDataFrame(rows, POINT)
+    views = ge.sphere_views(spark, 3, 2).select(F.col("index").alias("view"), "transform")
+    views = views.unionByName(views.where("view = 1")).unionByName(views.where("view = 2").withColumn("view", F.lit(None).cast("long")))
+    uids = spark.createDataFrame([(0,), (1,), (2,), (9,), (None,)], "uid long")  # 3 has points only, 9 cameras only
+    cameras = uids.crossJoin(views).where("uid > 0 OR view > 3")
+    args = (1.0, 24, 16, 1.6, 3.0)
+    p = pr.project(points, cameras, *args)
+    tested = pr.with_visibility(p, pr.depth_buffer(p, 24, 16)).groupBy("uid", "view").agg(F.sum("visible"), F.sum(1 - F.col("visible")))
+    want = sorted(str(tuple(r)) for r in tested.collect())
+    assert len(want) == 2 + 2 * 7
+    for sizes in ({}, {"STEP_PAIRS": 5, "HELD_PAIRS": 40}, {"DENSE_CELLS": 0, "HELD_PAIRS": 300}, {"BROADCAST_BYTES": 0}):
+        with monkeypatch.context() as m:
+            for k, v in sizes.items():
+                m.setattr(pr, k, v)
+            assert sorted(str(tuple(r)) for r in pr.view_counts(points, cameras, *args).collect()) == want, sizes
+    assert pr.view_counts(points, cameras.limit(0), *args).count() == pr.view_counts(points.limit(0), cameras, *args).count() == 0
+
+
+def test_pixels_of_counts_are_pixels_of_rows(spark):
+    xs = [n + s * d for n in (-1, 0, 1, 7, 24, 4095) for s in (-1, 1) for d in (0, 1e-7, 4.999e-7, 4.9999999e-7, 5e-7, 5.0000001e-7, 5.001e-7, 1e-6, 1.5e-6, 0.25)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(map(float, xs))], "i int, x double")
+    assert [r["p"] for r in df.orderBy("i").select(F.floor(rounded("x")).alias("p")).collect()] == pr._floors(np.array(xs, float)).astype(int).tolist()
+
+
+def test_counts_by_view_write_no_row_a_point_and_view(spark, monkeypatch):
+    """A row for each of the 12 views of a point, twice, is most of the time at 36 million lines."""
+    from vantage.queries import geometry
+
+    monkeypatch.setattr(pr, "project", lambda *a, **b: pytest.fail("a row a point and view"))
+    rows = geometry.visible_and_obstructed(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 400 and all(r["visible"] > 0 for r in rows)
+
+
 def test_picked_correspondences_read_the_lines_once(spark, monkeypatch):
     from vantage.queries import geometry
 

@@ -33,8 +33,13 @@ def checked(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if it takes at most `most` bytes; else unmarked, so that the join shuffles. Its plan is
     cut, so that weighing and join do not both compute it."""
     df = cut(df)
-    weight = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
-    return F.broadcast(df) if (df.agg(F.sum(weight)).collect()[0][0] or 0) <= most else df  # one row
+    return F.broadcast(df) if weight(df) <= most else df
+
+
+def weight(df: DataFrame) -> int:
+    """Bytes that df takes, about."""
+    of_row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    return df.agg(F.sum(of_row)).collect()[0][0] or 0  # one row
 
 
 def reconcile(expected: DataFrame, actual: DataFrame, key: str, digest: str) -> DataFrame:

@@ -304,11 +304,14 @@ def _scene(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("uid"), sample.alias("sample")).agg(position)
 
 
-def _projected(spark, sf_dir, points=None):
+def _cameras(spark, sf_dir):
     views = ge.sphere_views(spark, 4, 3).select(F.col("index").alias("view"), "transform")
     uids = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("uid")).distinct()
-    cameras = uids.crossJoin(F.broadcast(views))  # a generator: 12 cameras an item
-    return pr.project(_scene(spark, sf_dir) if points is None else points, cameras, FOV, WIDTH, HEIGHT, near=1.6)
+    return uids.crossJoin(F.broadcast(views))  # a generator: 12 cameras an item
+
+
+def _projected(spark, sf_dir, points=None):
+    return pr.project(_scene(spark, sf_dir) if points is None else points, _cameras(spark, sf_dir), FOV, WIDTH, HEIGHT, near=1.6)
 
 
 @query(f"WITH {PROJECTED} SELECT uid, sample, view, floor(x * 1000)::BIGINT AS x, floor(y * 1000)::BIGINT AS y, round(z, 6) AS z FROM t")
@@ -328,9 +331,7 @@ def depth_buffers(spark, sf_dir):
 @query(f"WITH {PROJECTED} SELECT uid, view, sum(visible)::BIGINT AS visible, (count(*) - sum(visible))::BIGINT AS obstructed FROM v GROUP BY uid, view")
 def visible_and_obstructed(spark, sf_dir):
     """Samples in sight and behind others, by view."""
-    p = _projected(spark, sf_dir, stored(_scene(spark, sf_dir)))
-    t = pr.with_visibility(p, pr.depth_buffer(p, WIDTH, HEIGHT))
-    return t.groupBy("uid", "view").agg(F.sum("visible").alias("visible"), F.sum(1 - F.col("visible")).alias("obstructed"))
+    return pr.view_counts(_scene(spark, sf_dir), _cameras(spark, sf_dir), FOV, WIDTH, HEIGHT, near=1.6)
 
 
 @query(f"""WITH {PROJECTED}, m AS (SELECT v.*, (sample * 37 % 101) / 101.0 AS mx, (sample * 53 % 103) / 103.0 AS my FROM v WHERE visible = 1),
