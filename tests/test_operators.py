@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vantage.functions import geometry as ge
-from vantage.functions.scalars import rounded
+from vantage.functions.scalars import rounded, uniform, uniforms
 from vantage.operators import clustering as cl
 from vantage.operators import dataset as ds
 from vantage.operators import evaluation as ev
@@ -206,6 +206,47 @@ def test_thinning_of_small_groups_writes_no_pairs(spark, monkeypatch):
         assert sorted(map(tuple, way().collect())) == joined[k] and joined[k], k
 
 
+def test_points_of_small_items_are_those_of_joins(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(u, f, *rng.normal(size=(3, 3)).round(3).tolist()) for u in range(9) for f in range(1 + 3 * u)]
+    flat = [[1.0, 2.0, 3.0]] * 3
+    rows += [(0, -1, *flat), (3, 100, *flat), (20, 0, *flat), (21, 0, None, [0.0, 1.0, 0.0], [1.0, 0.0, 0.0]), (21, 1, [0.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 0.0, 0.0])]
+    rows += [(22, 0, [0.0, 0.0, None], [0.0, 1.0, 0.0], [1.0, 0.0, 0.0]), (None, 0, [0.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 0.0, 0.0])]
+    tri = spark.createDataFrame(rows, "uid long, face int, v0 array<double>, v1 array<double>, v2 array<double>")
+    six = lambda x: F.floor(x * 1_000_000 + 0.5) / 1_000_000
+    points = lambda: [(r["uid"], r["sample"], r["face"], tuple(np.round(r["position"], 9))) for r in sa.surface_points(tri, 20, "s").orderBy("uid", "sample").collect()]
+    thinned = lambda: sorted(map(tuple, sa.thin_surface(tri, 20, "s", 0.5, "first", six).select("uid", "sample", "face").collect()))
+    monkeypatch.setattr(sa, "SMALL_FACES", 0)
+    want = points(), thinned()
+    assert {r[0] for r in want[0]} == {*range(9), 21} and len(want[0]) == 200 and 10 < len(want[1]) < 200
+    at = sa.surface_points(tri, 20, "s").withColumn("position", F.transform("position", six))
+    assert want[1] == sorted(map(tuple, ne.without_close(at, 0.5, rule="first").select("uid", "sample", "face").collect()))
+    monkeypatch.setattr(sa, "SMALL_FACES", 10)  # some items by joins
+    assert points() == want[0]
+    monkeypatch.setattr(sa, "SMALL_FACES", 64)  # only the odd ones
+    assert (points(), thinned()) == want
+    monkeypatch.setattr(sa, "SMALL_GROUP", 19)
+    assert points() == want[0]
+    assert sa.thin_surface(tri.limit(0), 20, "s", 0.5).count() == 0
+
+
+def test_candidates_are_drawn_and_thinned_where_their_faces_are(spark, monkeypatch):
+    """36 points an item are many times the bytes of its 4 faces: they are neither stored nor shuffled."""
+    from vantage.queries import geometry
+
+    for module in (ne, sa):
+        monkeypatch.setattr(module, "stored", lambda *a: pytest.fail("points were stored"))
+    plan = geometry.first_far_samples(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange [^\n]*", plan)
+    assert len(exchanges) == 1 and "uid" in exchanges[0] and "SortMergeJoin" not in plan
+
+
+def test_uniforms_are_uniform(spark):
+    keys = [f"{i}/ü{i * 7}" for i in range(200)]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string").select("i", uniform(F.lit("s/a"), F.col("k")).alias("u"))
+    assert [r["u"] for r in df.orderBy("i").collect()] == uniforms(f"s/a|{k}" for k in keys).tolist()
+
+
 def test_x_means_options(spark):
     rng = np.random.default_rng(7)
     spots = np.array([[0, 0], [9, 0], [0, 9], [9, 9]])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid as _uuid
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +39,12 @@ def uniform(seed, key) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def uniforms(texts: Iterable[str]) -> np.ndarray:
+    """uniform of texts seed|key, within a Python function."""
+    digests = b"".join(hashlib.md5(t.encode()).digest() for t in texts)  # noqa: S324
+    return (np.frombuffer(digests, ">u8")[::2] >> np.uint64(12)) / float(1 << 52)
+
+
 def rounded(x) -> Column:
     """F.round(x, 6) of doubles, of which only those near a tie, and those of a million or more, are rounded by decimal
     digits; the others are so many millionths, with the same result at a fraction of the time."""

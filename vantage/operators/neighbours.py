@@ -105,14 +105,19 @@ def without_close(points: DataFrame, radius: Column | float, keys: tuple[str, ..
         raise ValueError(f"unknown rule {rule!r}")
     r = radius if isinstance(radius, Column) else F.lit(float(radius))
     small, large = by_size(points.withColumn("__r", r.cast("double")), keys)
+    kept = staying_rows(small.withColumn("__r", F.col("__rows")[0]["__r"]), rule).select(*(f"`{c}`" for c in points.columns))
+    return kept if large is None else kept.unionByName(_without_close_by_joins(large, keys, rule))
+
+
+def staying_rows(small: DataFrame, rule: str) -> DataFrame:
+    """The points that stay of groups that are a row each (by_size), with the group's radius as __r."""
 
     @F.pandas_udf("array<int>")
     def stays(samples: pd.Series, flat: pd.Series, radii: pd.Series) -> pd.Series:
         return pd.Series([staying(squares(s, x), r, rule) for s, x, r in zip(samples, flat, radii, strict=True)])
 
-    kept = small.withColumn("__i", stays("__samples", "__flat", F.col("__rows")[0]["__r"]))
-    kept = kept.select(F.explode(F.transform("__i", lambda i: F.col("__rows")[i])).alias("__row")).select(*(F.col(f"__row.`{c}`").alias(c) for c in points.columns))
-    return kept if large is None else kept.unionByName(_without_close_by_joins(large, keys, rule))
+    kept = small.withColumn("__i", stays("__samples", "__flat", "__r")).select("__rows", F.explode("__i").alias("__i"))
+    return kept.select(F.col("__rows")[F.col("__i")].alias("__row")).select("__row.*")
 
 
 def by_size(points: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
@@ -128,15 +133,19 @@ def by_size(points: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFr
     for k in keys:
         null |= F.col(k).isNull()
     odd = sizes.where((F.col("n") > SMALL_GROUP) | (F.col("least") < 3) | (F.col("least") != F.col("most")) | null)
+    small, large = apart(points, odd, keys)
+    small = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample", *(c for c in points.columns if c != "sample")))).alias("__rows"))
+    flat = F.flatten(F.transform("__rows", lambda r: r["position"].cast("array<double>")))
+    return small.withColumns({"__samples": F.transform("__rows", lambda r: r["sample"]), "__flat": flat}), large
+
+
+def apart(rows: DataFrame, odd: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups that are not in odd, and those of groups that are (None if odd is empty)."""
     odd = checked(odd.select(*(F.col(k).alias(f"__{k}") for k in keys)))
     same = F.lit(True)
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
-    large = None if odd.isEmpty() else points.join(odd, same, "left_semi")
-    small = points if large is None else points.join(odd, same, "left_anti")
-    small = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample", *(c for c in points.columns if c != "sample")))).alias("__rows"))
-    flat = F.flatten(F.transform("__rows", lambda r: r["position"].cast("array<double>")))
-    return small.withColumns({"__samples": F.transform("__rows", lambda r: r["sample"]), "__flat": flat}), large
+    return (rows, None) if odd.isEmpty() else (rows.join(odd, same, "left_anti"), rows.join(odd, same, "left_semi"))
 
 
 def squares(samples: np.ndarray, flat: np.ndarray) -> np.ndarray:

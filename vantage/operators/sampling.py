@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import triangle_area
 from ..functions.lineage import cut, stored
-from ..functions.scalars import uniform
+from ..functions.scalars import uniform, uniforms
 from ..functions.vectors import subtract
 from .dataset import ranked
 from .joins import checked
-from .neighbours import by_size, squares, staying, without_close
+from .neighbours import SMALL_GROUP, apart, by_size, squares, staying, staying_rows, without_close
+
+#: An item of at most so many faces is a row, with all its points; one of more goes by joins on intervals.
+SMALL_FACES = 64
 
 
 def cumulative(df: DataFrame, keys: list[str], order: str, weight: str) -> DataFrame:
@@ -52,6 +57,13 @@ def discrete_draws(keys: DataFrame, histogram: DataFrame, seed: str, key: str =
 
 def surface_points(triangles: DataFrame, count: int, seed: str) -> DataFrame:
     """(uid, sample, face, position): points on the triangles (uid, face, v0, v1, v2), area-weighted and uniform inside."""
+    small, large = surface_groups(triangles, count, seed)
+    points = small.select(F.explode("__rows").alias("__row")).select("__row.*")
+    return points if large is None else points.unionByName(large)
+
+
+def _surface_points_by_joins(triangles: DataFrame, count: int, seed: str) -> DataFrame:
+    """surface_points for items of any number of faces."""
     areas = triangles.withColumn("area", triangle_area("v0", "v1", "v2"))
     faces = cumulative(areas, ["uid"], "face", "area").select("uid", "lo", "hi", "total", "face", "v0", "v1", "v2")
     uids = triangles.select("uid").distinct()
@@ -65,6 +77,69 @@ def surface_points(triangles: DataFrame, count: int, seed: str) -> DataFrame:
     return p.select("uid", "sample", "face", F.array(*(F.col("v0")[i] + a * e1[i] + b * e2[i] for i in range(3))).alias("position"))
 
 
+def surface_groups(triangles: DataFrame, count: int, seed: str, place: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The points of surface_points, (uid, sample, face, position), in the form of `by_size`: a row an item for items of up
+    to SMALL_FACES faces, and the points of the others (None if there are none).  place is applied to each coordinate.
+
+    Only the faces are shuffled: an item's points are drawn, looked up and placed within its row, and what follows in the
+    row (staying_rows) needs no shuffle either.  triangles are read twice.  Items with null ids, or with coordinates that
+    are null, not finite or above 1e100, count among the others."""
+    corners = ("v0", "v1", "v2")
+    flat = F.concat(*(F.col(c).cast("array<double>") for c in corners))
+    plain = ~F.exists(flat, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e100)) & F.col("uid").isNotNull()
+    for c in corners:
+        plain &= F.size(c) == 3
+    most = SMALL_FACES if count <= SMALL_GROUP else 0
+    sizes = triangles.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce(plain, F.lit(False))).alias("plain"))
+    small, large = apart(triangles, sizes.where((F.col("n") > most) | ~F.col("plain")), ("uid",))
+
+    @F.pandas_udf("struct<at: array<int>, flat: array<double>>")
+    def placed(uids: pd.Series, faces: pd.Series) -> pd.DataFrame:
+        at, flat = _placed(uids, faces, count, seed)
+        return pd.DataFrame({"at": at, "flat": flat})
+
+    # faces are few bytes and their points much work: as many tasks as the session asks for, not as many as the bytes do
+    small = small.select("uid", F.struct("face", flat.alias("flat")).alias("__f")).repartition(int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid")
+    items = small.groupBy("uid").agg(F.array_sort(F.collect_list("__f")).alias("__faces"))
+    samples = F.sequence(F.lit(0), F.lit(count - 1))
+    items = items.withColumn("__p", placed(F.col("uid").cast("string"), F.flatten(F.transform("__faces", lambda f: f["flat"])))).where(F.size("__p.at") > 0)
+    place = place or (lambda x: x)
+    # each coordinate is placed where it is used: a column of all of them would be made again for every point
+    position = lambda k: F.array(*(place(F.col("__p.flat")[3 * k + i]) for i in range(3)))
+    row = lambda i, k: F.struct(F.col("uid"), k.alias("sample"), F.col("__faces")[i]["face"].alias("face"), position(k).alias("position"))
+    small = items.select("uid", F.transform("__p.at", row).alias("__rows"), samples.alias("__samples"), F.transform("__p.flat", place).alias("__flat"))
+    if large is not None:
+        large = _surface_points_by_joins(large, count, seed).withColumn("position", F.transform("position", place))
+    return small, large
+
+
+def _placed(uids: pd.Series, faces: pd.Series, count: int, seed: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """By item the place of each draw's face and its coordinates, of flat faces (9 numbers each); both empty where all
+    faces are.  Items of equally many faces are taken together."""
+    at, flat = [np.zeros(0, np.int32)] * len(faces), [np.zeros(0)] * len(faces)
+    lengths = faces.map(len).to_numpy()
+    for n in np.unique(lengths):
+        same = np.flatnonzero(lengths == n)
+        step = max(1, (1 << 18) // (n // 9 * count))
+        for rows in np.split(same, range(step, len(same), step)):
+            v = np.stack(faces.iloc[rows].to_list()).reshape(len(rows), -1, 3, 3)
+            u, a, b = uniforms(f"{seed}/{c}|{i}/{k}" for c in ("face", "a", "b") for i in uids.iloc[rows] for k in range(count)).reshape(3, len(rows), count)
+            v0, e1, e2 = v[:, :, 0], v[:, :, 1] - v[:, :, 0], v[:, :, 2] - v[:, :, 0]
+            x, y, z = (e1[..., i] * e2[..., j] - e1[..., j] * e2[..., i] for i, j in ((1, 2), (2, 0), (0, 1)))
+            hi = np.cumsum(np.sqrt(x * x + y * y + z * z) * 0.5, 1)
+            total = hi[:, -1:]
+            i = (hi[:, None, :] <= (u * total)[:, :, None]).sum(2)
+            i = np.minimum(i, (hi < total).sum(1)[:, None])  # beyond the last interval by rounding: the last one
+            fold = a + b > 1
+            a, b = (np.where(fold, 1 - w, w)[..., None] for w in (a, b))
+            v0, e1, e2 = (np.take_along_axis(w, i[..., None], 1) for w in (v0, e1, e2))
+            p = (v0 + a * e1 + b * e2).reshape(len(rows), -1)
+            for k, r in enumerate(rows):
+                if total[k, 0] > 0:
+                    at[r], flat[r] = i[k].astype(np.int32), p[k]
+    return at, flat
+
+
 def target_count(area, per_unit_area: float, least: int, most: int):
     """Number of points wanted on a surface: ceil(density * area) within limits."""
     return F.greatest(F.least(F.ceil(F.lit(float(per_unit_area)) * area).cast("int"), F.lit(most)), F.lit(least))
@@ -105,6 +180,14 @@ def thin_min_distance(points: DataFrame, count: int, radius: float | None, rule:
     return points if radius is None else first_samples(without_close(points, radius, rule=rule), count)
 
 
+def thin_surface(triangles: DataFrame, count: int, seed: str, radius: float, rule: str = "degree", place: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The points (uid, sample, face, position) of surface_points that without_close leaves; small items are drawn and
+    thinned within a row (surface_groups)."""
+    small, large = surface_groups(triangles, count, seed, place)
+    kept = staying_rows(small.withColumn("__r", F.lit(float(radius))), rule)
+    return kept if large is None else kept.unionByName(without_close(large, radius, rule=rule))
+
+
 def thin_to_target(points: DataFrame, lowest: float, highest: float, iterations: int, count: int | None = None, rule: str = "degree") -> tuple[DataFrame, DataFrame]:
     """(points that stay, trace): per uid (points have a column target) the radius is halved in on until so many are left.
 

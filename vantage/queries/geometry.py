@@ -120,10 +120,14 @@ def surface_samples(spark, sf_dir):
     return p.select("uid", "sample", "face", ok.alias("inside"))
 
 
+def _six_digits(x):
+    return F.floor(x * 1_000_000 + 0.5) / 1_000_000
+
+
 def _candidates(spark, sf_dir, count, seed):
     """Three times as many candidates as samples, placed to six digits."""
     p = sa.surface_points(_mesh(spark, sf_dir), 3 * count, seed)
-    return p.select("uid", "sample", F.transform("position", lambda x: F.floor(x * 1_000_000 + 0.5) / 1_000_000).alias("position"))
+    return p.select("uid", "sample", F.transform("position", _six_digits).alias("position"))
 
 
 def _candidates_sql(count: int, seed: str) -> str:
@@ -167,8 +171,8 @@ r AS (SELECT uid, -1 AS i, []::BIGINT[] AS gone FROM (SELECT DISTINCT uid FROM p
   UNION ALL SELECT r.uid, i + 1, CASE WHEN list_contains(gone, i + 1) OR e.later IS NULL THEN gone ELSE list_concat(gone, e.later) END FROM r LEFT JOIN e ON e.uid = r.uid AND e.a = i + 1 WHERE i < 35)
 SELECT p.uid, p.sample::INTEGER AS sample FROM p JOIN r ON r.uid = p.uid AND r.i = 35 WHERE NOT list_contains(gone, p.sample)""")
 def first_far_samples(spark, sf_dir):
-    """The same candidates taken in order, each dropped if one that stays is nearer; all points at once, in rounds."""
-    return ne.without_close(_candidates(spark, sf_dir, 12, "d"), 2.0, rule="first").select("uid", "sample")
+    """The same candidates taken in order, each dropped if one that stays is nearer."""
+    return sa.thin_surface(_mesh(spark, sf_dir), 3 * 12, "d", 2.0, "first", _six_digits).select("uid", "sample")
 
 
 DENSITY_ROUNDS = 6
