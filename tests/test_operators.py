@@ -239,6 +239,7 @@ def test_candidates_are_drawn_and_thinned_where_their_faces_are(spark, monkeypat
     plan = geometry.first_far_samples(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     exchanges = re.findall(r"Exchange [^\n]*", plan)
     assert len(exchanges) == 1 and "uid" in exchanges[0] and "SortMergeJoin" not in plan
+    assert plan.count("ArrowEvalPython") == 2  # drawn once, thinned once
 
 
 def test_uniforms_are_uniform(spark):

@@ -116,8 +116,9 @@ def staying_rows(small: DataFrame, rule: str) -> DataFrame:
     def stays(samples: pd.Series, flat: pd.Series, radii: pd.Series) -> pd.Series:
         return pd.Series([staying(squares(s, x), r, rule) for s, x, r in zip(samples, flat, radii, strict=True)])
 
-    kept = small.withColumn("__i", stays("__samples", "__flat", "__r")).select("__rows", F.explode("__i").alias("__i"))
-    return kept.select(F.col("__rows")[F.col("__i")].alias("__row")).select("__row.*")
+    # explode would add a filter on empty arrays in front of the Python functions, which then run twice
+    kept = small.withColumn("__i", stays("__samples", "__flat", "__r")).select("__rows", F.explode_outer("__i").alias("__i"))
+    return kept.where("__i IS NOT NULL").select(F.col("__rows")[F.col("__i")].alias("__row")).select("__row.*")
 
 
 def by_size(points: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
@@ -150,7 +151,7 @@ def apart(rows: DataFrame, odd: DataFrame, keys: tuple[str, ...]) -> tuple[DataF
 
 def squares(samples: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """Squared distances of a small group's points, added in order of the coordinates."""
-    x = np.asarray(flat, float).reshape(len(samples), -1)
+    x = np.asarray(flat, float).reshape(len(samples), len(flat) // max(1, len(samples)))
     out = np.zeros((len(x), len(x)))
     for k in range(x.shape[1]):
         d = x[:, None, k] - x[None, :, k]

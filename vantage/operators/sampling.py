@@ -58,7 +58,7 @@ def discrete_draws(keys: DataFrame, histogram: DataFrame, seed: str, key: str =
 def surface_points(triangles: DataFrame, count: int, seed: str) -> DataFrame:
     """(uid, sample, face, position): points on the triangles (uid, face, v0, v1, v2), area-weighted and uniform inside."""
     small, large = surface_groups(triangles, count, seed)
-    points = small.select(F.explode("__rows").alias("__row")).select("__row.*")
+    points = small.select(F.explode_outer("__rows").alias("__row")).where("__row IS NOT NULL").select("__row.*")  # see staying_rows
     return points if large is None else points.unionByName(large)
 
 
@@ -82,7 +82,8 @@ def surface_groups(triangles: DataFrame, count: int, seed: str, place: Callable[
     to SMALL_FACES faces, and the points of the others (None if there are none).  place is applied to each coordinate.
 
     Only the faces are shuffled: an item's points are drawn, looked up and placed within its row, and what follows in the
-    row (staying_rows) needs no shuffle either.  triangles are read twice.  Items with null ids, or with coordinates that
+    row (staying_rows) needs no shuffle either.  An item whose faces are all empty has no points; a filter on that would be
+    pushed in front and draw them a second time.  triangles are read twice.  Items with null ids, or with coordinates that
     are null, not finite or above 1e100, count among the others."""
     corners = ("v0", "v1", "v2")
     flat = F.concat(*(F.col(c).cast("array<double>") for c in corners))
@@ -101,13 +102,12 @@ def surface_groups(triangles: DataFrame, count: int, seed: str, place: Callable[
     # faces are few bytes and their points much work: as many tasks as the session asks for, not as many as the bytes do
     small = small.select("uid", F.struct("face", flat.alias("flat")).alias("__f")).repartition(int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid")
     items = small.groupBy("uid").agg(F.array_sort(F.collect_list("__f")).alias("__faces"))
-    samples = F.sequence(F.lit(0), F.lit(count - 1))
-    items = items.withColumn("__p", placed(F.col("uid").cast("string"), F.flatten(F.transform("__faces", lambda f: f["flat"])))).where(F.size("__p.at") > 0)
+    items = items.withColumn("__p", placed(F.col("uid").cast("string"), F.flatten(F.transform("__faces", lambda f: f["flat"]))))
     place = place or (lambda x: x)
     # each coordinate is placed where it is used: a column of all of them would be made again for every point
     position = lambda k: F.array(*(place(F.col("__p.flat")[3 * k + i]) for i in range(3)))
     row = lambda i, k: F.struct(F.col("uid"), k.alias("sample"), F.col("__faces")[i]["face"].alias("face"), position(k).alias("position"))
-    small = items.select("uid", F.transform("__p.at", row).alias("__rows"), samples.alias("__samples"), F.transform("__p.flat", place).alias("__flat"))
+    small = items.select("uid", F.transform("__p.at", row).alias("__rows"), F.transform("__p.at", lambda i, k: k).alias("__samples"), F.transform("__p.flat", place).alias("__flat"))
     if large is not None:
         large = _surface_points_by_joins(large, count, seed).withColumn("position", F.transform("position", place))
     return small, large
